@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, simhash
+from . import bpe, quality, simhash, topk
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_topk": topk.op2_topk,
+    "op4_quality": quality.op4_quality,
     "op10_simhash": simhash.op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_topk": topk.ORACLE,
+}

@@ -30,7 +30,8 @@ from . import common
 
 #: How byte-level vocabularies of this family split text before merging (fixed value).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_PIECES = 400_000
+CACHE_PIECES = 150_000
+DECODE_ROWS = 256
 
 
 def byte_letters() -> dict[str, int]:
@@ -96,12 +97,6 @@ class Codec:
         self.split = regex.compile(PIECES).findall
         self.special = {a["content"]: a["id"] for a in spec.get("added_tokens", ())}
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
-        # The offset table: bytes of token i are blob[start[i]:start[i + 1]].
-        by_id = {i: raw(n) for n, i in vocab.items() if all(c in letters for c in n)} | {i: n.encode() for n, i in self.special.items()}
-        parts = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
-        self.start = np.zeros(len(parts) + 1, np.int64)
-        np.cumsum([len(p) for p in parts], out=self.start[1:])
-        self.blob = np.frombuffer(b"".join(parts), np.uint8)
         self.pairs: dict[int, bool] = {}
         self.seen = _Seen(self)
 
@@ -124,7 +119,7 @@ class Codec:
         """compatible(a, b) by the pair table, which is filled as pairs are met."""
         found = self.pairs.get(a << 32 | b)
         if found is None:
-            if len(self.pairs) > 4 * CACHE_PIECES:
+            if len(self.pairs) > 2 * CACHE_PIECES:
                 self.pairs.clear()
             found = self.pairs[a << 32 | b] = self.compatible(a, b)
         return found
@@ -165,26 +160,39 @@ class Codec:
     def encode_plain(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.seen.__getitem__, self.split(text))), np.int32)
 
-    def decode_flat(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of all lists of ids joined, and the border of each list in them."""
-        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.start) - 1):
-            ids = ids[(ids >= 0) & (ids < len(self.start) - 1)] if len(lengths) == 1 else np.where((ids >= 0) & (ids < len(self.start) - 1), ids, len(self.start) - 1)
-        start = np.append(self.start, self.start[-1])
+
+class Decoder:
+    """The offset table of one vocabulary: bytes of token i are blob[start[i]:start[i + 1]]."""
+
+    def __init__(self, vocabulary: str):
+        spec = json.loads(vocabulary)
+        letters = byte_letters()
+        raw = lambda name: bytes(letters[c] for c in name)
+        special = {a["content"]: a["id"] for a in spec.get("added_tokens", ())}
+        by_id = {i: raw(n) for n, i in spec["model"]["vocab"].items() if all(c in letters for c in n)} | {i: n.encode() for n, i in special.items()}
+        parts = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
+        # One empty entry more, for ids that are none.
+        self.start = np.cumsum([0, *map(len, parts), 0], dtype=np.int32)
+        self.blob = np.frombuffer(b"".join(parts), np.uint8)
+
+    def decode_flat(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all ids joined, and where each id's bytes begin and end in them."""
+        start, none = self.start, len(self.start) - 2
+        ids = np.where((ids < 0) | (ids > none), none, ids)
         sizes = start[ids + 1] - start[ids]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        where = np.arange(total) + np.repeat(start[ids] - (ends - sizes), sizes)
-        borders = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(lengths)))]
+        borders = np.concatenate((np.zeros(1, np.int32), np.cumsum(sizes, dtype=np.int32)))
+        where = np.repeat(start[ids] - borders[:-1], sizes)
+        where += np.arange(len(where), dtype=np.int32)
         return self.blob[where], borders
 
 
 @functools.lru_cache(2)
-def _codec_of(digest: str, carrier) -> Codec:
-    return Codec(carrier.text)
+def _tables(kind: type, digest: str, carrier: _Carrier):
+    return kind(carrier.text)
 
 
 class _Carrier:
-    """Hashes by the digest alone, so that each Python worker builds a vocabulary's tables once."""
+    """Keeps a vocabulary's text out of the cache key, so that each Python worker builds its tables once."""
 
     def __init__(self, text: str):
         self.text = text
@@ -222,7 +230,7 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "token_ids", pa
     sent, digest = _shared(df, path)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = _codec_of(digest, _Carrier(sent.value))
+        codec = _tables(Codec, digest, _Carrier(sent.value))
         for texts in batches:
             lists = [codec.encode((v.as_buffer().to_pybytes() if v.is_valid else b"").decode("utf-8", "replace")) for v in texts]
             ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
@@ -243,18 +251,16 @@ def decode(df: DataFrame, ids_col: str = "token_ids", out_col: str = "decoded",
     sent, digest = _shared(df, path)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = _codec_of(digest, _Carrier(sent.value))
+        decoder = _tables(Decoder, digest, _Carrier(sent.value))
         for lists in batches:
-            lengths = np.asarray(lists.value_lengths().fill_null(0))
-            ids = np.asarray(lists.flatten().fill_null(-1)).astype(np.int64)
-            data, borders = codec.decode_flat(ids, lengths)
-            data = data.tobytes()
-            try:
-                data.decode()
-                out = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(borders.astype(np.int64)), pa.py_buffer(data)])
-                yield out.cast(pa.large_string()).cast(pa.string())
-            except (UnicodeDecodeError, pa.ArrowInvalid):
-                yield pa.array([data[a:b].decode("utf-8", "replace") for a, b in itertools.pairwise(borders)], pa.string())
+            out = []
+            for k in range(0, len(lists), DECODE_ROWS):  # bounds the index arrays
+                part = lists.slice(k, DECODE_ROWS)
+                data, borders = decoder.decode_flat(np.asarray(part.flatten().fill_null(-1)))
+                rows = borders[np.cumsum([0, *part.value_lengths().fill_null(0).to_pylist()])]
+                data = data.tobytes()
+                out += [data[a:b].decode("utf-8", "replace") for a, b in itertools.pairwise(rows.tolist())]
+            yield pa.array(out, pa.string())
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     udf = F.arrow_udf(run, "string")

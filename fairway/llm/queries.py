@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, simhash, topk
+from . import bpe, quality, simhash, topk, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_topk": topk.op2_topk,
     "op4_quality": quality.op4_quality,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op10_simhash": simhash.op10_simhash,
 }
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, html, quality, simhash, topk, toxicity, warc
+from . import ann, bpe, html, quality, simhash, topk, toxicity, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_topk": topk.op2_topk,
     "op3_warc": warc.op3_warc,
     "op4_quality": quality.op4_quality,
+    "op5_ann": ann.op5_ann,
     "op7_toxicity": toxicity.op7_toxicity,
     "op9_html": html.op9_html,
     "op10_simhash": simhash.op10_simhash,

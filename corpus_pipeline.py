@@ -1,10 +1,60 @@
-"""Corpus pipeline: stages over the documents table, each written and read again by the next."""
+"""Corpus pipeline: five stages over the documents table, each written as Parquet and read again by the next.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fairway.llm import bpe, common, mixing, quality, simhash, substring
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.keep_good(docs, common.table(spark, sf_dir, "labels"))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates by SimHash of five-word shingles one document stays."""
+    return simhash.keep_one(docs, words_in_shingle=5)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that repeat one of an earlier document are cut out."""
+    return substring.cut_repeats(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are chosen so that domains, languages and sources meet their weights."""
+    return mixing.mixed_documents(docs)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, with their digests."""
+    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"))
+    return coded.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), bpe.ids_digest(F.col("token_ids")).alias("ids_sha256"), "token_ids")
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("SimHash near-dedup", near_dedup_stage),
+    ("substring dedup", substring_stage),
+    ("mixing", mixing_stage),
+    ("BPE encoding", encoding_stage),
+]
+
+#: The classifier and the tokenizer can't be expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table."""
+    docs = common.table(spark, sf_dir, "documents")
+    path = common.fresh_path(spark, "pipeline")
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{path}/{k}")
+        docs = spark.read.parquet(f"{path}/{k}")
+    return docs

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, html, quality, simhash, topk, toxicity, warc
+from . import ann, bpe, html, mixing, quality, simhash, substring, topk, toxicity, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_warc": warc.op3_warc,
     "op4_quality": quality.op4_quality,
     "op5_ann": ann.op5_ann,
+    "op6_mixing": mixing.op6_mixing,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_substring": substring.op8_substring,
     "op9_html": html.op9_html,
     "op10_simhash": simhash.op10_simhash,
 }
@@ -18,4 +20,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_topk": topk.ORACLE,
     "op3_warc": warc.ORACLE,
+    "op6_mixing": mixing.ORACLE,
 }

@@ -1,3 +1,244 @@
-"""Queries."""
+"""Queries of collisions, powered and drifting accidents, consequences and reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fairway.functions import expr as X
+from fairway.operators import collision as C
+from fairway.operators import consequence as O
+from fairway.operators import drifting as D
+from fairway.operators import network as N
+from fairway.operators import passages as P
+from fairway.operators import powered as W
+from fairway.operators import reports as R
+
+from .adapters import oracle, view
+from .network_queries import _GEOMETRIC
 
 QUERIES, ORACLE_SQL = {}, {}
+LON0, LAT0 = 14.0, 55.0
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def _inputs(spark, sf_dir):
+    legs = N.with_length(view(spark, sf_dir, "legs"))
+    return view(spark, sf_dir, "traffic_cells"), C.lateral_mixture(view(spark, sf_dir, "leg_lateral")), legs
+
+
+_SHIPS = f"""WITH l AS (SELECT *, {X.haversine('lon1', 'lat1', 'lon2', 'lat2', X.EARTH_ROUTE_M)} AS length_m FROM legs),
+s AS (SELECT leg_id, dir_idx, ship_type, size_bin, freq AS q, CASE WHEN speed_kn > 0 THEN speed_kn ELSE 1e1 END * {X.num(X.KNOT_MS)} AS v, (size_bin + 5e-1) * 25e0 AS loa, CASE WHEN beam_m > 0 THEN beam_m ELSE (size_bin + 5e-1) * 25e0 / 65e-1 END AS b FROM traffic_cells),
+c AS (SELECT s.*, mean_m AS mu, std_m AS sigma FROM s JOIN leg_lateral USING (leg_id, dir_idx))"""
+_HEAD_ON = f"""{_SHIPS}, h AS (SELECT leg_id, x.ship_type AS t1, x.size_bin AS z1, y.ship_type AS t2, y.size_bin AS z2, x.q / x.v * y.q / y.v * (x.v + y.v) * {X.overlap('x.mu - y.mu', 'sqrt(x.sigma * x.sigma + y.sigma * y.sigma)', '(x.b + y.b) / 2e0')} * length_m / {X.num(X.YEAR_S)} AS n
+  FROM c x JOIN c y USING (leg_id) JOIN l USING (leg_id) WHERE x.dir_idx = 0 AND y.dir_idx = 1)"""
+
+
+@query("col_head_on", oracle(_HEAD_ON + "SELECT leg_id, count(*) AS pairs, round(sum(n) * 1e6, 4) AS n FROM h GROUP BY 1", "legs", "leg_lateral", "traffic_cells"))
+def head_on(spark, sf_dir):
+    return C.head_on(*_inputs(spark, sf_dir)).groupBy("leg_id").agg(F.count("*").alias("pairs"), F.round(F.sum("n") * 1e6, 4).alias("n"))
+
+
+@query("col_head_on_by_cell", oracle(_HEAD_ON + """SELECT ship_type, size_bin, round(sum(n) * 1e6, 4) AS n FROM (SELECT t1 AS ship_type, z1 AS size_bin, n / 2 AS n FROM h UNION ALL SELECT t2, z2, n / 2 FROM h) GROUP BY 1, 2""", "legs", "leg_lateral", "traffic_cells"))
+def head_on_by_cell(spark, sf_dir):
+    return C.by_cell(C.head_on(*_inputs(spark, sf_dir))).select("ship_type", "size_bin", F.round(F.col("n") * 1e6, 4).alias("n"))
+
+
+@query("col_overtaking", oracle(f"""{_SHIPS}, h AS (SELECT leg_id, x.q / x.v * y.q / y.v * (x.v - y.v) * {X.overlap('0e0', 'sqrt(x.sigma * x.sigma + y.sigma * y.sigma)', '(x.b + y.b) / 2e0')} * length_m / {X.num(X.YEAR_S)} AS n
+  FROM c x JOIN c y USING (leg_id, dir_idx) JOIN l USING (leg_id) WHERE x.v > y.v) SELECT leg_id, count(*) AS pairs, round(sum(n) * 1e6, 4) AS n FROM h GROUP BY 1""", "legs", "leg_lateral", "traffic_cells"))
+def overtaking(spark, sf_dir):
+    return C.overtaking(*_inputs(spark, sf_dir)).groupBy("leg_id").agg(F.count("*").alias("pairs"), F.round(F.sum("n") * 1e6, 4).alias("n"))
+
+
+_CROSSING = f"""{_GEOMETRIC}, s AS (SELECT leg_id, freq AS q, speed_kn * {X.num(X.KNOT_MS)} AS v, (size_bin + 5e-1) * 25e0 AS loa, beam_m AS b FROM traffic_cells),
+x AS (SELECT a.junction_id, a.leg_id AS leg_a, b.leg_id AS leg_b, {X.turn('a.bearing', 'b.bearing')} AS turn FROM j a JOIN j b ON a.junction_id = b.junction_id AND a.leg_id < b.leg_id),
+y AS (SELECT *, least(turn, 180e0 - turn) AS angle FROM x WHERE radians(least(turn, 180e0 - turn)) >= 1e-1),
+xk AS (SELECT y.*, 1e0 - p.share * r.share AS factor FROM y JOIN g p ON p.junction_id = y.junction_id AND p.in_leg = leg_a AND p.out_leg = leg_b JOIN g r ON r.junction_id = y.junction_id AND r.in_leg = leg_b AND r.out_leg = leg_a),
+n AS (SELECT xk.junction_id, leg_a, leg_b, angle, sum(factor * u.q * w.q * ((u.loa + w.loa) * sin(radians(angle)) + (u.b + w.b) * abs(cos(radians(angle)))) / (u.v * w.v * sin(radians(angle)) * {X.num(X.YEAR_S)})) AS n
+  FROM xk JOIN s u ON u.leg_id = leg_a JOIN s w ON w.leg_id = leg_b WHERE factor > 0 GROUP BY 1, 2, 3, 4)"""
+
+
+@query("col_crossing", oracle(_CROSSING + "SELECT CASE WHEN angle <= 30 THEN 'merging' ELSE 'crossing' END AS kind, junction_id, leg_a, leg_b, round(n, 6) AS n, round(n * 13e-5 * 1e6, 4) AS frequency_e6 FROM n", "legs", "traffic_cells"))
+def crossing(spark, sf_dir):
+    cells, _, legs = _inputs(spark, sf_dir)
+    ends = N.junctions(legs)
+    out = C.frequencies(C.crossing(cells, C.crossing_geometry(ends), N.geometric_shares(ends)))
+    return out.select("kind", "junction_id", "leg_a", "leg_b", F.round("n", 6).alias("n"), F.round(F.col("frequency") * 1e6, 4).alias("frequency_e6"))
+
+
+@query("col_bend", oracle(f"""{_GEOMETRIC}, f AS (SELECT leg_id, sum(freq) AS q, avg((size_bin + 5e-1) * 25e0) AS loa, avg(beam_m) AS b FROM traffic_cells GROUP BY 1),
+d AS (SELECT junction_id, in_leg AS leg_a, out_leg AS leg_b, q * share AS q, loa, b, abs(sin(radians(deflection))) AS s, abs(cos(radians(deflection))) AS c FROM g JOIN f ON leg_id = in_leg WHERE deflection > 5)
+SELECT junction_id, leg_a, leg_b, round(1e-2 * q * (1e0 - 1e-2) * q * (2e0 * loa * s + 2e0 * b * c) / (s * {X.num(X.YEAR_S)}), 6) AS n FROM d WHERE s > 1e-9""", "legs", "traffic_cells"))
+def bend(spark, sf_dir):
+    cells, _, legs = _inputs(spark, sf_dir)
+    return C.bend(cells, N.geometric_shares(N.junctions(legs))).select("junction_id", "leg_a", "leg_b", F.round("n", 6).alias("n"))
+
+
+_K = f"(cos(radians({X.num(LAT0)})) * {X.num(W.LON_M)})"
+_XY = lambda lon, lat: (f"(({lon}) - {X.num(LON0)}) * {_K}", f"(({lat}) - {X.num(LAT0)}) * {X.num(W.LAT_M)}")
+_EDGES = "ed AS (" + " UNION ALL ".join(
+    f"SELECT obstacle_id, kind, value_m, {_XY(a, b)[0]} AS ax, {_XY(a, b)[1]} AS ay, {_XY(c, d)[0]} AS bx, {_XY(c, d)[1]} AS bby FROM obstacles"
+    for a, b, c, d in (("x0", "y0", "x1", "y0"), ("x1", "y0", "x1", "y1"), ("x1", "y1", "x0", "y1"), ("x0", "y1", "x0", "y0"))
+) + ")"
+_POWERED = f"""WITH {_EDGES}, v AS (SELECT leg_id, dir_idx, sum(freq * speed_kn) / sum(freq) AS speed_kn FROM traffic_cells GROUP BY 1, 2),
+pr AS (SELECT leg_id, {_XY('lon1', 'lat1')[0]} AS sx, {_XY('lon1', 'lat1')[1]} AS sy, {_XY('lon2', 'lat2')[0]} AS ex, {_XY('lon2', 'lat2')[1]} AS ey FROM legs),
+un AS (SELECT *, (ex - sx) / sqrt(pow(ex - sx, 2e0) + pow(ey - sy, 2e0)) AS ux, (ey - sy) / sqrt(pow(ex - sx, 2e0) + pow(ey - sy, 2e0)) AS uy FROM pr),
+tp AS (SELECT leg_id, 0 AS dir_idx, ex AS tx, ey AS ty, ux AS dx, uy AS dy, -uy AS nx, ux AS ny FROM un UNION ALL SELECT leg_id, 1, sx, sy, -ux, -uy, -uy, ux FROM un),
+pt AS (SELECT tp.*, mean_m, std_m, speed_kn, mean_m - 4e0 * std_m AS low, 8e0 * std_m / 499 AS step FROM tp JOIN leg_lateral USING (leg_id, dir_idx) JOIN v USING (leg_id, dir_idx)),
+lc AS (SELECT pt.*, ed.*, (ax - tx) * dx + (ay - ty) * dy AS xa, (ax - tx) * nx + (ay - ty) * ny AS ya, (bx - tx) * dx + (bby - ty) * dy AS xb, (bx - tx) * nx + (bby - ty) * ny AS yb FROM pt CROSS JOIN ed),
+ry AS (SELECT lc.*, ray, low + ray * step AS o FROM lc CROSS JOIN (SELECT CAST(range AS INTEGER) AS ray FROM range(500)) WHERE ya <> yb AND low + ray * step >= least(ya, yb) AND low + ray * step < greatest(ya, yb)),
+al AS (SELECT *, xa + (o - ya) / (yb - ya) * (xb - xa) AS along, exp(-((o - mean_m) * (o - mean_m)) / (2 * (std_m * std_m))) / (std_m * 25066282746310002e-16) * step AS mass FROM ry),
+hi AS (SELECT leg_id, dir_idx, ray, obstacle_id, kind, value_m, speed_kn, mass, along, row_number() OVER (PARTITION BY leg_id, dir_idx, ray ORDER BY along, obstacle_id) AS n FROM al WHERE along > 0 AND along < 5e4),
+sm AS (SELECT leg_id, dir_idx, obstacle_id, kind, value_m, sum(mass) AS mass, sum(mass * along) / sum(mass) AS mean_d, sum(mass * exp(-along / (180e0 * speed_kn * {X.num(X.KNOT_MS)}))) AS p_integral, count(*) AS n_rays, any_value(speed_kn) AS speed_kn FROM hi WHERE n = 1 GROUP BY 1, 2, 3, 4, 5)"""
+
+
+def _powered(spark, sf_dir):
+    cells, legs = view(spark, sf_dir, "traffic_cells"), view(spark, sf_dir, "legs")
+    points = W.turning_points(legs, view(spark, sf_dir, "leg_lateral").drop("weight"), P.mean_speed(cells), LON0, LAT0)
+    edges = W.projected(W.box_edges(view(spark, sf_dir, "obstacles")), LON0, LAT0, a=("a_lon", "a_lat"), b=("b_lon", "b_lat"))
+    return cells, W.summaries(W.first_hits(W.ray_hits(points, edges)), points)
+
+
+@query("pow_summaries", oracle(_POWERED + f"SELECT leg_id, dir_idx, obstacle_id, round(mass, 5) AS mass, round(mean_d, 1) AS mean_m, round(p_integral, 5) AS p_integral, round(mass * exp(-mean_d / (180e0 * speed_kn * {X.num(X.KNOT_MS)})), 5) AS p_approx, n_rays FROM sm", "legs", "leg_lateral", "traffic_cells", "obstacles"))
+def powered_summaries(spark, sf_dir):
+    s = _powered(spark, sf_dir)[1]
+    return s.select("leg_id", "dir_idx", "obstacle_id", F.round("mass", 5).alias("mass"), F.round("mean_m", 1).alias("mean_m"), F.round("p_integral", 5).alias("p_integral"), F.round("p_approx", 5).alias("p_approx"), "n_rays")
+
+
+_GATE = "CASE WHEN kind = 'depth' THEN value_m <= draught_m ELSE height_m >= value_m END"
+
+
+@query("pow_accidents", oracle(_POWERED + f"""SELECT obstacle_id, count(*) AS cells, round(sum(16e-5 * freq * mass * exp(-mean_d / (180e0 * c.speed_kn * {X.num(X.KNOT_MS)}))) * 1e6, 3) AS frequency_e6 FROM traffic_cells c JOIN sm USING (leg_id, dir_idx) WHERE c.speed_kn > 0 AND {_GATE} GROUP BY 1""", "legs", "leg_lateral", "traffic_cells", "obstacles"))
+def powered_accidents(spark, sf_dir):
+    cells, parts = _powered(spark, sf_dir)
+    out = W.contributions(cells.where("speed_kn > 0"), parts, F.expr(_GATE), C.CAUSATION["grounding"])
+    return out.groupBy("obstacle_id").agg(F.count("*").alias("cells"), F.round(F.sum("frequency") * 1e6, 3).alias("frequency_e6"))
+
+
+_BLACKOUT = f"""WITH l AS (SELECT leg_id, {X.haversine('lon1', 'lat1', 'lon2', 'lat2', X.EARTH_ROUTE_M)} AS m FROM legs),
+b AS (SELECT leg_id, dir_idx, ship_type, size_bin, m / (speed_kn * 1852e0) * freq * (CASE WHEN ship_type BETWEEN 8 AND 11 THEN 1e-1 ELSE 1e0 END) / 8760e0 AS base FROM traffic_cells JOIN l USING (leg_id) WHERE speed_kn > 0)"""
+
+
+def _blackouts(spark, sf_dir):
+    rates = spark.range(8, 12).select(F.col("id").cast("int").alias("ship_type"), F.lit(0.1).alias("rate"))
+    return D.blackout_exposure(view(spark, sf_dir, "traffic_cells"), N.with_length(view(spark, sf_dir, "legs")), rates)
+
+
+@query("drf_blackouts", oracle(_BLACKOUT + "SELECT leg_id, dir_idx, round(sum(base), 8) AS base FROM b GROUP BY 1, 2", "legs", "traffic_cells"))
+def blackouts(spark, sf_dir):
+    return _blackouts(spark, sf_dir).groupBy("leg_id", "dir_idx").agg(F.round(F.sum("base"), 8).alias("base"))
+
+
+_TAU = f"distance_m / {X.num(D.DRIFT_KN * X.KNOT_MS * 3600.0)}"
+
+
+@query("drf_not_repaired", "WITH d AS (SELECT p_partkey, CAST(p_size AS DOUBLE) * 100e0 AS distance_m FROM part) SELECT p_partkey, " + ", ".join(f"round({X.not_repaired(k, _TAU, 0.95, 0.2, 0.85)}, 9) AS {k}" for k in ("lognormal", "normal", "weibull")) + " FROM d")
+def not_repaired(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", (F.col("p_size").cast("double") * 100.0).alias("distance_m"))
+    for k in ("lognormal", "normal", "weibull"):
+        d = D.not_repaired(d, "distance_m", k, kind=k)
+    return d.select("p_partkey", *[F.round(k, 9).alias(k) for k in ("lognormal", "normal", "weibull")])
+
+
+_ROSE = "SELECT CAST(c_nationkey AS BIGINT) AS scenario_id, c_custkey % 8 AS direction, sum(CASE WHEN c_acctbal > 0 THEN CAST(c_acctbal AS DOUBLE) ELSE 0e0 END) AS value FROM {customer} GROUP BY 1, 2"
+
+
+@query("drf_rose", f"WITH r AS ({_ROSE.format(customer='customer')}) SELECT scenario_id, direction, round(value / sum(value) OVER (PARTITION BY scenario_id), 9) AS rp FROM r WHERE value > 0")
+def rose(spark, sf_dir):
+    r = spark.sql(_ROSE, customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    return D.normalized_rose(r).select("scenario_id", "direction", F.round("rp", 9).alias("rp"))
+
+
+SLICES, NORTH_EAST, REACH = 20, 45.0, 30000.0
+_HOLES = f"""WITH {_EDGES}, pr AS (SELECT leg_id, {_XY('lon1', 'lat1')[0]} AS sx, {_XY('lon1', 'lat1')[1]} AS sy, {_XY('lon2', 'lat2')[0]} AS ex, {_XY('lon2', 'lat2')[1]} AS ey FROM legs),
+un AS (SELECT *, sqrt(pow(ex - sx, 2e0) + pow(ey - sy, 2e0)) AS len FROM pr),
+sl AS (SELECT leg_id, slice, mean_m, std_m, sx + (slice + 5e-1) / {SLICES} * (ex - sx) AS px, sy + (slice + 5e-1) / {SLICES} * (ey - sy) AS py, -(ey - sy) / len AS nx, (ex - sx) / len AS ny, sin(radians(45e0)) AS gx, cos(radians(45e0)) AS gy
+  FROM un JOIN leg_lateral USING (leg_id) CROSS JOIN (SELECT CAST(range AS INTEGER) AS slice FROM range({SLICES})) WHERE dir_idx = 0),
+fr AS (SELECT *, gx * ny - gy * nx AS spread FROM sl), bo AS (SELECT leg_id, slice, obstacle_id, mean_m, std_m, (ax - px) * gx + (ay - py) * gy AS xa, (gx * (ay - py) - gy * (ax - px)) / spread AS wa, (bx - px) * gx + (bby - py) * gy AS xb, (gx * (bby - py) - gy * (bx - px)) / spread AS wb FROM fr CROSS JOIN ed WHERE abs(spread) > 1e-6),
+iv AS (SELECT leg_id, slice, obstacle_id, mean_m, std_m, greatest(least(wa, wb), mean_m - 5 * std_m) AS lo, least(greatest(wa, wb), mean_m + 5 * std_m) AS hi FROM bo WHERE greatest(xa, xb) > 0 AND least(xa, xb) < {X.num(REACH)} AND wa <> wb),
+sw AS (SELECT *, max(hi) OVER (PARTITION BY leg_id, obstacle_id, slice ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM iv WHERE lo < hi),
+cv AS (SELECT *, greatest(lo, coalesce(upto, lo)) AS a FROM sw)
+SELECT leg_id, obstacle_id, round(sum(CASE WHEN hi > a THEN {X.phi('(hi - mean_m) / std_m')} - {X.phi('(a - mean_m) / std_m')} ELSE 0e0 END) / {SLICES}, 7) AS hole FROM cv GROUP BY 1, 2"""
+
+
+@query("drf_holes", oracle(_HOLES, "legs", "leg_lateral", "obstacles"))
+def hole_rows(spark, sf_dir):
+    legs = W.projected(view(spark, sf_dir, "legs"), LON0, LAT0, s=("lon1", "lat1"), e=("lon2", "lat2")).withColumn("len", F.expr("sqrt(pow(e_x - s_x, 2e0) + pow(e_y - s_y, 2e0))"))
+    legs = legs.join(view(spark, sf_dir, "leg_lateral").where("dir_idx = 0").drop("weight"), "leg_id")
+    edges = W.projected(W.box_edges(view(spark, sf_dir, "obstacles")), LON0, LAT0, a=("a_lon", "a_lat"), b=("b_lon", "b_lat")).select("obstacle_id", "a_x", "a_y", "b_x", "b_y")
+    return D.holes(D.edge_intervals(legs, edges, SLICES, NORTH_EAST, REACH), SLICES).withColumn("hole", F.round("hole", 7))
+
+
+_ACCIDENTS = "SELECT CASE WHEN dir_idx = 0 THEN 'grounding' ELSE 'collision' END AS kind, ship_type, size_bin, sum(freq) * 1e-4 AS frequency FROM {cells} GROUP BY 1, 2, 3"
+_SPILLS = f"""WITH a AS ({_ACCIDENTS.format(cells='traffic_cells')}), p AS (SELECT * FROM (VALUES ('grounding', 0, 98e-2), ('grounding', 1, 2e-2), ('collision', 0, 97e-2), ('collision', 1, 1e-2), ('collision', 2, 1e-2), ('collision', 3, 1e-2)) t(kind, level, p)),
+f AS (SELECT * FROM (VALUES (0, 0e0), (1, 1e-1), (2, 3e-1), (3, 1e0)) t(level, f)),
+s AS (SELECT kind, ship_type, size_bin, level, frequency * p AS frequency, (CASE WHEN ship_type = 19 THEN 80e0 * (size_bin * 25 + 125e-1) ELSE 100e0 END) * f AS volume_m3 FROM a JOIN p USING (kind) JOIN f USING (level))"""
+
+
+def _spilled(spark, sf_dir):
+    cells = view(spark, sf_dir, "traffic_cells")
+    oil = O.default_oil(cells.select("ship_type", "size_bin").distinct(), F.col("ship_type") == 19)
+    return O.spills(spark.sql(_ACCIDENTS, cells=cells), oil)
+
+
+@query("con_spills", oracle(_SPILLS + "SELECT kind, ship_type, size_bin, CAST(level AS INTEGER) AS level, round(frequency, 9) AS frequency, round(volume_m3, 4) AS volume_m3 FROM s", "traffic_cells"))
+def spills(spark, sf_dir):
+    return _spilled(spark, sf_dir).withColumn("frequency", F.round("frequency", 9)).withColumn("volume_m3", F.round("volume_m3", 4))
+
+
+@query("con_exceedance", oracle(_SPILLS + "SELECT CAST(i AS INTEGER) AS level, q AS quantity_m3, round(coalesce((SELECT sum(frequency) FROM s WHERE volume_m3 > q), 0), 7) AS frequency FROM (VALUES (0, 50e0), (1, 500e0), (2, 5000e0)) t(i, q)", "traffic_cells"))
+def exceedance(spark, sf_dir):
+    return O.exceedance(_spilled(spark, sf_dir)).withColumn("frequency", F.round("frequency", 7))
+
+
+@query("con_totals", oracle(_SPILLS + "SELECT kind, round(sum(CASE WHEN volume_m3 > 0 THEN frequency ELSE 0 END), 7) AS spill_frequency, round(sum(frequency * volume_m3), 5) AS volume_m3_per_year FROM s GROUP BY 1", "traffic_cells"))
+def totals(spark, sf_dir):
+    return O.totals(_spilled(spark, sf_dir)).select("kind", F.round("spill_frequency", 7).alias("spill_frequency"), F.round("volume_m3_per_year", 5).alias("volume_m3_per_year"))
+
+
+@query("rep_top_contributor", oracle("""WITH g AS (SELECT leg_id, ship_type, sum(freq) AS v FROM traffic_cells GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY leg_id ORDER BY v DESC, ship_type) AS n, sum(v) OVER (PARTITION BY leg_id) AS total FROM g)
+SELECT leg_id, total, ship_type AS top, v AS top_value FROM r WHERE n = 1""", "traffic_cells"))
+def top(spark, sf_dir):
+    return R.top_contributor(view(spark, sf_dir, "traffic_cells"), ["leg_id"], "ship_type", "freq")
+
+
+@query("rep_pivot", oracle("SELECT ship_type, " + ", ".join(f'sum(freq) FILTER (WHERE leg_id = {i}) AS leg_{i}' for i in range(1, 6)) + " FROM traffic_cells GROUP BY 1", "traffic_cells"))
+def pivot(spark, sf_dir):
+    p = R.pivoted(view(spark, sf_dir, "traffic_cells"), ["ship_type"], "leg_id", list(range(1, 6)), "freq")
+    return p.select("ship_type", *[F.col(str(i)).alias(f"leg_{i}") for i in range(1, 6)])
+
+
+@query("rep_classes", oracle("WITH g AS (SELECT leg_id, ship_type, sum(freq) AS v FROM traffic_cells GROUP BY 1, 2), m AS (SELECT min(v) AS lo, max(v) AS hi FROM g WHERE v > 0) SELECT leg_id, ship_type, v, CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((v - lo) / ((hi - lo) / 5)), 4) END AS INTEGER) AS class FROM g, m WHERE v > 0", "traffic_cells"))
+def class_rows(spark, sf_dir):
+    return R.classes(view(spark, sf_dir, "traffic_cells").groupBy("leg_id", "ship_type").agg(F.sum("freq").alias("v")), "v")
+
+
+@query("rep_compare", oracle("""WITH a AS (SELECT project_id, sum(total_freq) * 1e9 AS a FROM runs WHERE run_id % 2 = 0 GROUP BY 1), b AS (SELECT project_id, sum(total_freq) * 1e9 AS b FROM runs WHERE run_id % 3 = 0 GROUP BY 1)
+SELECT project_id, round(a, 2) AS a, round(b, 2) AS b, round(b - a, 2) AS delta, round(CASE WHEN a IS NULL OR b IS NULL THEN NULL WHEN a <> 0 THEN (b - a) / a * 100 ELSE 0 END, 6) AS delta_pct FROM a FULL JOIN b USING (project_id)""", "runs"))
+def compare(spark, sf_dir):
+    runs = view(spark, sf_dir, "runs")
+    part = lambda k: runs.where(F.col("run_id") % k == 0).groupBy("project_id").agg((F.sum("total_freq") * 1e9).alias("v"))
+    c = R.compared(part(2), part(3), "project_id", "v")
+    return c.select("project_id", *[F.round(n, 2).alias(n) for n in ("a", "b", "delta")], F.round("delta_pct", 6).alias("delta_pct"))
+
+
+@query("rep_against_first", oracle("SELECT run_id, project_id, round((total_freq - first_value(total_freq) OVER w) / first_value(total_freq) OVER w * 100, 6) AS delta_pct FROM runs WINDOW w AS (PARTITION BY project_id ORDER BY run_id)", "runs"))
+def against_first(spark, sf_dir):
+    return R.against_first(view(spark, sf_dir, "runs"), "project_id", "run_id", "total_freq").select("run_id", "project_id", F.round("delta_pct", 6).alias("delta_pct"))
+
+
+@query("rep_differences", oracle("""WITH a AS (SELECT run_id, total_freq * 1e9 AS a FROM runs WHERE run_id % 5 <> 0), b AS (SELECT run_id, total_freq * 1e9 + CASE WHEN run_id % 4 = 0 THEN 1e0 ELSE 0e0 END AS b FROM runs WHERE run_id % 7 <> 0)
+SELECT run_id, round(a, 3) AS a, round(b, 3) AS b FROM a FULL JOIN b USING (run_id) WHERE a IS NULL OR b IS NULL OR run_id % 4 = 0""", "runs"))
+def difference_rows(spark, sf_dir):
+    runs = view(spark, sf_dir, "runs").select("run_id", (F.col("total_freq") * 1e9).alias("v"))
+    changed = runs.withColumn("v", F.col("v") + F.when(F.col("run_id") % 4 == 0, 1.0).otherwise(0.0))
+    d = R.differences(runs.where("run_id % 5 <> 0"), changed.where("run_id % 7 <> 0"), ["run_id"], "v")
+    return d.select("run_id", F.round("a", 3).alias("a"), F.round("b", 3).alias("b"))

@@ -11,7 +11,9 @@ from pyspark.sql.window import Window
 
 from fairway.functions import expr as X
 
-BY_TIME = Window.partitionBy("mmsi").orderBy("t_s", "seq")
+
+def by_time():
+    return Window.partitionBy("mmsi").orderBy("t_s", "seq")
 
 
 def within_year(pings: DataFrame, year: int, t: str = "t") -> DataFrame:
@@ -36,13 +38,13 @@ def split(pings: DataFrame, max_gap_s: float = 3600.0, speed_tolerance: float =
     A track breaks where the pause is longer than max_gap_s, or where the speed that the distance implies is
     over the mean reported speed * (1 + tolerance) + floor.  Without time between, the implied speed is 0.
     """
-    before = lambda c: F.lag(c).over(BY_TIME)
+    before = lambda c: F.lag(c).over(by_time())
     rows = pings.select("*", before("t_s").alias("t0_"), before("lon").alias("lon0_"), before("lat").alias("lat0_"), before("sog").alias("sog0_"))
     rows = rows.withColumn("dt_s", F.col("t_s") - F.col("t0_")).withColumn("dist_m", F.expr(X.haversine("lon0_", "lat0_", "lon", "lat")))
     rows = rows.withColumn("implied_kn", F.when(F.col("dt_s") > 0, F.col("dist_m") / F.col("dt_s") * X.MS_KNOT_AIS).otherwise(0.0))
     allowed = (F.col("sog") + F.col("sog0_")) / 2 * (1 + speed_tolerance) + speed_floor_kn
     rows = rows.withColumn("is_break", F.coalesce((F.col("dt_s") > max_gap_s) | (F.col("implied_kn") > allowed), F.lit(False)).cast("int"))
-    return rows.withColumn("sub_id", F.sum("is_break").over(BY_TIME).cast("long")).drop("t0_", "lon0_", "lat0_", "sog0_")
+    return rows.withColumn("sub_id", F.sum("is_break").over(by_time()).cast("long")).drop("t0_", "lon0_", "lat0_", "sog0_")
 
 
 def long_enough(rows: DataFrame, least: int = 2) -> DataFrame:

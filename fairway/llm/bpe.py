@@ -82,7 +82,7 @@ class Codec:
             self.right.append(pair[1])
             names.append(a + b)
         self.size = [len(n) for n in names]
-        self.ids = [vocab[n] for n in names]
+        self.packed = [vocab[n].to_bytes(4, sys.byteorder) for n in names]
         # An entry that the merges never produce from its own bytes takes no part in matching.
         made = [True] * 256
         for t in range(256, len(names)):
@@ -139,7 +139,7 @@ class Codec:
             if not dead[end] and (not out or fits(out[-1], token)):
                 out.append(token)
                 if end == n:
-                    return np.array([self.ids[t] for t in out], np.int32).tobytes() if len(out) > 1 else self.ids[token].to_bytes(4, sys.byteorder)
+                    return b"".join([self.packed[t] for t in out])
                 pos, token = end, longest[end]
                 continue
             token = self.shorter[token]
@@ -217,6 +217,7 @@ def default_path() -> str:
 
 
 def _shared(df: DataFrame, path: str | None):
+    common.bound_batches(df.sparkSession)
     text = load(path or default_path())
     return df.sparkSession.sparkContext.broadcast(text), hashlib.sha256(text.encode()).hexdigest()
 

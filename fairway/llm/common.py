@@ -41,6 +41,17 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows in an Arrow batch of whole texts.  Spark's default of 10,000 would hold tens of MB in each worker.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the rows in an Arrow batch for this session's texts, unless the caller has set them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Drops columns whose names an operator is about to write (its outputs win a clash)."""
     return df.drop(*[n for n in names if n in df.columns])

@@ -190,6 +190,7 @@ def extract(pages: DataFrame, out_col: str = "text", **params) -> DataFrame:
     rows are kept and treated alike.  Other columns pass through, save one named like the output.
     """
     spark = pages.sparkSession
+    common.bound_batches(spark)
     path = common.fresh_path(spark, "templates")
     templates(pages, **params).write.parquet(f"{path}/subtrees")
     site = spark.read.parquet(f"{path}/subtrees")

@@ -17,7 +17,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, linear
@@ -105,6 +105,12 @@ def score(df: DataFrame, model: bytes, text_col: str = "text", out_col: str = "q
     Null counts as an empty text, which has the score of a row without features.  Repeated rows have equal
     scores; an input column named like the output is replaced.
     """
+    return df.withColumn(out_col, score_of(df, model, text_col))
+
+
+def score_of(df: DataFrame, model: bytes, text_col: str = "text") -> Column:
+    """The score as a column of df."""
+    common.bound_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -120,14 +126,12 @@ def score(df: DataFrame, model: bytes, text_col: str = "text", out_col: str = "q
             yield pa.array(linear.sigmoid(slope * np.array(margins) + offset), pa.float64())
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return df.withColumn(out_col, F.arrow_udf(run, "double")(F.col(text_col).cast("binary")))
+    return F.arrow_udf(run, "double")(F.col(text_col).cast("binary"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score reaches the threshold, with their columns."""
-    plain = common.without(docs, "quality_score_")
-    scored = score(plain, fit(docs, labels), out_col="quality_score_")
-    return scored.where(F.col("quality_score_") >= threshold).select(plain.columns)
+    return docs.where(score_of(docs, fit(docs, labels)) >= threshold)
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:

@@ -135,6 +135,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4, words_in_shingle: int =
     of docs are not read, whatever their names.
     """
     spark = docs.sparkSession
+    common.bound_batches(spark)
     path = common.fresh_path(spark, "simhash")
     docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint(F.col("text"), words_in_shingle, seed).alias("fp")).write.parquet(f"{path}/docs")
     printed = spark.read.parquet(f"{path}/docs")

@@ -306,6 +306,7 @@ def score(df: DataFrame, model: bytes, text_col: str = "text", out_col: str = "t
     Null counts as an empty text, which has no unit and so the lowest score.  Repeated rows have equal
     scores; an input column named like the output is replaced.
     """
+    common.bound_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

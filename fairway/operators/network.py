@@ -119,3 +119,22 @@ def bounding_box(legs: DataFrame, percent: float = 0.0) -> DataFrame:
 def compass(bearing: Column) -> Column:
     """Name of the quadrant that a bearing points to."""
     return F.when((bearing >= 315) | (bearing < 45), "North").when(bearing < 135, "East").when(bearing < 225, "South").otherwise("West")
+
+
+def merge_waypoints(legs: DataFrame, merges: DataFrame) -> DataFrame:
+    """Legs with ends moved by merges (key, lon, lat), key being format_point of the old end."""
+    out = legs
+    for k in ("1", "2"):
+        to = merges.select(F.col("key").alias("key_"), F.col("lon").alias("lon_"), F.col("lat").alias("lat_"))
+        out = out.withColumn("key_", format_point(F.col(f"lon{k}"), F.col(f"lat{k}"))).join(to, "key_", "left")
+        out = out.withColumn(f"lon{k}", F.coalesce("lon_", f"lon{k}")).withColumn(f"lat{k}", F.coalesce("lat_", f"lat{k}")).drop("key_", "lon_", "lat_")
+    return out
+
+
+def next_legs(legs: DataFrame) -> DataFrame:
+    """The first leg (by id) that starts where each leg ends, and the bend between: leg_id, next_leg, bend_deg."""
+    key = lambda k: format_point(F.round(f"lon{k}", 6), F.round(f"lat{k}", 6))
+    own = legs.select("leg_id", key("2").alias("p"), F.expr(X.outward("lon1", "lat1", "lon2", "lat2")).alias("b1"))
+    other = legs.select(F.col("leg_id").alias("next_leg"), key("1").alias("p"), F.expr(X.outward("lon1", "lat1", "lon2", "lat2")).alias("b2"))
+    best = own.join(other, "p").where("leg_id <> next_leg").groupBy("leg_id", "b1").agg(F.min(F.struct("next_leg", "b2")).alias("n"))
+    return best.select("leg_id", "n.next_leg", F.expr(X.turn("b1", "n.b2")).alias("bend_deg"))

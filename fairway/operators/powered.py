@@ -80,3 +80,26 @@ def contributions(cells: DataFrame, parts: DataFrame, gate, causation: float) ->
     both = cells.join(parts, ["leg_id", "dir_idx"]).where(gate)
     value = causation * F.col("freq") * F.col("mass") * F.exp(-F.col("mean_m") / (AI_S * v))
     return both.select("leg_id", "dir_idx", "ship_type", "size_bin", "obstacle_id", value.alias("frequency"))
+
+
+def depth_bins(cells: DataFrame, depths: DataFrame) -> DataFrame:
+    """Adds bin_m: the deepest depth contour not deeper than the draught (null if none).
+
+    Draughts and depths are merged in one ordered pass over distinct values, so neither side is crossed.
+    """
+    from pyspark.sql.window import Window
+
+    keys = cells.select(F.col("draught_m").alias("x"), F.lit(1).alias("side")).unionByName(depths.select(F.col("value_m").alias("x"), F.lit(0).alias("side"))).distinct()
+    upto = Window.partitionBy(F.lit(0)).orderBy("x", "side").rowsBetween(Window.unboundedPreceding, 0)  # distinct values only
+    bins = keys.withColumn("bin_m", F.last(F.when(F.col("side") == 0, F.col("x")), ignorenulls=True).over(upto)).where("side = 1").select(F.col("x").alias("draught_m"), "bin_m")
+    return cells.join(bins, "draught_m", "left")
+
+
+def closed_form(q, mass, distance_m, speed_kn, causation: float, ai_s: float = AI_S):
+    """Yearly frequency of category II: ships that fail to turn and do not recover on the way."""
+    return causation * q * mass * F.exp(-distance_m / (ai_s * speed_kn * X.KNOT_MS))
+
+
+def recovery_m(speed_kn, ai_s: float = AI_S):
+    """Distance on which a share 1 / e of the ships has not recovered."""
+    return ai_s * speed_kn * X.KNOT_MS

@@ -50,3 +50,34 @@ def differences(a: DataFrame, b: DataFrame, key: list[str], value: str, rel: flo
 def project_findings(cells: DataFrame) -> DataFrame:
     """Legs that do not have exactly two directions."""
     return cells.groupBy("leg_id").agg(F.count_distinct("dir_idx").alias("directions")).where("directions <> 2")
+
+
+def drill_down(contributions: DataFrame, value: str, k: int | None = None) -> DataFrame:
+    """Positive contributions, largest first (ties by key); the first k if asked for."""
+    out = contributions.where(F.col(value) > 0).orderBy(F.desc(value), *[c for c in contributions.columns if c != value])
+    return out.limit(k) if k else out
+
+
+def run_totals(facts: DataFrame, kinds: list[str]) -> DataFrame:
+    """One row per scenario with a column per accident kind; kinds without facts are 0."""
+    return facts.groupBy("scenario_id").pivot("kind", kinds).agg(F.sum("frequency")).na.fill(0.0)
+
+
+def leg_lengths(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Leg lengths of two projects; legs on one side only are kept."""
+    return a.select("leg_id", F.col("length_m").alias("a_m")).join(b.select("leg_id", F.col("length_m").alias("b_m")), "leg_id", "full_outer").withColumn("delta_m", F.col("b_m") - F.col("a_m"))
+
+
+def moved_ends(now: DataFrame, baseline: DataFrame, least_m: float = 25.0) -> DataFrame:
+    """Leg ends that lie at least least_m from where the baseline has them."""
+    from fairway.functions import expr as X
+
+    old = baseline.select("leg_id", "side", F.col("lon").alias("lon0"), F.col("lat").alias("lat0"))
+    both = now.join(old, ["leg_id", "side"]).withColumn("moved_m", F.expr(X.haversine("lon0", "lat0", "lon", "lat", X.EARTH_ROUTE_M)))
+    return both.where(F.col("moved_m") >= least_m).select("leg_id", "side", "moved_m")
+
+
+def by_direction(facts: DataFrame, angle: str, value: str, weighted: list[str]) -> DataFrame:
+    """Per drift direction: the sum of a value, and means of other columns weighted by it."""
+    means = [F.try_divide(F.sum(F.col(c) * F.col(value)), F.sum(value)).alias(c) for c in weighted]
+    return facts.groupBy(angle).agg(F.sum(value).alias(value), *means)

@@ -8,6 +8,7 @@ from fairway.functions import expr as X
 from fairway.operators import network as N
 from fairway.operators import powered as W
 from fairway.operators import reports as R
+from fairway.sources import tables
 
 from .adapters import oracle, view
 
@@ -80,3 +81,30 @@ def moved_ends(spark, sf_dir):
 def by_direction(spark, sf_dir):
     out = R.by_direction(view(spark, sf_dir, "traffic_cells"), "ship_type", "freq", ["speed_kn", "draught_m"])
     return out.select("ship_type", "freq", F.round("speed_kn", 6).alias("speed_kn"), F.round("draught_m", 6).alias("draught_m"))
+
+
+@query("src_depth_bands", "SELECT p_partkey, -p_size / 2e0 AS z, CASE WHEN p_size / 2e0 > 0 AND p_size / 2e0 <= 3 THEN 3e0 WHEN p_size / 2e0 <= 6 THEN 6e0 WHEN p_size / 2e0 <= 10 THEN 1e1 WHEN p_size / 2e0 <= 20 THEN 2e1 END AS band_m FROM part WHERE p_size > 0 AND p_size / 2e0 <= 20")
+def depth_bands(spark, sf_dir):
+    cells = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", (-F.col("p_size").cast("double") / 2).alias("z"))
+    return tables.depth_bands(cells, [0, 3, 6, 10, 20])
+
+
+@query("src_matrix_cells", oracle("SELECT leg_id, dir_idx, ship_type, size_bin, freq, speed_kn FROM (SELECT leg_id, dir_idx, ship_type, size_bin, CASE WHEN ship_type % 5 = 1 THEN 0e0 ELSE freq END AS freq, round(speed_kn, 3) AS speed_kn FROM traffic_cells) WHERE freq > 0", "traffic_cells"))
+def matrix_cells(spark, sf_dir):
+    cells = view(spark, sf_dir, "traffic_cells").withColumn("freq", F.when(F.col("ship_type") % 5 == 1, 0.0).otherwise(F.col("freq"))).withColumn("speed_kn", F.round("speed_kn", 3))
+    # At most 21 types of 15 sizes in a matrix.
+    rows = cells.groupBy("leg_id", "dir_idx").agg(F.map_from_entries(F.collect_list(F.struct(F.col("ship_type") * 15 + F.col("size_bin"), F.struct("freq", "speed_kn")))).alias("m"))
+    matrix = lambda n: F.transform(F.sequence(F.lit(0), F.lit(20)), lambda t: F.transform(F.sequence(F.lit(0), F.lit(14)), lambda s: F.coalesce(F.try_element_at("m", t * 15 + s)[n].cast("string"), F.lit(""))))
+    return tables.matrix_cells(rows.select("leg_id", "dir_idx", matrix("freq").alias("freq"), matrix("speed_kn").alias("speed_kn")), ["freq", "speed_kn"])
+
+
+@query("src_registry", "SELECT c_custkey AS mmsi, CAST(c_acctbal AS DOUBLE) AS loa_m, CAST(NULL AS DOUBLE) AS beam_m, CAST(c_nationkey AS INTEGER) AS ship_type, CAST(NULL AS DOUBLE) AS air_draught_m FROM customer")
+def registry(spark, sf_dir):
+    return tables.mapped_registry(spark.read.parquet(f"{sf_dir}/customer.parquet"), {"mmsi": "c_custkey", "loa_m": "c_acctbal", "ship_type": "c_nationkey", "beam_m": None})
+
+
+@query("src_defaults", oracle("WITH s AS (SELECT DISTINCT leg_id AS scenario_id FROM traffic_cells), v AS (SELECT leg_id AS scenario_id, CASE WHEN leg_id % 2 = 0 THEN 'anchor_p' ELSE 'speed' END AS name, CASE WHEN leg_id % 3 = 0 THEN NULL ELSE max(speed_kn) END AS value FROM traffic_cells GROUP BY 1, 2, leg_id % 3) SELECT s.scenario_id, d.name, round(coalesce(value, d), 6) AS value FROM s CROSS JOIN (VALUES ('anchor_p', 7e-1), ('anchor_d', 7e0), ('speed', 1e0)) d(name, d) LEFT JOIN v ON v.scenario_id = s.scenario_id AND v.name = d.name", "traffic_cells"))
+def defaults(spark, sf_dir):
+    v = view(spark, sf_dir, "traffic_cells").groupBy(F.col("leg_id").alias("scenario_id")).agg(F.max("speed_kn").alias("value"))
+    v = v.select("scenario_id", F.when(F.col("scenario_id") % 2 == 0, "anchor_p").otherwise("speed").alias("name"), F.when(F.col("scenario_id") % 3 != 0, F.col("value")).alias("value"))
+    return tables.with_defaults(v, {"anchor_p": 0.7, "anchor_d": 7.0, "speed": 1.0}).withColumn("value", F.round("value", 6))

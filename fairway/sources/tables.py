@@ -121,3 +121,37 @@ def compare_runs(runs: DataFrame, ids: list[int]) -> DataFrame:
     """The rows of the runs asked for, with their place in the order asked for."""
     wanted = runs.sparkSession.createDataFrame(list(enumerate(ids)), "place int, run_id long")
     return runs.join(F.broadcast(wanted), "run_id").orderBy("place")
+
+
+def matrix_cells(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Long cells of [type][size] matrices (arrays of arrays, one column per name); those without a positive frequency go.
+
+    The first name is the frequency.  Values may be text; what is no number is null.
+    """
+    keys = [c for c in rows.columns if c not in names]
+    out = rows.select(*keys, F.posexplode(F.arrays_zip(*names)).alias("ship_type", "row"))
+    out = out.select(*keys, "ship_type", F.posexplode(F.arrays_zip(*[F.col(f"row.{n}").alias(n) for n in names])).alias("size_bin", "cell"))
+    out = out.select(*keys, "ship_type", "size_bin", *[F.col(f"cell.{n}").try_cast("double").alias(n) for n in names])
+    return out.where(F.col(names[0]) > 0)
+
+
+def depth_bands(cells: DataFrame, edges: list[float], z: str = "z") -> DataFrame:
+    """Adds band_m: the upper end of the band (low, high] of depth -z; cells in no band go."""
+    band = F
+    for low, high in zip(edges, edges[1:]):
+        band = band.when((-F.col(z) > low) & (-F.col(z) <= high), F.lit(float(high)))
+    return cells.withColumn("band_m", band).where("band_m is not null")
+
+
+def mapped_registry(table: DataFrame, columns: dict[str, str | None]) -> DataFrame:
+    """A vessel registry under canonical names: mmsi and any of loa_m, beam_m, ship_type, air_draught_m; what is not mapped is null."""
+    kinds = {"loa_m": "double", "beam_m": "double", "ship_type": "int", "air_draught_m": "double"}
+    pick = lambda n, k: (F.col(columns[n]) if columns.get(n) else F.lit(None)).cast(k).alias(n)
+    return table.select(F.col(columns["mmsi"]).cast("long").alias("mmsi"), *[pick(n, k) for n, k in kinds.items()])
+
+
+def with_defaults(settings: DataFrame, defaults: dict[str, float], key: str = "scenario_id") -> DataFrame:
+    """Settings (scenario, name, value) of every scenario for every default's name; a missing or null value is the default."""
+    base = settings.sparkSession.createDataFrame(list(defaults.items()), "name string, default double")
+    grid = settings.select(key).distinct().withColumn("name", F.explode(F.array(*[F.lit(n) for n in defaults])))
+    return grid.join(F.broadcast(base), "name").join(settings, [key, "name"], "left").select(key, "name", F.coalesce("value", "default").alias("value"))

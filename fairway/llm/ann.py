@@ -26,6 +26,7 @@ from . import cells, common
 SAMPLE = 4000
 PARTITIONS = 16
 NEIGHBOURS = 12
+LEAST = 64
 MASS = 0.985
 FOUND = "query_id long, vec_id long, score double"
 
@@ -108,8 +109,10 @@ def fit(vectors: DataFrame, parts: int = PARTITIONS, sample: int = SAMPLE, seed:
         scale = float(np.sqrt((x**2).sum(axis=1).mean()))
         center = x.mean(axis=0)
         x = (x - center) / max(scale, 1e-300)
+        # A power of two, and at least LEAST sampled vectors in each partition: a tiny table has one.
+        n = 1 << (max(1, min(parts, len(x) // LEAST)).bit_length() - 1)
         out = io.BytesIO()
-        np.savez(out, w=learn(x, partition(x, parts), parts), center=center, scale=scale)
+        np.savez(out, w=learn(x, partition(x, n), n), center=center, scale=scale)
         return pa.table({"model": pa.array([out.getvalue()], pa.binary())})
 
     got = chosen.groupBy(F.lit(0).alias("one")).applyInArrow(run, "model binary").first()

@@ -6,9 +6,10 @@ inside the window that holds the least shingle has that shingle as its min-hash.
 documents with equal min-hash say that their passages share that signature; where the windows of a pair
 overlap in enough hash functions lies a candidate passage, which is then grown and verified on the texts.
 
-A signature that more than ``FEW`` windows share is not paired with itself: its members are grouped by
-what stands left, and by what stands right, of the shared shingle, and each is linked with the first
-member of its two groups.  Exact copies of a whole text are one document up to the end.
+Where more than ``FEW`` windows share a signature, those that hold the same text are one class: each member is
+linked with the class's smallest document, which has all of the window too.  The windows of the smallest
+documents of different classes are all paired, in cells of two parts each, so that no two different texts miss
+each other.  Exact copies of a whole text are one document up to the end.
 """
 
 from __future__ import annotations
@@ -28,10 +29,12 @@ SHINGLE, WORDS = 5, 50
 LEAST = WORDS - SHINGLE + 1
 HASHES, NEED = 4, 2
 SIMILARITY = 0.8
-FEW = 6
-CONTEXT = 16
+FEW, PART = 6, 512
+#: In place of a hash function: a link of equal windows, which needs no second one.
+SURE = HASHES
 BAND, GAP = 16, 2 * LEAST
 LINK = "a long, b long, f int, ca int, cb int, key long"
+_ODD = 0x9E3779B97F4A7C15
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 
@@ -70,32 +73,40 @@ def compact_windows(h: np.ndarray, least: int = LEAST) -> list[tuple[int, int, i
     return out
 
 
+def _content(base: np.ndarray):
+    """A function from (first, least, end) of windows to hashes of what they hold and where the least stands."""
+    power = lambda x: np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(base), x, np.uint64))), dtype=np.uint64)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(base * power(_ODD)[:-1], dtype=np.uint64)))
+    back = power(pow(_ODD, -1, 1 << 64))
+    return lambda a, c, b: mixed(mixed((sums[b] - sums[a]) * back[a], 1) ^ ((c - a).astype(np.uint64) << np.uint64(32)) ^ (b - a).astype(np.uint64), 2)
+
+
 def _windows(docs: DataFrame) -> DataFrame:
-    """(v, doc, f, c, left, right) of all windows; left and right stand for the shingles beside c."""
+    """(v, doc, f, c, own) of all windows; own is equal where windows hold the same shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
-                cols = [[] for _ in range(6)]
+                cols = [[] for _ in range(5)]
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1)):
                     base = shingles(text.as_buffer().to_pybytes() if text.is_valid else b"")
                     if len(base) < LEAST:
                         continue
+                    content = _content(base)
                     for f in range(HASHES):
                         h = mixed(base, f)
-                        c = np.array([w[1] for w in compact_windows(h)])
+                        a, c, b = np.array(compact_windows(h)).T
                         cols[0].append(h[c])
                         cols[1].append(np.full(len(c), doc))
                         cols[2].append(np.full(len(c), f))
                         cols[3].append(c)
-                        cols[4].append(base[np.maximum(c - CONTEXT, 0)] + (c < CONTEXT))
-                        cols[5].append(base[np.minimum(c + CONTEXT, len(base) - 1)] + (c + CONTEXT >= len(base)))
+                        cols[4].append(content(a, c, b))
                 if cols[0]:
-                    kinds = (np.int64, np.int64, np.int32, np.int32, np.int32, np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.uint64).astype(k) if k is not np.int64 else np.concatenate(c).astype(np.int64)) for c, k in zip(cols, kinds)], ["v", "doc", "f", "c", "left", "right"])
+                    kinds = (np.int64, np.int64, np.int32, np.int32, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(k)) for c, k in zip(cols, kinds)], ["v", "doc", "f", "c", "own"])
 
-    return docs.mapInArrow(run, "v long, doc long, f int, c int, left int, right int")
+    return docs.mapInArrow(run, "v long, doc long, f int, c int, own long")
 
 
 def _pairs(a_doc, a_c, b_doc, b_c, f) -> pa.RecordBatch:
@@ -111,8 +122,8 @@ def _pairs(a_doc, a_c, b_doc, b_c, f) -> pa.RecordBatch:
 
 
 def _match_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by v: links inside groups of at most FEW; members of larger groups come out with two keys each."""
-    names = ("v", "doc", "f", "c", "left", "right")
+    """Of rows sorted by v: links inside groups of at most FEW; members of larger groups come out with v as b and a key of their class."""
+    names = ("v", "doc", "f", "c", "own")
     held, hot = None, None
     for batch in itertools.chain(batches, [None]):
         if batch is not None:
@@ -140,18 +151,47 @@ def _match_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _pairs(held[1][i], held[3][i], held[1][i + step], held[3][i + step], held[2][i])
         i = np.flatnonzero(done & many)
         if len(i):
-            for side, name in ((4, 1), (5, 2)):
-                key = mixed(v[i].view(np.uint64) ^ (held[side][i].astype(np.int64).view(np.uint64) << np.uint64(name)), name).astype(np.int64)
-                none = pa.array(np.zeros(len(i), np.int32), mask=np.ones(len(i), bool))
-                yield pa.RecordBatch.from_arrays([pa.array(held[1][i]), pa.array(np.zeros(len(i), np.int64), mask=np.ones(len(i), bool)), pa.array(held[2][i]), pa.array(held[3][i]), none, pa.array(key)], ["a", "b", "f", "ca", "cb", "key"])
+            key = mixed(v[i].view(np.uint64) ^ mixed(held[4][i].view(np.uint64), 3), 1).view(np.int64)
+            none = pa.array(np.zeros(len(i), np.int32), mask=np.ones(len(i), bool))
+            yield pa.RecordBatch.from_arrays([pa.array(held[1][i]), pa.array(v[i]), pa.array(held[2][i]), pa.array(held[3][i]), none, pa.array(key)], ["a", "b", "f", "ca", "cb", "key"])
         held = [x[~done] for x in held]
 
 
 def _match_large(members: DataFrame) -> DataFrame:
-    """Every member of a large group linked with the group's first, by a minimum combined before the shuffle and a join."""
-    own = members.select("key", F.col("a").alias("doc"), F.col("ca").alias("c"), "f")
+    """Links of large groups: members of a class with its first, and the first documents' windows of all classes of a group."""
+    own = members.select("key", F.col("b").alias("v"), F.col("a").alias("doc"), F.col("ca").alias("c"), "f")
     first = own.groupBy("key").agg(F.min(F.struct("doc", "c")).alias("r"))
-    return own.join(first, "key").where(F.col("doc") != F.col("r.doc")).select(F.col("r.doc").alias("a"), F.col("doc").alias("b"), "f", F.col("r.c").alias("ca"), F.col("c").alias("cb"))
+    both = own.join(first, "key")
+    same = both.where(F.col("doc") != F.col("r.doc")).select(F.col("r.doc").alias("a"), F.col("doc").alias("b"), F.lit(SURE).alias("f"), F.col("r.c").alias("ca"), F.col("c").alias("cb"))
+    heads = both.where(F.col("doc") == F.col("r.doc")).select("v", "f", "doc", "c")
+    parts = heads.groupBy("v").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    mine = F.pmod(F.xxhash64("doc", "c"), F.col("parts")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.struct(F.least("mine", other).alias("p"), F.greatest("mine", other).alias("q")))
+    dealt = heads.join(parts, "v").where("parts > 0").withColumn("mine", mine).withColumn("cell", F.explode(cells)).select("v", "cell.p", "cell.q", "mine", "doc", "c", "f")
+    met = dealt.repartition("v", "p", "q").sortWithinPartitions("v", "p", "q", "mine", "doc", "c").mapInArrow(_match_cells, LINK).drop("key")
+    return same.unionByName(met)
+
+
+def _match_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by cell: links of all pairs in a cell of one part, and of those across the parts in one of two."""
+    held = None
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            new = [np.asarray(batch.column(n)) for n in ("v", "p", "q", "mine", "doc", "c", "f")]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+        if held is None or not len(held[0]):
+            continue
+        v, p, q, mine, doc, c, f = held
+        ends = np.append(np.flatnonzero((v[1:] != v[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1, len(v) if batch is None else [])
+        start = 0
+        for end in ends.astype(int).tolist():
+            cut = end if p[start] == q[start] else start + int(np.searchsorted(mine[start:end], p[start], "right"))
+            for i in range(start, cut):
+                j = np.arange(i + 1 if p[start] == q[start] else cut, end)
+                if len(j):
+                    yield _pairs(np.full(len(j), doc[i]), np.full(len(j), c[i]), doc[j], c[j], f[j])
+            start = end
+        held = [x[start:] for x in held]
 
 
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,6 +208,7 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple] = []
         for a, b, f, ca, cb in zip(*(batch.column(n).to_pylist() for n in ("a", "b", "f", "ca", "cb"))):
+            bits = 1 << f if f < SURE else (1 << NEED) - 1 << SURE
             if (a, b) != pair:
                 close(open_, pair, out)
                 pair, open_ = (a, b), []
@@ -176,12 +217,12 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 open_ = [c for c in open_ if ca - c[2] <= GAP]
             for c in open_:
                 if abs((ca - cb) - (c[2] - c[3])) <= BAND:
-                    c[2], c[3], c[4] = ca, cb, c[4] | 1 << f
+                    c[2], c[3], c[4] = ca, cb, c[4] | bits
                     first, _, fs = c[5].get(ca - cb, (ca, ca, 0))
-                    c[5][ca - cb] = first, ca, fs | 1 << f
+                    c[5][ca - cb] = first, ca, fs | bits
                     break
             else:
-                open_.append([ca, cb, ca, cb, 1 << f, {ca - cb: (ca, ca, 1 << f)}])
+                open_.append([ca, cb, ca, cb, bits, {ca - cb: (ca, ca, bits)}])
         yield _chain_batch(out)
     out = []
     close(open_, pair, out)

@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fairway.llm import bpe, common, linear, mixing, quality, simhash, substring, toxicity
@@ -138,6 +139,52 @@ def test_edited_passages_are_found(spark):
     assert sum(r.end_word - r.start_word for r in got) >= 280
 
 
+def brute_pairs(texts):
+    """Pairs of documents with a verified chain, where all windows of equal signature are paired."""
+    base = {i: substring.shingles(t.encode()) for i, t in texts}
+    ends = {i: [{int(substring.mixed(x, f)[w[1]]): w[1] for w in substring.compact_windows(substring.mixed(x, f))} for f in range(substring.HASHES)] for i, x in base.items()}
+    found = set()
+    for a in base:
+        for b in base:
+            rows = sorted((a, b, f, ends[a][f][v], ends[b][f][v]) for f in range(substring.HASHES) for v in ends[a][f].keys() & ends[b][f].keys()) if a < b else []
+            if rows:
+                rows.sort(key=lambda r: r[3:])
+                batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["a", "b", "f", "ca", "cb"])
+                chains = [c for out in substring._chains(iter([batch])) for c in out.to_pylist()]
+                if any(substring.verify(base[a], base[b], c["a_first"], c["b_first"], c["a_last"], c["b_last"]) for c in chains):
+                    found.add((b, a))
+    return found
+
+
+@pytest.mark.parametrize("n, edits, part", [(60, 1, 512), (100, 2, 512), (200, 4, 3)])
+def test_large_groups_of_near_copies_lose_no_link(spark, monkeypatch, n, edits, part):
+    monkeypatch.setattr(substring, "PART", part)
+    rng = np.random.default_rng(n)
+    passage, rows = words(rng, n), []
+    for i in range(20):
+        copy = passage.copy()
+        if i != 10:  # the unedited one stands in the middle
+            for k in rng.choice(n, edits, replace=False):
+                copy[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(words(rng, 40) + copy + words(rng, 40))))
+    want = brute_pairs(rows)
+    got = {(r.doc_id, r.source_id) for r in substring.repeated_passages(docs(spark, rows)).collect()}
+    assert len([p for p in want if 10 in p]) >= 15 and got == want
+
+
+def test_large_groups_of_equal_windows_are_covered(spark):
+    rng = np.random.default_rng(12)
+    passage = words(rng, 60)
+    heads, tails = [words(rng, 70) for _ in range(4)], [words(rng, 70) for _ in range(4)]
+    rows = [(i, " ".join(heads[i % 4] + passage + tails[i // 4 % 4] + passage)) for i in range(16)] + [(20 + i, " ".join(words(rng, 30) + passage)) for i in range(10)]
+    covered = {}
+    for r in substring.repeated_passages(docs(spark, rows)).collect():
+        covered.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    for i in range(1, 16):
+        assert covered[i] >= {*range(70, 130), *range(200, 260)}
+    assert all(covered[20 + i] >= set(range(30, 90)) for i in range(10))
+
+
 def test_passages_of_an_empty_table(spark):
     assert substring.repeated_passages(docs(spark, [])).count() == 0
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairway.llm import bpe, common, mixing, quality, simhash, substring
+from fairway.llm import bpe, common, mixing, neardup, quality, substring
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +18,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates by SimHash of five-word shingles one document stays."""
-    return simhash.keep_one(docs, words_in_shingle=5)
+    """Of each group of near-duplicates by five-word shingles at a similarity of 0.8 one document stays."""
+    return neardup.keep_one(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

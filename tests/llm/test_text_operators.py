@@ -99,6 +99,37 @@ def test_keep_one_keeps_rows_without_id_and_one_of_each_group(spark):
     assert kept == ["1", "3", "None"]
 
 
+def test_near_dedup_stage_keeps_one_of_each_group_at_the_similarity(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(13)
+    rows = [(900 + k, t) for k, (_, t) in enumerate(ODD[:3])]
+    for g in range(12):
+        base = words(rng, 150)
+        for k in range(6):
+            copy = base.copy()
+            for at in rng.choice(150, k if g % 2 else 2, replace=False):
+                copy[at] = f"z{g}y{k}x{at}"
+            rows.append((10 * g + k, " ".join(copy)))
+    sets = {i: set(zip(*[(t or "").lower().split()[k:] for k in range(5)])) for i, t in rows}
+    up = {i: i for i in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                lo, hi = sorted((find(a), find(b)))
+                up[hi] = lo
+    want = {i for i in sets if find(i) == i}
+    assert len(want) < len(rows) - 20
+    got = corpus_pipeline.near_dedup_stage(spark, docs(spark, rows), "")
+    assert sorted(r.doc_id for r in got.collect()) == sorted(want)
+
+
 def words(rng, n):
     return [f"w{x}" for x in rng.integers(0, 10**6, n)]
 

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from fairway.functions import expr as X
 
+from .powered import near
+
 HOURS = 8760.0
 #: Default repair-time distribution in hours, and default speed of a drifting ship in knots (fixed values).
 REPAIR = {"kind": "lognormal", "shape": 0.95, "loc": 0.2, "scale": 0.85}
@@ -53,12 +55,14 @@ def edge_intervals(legs: DataFrame, edges: DataFrame, slices: int, angle_deg: fl
     at = legs.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).withColumn("f", (F.col("slice") + 0.5) / slices)
     at = at.select("leg_id", "slice", "mean_m", "std_m", (F.col("s_x") + F.col("f") * (F.col("e_x") - F.col("s_x"))).alias("px"), (F.col("s_y") + F.col("f") * (F.col("e_y") - F.col("s_y"))).alias("py"), F.expr("-(e_y - s_y) / len").alias("nx"), F.expr("(e_x - s_x) / len").alias("ny"), ex.alias("ex"), ey.alias("ey"))
     at = at.withColumn("spread", F.expr("ex * ny - ey * nx")).where("abs(spread) > 1e-6")
-    both = at.crossJoin(edges)
+    strip = {"at_x": F.col("px"), "at_y": F.col("py"), "to_x": F.col("ex"), "to_y": F.col("ey"), "side_x": -F.col("ey"), "side_y": F.col("ex")}
+    side = [F.expr(f"spread * (mean_m {sign} 5 * std_m)") for sign in "-+"]
+    both = near(at.withColumns(strip | {"left_m": F.least(*side), "right_m": F.greatest(*side)}), edges, reach)
     for k in ("a", "b"):
         both = both.withColumn(f"x{k}", F.expr(f"({k}_x - px) * ex + ({k}_y - py) * ey")).withColumn(f"w{k}", F.expr(f"(ex * ({k}_y - py) - ey * ({k}_x - px)) / spread"))
-    near = both.where((F.greatest("xa", "xb") > 0) & (F.least("xa", "xb") < reach)).where("wa <> wb")
+    met = both.where((F.greatest("xa", "xb") > 0) & (F.least("xa", "xb") < reach)).where("wa <> wb")
     lo, hi = F.greatest(F.least("wa", "wb"), F.col("mean_m") - 5 * F.col("std_m")), F.least(F.greatest("wa", "wb"), F.col("mean_m") + 5 * F.col("std_m"))
-    return near.withColumn("lo", lo).withColumn("hi", hi).where("lo < hi").select("leg_id", "slice", "obstacle_id", "mean_m", "std_m", "lo", "hi")
+    return met.withColumn("lo", lo).withColumn("hi", hi).where("lo < hi").select("leg_id", "slice", "obstacle_id", "mean_m", "std_m", "lo", "hi").distinct()
 
 
 def holes(intervals: DataFrame, slices: int) -> DataFrame:

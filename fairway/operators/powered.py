@@ -1,7 +1,7 @@
 """Powered grounding and allision: rays cast on from the end of each leg.
 
 Rays are numbered from one side of the lateral distribution to the other; every obstacle edge makes only the
-numbers inside its own lateral span, so rays and edges are never crossed.
+numbers inside its own lateral span, so rays and edges are never crossed.  Legs and edges meet on grid cells.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from fairway.functions import expr as X
 RAYS, SPREAD, RANGE_M, AI_S = 500, 4.0, 50_000.0, 180.0
 #: Metres per degree of longitude at the equator, and of latitude (fixed values).
 LON_M, LAT_M = 111_320.0, 110_540.0
+CELL_M = 5_000.0
 
 
 def projected(df: DataFrame, lon0: float, lat0: float, **points: tuple[str, str]) -> DataFrame:
@@ -40,14 +41,36 @@ def turning_points(legs: DataFrame, lateral: DataFrame, speeds: DataFrame, lon0:
     return out.join(lateral, ["leg_id", "dir_idx"]).join(speeds.where("speed_kn > 0"), ["leg_id", "dir_idx"])
 
 
+def _boxed(df: DataFrame, xs: list, ys: list) -> DataFrame:
+    """Each row once for every grid cell that the box around the places touches, as cell_x, cell_y."""
+    span = lambda c: F.explode(F.sequence(F.floor((F.least(*c) - 1.0) / CELL_M), F.floor((F.greatest(*c) + 1.0) / CELL_M)))
+    return df.withColumn("cell_x", span(xs)).withColumn("cell_y", span(ys))
+
+
+def near(corridors: DataFrame, edges: DataFrame, length_m: float) -> DataFrame:
+    """Corridors joined with the edges (a_x, a_y, b_x, b_y) that may reach into them, on grid cells.
+
+    A corridor goes from (at_x, at_y) along (to_x, to_y) for length_m, from left_m to right_m along (side_x, side_y).
+    An edge counts with all places as near as it is long, so the box around it in the corridor's frame does too.  A
+    pair is repeated for each cell that it shares.
+    """
+    n = max(1, int(-(-length_m // CELL_M)))
+    parts = corridors.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    xs, ys = ([F.expr(f"at_{k} + {g} * to_{k} * {X.num(length_m / n)} + {w} * side_{k}") for g in ("part", "(part + 1)") for w in ("left_m", "right_m")] for k in ("x", "y"))
+    mine = _boxed(parts, xs, ys).drop("part").distinct()
+    long = F.expr("sqrt(pow(b_x - a_x, 2e0) + pow(b_y - a_y, 2e0))")
+    xs, ys = ([F.col(f"{e}_{k}") + sign * long for e in ("a", "b") for sign in (-1, 1)] for k in ("x", "y"))
+    return mine.join(_boxed(edges, xs, ys), ["cell_x", "cell_y"]).drop("cell_x", "cell_y", "at_x", "at_y", "to_x", "to_y", "side_x", "side_y", "left_m", "right_m")
+
+
 def ray_hits(points: DataFrame, edges: DataFrame) -> DataFrame:
     """Nearest hit of each ray with each obstacle: leg_id, dir_idx, ray, mass, obstacle_id, kind, value_m, along_m.
 
-    points: turning_points; edges: projected box_edges (a_x, a_y, b_x, b_y).  Every obstacle edge meets every
-    leg and direction, so edges are the side that may be broadcast by size.
+    points: turning_points; edges: projected box_edges (a_x, a_y, b_x, b_y).
     """
     p = points.withColumn("low", F.col("mean_m") - SPREAD * F.col("std_m")).withColumn("step", 2 * SPREAD * F.col("std_m") / (RAYS - 1))
-    both = p.crossJoin(edges)  # a few edges in reach of a leg; see near()
+    strip = {"at_x": F.col("tx"), "at_y": F.col("ty"), "to_x": F.col("dx"), "to_y": F.col("dy"), "side_x": F.col("nx"), "side_y": F.col("ny"), "left_m": F.col("low"), "right_m": F.col("low") + (RAYS - 1) * F.col("step")}
+    both = near(p.withColumns(strip), edges, RANGE_M)  # repeats don't matter to the minimum
     for k in ("a", "b"):
         both = both.withColumn(f"x{k}", F.expr(f"({k}_x - tx) * dx + ({k}_y - ty) * dy")).withColumn(f"y{k}", F.expr(f"({k}_x - tx) * nx + ({k}_y - ty) * ny"))
     both = both.where("ya <> yb and greatest(xa, xb) > 0").withColumn("lo", F.least("ya", "yb")).withColumn("hi", F.greatest("ya", "yb"))

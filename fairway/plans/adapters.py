@@ -36,6 +36,12 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(VIEWS[name].replace("{US}", SPARK_US), **{base: table})
 
 
+def all_obstacles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The obstacles of all of part; the view itself ends at id 60, in the oracle too."""
+    sql = VIEWS["obstacles"].removesuffix(" WHERE p_partkey <= 60")
+    return spark.sql(sql, part=spark.read.parquet(f"{sf_dir.rstrip('/')}/part.parquet"))
+
+
 def oracle(body: str, *names: str) -> str:
     """body with the named views, and what it defines itself, in front."""
     ctes = ", ".join(f"{n} AS ({VIEWS[n].replace('{US}', DUCK_US).format(**{_BASE[n]: _BASE[n]})})" for n in names)

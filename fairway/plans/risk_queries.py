@@ -13,7 +13,7 @@ from fairway.operators import passages as P
 from fairway.operators import powered as W
 from fairway.operators import reports as R
 
-from .adapters import oracle, view
+from .adapters import all_obstacles, oracle, view
 from .network_queries import _GEOMETRIC
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -100,16 +100,30 @@ hi AS (SELECT leg_id, dir_idx, ray, obstacle_id, kind, value_m, speed_kn, mass,
 sm AS (SELECT leg_id, dir_idx, obstacle_id, kind, value_m, sum(mass) AS mass, sum(mass * along) / sum(mass) AS mean_d, sum(mass * exp(-along / (180e0 * speed_kn * {X.num(X.KNOT_MS)}))) AS p_integral, count(*) AS n_rays, any_value(speed_kn) AS speed_kn FROM hi WHERE n = 1 GROUP BY 1, 2, 3, 4, 5)"""
 
 
-def _powered(spark, sf_dir):
+def _powered_hits(spark, sf_dir, obstacles):
     cells, legs = view(spark, sf_dir, "traffic_cells"), view(spark, sf_dir, "legs")
     points = W.turning_points(legs, view(spark, sf_dir, "leg_lateral").drop("weight"), P.mean_speed(cells), LON0, LAT0)
-    edges = W.projected(W.box_edges(view(spark, sf_dir, "obstacles")), LON0, LAT0, a=("a_lon", "a_lat"), b=("b_lon", "b_lat"))
-    return cells, W.summaries(W.first_hits(W.ray_hits(points, edges)), points)
+    edges = W.projected(W.box_edges(obstacles), LON0, LAT0, a=("a_lon", "a_lat"), b=("b_lon", "b_lat"))
+    return cells, W.ray_hits(points, edges), points
+
+
+def _powered(spark, sf_dir):
+    cells, hits, points = _powered_hits(spark, sf_dir, view(spark, sf_dir, "obstacles"))
+    return cells, W.summaries(W.first_hits(hits), points)
 
 
 @query("pow_summaries", oracle(_POWERED + f"SELECT leg_id, dir_idx, obstacle_id, round(mass, 5) AS mass, round(mean_d, 1) AS mean_m, round(p_integral, 5) AS p_integral, round(mass * exp(-mean_d / (180e0 * speed_kn * {X.num(X.KNOT_MS)})), 5) AS p_approx, n_rays FROM sm", "legs", "leg_lateral", "traffic_cells", "obstacles"))
 def powered_summaries(spark, sf_dir):
-    s = _powered(spark, sf_dir)[1]
+    return _rounded(_powered(spark, sf_dir)[1])
+
+
+@query("pow_summaries_all")
+def powered_summaries_of_all(spark, sf_dir):
+    _, hits, points = _powered_hits(spark, sf_dir, all_obstacles(spark, sf_dir))
+    return _rounded(W.summaries(W.first_hits(hits), points))
+
+
+def _rounded(s):
     return s.select("leg_id", "dir_idx", "obstacle_id", F.round("mass", 5).alias("mass"), F.round("mean_m", 1).alias("mean_m"), F.round("p_integral", 5).alias("p_integral"), F.round("p_approx", 5).alias("p_approx"), "n_rays")
 
 
@@ -171,9 +185,18 @@ SELECT leg_id, obstacle_id, round(sum(CASE WHEN hi > a THEN {X.phi('(hi - mean_m
 
 @query("drf_holes", oracle(_HOLES, "legs", "leg_lateral", "obstacles"))
 def hole_rows(spark, sf_dir):
+    return _holes(spark, sf_dir, view(spark, sf_dir, "obstacles"))
+
+
+@query("drf_holes_all")
+def hole_rows_of_all(spark, sf_dir):
+    return _holes(spark, sf_dir, all_obstacles(spark, sf_dir))
+
+
+def _holes(spark, sf_dir, obstacles):
     legs = W.projected(view(spark, sf_dir, "legs"), LON0, LAT0, s=("lon1", "lat1"), e=("lon2", "lat2")).withColumn("len", F.expr("sqrt(pow(e_x - s_x, 2e0) + pow(e_y - s_y, 2e0))"))
     legs = legs.join(view(spark, sf_dir, "leg_lateral").where("dir_idx = 0").drop("weight"), "leg_id")
-    edges = W.projected(W.box_edges(view(spark, sf_dir, "obstacles")), LON0, LAT0, a=("a_lon", "a_lat"), b=("b_lon", "b_lat")).select("obstacle_id", "a_x", "a_y", "b_x", "b_y")
+    edges = W.projected(W.box_edges(obstacles), LON0, LAT0, a=("a_lon", "a_lat"), b=("b_lon", "b_lat")).select("obstacle_id", "a_x", "a_y", "b_x", "b_y")
     return D.holes(D.edge_intervals(legs, edges, SLICES, NORTH_EAST, REACH), SLICES).withColumn("hole", F.round("hole", 7))
 
 

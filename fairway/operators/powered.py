@@ -83,24 +83,24 @@ def ray_hits(points: DataFrame, edges: DataFrame) -> DataFrame:
     return rays.withColumn("mass", mass).groupBy("leg_id", "dir_idx", "ray", "obstacle_id", "kind", "value_m").agg(F.min("along_m").alias("along_m"), F.first("mass").alias("mass"))
 
 
-def first_hits(hits: DataFrame) -> DataFrame:
-    """The obstacle that each ray meets first; of equal distances the smaller id."""
+def first_hits(hits: DataFrame, *by: str) -> DataFrame:
+    """The obstacle that each ray meets first, for each value of the columns by; of equal distances the smaller id."""
     best = F.min(F.struct("along_m", "obstacle_id", "kind", "value_m", "mass")).alias("h")
-    return hits.groupBy("leg_id", "dir_idx", "ray").agg(best).select("leg_id", "dir_idx", "ray", "h.*")
+    return hits.groupBy("leg_id", "dir_idx", "ray", *by).agg(best).select("leg_id", "dir_idx", "ray", *by, "h.*")
 
 
-def summaries(first: DataFrame, points: DataFrame) -> DataFrame:
+def summaries(first: DataFrame, points: DataFrame, *by: str) -> DataFrame:
     """Per leg, direction and obstacle: mass, mean distance, and the chance not to have turned in time."""
     v = F.col("speed_kn") * X.KNOT_MS
     rows = first.join(points.select("leg_id", "dir_idx", "speed_kn"), ["leg_id", "dir_idx"])
-    out = rows.groupBy("leg_id", "dir_idx", "obstacle_id", "kind", "value_m", "speed_kn").agg(F.sum("mass").alias("mass"), (F.sum(F.col("mass") * F.col("along_m")) / F.sum("mass")).alias("mean_m"), F.sum(F.col("mass") * F.exp(-F.col("along_m") / (AI_S * v))).alias("p_integral"), F.count("*").alias("n_rays"))
+    out = rows.groupBy("leg_id", "dir_idx", *by, "obstacle_id", "kind", "value_m", "speed_kn").agg(F.sum("mass").alias("mass"), (F.sum(F.col("mass") * F.col("along_m")) / F.sum("mass")).alias("mean_m"), F.sum(F.col("mass") * F.exp(-F.col("along_m") / (AI_S * v))).alias("p_integral"), F.count("*").alias("n_rays"))
     return out.withColumn("p_approx", F.col("mass") * F.exp(-F.col("mean_m") / (AI_S * v))).drop("speed_kn")
 
 
-def contributions(cells: DataFrame, parts: DataFrame, gate, causation: float) -> DataFrame:
+def contributions(cells: DataFrame, parts: DataFrame, gate, causation: float, *by: str) -> DataFrame:
     """Each cell's yearly frequency at each obstacle that passes the gate on (cell, obstacle)."""
     v = F.when(F.col("speed_kn") > 0, F.col("speed_kn")).otherwise(10.0) * X.KNOT_MS
-    both = cells.join(parts, ["leg_id", "dir_idx"]).where(gate)
+    both = cells.join(parts, ["leg_id", "dir_idx", *by]).where(gate)
     value = causation * F.col("freq") * F.col("mass") * F.exp(-F.col("mean_m") / (AI_S * v))
     return both.select("leg_id", "dir_idx", "ship_type", "size_bin", "obstacle_id", value.alias("frequency"))
 
@@ -118,6 +118,22 @@ def depth_bins(cells: DataFrame, depths: DataFrame) -> DataFrame:
     return cells.join(bins, "draught_m", "left")
 
 
+def accidents(cells: DataFrame, hits: DataFrame, points: DataFrame, depths: DataFrame, causation: dict[str, float]) -> DataFrame:
+    """Yearly frequencies of kind grounding and allision, by cell and obstacle.
+
+    A ship grounds on what its rays meet first among the contours not deeper than its depth bin, and hits what they
+    meet first among the objects alone, if it is as high.  depths (value_m) are the contours of the scenario.
+    """
+    depth = hits.where("kind = 'depth'")
+    bins = depths.select("value_m").distinct().agg(F.sort_array(F.collect_list("value_m")).alias("bins"))  # few distinct depths
+    each = depth.join(F.broadcast(bins)).withColumn("bin_m", F.explode(F.expr("filter(bins, b -> b >= value_m)"))).drop("bins")
+    shoals = summaries(first_hits(each, "bin_m"), points, "bin_m")
+    grounding = contributions(depth_bins(cells, depths), shoals, F.lit(True), causation["grounding"], "bin_m")
+    objects = summaries(first_hits(hits.where("kind = 'object'")), points)
+    allision = contributions(cells, objects, F.col("height_m") >= F.col("value_m"), causation["allision"])
+    return grounding.withColumn("accident", F.lit("grounding")).unionByName(allision.withColumn("accident", F.lit("allision")))
+
+
 def closed_form(q, mass, distance_m, speed_kn, causation: float, ai_s: float = AI_S):
     """Yearly frequency of category II: ships that fail to turn and do not recover on the way."""
     return causation * q * mass * F.exp(-distance_m / (ai_s * speed_kn * X.KNOT_MS))

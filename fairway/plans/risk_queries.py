@@ -137,6 +137,14 @@ def powered_accidents(spark, sf_dir):
     return out.groupBy("obstacle_id").agg(F.count("*").alias("cells"), F.round(F.sum("frequency") * 1e6, 3).alias("frequency_e6"))
 
 
+@query("pow_accidents_all")
+def powered_accidents_of_all(spark, sf_dir):
+    obstacles = all_obstacles(spark, sf_dir)
+    cells, hits, points = _powered_hits(spark, sf_dir, obstacles)
+    out = W.accidents(cells.where("speed_kn > 0"), hits, points, obstacles.where("kind = 'depth'"), C.CAUSATION)
+    return out.groupBy("accident", "obstacle_id").agg(F.count("*").alias("cells"), F.round(F.sum("frequency") * 1e6, 3).alias("frequency_e6"))
+
+
 _BLACKOUT = f"""WITH l AS (SELECT leg_id, {X.haversine('lon1', 'lat1', 'lon2', 'lat2', X.EARTH_ROUTE_M)} AS m FROM legs),
 b AS (SELECT leg_id, dir_idx, ship_type, size_bin, m / (speed_kn * 1852e0) * freq * (CASE WHEN ship_type BETWEEN 8 AND 11 THEN 1e-1 ELSE 1e0 END) / 8760e0 AS base FROM traffic_cells JOIN l USING (leg_id) WHERE speed_kn > 0)"""
 

@@ -45,5 +45,19 @@ def test_grid_cells_lose_no_pair_of_leg_and_edge(spark, monkeypatch):
 
 
 def test_queries_of_all_obstacles_read_all_of_part(spark):
-    for name in ("pow_summaries_all", "drf_holes_all"):
+    for name in ("pow_summaries_all", "drf_holes_all", "pow_accidents_all"):
         assert registry.QUERIES[name](spark, SF).where("obstacle_id > 60").count() > 0
+
+
+def test_each_ship_meets_the_first_obstacle_of_its_own_kind_and_depth(spark):
+    points = spark.createDataFrame([(1, 0, 0.0, 0.0, 1.0, 0.0, 0.0, 1.0, 0.0, 100.0, 10.0)], "leg_id long, dir_idx int, tx double, ty double, dx double, dy double, nx double, ny double, mean_m double, std_m double, speed_kn double")
+    # From the leg's end on: an object, a deep contour, a shoal, another object.
+    boxes = [("object", 20.0, 1000.0), ("depth", 12.0, 2000.0), ("depth", 4.0, 3000.0), ("object", 5.0, 4000.0)]
+    edges = edges_of(spark, [(k, v, x, -500.0, x + 100.0, 500.0) for k, v, x in boxes])
+    cells = spark.createDataFrame([(1, 0, 1, s, 100.0, 10.0, d, h) for s, (d, h) in enumerate([(3.0, 10.0), (6.0, 10.0), (13.0, 30.0)])], "leg_id long, dir_idx int, ship_type int, size_bin int, freq double, speed_kn double, draught_m double, height_m double")
+    depths = edges.where("kind = 'depth'").select("value_m")
+    got = {(r.accident, r.size_bin, r.obstacle_id): r.frequency for r in W.accidents(cells, W.ray_hits(points, edges), points, depths, {"grounding": 1.6e-4, "allision": 1.9e-4}).collect()}
+    assert set(got) == {("grounding", 1, 2), ("grounding", 2, 1), ("allision", 2, 0)}
+    for (kind, _, obstacle), value in got.items():
+        want = {"grounding": 1.6e-4, "allision": 1.9e-4}[kind] * 100 * np.exp(-boxes[obstacle][2] / (180 * 10 * 1852 / 3600))
+        assert abs(value / want - 1) < 1e-3

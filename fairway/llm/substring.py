@@ -3,13 +3,22 @@
 A document is a sequence of five-word shingles.  For each of ``HASHES`` hash functions a Cartesian tree over
 the shingles' hashes gives *compact windows* (first, least, last): every passage of at least ``WORDS`` words
 inside the window that holds the least shingle has that shingle as its min-hash.  Windows of different
-documents with equal min-hash say that their passages share that signature; where the windows of a pair
-overlap in enough hash functions lies a candidate passage, which is then grown and verified on the texts.
-
-Where more than ``FEW`` windows share a signature, those that hold the same text are one class: each member is
-linked with the class's smallest document, which has all of the window too.  The windows of the smallest
-documents of different classes are all paired, in cells of two parts each, so that no two different texts miss
-each other.  Exact copies of a whole text are one document up to the end.
+documents with equal min-hash say that passages of theirs share that signature.  Where windows of a pair of
+documents, of ``NEED`` hash functions and near one diagonal, have a passage in common (an interval join of
+their spans), that passage is a candidate, which is grown and verified on the texts.
+
+Pairs are not listed in full, as they grow with the square of a group.  What is asked of a document is which of
+its passages repeat one of a smaller id, so
+
+1. every window is joined with those of the ``LEADERS`` smallest documents of its signature, and verified;
+2. a shingle is *seen* if a smaller document has it in its repeated windows.  A passage without enough seen
+   shingles has no partner at all; one that verified passages cover has its partner;
+3. what is then left open is held against all smaller documents of its signature, in cells of bounded parts: the
+   shingles around both places are compared, and windows that can have a similar passage are joined and verified,
+   first the ``TRIED`` most similar of each cell, then all for passages that are open still.
+
+So joined windows don't grow with the square of a group, and no passage with a partner is lost.
+Exact copies of a whole text are one document up to the end.
 """
 
 from __future__ import annotations
@@ -29,13 +38,23 @@ SHINGLE, WORDS = 5, 50
 LEAST = WORDS - SHINGLE + 1
 HASHES, NEED = 4, 2
 SIMILARITY = 0.8
-FEW, PART = 6, 512
-#: In place of a hash function: a link of equal windows, which needs no second one.
-SURE = HASHES
+#: Shingles that a passage of LEAST shingles must share with one as long, to be similar enough.
+SHARED = int(np.ceil(2 * LEAST * SIMILARITY / (1 + SIMILARITY)))
+LEADERS, TRIED, PART = 2, 4, 1024
 BAND, GAP = 16, 2 * LEAST
-LINK = "a long, b long, f int, ca int, cb int, key long"
-_ODD = 0x9E3779B97F4A7C15
+#: A passage is covered if so much of it lies in verified ones.
+COVERED = 0.7
+#: Shingles to both sides of a window's place that are compared, and how far words may have moved there.
+AROUND, SHIFT = LEAST + LEAST // 4, 4
+#: Equal shingles so close are one run of repeated words, of which the first stands for all.
+PERIOD = 8
+#: A signature is dealt by document too if it is in so many of so many sampled documents.  Only the dealing
+#: depends on the sample, no result does.
+SAMPLED, OFTEN, SALTS = 3000, 12, 64
+REACH = (1 << 16) - 1
+LINK = "v long, b long, at_b long, a long, at_a long"
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+_NONE = np.iinfo(np.uint64).max
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -59,6 +78,14 @@ def mixed(h: np.ndarray, f: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def repeats_nearby(base: np.ndarray) -> np.ndarray:
+    """True where a shingle occurs at most PERIOD places before."""
+    out = np.zeros(len(base), bool)
+    for d in range(1, min(PERIOD, len(base) - 1) + 1):
+        out[d:] |= base[d:] == base[:-d]
+    return out
+
+
 def compact_windows(h: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
     """(first, place of the least hash, end) of each window that can hold ``least`` shingles; ties go left."""
     out, open_ = [], [(0, len(h))]
@@ -67,171 +94,160 @@ def compact_windows(h: np.ndarray, least: int = LEAST) -> list[tuple[int, int, i
         if b - a < least:
             continue
         m = a + int(h[a:b].argmin())
+        if h[m] == _NONE:  # nothing but runs of repeated words
+            continue
         out.append((a, m, b))
         open_.append((a, m))
         open_.append((m + 1, b))
     return out
 
 
-def _content(base: np.ndarray):
-    """A function from (first, least, end) of windows to hashes of what they hold and where the least stands."""
-    power = lambda x: np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(base), x, np.uint64))), dtype=np.uint64)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(base * power(_ODD)[:-1], dtype=np.uint64)))
-    back = power(pow(_ODD, -1, 1 << 64))
-    return lambda a, c, b: mixed(mixed((sums[b] - sums[a]) * back[a], 1) ^ ((c - a).astype(np.uint64) << np.uint64(32)) ^ (b - a).astype(np.uint64), 2)
+def packed(f: int, a: np.ndarray, c: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Place of the least shingle, hash function, and reach of the window to both sides, as longs."""
+    return (c << 34) | (f << 32) | (np.minimum(c - a, REACH) << 16) | np.minimum(b - 1 - c, REACH)
+
+
+def unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, hash function, reach to the left, reach to the right)."""
+    return at >> 34, (at >> 32) & 3, (at >> 16) & REACH, at & REACH
 
 
 def _windows(docs: DataFrame) -> DataFrame:
-    """(v, doc, f, c, own) of all windows; own is equal where windows hold the same shingles."""
+    """(v, doc, at) of all windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
-                cols = [[] for _ in range(5)]
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                cols = [[] for _ in range(3)]
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1)):
                     base = shingles(text.as_buffer().to_pybytes() if text.is_valid else b"")
                     if len(base) < LEAST:
                         continue
-                    content = _content(base)
+                    again = repeats_nearby(base)
                     for f in range(HASHES):
                         h = mixed(base, f)
-                        a, c, b = np.array(compact_windows(h)).T
-                        cols[0].append(h[c])
-                        cols[1].append(np.full(len(c), doc))
-                        cols[2].append(np.full(len(c), f))
-                        cols[3].append(c)
-                        cols[4].append(content(a, c, b))
+                        h[again] = _NONE
+                        if windows := compact_windows(h):
+                            a, c, b = np.array(windows).T
+                            cols[0].append(h[c].view(np.int64))
+                            cols[1].append(np.full(len(c), doc))
+                            cols[2].append(packed(f, a, c, b))
                 if cols[0]:
-                    kinds = (np.int64, np.int64, np.int32, np.int32, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(k)) for c, k in zip(cols, kinds)], ["v", "doc", "f", "c", "own"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols], ["v", "doc", "at"])
+
+    return docs.mapInArrow(run, "v long, doc long, at long")
 
-    return docs.mapInArrow(run, "v long, doc long, f int, c int, own long")
 
+def _batch(names: list[str], *cols: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
-def _pairs(a_doc, a_c, b_doc, b_c, f) -> pa.RecordBatch:
-    """Links of two members of different documents, the smaller document first."""
-    other = a_doc != b_doc
-    a_doc, a_c, b_doc, b_c, f = (x[other] for x in (a_doc, a_c, b_doc, b_c, f))
-    swap = a_doc > b_doc
-    n = np.zeros(len(f), np.int64)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(x) for x in (np.where(swap, b_doc, a_doc), np.where(swap, a_doc, b_doc), f, np.where(swap, b_c, a_c), np.where(swap, a_c, b_c))] + [pa.array(n, mask=np.ones(len(n), bool))],
-        ["a", "b", "f", "ca", "cb", "key"],
-    )
 
+def _with_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (salt, v, doc, at): each window with those of the group's smallest documents.
 
-def _match_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by v: links inside groups of at most FEW; members of larger groups come out with v as b and a key of their class."""
-    names = ("v", "doc", "f", "c", "own")
-    held, hot = None, None
+    The k-th window of a document is joined with the leader's k-th (or last) and first.  Of salted groups the
+    leaders come out once more, without a partner.  No more than the leaders and one document is held.
+    """
+    names = ("salt", "v", "doc", "at")
+    held, old = [np.empty(0, np.int64)] * 4, np.empty(0, bool)
     for batch in itertools.chain(batches, [None]):
         if batch is not None:
-            new = [np.asarray(batch.column(n)) for n in names]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
-        if held is None or not len(held[0]):
+            held = [np.concatenate((h, np.asarray(batch.column(n)))) for h, n in zip(held, names)]
+            old = np.concatenate((old, np.zeros(batch.num_rows, bool)))
+        salt, v, doc, at = held
+        n = len(v)
+        if not n:
             continue
-        v = held[0]
-        starts = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
-        sizes = np.diff(np.append(starts, len(v)))
-        size = np.repeat(sizes, sizes)
-        many = size > FEW
-        if hot is not None:
-            many |= v == hot
-        # The last group may go on; if it is large already, its members can go out now.
-        done = np.ones(len(v), bool)
-        if batch is not None and not many[-1]:
-            done[starts[-1] :] = False
-        hot = v[-1] if batch is not None and many[-1] else None
-        few = done & ~many & (size > 1)
-        for step in range(1, FEW):
-            i = np.flatnonzero(few[:-step] & (v[:-step] == v[step:])) if len(v) > step else np.empty(0, np.int64)
-            if not len(i):
-                break
-            yield _pairs(held[1][i], held[3][i], held[1][i + step], held[3][i + step], held[2][i])
-        i = np.flatnonzero(done & many)
+        group_starts = np.concatenate(([True], (v[1:] != v[:-1]) | (salt[1:] != salt[:-1])))
+        run_starts = group_starts | np.concatenate(([True], doc[1:] != doc[:-1]))
+        run = np.cumsum(run_starts) - 1
+        firsts = np.flatnonzero(run_starts)
+        lengths = np.diff(np.append(firsts, n))
+        group_run = run[np.flatnonzero(group_starts)][np.cumsum(group_starts) - 1]  # the group's first run
+        rank = run - group_run
+        ready = ~old if batch is None else ~old & (run < run[-1])
+        nth = np.arange(n) - firsts[run]
+        for r in range(LEADERS):
+            i = np.flatnonzero(ready & (rank > r))
+            lead = group_run[i] + r
+            to = firsts[lead] + np.minimum(nth[i], lengths[lead] - 1)
+            yield _batch(["v", "b", "at_b", "a", "at_a"], v[i], doc[i], at[i], doc[to], at[to])
+            more = to > firsts[lead]
+            i, to = i[more], firsts[lead[more]]
+            yield _batch(["v", "b", "at_b", "a", "at_a"], v[i], doc[i], at[i], doc[to], at[to])
+        i = np.flatnonzero(ready & (rank < LEADERS) & (salt >= 0))
         if len(i):
-            key = mixed(v[i].view(np.uint64) ^ mixed(held[4][i].view(np.uint64), 3), 1).view(np.int64)
-            none = pa.array(np.zeros(len(i), np.int32), mask=np.ones(len(i), bool))
-            yield pa.RecordBatch.from_arrays([pa.array(held[1][i]), pa.array(v[i]), pa.array(held[2][i]), pa.array(held[3][i]), none, pa.array(key)], ["a", "b", "f", "ca", "cb", "key"])
-        held = [x[~done] for x in held]
-
-
-def _match_large(members: DataFrame) -> DataFrame:
-    """Links of large groups: members of a class with its first, and the first documents' windows of all classes of a group."""
-    own = members.select("key", F.col("b").alias("v"), F.col("a").alias("doc"), F.col("ca").alias("c"), "f")
-    first = own.groupBy("key").agg(F.min(F.struct("doc", "c")).alias("r"))
-    both = own.join(first, "key")
-    same = both.where(F.col("doc") != F.col("r.doc")).select(F.col("r.doc").alias("a"), F.col("doc").alias("b"), F.lit(SURE).alias("f"), F.col("r.c").alias("ca"), F.col("c").alias("cb"))
-    heads = both.where(F.col("doc") == F.col("r.doc")).select("v", "f", "doc", "c")
-    parts = heads.groupBy("v").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    mine = F.pmod(F.xxhash64("doc", "c"), F.col("parts")).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.struct(F.least("mine", other).alias("p"), F.greatest("mine", other).alias("q")))
-    dealt = heads.join(parts, "v").where("parts > 0").withColumn("mine", mine).withColumn("cell", F.explode(cells)).select("v", "cell.p", "cell.q", "mine", "doc", "c", "f")
-    met = dealt.repartition("v", "p", "q").sortWithinPartitions("v", "p", "q", "mine", "doc", "c").mapInArrow(_match_cells, LINK).drop("key")
-    return same.unionByName(met)
-
-
-def _match_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by cell: links of all pairs in a cell of one part, and of those across the parts in one of two."""
-    held = None
-    for batch in itertools.chain(batches, [None]):
-        if batch is not None:
-            new = [np.asarray(batch.column(n)) for n in ("v", "p", "q", "mine", "doc", "c", "f")]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
-        if held is None or not len(held[0]):
-            continue
-        v, p, q, mine, doc, c, f = held
-        ends = np.append(np.flatnonzero((v[1:] != v[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1, len(v) if batch is None else [])
-        start = 0
-        for end in ends.astype(int).tolist():
-            cut = end if p[start] == q[start] else start + int(np.searchsorted(mine[start:end], p[start], "right"))
-            for i in range(start, cut):
-                j = np.arange(i + 1 if p[start] == q[start] else cut, end)
-                if len(j):
-                    yield _pairs(np.full(len(j), doc[i]), np.full(len(j), c[i]), doc[j], c[j], f[j])
-            start = end
-        held = [x[start:] for x in held]
+            none = pa.nulls(len(i), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(v[i]), pa.array(doc[i]), pa.array(at[i]), none, none], ["v", "b", "at_b", "a", "at_a"])
+        last = (v == v[-1]) & (salt == salt[-1])
+        keep = last & ((rank < LEADERS) | (run == run[-1]))
+        old = (run < run[-1])[keep]
+        held = [x[keep] for x in held]
 
 
-def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of links sorted by pair and place: chains along one diagonal that enough hash functions share."""
+def _sorted_groups(windows: DataFrame) -> DataFrame:
+    return windows.repartition("v", "salt").sortWithinPartitions("salt", "v", "doc", "at").select("salt", "v", "doc", "at").mapInArrow(_with_leaders, LINK)
 
-    def close(chains: list[list], pair: tuple[int, int], out: list[tuple]) -> None:
-        for c in chains:
-            if c[4].bit_count() >= NEED:
-                out.append((*pair, c[0], c[1], c[2], c[3]))
-            if len(c[5]) > 1:  # and each diagonal alone, should the whole not be similar enough
-                out.extend((*pair, first, first - d, last, last - d) for d, (first, last, fs) in c[5].items() if fs.bit_count() >= NEED)
 
-    pair, open_ = None, []
-    for batch in batches:
-        out: list[tuple] = []
-        for a, b, f, ca, cb in zip(*(batch.column(n).to_pylist() for n in ("a", "b", "f", "ca", "cb"))):
-            bits = 1 << f if f < SURE else (1 << NEED) - 1 << SURE
-            if (a, b) != pair:
-                close(open_, pair, out)
-                pair, open_ = (a, b), []
-            if any(ca - c[2] > GAP for c in open_):
-                close([c for c in open_ if ca - c[2] > GAP], pair, out)
-                open_ = [c for c in open_ if ca - c[2] <= GAP]
-            for c in open_:
-                if abs((ca - cb) - (c[2] - c[3])) <= BAND:
-                    c[2], c[3], c[4] = ca, cb, c[4] | bits
-                    first, _, fs = c[5].get(ca - cb, (ca, ca, 0))
-                    c[5][ca - cb] = first, ca, fs | bits
-                    break
-            else:
-                open_.append([ca, cb, ca, cb, bits, {ca - cb: (ca, ca, bits)}])
-        yield _chain_batch(out)
-    out = []
-    close(open_, pair, out)
-    yield _chain_batch(out)
+def _links(wanted: DataFrame, count: int, path: str) -> DataFrame:
+    """Windows joined with those of the smallest documents of equal signature, written to path."""
+    spark = wanted.sparkSession
+    some = wanted.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(max(count, 1))) < SAMPLED)
+    often = [r["v"] for r in _windows(some).groupBy("v").agg(F.count_distinct("doc").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n")).limit(10_000).collect()]
+    hot = spark.createDataFrame([(v,) for v in often], "v long").withColumn("hot", F.lit(True))
+    dealt = _windows(wanted).join(F.broadcast(hot), "v", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(F.lit(-1)).cast("long"))
+    _sorted_groups(dealt).write.parquet(f"{path}/own")
+    own = spark.read.parquet(f"{path}/own")
+    leaders = own.where("a is null").select("v", F.col("b").alias("doc"), F.col("at_b").alias("at"), F.lit(-1).cast("long").alias("salt"))
+    _sorted_groups(leaders).write.parquet(f"{path}/leaders")
+    return own.where("a is not null").unionByName(spark.read.parquet(f"{path}/leaders"))
+
 
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of links sorted by pair and place: one row per pair with the places of links whose spans join in enough hash functions.
 
-def _chain_batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) or [()] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 2 + [pa.int32()] * 4)], ["a", "b", "a_first", "b_first", "a_last", "b_last"])
+    Two links join if their windows, cut to what both documents' windows reach, have a passage of LEAST
+    shingles in common that holds the least shingles of both, near one diagonal.
+    """
+    names = ("a", "b", "at_b", "at_a")
+    held = [np.empty(0, np.int64)] * 4
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held = [np.concatenate((h, np.asarray(batch.column(n)))) for h, n in zip(held, names)]
+        a, b, at_b, at_a = held
+        if not len(a):
+            continue
+        cut = len(a)
+        if batch is not None:
+            cut = int(np.flatnonzero((a != a[-1]) | (b != b[-1]))[-1]) + 1 if (a[0], b[0]) != (a[-1], b[-1]) else 0
+        if cut:
+            a, b, at_b, at_a = (x[:cut] for x in held)
+            cb, f, left_b, right_b = unpacked(at_b)
+            ca, _, left_a, right_a = unpacked(at_a)
+            lo, hi = cb - np.minimum(left_a, left_b), cb + np.minimum(right_a, right_b)
+            bits = 1 << f
+            i, step = np.arange(cut), 0
+            while True:
+                step += 1
+                i = i[i + step < cut]
+                j = i + step
+                near = (a[i] == a[j]) & (b[i] == b[j]) & (cb[j] <= hi[i])
+                i, j = i[near], j[near]
+                if not len(i):
+                    break
+                both = (lo[j] <= cb[i]) & (np.minimum(hi[i], hi[j]) - np.maximum(lo[i], lo[j]) >= LEAST - 1) & (np.abs((cb[i] - ca[i]) - (cb[j] - ca[j])) <= BAND)
+                k, m = i[both], j[both]
+                np.bitwise_or.at(bits, k, 1 << f[m])
+                np.bitwise_or.at(bits, m, 1 << f[k])
+            good = np.flatnonzero(np.bitwise_count(bits) >= NEED)
+            if len(good):
+                a, b, cb, ca = a[good], b[good], cb[good], ca[good]
+                starts = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+                offsets = pa.array(np.append(starts, len(a)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (ca, cb)]
+                yield pa.RecordBatch.from_arrays([pa.array(a[starts]), pa.array(b[starts]), *lists], ["a", "b", "at_a", "at_b"])
+        held = [x[cut:] for x in held]
 
 
 def _grown(equal: np.ndarray) -> int:
@@ -250,23 +266,91 @@ def _similarity(x: np.ndarray, y: np.ndarray) -> float:
     return both / max(len(x) + len(y) - both, 1)
 
 
-def verify(x: np.ndarray, y: np.ndarray, a0: int, b0: int, a1: int, b1: int) -> list[tuple[int, int, int, int, float]]:
-    """The passage grown from a chain, as (start, end) in words of both texts and its similarity."""
+def _stretched(x: np.ndarray, y: np.ndarray, e: int, g: int) -> tuple[int, int]:
+    """The ends e, g of a passage, moved ahead to the last shingle that a similar window of LEAST shingles reaches.
+
+    Growth stops short of a few equal shingles behind a change; on another diagonal it doesn't see them.
+    """
+    if g >= len(y) or e >= len(x) or g < LEAST:
+        return e, g
+    at = max(e - LEAST - BAND, 0)
+    own, near = y[g - LEAST : g + LEAST], x[at : e + LEAST + BAND]
+    equal = np.isin(own, near)
+    sums = np.concatenate(([0], np.cumsum(equal)))
+    bad = np.flatnonzero(sums[LEAST:] - sums[:-LEAST] < SHARED)
+    far = (int(bad[0]) if len(bad) else len(own) - LEAST + 1) - 1 + LEAST
+    q = np.flatnonzero(equal[:far])
+    if far <= LEAST or not len(q) or (q := int(q[-1])) < LEAST:
+        return e, g
+    places = np.flatnonzero(near == own[q]) + at
+    p = int(places[np.abs(places - (e + q - LEAST)).argmin()])
+    if p < max(e, LEAST - 1) or _similarity(x[p + 1 - LEAST : p + 1], own[q + 1 - LEAST : q + 1]) < SIMILARITY:
+        return e, g
+    return p + 1, g - LEAST + q + 1
+
+
+def verify(x: np.ndarray, y: np.ndarray, a0: int, b0: int, a1: int, b1: int) -> tuple[int, int, int, int, float] | None:
+    """The passage grown from a0, b0 back and from a1, b1 ahead, as (start, end) in words of both texts and its similarity."""
     n = min(a0, b0)
     back = _grown((x[a0 - n : a0] == y[b0 - n : b0])[::-1])
     n = min(len(x) - a1 - 1, len(y) - b1 - 1)
     ahead = _grown(x[a1 + 1 : a1 + 1 + n] == y[b1 + 1 : b1 + 1 + n])
     s, e, t, g = a0 - back, a1 + 1 + ahead, b0 - back, b1 + 1 + ahead
-    if e - s >= LEAST and g - t >= LEAST and (j := _similarity(x[s:e], y[t:g])) >= SIMILARITY:
-        return [(s, e + SHINGLE - 1, t, g + SHINGLE - 1, j)]
-    # The chain joins passages that belong apart: the exact runs on its first and last diagonal.
-    found = []
-    for i, k in {a0 - b0: (a0, b0), a1 - b1: (a1, b1)}.values():
-        n, m = min(i, k), min(len(x) - i, len(y) - k)
-        ends = np.flatnonzero(np.concatenate(([True], x[i - n : i + m] != y[k - n : k + m], [True])))
-        for s, e in itertools.pairwise(ends.tolist()):  # equal between two ends
-            if e - s - 1 >= LEAST:
-                found.append((i - n + s, i - n + e + SHINGLE - 2, k - n + s, k - n + e + SHINGLE - 2, 1.0))
+    if min(e - s, g - t) < LEAST or (j := _similarity(x[s:e], y[t:g])) < SIMILARITY:
+        return None
+    end, last = _stretched(x, y, e, g)
+    first, start = (len(z) - k for z, k in zip((x, y), _stretched(x[::-1], y[::-1], len(x) - s, len(y) - t)))
+    if (first, end, start, last) != (s, e, t, g) and (k := _similarity(x[first:end], y[start:last])) >= SIMILARITY:
+        s, e, t, g, j = first, end, start, last, k
+    return s, e + SHINGLE - 1, t, g + SHINGLE - 1, j
+
+
+def _around(x: np.ndarray, y: np.ndarray, a: int, b: int) -> list[tuple[int, int, int, int, float]]:
+    """Similar passages on one diagonal near a, b: runs of windows of LEAST shingles that are similar enough."""
+    far = 2 * LEAST
+    back, ahead = min(a, b, far), min(len(x) - a, len(y) - b, far)
+    equal = x[a - back : a + ahead] == y[b - back : b + ahead]
+    if len(equal) < LEAST:
+        return []
+    sums = np.concatenate(([0], np.cumsum(equal)))
+    good = np.flatnonzero(sums[LEAST:] - sums[:-LEAST] >= SHARED)
+    out = []
+    for part in np.split(good, np.flatnonzero(np.diff(good) > 1) + 1) if len(good) else []:
+        s, t = int(part[0]) + a - back, int(part[0]) + b - back
+        for n in (int(part[-1] - part[0]) + LEAST, LEAST):  # the whole run, or else its first window
+            if (j := _similarity(x[s : s + n], y[t : t + n])) >= SIMILARITY:
+                out.append((s, s + n + SHINGLE - 1, t, t + n + SHINGLE - 1, j))
+                break
+    return out
+
+
+def passages(x: np.ndarray, y: np.ndarray, at_a: list[int], at_b: list[int]) -> list[tuple[int, int, int, int, float]]:
+    """Verified passages from the anchors of a pair, sorted by their place in y.
+
+    A chain of near anchors is tried as a whole; one that is not similar enough is cut at its widest gap.
+    """
+    found: list[tuple[int, int, int, int, float]] = []
+    anchors = sorted(set(zip(at_b, at_a)))
+    chains: list[list[tuple[int, int]]] = []
+    for q, p in anchors:
+        for chain in reversed(chains[-8:]):
+            if q - chain[-1][0] <= GAP and abs((q - p) - (chain[-1][0] - chain[-1][1])) <= BAND and p >= chain[-1][1]:
+                chain.append((q, p))
+                break
+        else:
+            chains.append([(q, p)])
+    while chains:
+        chain = chains.pop()
+        (b0, a0), (b1, a1) = chain[0], chain[-1]
+        if any(t <= b0 and b1 + SHINGLE <= g and s <= a0 and a1 + SHINGLE <= e for s, e, t, g, _ in found):
+            continue
+        if one := verify(x, y, a0, b0, a1, b1):
+            found.append(one)
+        elif len(chain) > 1:
+            cut = max(range(1, len(chain)), key=lambda k: chain[k][0] - chain[k - 1][0] + 4 * abs(chain[k][0] - chain[k][1] - chain[k - 1][0] + chain[k - 1][1]))
+            chains += [chain[:cut], chain[cut:]]
+        else:
+            found += [p for p in _around(x, y, a0, b0) if p not in found]
     return found
 
 
@@ -277,68 +361,254 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cached = functools.lru_cache(64)(shingles)
     for batch in batches:
         rows = []
-        get = [batch.column(n).to_pylist() for n in ("a", "b", "chains")]
-        for a, b, chains, ta, tb in zip(*get, batch.column("text_a"), batch.column("text_b")):
+        get = [batch.column(n).to_pylist() for n in ("a", "b", "at_a", "at_b")]
+        for a, b, at_a, at_b, ta, tb in zip(*get, batch.column("text_a"), batch.column("text_b")):
             x, y = cached(ta.as_buffer().to_pybytes()), cached(tb.as_buffer().to_pybytes())
-            kept: list[tuple] = []
-            for c in sorted(chains, key=lambda c: c["a_first"] - c["a_last"]):  # long ones first
-                if any(k[0] <= c["a_first"] and c["a_last"] + SHINGLE <= k[1] and k[2] <= c["b_first"] and c["b_last"] + SHINGLE <= k[3] for k in kept):
-                    continue
-                kept += verify(x, y, c["a_first"], c["b_first"], c["a_last"], c["b_last"])
-            rows += [(b, k[2], k[3], a, k[0], k[1], k[4]) for k in kept]
+            rows += [(b, t, g, a, s, e, j) for s, e, t, g, j in passages(x, y, at_a, at_b)]
         cols = list(zip(*dict.fromkeys(rows))) or [()] * 7
         i = pa.int32()
         kinds = [pa.int64(), i, i, pa.int64(), i, i, pa.float64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "start_word", "end_word", "source_id", "source_start", "source_end", "similarity"])
 
 
+def _found(links: DataFrame, texts: DataFrame, path: str) -> DataFrame:
+    """Verified passages of linked pairs, written to path."""
+    pairs = links.select("a", "b", "at_b", "at_a").repartition("a", "b").sortWithinPartitions("a", "b", "at_b", "at_a").mapInArrow(_anchors, "a long, b long, at_a array<int>, at_b array<int>")
+    text = lambda k: texts.select(F.col("doc_id").alias(k), F.col("text").cast("binary").alias(f"text_{k}"))
+    pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "at_a", "at_b", "text_a", "text_b").mapInArrow(_verified, FOUND).write.parquet(path)
+    return texts.sparkSession.read.parquet(path)
+
+
+def _region_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(s, doc, pos) of the shingles near the repeated windows of a document."""
+    far = AROUND
+    for batch in batches:
+        out = [[], [], []]
+        for doc, at, text in zip(batch.column("doc").to_pylist(), batch.column("ats"), batch.column("text")):
+            base = shingles(text.as_buffer().to_pybytes())
+            c, _, left, right = unpacked(np.asarray(at.values))
+            inside = np.zeros(len(base) + 1, np.int64)
+            np.add.at(inside, np.maximum(c - np.minimum(left, far), 0), 1)
+            np.add.at(inside, np.minimum(c + np.minimum(right, far) + 1, len(base)), -1)
+            pos = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+            for o, x in zip(out, (base[pos].view(np.int64), np.full(len(pos), doc), pos.astype(np.int32))):
+                o.append(x)
+        if out[0]:
+            yield _batch(["s", "doc", "pos"], *(np.concatenate(o) for o in out))
+
+
+def open_places(seen: np.ndarray, covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs of shingle places in passages that have enough seen shingles and are not covered by verified ones."""
+    if not len(seen):
+        return []
+    n = int(seen.max()) + 1
+    flag, done = np.zeros(n, np.int64), np.zeros(n + 1, np.int64)
+    flag[seen] = 1
+    for s, e in covered:  # of words
+        done[min(s, n)] += 1
+        done[min(max(e - SHINGLE + 1, s), n)] -= 1
+    done = (np.cumsum(done)[:n] > 0).astype(np.int64)
+    if n < LEAST:
+        return []
+    sums, over = (np.concatenate(([0], np.cumsum(x))) for x in (flag, done))
+    starts = np.flatnonzero((sums[LEAST:] - sums[:-LEAST] >= SHARED) & (over[LEAST:] - over[:-LEAST] < COVERED * LEAST))
+    out: list[tuple[int, int]] = []
+    for s in starts.tolist():
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], s + LEAST)
+        else:
+            out.append((s, s + LEAST))
+    return out
+
+
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, s, e) of the open places of documents."""
+    for batch in batches:
+        rows = []
+        for doc, seen, spans in zip(batch.column("doc").to_pylist(), batch.column("seen"), batch.column("spans").to_pylist()):
+            rows += [(doc, s, e) for s, e in open_places(np.asarray(seen.values), [(x["s"], x["e"]) for x in spans or ()])]
+        cols = list(zip(*rows)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32()))], ["doc", "s", "e"])
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(v, doc, at, around) of windows: one byte for each shingle around its place, 0 outside the text."""
+    margin = AROUND + SHIFT
+    for batch in batches:
+        for k in range(0, batch.num_rows, 100):
+            out: list[list] = [[], [], [], []]
+            part = batch.slice(k, 100)
+            for doc, windows, text in zip(part.column("doc").to_pylist(), part.column("windows"), part.column("text")):
+                base = shingles(text.as_buffer().to_pybytes())
+                short = np.zeros(len(base) + 2 * margin, np.uint8)
+                short[margin:-margin] = mixed(base, 3) % np.uint64(255) + np.uint64(1)
+                v, at = (np.asarray(windows.values.field(n)) for n in ("v", "at"))
+                for o, x in zip(out, (v, np.full(len(v), doc), at)):
+                    o.append(x)
+                out[3] += [short[c : c + 2 * margin + 1].tobytes() for c in (at >> 34).tolist()]
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(o)) for o in out[:3]), pa.array(out[3], pa.binary())], ["v", "doc", "at", "around"])
+
+
+def _likeness(own: np.ndarray, others: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Of each row of others: the most shingles that a passage of LEAST from own, around its place and in lo..hi, shares with it."""
+    first, last = max(lo, 1 - LEAST), min(hi, LEAST)
+    n = last - first
+    if n < LEAST:
+        return np.zeros(len(others), np.int64)
+    start = AROUND + SHIFT + first
+    mine = own[start : start + n]
+    equal = np.zeros((len(others), n), bool)
+    for d in range(-SHIFT, SHIFT + 1):
+        equal |= others[:, start + d : start + d + n] == mine
+    equal &= mine > 0
+    sums = np.zeros((len(others), n + 1), np.int16)
+    np.cumsum(equal, axis=1, out=sums[:, 1:])
+    return (sums[:, LEAST:] - sums[:, :-LEAST]).max(axis=1)
+
+
+def _in_cells(tried: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by cell: links of the open windows of one part with the windows of smaller documents in the
+    other that are like enough: all, or those of the most similar ones."""
+    names = ("v", "p", "q", "open", "doc", "at", "lo", "hi")
+    width = 2 * (AROUND + SHIFT) + 1
+    held, around = [np.empty(0, np.int64)] * len(names), np.empty((0, width), np.uint8)
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held = [np.concatenate((h, np.asarray(batch.column(n)).astype(np.int64))) for h, n in zip(held, names)]
+            around = np.concatenate((around, np.frombuffer(b"".join(batch.column("around").to_pylist()), np.uint8).reshape(-1, width)))
+        v, p, q, open_, doc, at, lo, hi = held
+        if not len(v):
+            continue
+        ends = np.append(np.flatnonzero((v[1:] != v[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1, [len(v)] if batch is None else []).astype(int)
+        start = 0
+        for end in ends.tolist():
+            cut = start + int(np.searchsorted(open_[start:end], 1))
+            for i in range(cut, end):
+                j = np.arange(start, start + int(np.searchsorted(doc[start:cut], doc[i])))
+                like = _likeness(around[i], around[j], int(lo[i]), int(hi[i]))
+                j, like = j[like >= SHARED], like[like >= SHARED]
+                if tried and len(j) > tried:
+                    j = j[np.lexsort((at[j], doc[j], -like))[:tried]]
+                if len(j):
+                    yield _batch(["v", "b", "at_b", "a", "at_a"], v[j], np.full(len(j), doc[i]), np.full(len(j), at[i]), doc[j], at[j])
+            start = end
+        held, around = [x[start:] for x in held], around[start:]
+
+
+def _open_links(members: DataFrame, open_: DataFrame, texts: DataFrame, tried: int | None, path: str) -> DataFrame:
+    """Links of the open windows with like windows of smaller documents of their signature."""
+    place = F.shiftright("at", 34)
+    mine = members.join(open_, "doc").where((place >= F.col("s")) & (place < F.col("e"))).select("v", "doc", "at", (F.col("s") - place).alias("lo"), (F.col("e") - place).alias("hi"))
+    mine.write.parquet(f"{path}-mine")
+    mine = open_.sparkSession.read.parquet(f"{path}-mine")
+    asked = mine.groupBy("v").agg(F.ceil(F.count("*") / PART).cast("int").alias("rows"))
+    parts = members.join(asked, "v").groupBy("v", "rows").agg(F.ceil(F.count("*") / PART).cast("int").alias("cols"))
+    in_use = members.join(asked.select("v"), "v", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("v", "at")).alias("windows"))
+    in_use.join(texts.select(F.col("doc_id").alias("doc"), F.col("text").cast("binary").alias("text")), "doc").select("doc", "windows", "text").mapInArrow(
+        _contexts, "v long, doc long, at long, around binary"
+    ).write.parquet(f"{path}-around")
+    around = open_.sparkSession.read.parquet(f"{path}-around").join(parts, "v")
+    part = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
+    rows = around.join(mine, ["v", "doc", "at"]).select("v", part("rows").alias("p"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("q"), F.lit(1).alias("open"), "doc", "at", "lo", "hi", "around")
+    zero = F.lit(0).cast("long")
+    cols = around.select("v", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("p"), part("cols").alias("q"), F.lit(0).alias("open"), "doc", "at", zero.alias("lo"), zero.alias("hi"), "around")
+    return rows.unionByName(cols).repartition("v", "p", "q").sortWithinPartitions("v", "p", "q", "open", "doc", "at").mapInArrow(functools.partial(_in_cells, tried), LINK)
+
+
+def _one_text(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text) with one row per id, the text least in order, and (doc_id, p, n): the hash and words of that text."""
+    spark = docs.sparkSession
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows.select("doc_id", text_hash("text").alias("p"), F.size(F.split(F.trim("text"), r"[\x20\x09-\x0D]+")).alias("n")).write.parquet(f"{path}/rows")
+    prints = spark.read.parquet(f"{path}/rows")
+    twice = prints.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    twice.write.parquet(f"{path}/twice")
+    twice = spark.read.parquet(f"{path}/twice")
+    if twice.isEmpty():
+        return rows, prints
+    least = rows.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    least.write.parquet(f"{path}/least")
+    least = spark.read.parquet(f"{path}/least")
+    chosen = least.select("doc_id", text_hash("text").alias("p"))
+    one = prints.join(twice, "doc_id", "left_anti").unionByName(prints.join(chosen, ["doc_id", "p"], "left_semi").dropDuplicates(["doc_id"]).select(prints.columns))
+    return rows.join(twice, "doc_id", "left_anti").unionByName(least), one
+
+
+def text_hash(text: str):
+    return F.struct(F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"))
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """Passages of at least WORDS words that near-duplicate one in a document of smaller id.
 
     One row per passage and partner: doc_id, start_word, end_word (words from start to end - 1), the same
-    of its source, and the Jaccard similarity of their shingles.  An exact copy of a whole text has one row,
-    against the smallest id with that text; every other text is compared through that id.  Rows with a null
-    id or text and texts under WORDS words have no passage; of rows that repeat an id the text least in
-    order counts.  Passages that repeat inside one document only are not reported.
+    of its source, and the Jaccard similarity of their shingles.  A passage has the partners among the
+    LEADERS smallest documents of its signatures, or where none of them verifies, all smaller ones.  An exact
+    copy of a whole text has one row, against the smallest id with that text; every other text is compared
+    through that id.  Rows with a null id or text and texts under WORDS words have no passage; of rows that
+    repeat an id the text least in order counts.  Passages that repeat inside one document only are not
+    reported.  Other columns are not read.
     """
     spark = docs.sparkSession
     common.bound_batches(spark)
     path = common.fresh_path(spark, "passages")
-    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    print_ = F.struct(F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"))
-    rows.select("doc_id", print_.alias("p"), F.size(F.split(F.trim("text"), r"[\x20\x09-\x0D]+")).alias("n")).where(F.col("n") >= WORDS).write.parquet(f"{path}/prints")
-    prints = spark.read.parquet(f"{path}/prints")
-    groups = prints.groupBy("p").agg(F.min("doc_id").alias("source_id"), F.count("*").alias("times")).where("times > 1")
-    prints.join(groups, "p").where("doc_id > source_id").groupBy("doc_id").agg(F.min("source_id").alias("source_id"), F.max("n").alias("n")).write.parquet(f"{path}/copies")
+    rows, prints = _one_text(docs, path)
+    prints = prints.where(F.col("n") >= WORDS)
+    groups = prints.groupBy("p").agg(F.min("doc_id").alias("source_id"), F.count("*").alias("times"))
+    groups.write.parquet(f"{path}/groups")
+    groups = spark.read.parquet(f"{path}/groups")
+    copies = prints.join(groups.where("times > 1"), "p").where("doc_id > source_id").select("doc_id", "source_id", "n")
+    copies.write.parquet(f"{path}/copies")
     copies = spark.read.parquet(f"{path}/copies")
     wanted = rows.join(copies.select("doc_id"), "doc_id", "left_anti")
 
-    _windows(wanted).repartition("v").sortWithinPartitions("v", "doc", "c").mapInArrow(_match_small, LINK).write.parquet(f"{path}/links")
-    links = spark.read.parquet(f"{path}/links")
-    links = links.where("key is null").drop("key").unionByName(_match_large(links.where("key is not null")))
-    links.repartition("a", "b").sortWithinPartitions("a", "b", "ca", "cb").mapInArrow(_chains, "a long, b long, a_first int, b_first int, a_last int, b_last int").write.parquet(f"{path}/chains")
-    chains = spark.read.parquet(f"{path}/chains")
-    pairs = chains.groupBy("a", "b").agg(F.collect_list(F.struct("a_first", "b_first", "a_last", "b_last")).alias("chains"))
-    texts = wanted
-    found = (
-        pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").cast("binary").alias("text_a")), "a")
-        .join(texts.select(F.col("doc_id").alias("b"), F.col("text").cast("binary").alias("text_b")), "b")
-        .select("a", "b", "chains", "text_a", "text_b")
-        .mapInArrow(_verified, FOUND)
-    )
+    links = _links(wanted, groups.count(), path)
+    first = _found(links, wanted, f"{path}/first")
+    members = links.select("v", F.col("b").alias("doc"), F.col("at_b").alias("at")).unionByName(links.select("v", F.col("a").alias("doc"), F.col("at_a").alias("at"))).distinct()
+    members.write.parquet(f"{path}/members")
+    members = spark.read.parquet(f"{path}/members")
+    near = members.groupBy("doc").agg(F.collect_list("at").alias("ats")).join(wanted.select(F.col("doc_id").alias("doc"), F.col("text").cast("binary").alias("text")), "doc")
+    near.select("doc", "ats", "text").mapInArrow(_region_shingles, "s long, doc long, pos int").write.parquet(f"{path}/shingles")
+    shingle = spark.read.parquet(f"{path}/shingles")
+    earliest = shingle.groupBy("s").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("s", "first")
+    shingle.join(earliest, "s").where("first < doc").groupBy("doc").agg(F.collect_list("pos").alias("seen")).write.parquet(f"{path}/seen")
+    seen = spark.read.parquet(f"{path}/seen")
+    found = first
+    for tried in (TRIED, None):
+        spans = found.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_set(F.struct(F.col("start_word").alias("s"), F.col("end_word").alias("e"))).alias("spans"))
+        seen.join(spans, "doc", "left").select("doc", "seen", "spans").mapInArrow(_open, "doc long, s int, e int").write.parquet(f"{path}/open{tried}")
+        more = _found(_open_links(members, spark.read.parquet(f"{path}/open{tried}"), wanted, tried, f"{path}/open{tried}"), wanted, f"{path}/more{tried}")
+        found = found.unionByName(more.join(found, found.columns, "left_anti"))
     whole = copies.select("doc_id", F.lit(0).alias("start_word"), F.col("n").alias("end_word"), "source_id", F.lit(0).alias("source_start"), F.col("n").alias("source_end"), F.lit(1.0).alias("similarity"))
     return found.unionByName(whole)
 
 
+def _without_repeats(docs: DataFrame) -> DataFrame:
+    """The rows, of equal doc_id and text the one whose other columns are least."""
+    found = docs.where("doc_id is not null").groupBy("doc_id", F.xxhash64("text").alias("h")).count().where("count > 1").select("doc_id").distinct()
+    if found.isEmpty():
+        return docs
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = docs.join(found, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest] or [F.lit(0).alias("none")])).alias("rest"))
+    one = one.select("doc_id", "text", *[F.col("rest").getField(c).alias(c) for c in rest]).select(docs.columns)
+    return docs.join(found, "doc_id", "left_anti").unionByName(one)
+
+
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """The documents without the passages that repeat one of a smaller id; n_chars follows the text.
 
     White space around a cut becomes one space or, if it held one, a line end.  A document of which nothing
-    is left goes; one that has no repeated passage stays as it is.
+    is left goes; one that has no repeated passage stays as it is.  Of equal rows of one doc_id one stays; of
+    several texts of one doc_id all stay and only the least in order is cut.  Rows with a null doc_id or text
+    stay as they are.
     """
+    docs = _without_repeats(docs)
     spans = repeated_passages(docs).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start_word", "end_word"))).alias("spans_"))
     path = common.fresh_path(docs.sparkSession, "spans")
-    spans.write.parquet(path)
+    texts = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    least = docs.join(texts, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("least_"))
+    spans.join(least, "doc_id", "left").write.parquet(path)
     spans = docs.sparkSession.read.parquet(path)
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -348,7 +618,10 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     gone, left = f"spans {path}", f"left {path}"  # names that no column of docs has
     g, t = F.col(f"`{gone}`"), F.col(f"`{left}`")
-    cut = docs.join(spans.withColumnRenamed("spans_", gone), "doc_id", "left").withColumn(left, F.arrow_udf(run, "string")("text", g))
+    other = f"other {path}"
+    joined = docs.join(spans.select("doc_id", F.col("spans_").alias(gone), F.col("least_").alias(other)), "doc_id", "left")
+    joined = joined.withColumn(gone, F.when(F.coalesce(F.col(f"`{other}`") == F.col("text"), F.col(f"`{other}`").isNull()), g))
+    cut = joined.withColumn(left, F.arrow_udf(run, "string")("text", g))
     cut = cut.where(g.isNull() | (t != ""))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(g.isNull(), F.col("n_chars")).otherwise(F.char_length(t)).cast(docs.schema["n_chars"].dataType))

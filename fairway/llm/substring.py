@@ -11,7 +11,7 @@ Pairs are not listed in full, as they grow with the square of a group.  What is
 its passages repeat one of a smaller id, so
 
 1. every window is joined with those of the ``LEADERS`` smallest documents of its signature, and verified;
-2. a shingle is *seen* if a smaller document has it in its repeated windows.  A passage without enough seen
+2. a shingle is *seen* if a smaller document has it where its repeated windows join.  A passage without enough seen
    shingles has no partner at all; one that verified passages cover has its partner;
 3. what is then left open is held against all smaller documents of its signature, in cells of bounded parts: the
    shingles around both places are compared, and windows that can have a similar passage are joined and verified,
@@ -40,7 +40,7 @@ HASHES, NEED = 4, 2
 SIMILARITY = 0.8
 #: Shingles that a passage of LEAST shingles must share with one as long, to be similar enough.
 SHARED = int(np.ceil(2 * LEAST * SIMILARITY / (1 + SIMILARITY)))
-LEADERS, TRIED, PART = 2, 4, 1024
+LEADERS, TRIED, PART = 1, 4, 1024
 BAND, GAP = 16, 2 * LEAST
 #: A passage is covered if so much of it lies in verified ones.
 COVERED = 0.7
@@ -52,6 +52,8 @@ PERIOD = 8
 #: depends on the sample, no result does.
 SAMPLED, OFTEN, SALTS = 3000, 12, 64
 REACH = (1 << 16) - 1
+#: Texts whose shingles a verifying task remembers.
+CACHED = 256
 LINK = "v long, b long, at_b long, a long, at_a long"
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 _NONE = np.iinfo(np.uint64).max
@@ -204,12 +206,34 @@ def _links(wanted: DataFrame, count: int, path: str) -> DataFrame:
     return own.where("a is not null").unionByName(spark.read.parquet(f"{path}/leaders"))
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of links sorted by pair and place: one row per pair with the places of links whose spans join in enough hash functions.
+def _joined(a: np.ndarray, b: np.ndarray, c: np.ndarray, diagonal: np.ndarray, f: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of spans sorted by (a, b, c): the hash functions each joins with, as bits, and the joined spans' ends.
 
-    Two links join if their windows, cut to what both documents' windows reach, have a passage of LEAST
-    shingles in common that holds the least shingles of both, near one diagonal.
+    Two spans lo..hi around places c join if a passage of LEAST shingles in both holds both places, near one diagonal.
     """
+    bits, n = 1 << f, len(c)
+    low, high = c.copy(), c.copy()
+    i, step = np.arange(n), 0
+    while True:
+        step += 1
+        i = i[i + step < n]
+        j = i + step
+        near = (a[i] == a[j]) & (b[i] == b[j]) & (c[j] <= hi[i])
+        i, j = i[near], j[near]
+        if not len(i):
+            return bits, low, high
+        first, last = np.maximum(lo[i], lo[j]), np.minimum(hi[i], hi[j])
+        both = (lo[j] <= c[i]) & (last - first >= LEAST - 1) & (np.abs(diagonal[i] - diagonal[j]) <= BAND) & (f[i] != f[j])
+        k, m = i[both], j[both]
+        for x, y in ((k, m), (m, k)):
+            np.bitwise_or.at(bits, x, 1 << f[y])
+            np.minimum.at(low, x, first[both])
+            np.maximum.at(high, x, last[both])
+
+
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of links sorted by pair and place: one row per pair with the places of links whose spans, cut to what both
+    documents' windows reach, join in enough hash functions."""
     names = ("a", "b", "at_b", "at_a")
     held = [np.empty(0, np.int64)] * 4
     for batch in itertools.chain(batches, [None]):
@@ -226,20 +250,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cb, f, left_b, right_b = unpacked(at_b)
             ca, _, left_a, right_a = unpacked(at_a)
             lo, hi = cb - np.minimum(left_a, left_b), cb + np.minimum(right_a, right_b)
-            bits = 1 << f
-            i, step = np.arange(cut), 0
-            while True:
-                step += 1
-                i = i[i + step < cut]
-                j = i + step
-                near = (a[i] == a[j]) & (b[i] == b[j]) & (cb[j] <= hi[i])
-                i, j = i[near], j[near]
-                if not len(i):
-                    break
-                both = (lo[j] <= cb[i]) & (np.minimum(hi[i], hi[j]) - np.maximum(lo[i], lo[j]) >= LEAST - 1) & (np.abs((cb[i] - ca[i]) - (cb[j] - ca[j])) <= BAND)
-                k, m = i[both], j[both]
-                np.bitwise_or.at(bits, k, 1 << f[m])
-                np.bitwise_or.at(bits, m, 1 << f[k])
+            bits = _joined(a, b, cb, cb - ca, f, lo, hi)[0]
             good = np.flatnonzero(np.bitwise_count(bits) >= NEED)
             if len(good):
                 a, b, cb, ca = a[good], b[good], cb[good], ca[good]
@@ -327,7 +338,7 @@ def _around(x: np.ndarray, y: np.ndarray, a: int, b: int) -> list[tuple[int, int
 def passages(x: np.ndarray, y: np.ndarray, at_a: list[int], at_b: list[int]) -> list[tuple[int, int, int, int, float]]:
     """Verified passages from the anchors of a pair, sorted by their place in y.
 
-    A chain of near anchors is tried as a whole; one that is not similar enough is cut at its widest gap.
+    A chain of near anchors is tried as a whole; one that is not similar enough is cut at a wide gap near its middle.
     """
     found: list[tuple[int, int, int, int, float]] = []
     anchors = sorted(set(zip(at_b, at_a)))
@@ -347,7 +358,9 @@ def passages(x: np.ndarray, y: np.ndarray, at_a: list[int], at_b: list[int]) ->
         if one := verify(x, y, a0, b0, a1, b1):
             found.append(one)
         elif len(chain) > 1:
-            cut = max(range(1, len(chain)), key=lambda k: chain[k][0] - chain[k - 1][0] + 4 * abs(chain[k][0] - chain[k][1] - chain[k - 1][0] + chain[k - 1][1]))
+            n = len(chain)  # near the middle, so that a long chain is cut few times
+            places = range(max(1, n // 4), max(2, n - n // 4))
+            cut = max(places, key=lambda k: chain[k][0] - chain[k - 1][0] + 4 * abs(chain[k][0] - chain[k][1] - chain[k - 1][0] + chain[k - 1][1]))
             chains += [chain[:cut], chain[cut:]]
         else:
             found += [p for p in _around(x, y, a0, b0) if p not in found]
@@ -358,7 +371,7 @@ FOUND = "doc_id long, start_word int, end_word int, source_id long, source_start
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cached = functools.lru_cache(64)(shingles)
+    cached = functools.lru_cache(CACHED)(shingles)
     for batch in batches:
         rows = []
         get = [batch.column(n).to_pylist() for n in ("a", "b", "at_a", "at_b")]
@@ -380,16 +393,20 @@ def _found(links: DataFrame, texts: DataFrame, path: str) -> DataFrame:
 
 
 def _region_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(s, doc, pos) of the shingles near the repeated windows of a document."""
+    """(s, doc, pos) of the shingles near places where a document's repeated windows join in enough hash functions."""
     far = AROUND
     for batch in batches:
         out = [[], [], []]
         for doc, at, text in zip(batch.column("doc").to_pylist(), batch.column("ats"), batch.column("text")):
             base = shingles(text.as_buffer().to_pybytes())
-            c, _, left, right = unpacked(np.asarray(at.values))
+            c, f, left, right = unpacked(np.sort(np.asarray(at.values)))
+            one = np.zeros(len(c), np.int64)
+            bits, low, high = _joined(one, one, c, one, f, c - left, c + right)
+            good = np.bitwise_count(bits) >= NEED
+            c, low, high = c[good], low[good], high[good]
             inside = np.zeros(len(base) + 1, np.int64)
-            np.add.at(inside, np.maximum(c - np.minimum(left, far), 0), 1)
-            np.add.at(inside, np.minimum(c + np.minimum(right, far) + 1, len(base)), -1)
+            np.add.at(inside, np.maximum(np.maximum(low, c - far), 0), 1)
+            np.add.at(inside, np.minimum(np.minimum(high, c + far) + 1, len(base)), -1)
             pos = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
             for o, x in zip(out, (base[pos].view(np.int64), np.full(len(pos), doc), pos.astype(np.int32))):
                 o.append(x)

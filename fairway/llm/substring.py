@@ -10,9 +10,11 @@ their spans), that passage is a candidate, which is grown and verified on the te
 Pairs are not listed in full, as they grow with the square of a group.  What is asked of a document is which of
 its passages repeat one of a smaller id, so
 
-1. every window is joined with those of the ``LEADERS`` smallest documents of its signature, and verified;
-2. a shingle is *seen* if a smaller document has it where its repeated windows join.  A passage without enough seen
-   shingles has no partner at all; one that verified passages cover has its partner;
+1. every window is joined with those of the ``LEADERS`` smallest documents of its signature, and verified where
+   ``FIRST`` hash functions agree;
+2. a shingle is *unseen* if no smaller document has it where its own repeated windows join.  A passage with too many
+   unseen shingles, even among the half of them that is looked up, has no partner at all; one that verified passages
+   cover has its partner;
 3. what is then left open is held against all smaller documents of its signature, in cells of bounded parts: the
    shingles around both places are compared, and windows that can have a similar passage are joined and verified,
    first the ``TRIED`` most similar of each cell, then all for passages that are open still.
@@ -36,14 +38,14 @@ from . import common
 
 SHINGLE, WORDS = 5, 50
 LEAST = WORDS - SHINGLE + 1
-HASHES, NEED = 4, 2
+HASHES, NEED, FIRST = 4, 2, 3
 SIMILARITY = 0.8
 #: Shingles that a passage of LEAST shingles must share with one as long, to be similar enough.
 SHARED = int(np.ceil(2 * LEAST * SIMILARITY / (1 + SIMILARITY)))
 LEADERS, TRIED, PART = 1, 4, 1024
 BAND, GAP = 16, 2 * LEAST
 #: A passage is covered if so much of it lies in verified ones.
-COVERED = 0.7
+COVERED = 0.65
 #: Shingles to both sides of a window's place that are compared, and how far words may have moved there.
 AROUND, SHIFT = LEAST + LEAST // 4, 4
 #: Equal shingles so close are one run of repeated words, of which the first stands for all.
@@ -146,7 +148,7 @@ def _batch(names: list[str], *cols: np.ndarray) -> pa.RecordBatch:
 
 
 def _with_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (salt, v, doc, at): each window with those of the group's smallest documents.
+    """Of rows sorted by (v, salt, doc, at): each window with those of the group's smallest documents.
 
     The k-th window of a document is joined with the leader's k-th (or last) and first.  Of salted groups the
     leaders come out once more, without a partner.  No more than the leaders and one document is held.
@@ -189,7 +191,7 @@ def _with_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _sorted_groups(windows: DataFrame) -> DataFrame:
-    return windows.repartition("v", "salt").sortWithinPartitions("salt", "v", "doc", "at").select("salt", "v", "doc", "at").mapInArrow(_with_leaders, LINK)
+    return windows.repartition("v", "salt").sortWithinPartitions("v", "salt", "doc", "at").select("salt", "v", "doc", "at").mapInArrow(_with_leaders, LINK)
 
 
 def _links(wanted: DataFrame, count: int, path: str) -> DataFrame:
@@ -231,7 +233,7 @@ def _joined(a: np.ndarray, b: np.ndarray, c: np.ndarray, diagonal: np.ndarray, f
             np.maximum.at(high, x, last[both])
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _anchors(need: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of links sorted by pair and place: one row per pair with the places of links whose spans, cut to what both
     documents' windows reach, join in enough hash functions."""
     names = ("a", "b", "at_b", "at_a")
@@ -251,7 +253,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ca, _, left_a, right_a = unpacked(at_a)
             lo, hi = cb - np.minimum(left_a, left_b), cb + np.minimum(right_a, right_b)
             bits = _joined(a, b, cb, cb - ca, f, lo, hi)[0]
-            good = np.flatnonzero(np.bitwise_count(bits) >= NEED)
+            good = np.flatnonzero(np.bitwise_count(bits) >= need)
             if len(good):
                 a, b, cb, ca = a[good], b[good], cb[good], ca[good]
                 starts = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
@@ -384,51 +386,70 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "start_word", "end_word", "source_id", "source_start", "source_end", "similarity"])
 
 
-def _found(links: DataFrame, texts: DataFrame, path: str) -> DataFrame:
+def _found(links: DataFrame, texts: DataFrame, need: int, path: str) -> DataFrame:
     """Verified passages of linked pairs, written to path."""
-    pairs = links.select("a", "b", "at_b", "at_a").repartition("a", "b").sortWithinPartitions("a", "b", "at_b", "at_a").mapInArrow(_anchors, "a long, b long, at_a array<int>, at_b array<int>")
+    pairs = links.select("a", "b", "at_b", "at_a").repartition("a", "b").sortWithinPartitions("a", "b", "at_b", "at_a").mapInArrow(functools.partial(_anchors, need), "a long, b long, at_a array<int>, at_b array<int>")
     text = lambda k: texts.select(F.col("doc_id").alias(k), F.col("text").cast("binary").alias(f"text_{k}"))
     pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "at_a", "at_b", "text_a", "text_b").mapInArrow(_verified, FOUND).write.parquet(path)
     return texts.sparkSession.read.parquet(path)
 
 
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, runs) of documents (doc, ats): runs of shingle places near which repeated windows join in enough hash functions."""
+    for batch in batches:
+        lists = batch.column("ats")
+        at = np.asarray(lists.flatten())
+        own = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
+        order = np.lexsort((at, own))
+        own, (c, f, left, right) = own[order], unpacked(at[order])
+        none = np.zeros(len(c), np.int64)
+        bits, low, high = _joined(none, own, c, none, f, c - left, c + right)
+        good = np.bitwise_count(bits) >= NEED
+        out: dict[int, list[list[int]]] = {}
+        for k, s, e in zip(own[good].tolist(), np.maximum(low, c - AROUND)[good].tolist(), (np.minimum(high, c + AROUND) + 1)[good].tolist()):
+            runs = out.setdefault(k, [])
+            if runs and s <= runs[-1][1]:
+                runs[-1] = [min(runs[-1][0], s), max(runs[-1][1], e)]
+            else:
+                runs.append([s, e])
+        docs = batch.column("doc").take(pa.array(list(out), pa.int64()))
+        yield pa.RecordBatch.from_arrays([docs, pa.array(list(out.values()), pa.list_(pa.list_(pa.int32())))], ["doc", "runs"])
+
+
+def looked_up(base: np.ndarray) -> np.ndarray:
+    """The half of the shingles, by their own hash, that is looked for in smaller documents."""
+    return (base >> np.uint64(17)) & np.uint64(1) == 0
+
+
 def _region_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(s, doc, pos) of the shingles near places where a document's repeated windows join in enough hash functions."""
-    far = AROUND
+    """(s, doc, pos) of the shingles looked up in the regions of documents."""
     for batch in batches:
         out = [[], [], []]
-        for doc, at, text in zip(batch.column("doc").to_pylist(), batch.column("ats"), batch.column("text")):
+        for doc, runs, text in zip(batch.column("doc").to_pylist(), batch.column("runs").to_pylist(), batch.column("text")):
             base = shingles(text.as_buffer().to_pybytes())
-            c, f, left, right = unpacked(np.sort(np.asarray(at.values)))
-            one = np.zeros(len(c), np.int64)
-            bits, low, high = _joined(one, one, c, one, f, c - left, c + right)
-            good = np.bitwise_count(bits) >= NEED
-            c, low, high = c[good], low[good], high[good]
-            inside = np.zeros(len(base) + 1, np.int64)
-            np.add.at(inside, np.maximum(np.maximum(low, c - far), 0), 1)
-            np.add.at(inside, np.minimum(np.minimum(high, c + far) + 1, len(base)), -1)
-            pos = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+            pos = np.concatenate([np.arange(s, min(e, len(base))) for s, e in runs])
+            pos = pos[looked_up(base[pos])]
             for o, x in zip(out, (base[pos].view(np.int64), np.full(len(pos), doc), pos.astype(np.int32))):
                 o.append(x)
         if out[0]:
             yield _batch(["s", "doc", "pos"], *(np.concatenate(o) for o in out))
 
 
-def open_places(seen: np.ndarray, covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Runs of shingle places in passages that have enough seen shingles and are not covered by verified ones."""
-    if not len(seen):
+def open_places(runs: list[list[int]], unseen: np.ndarray, covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs of shingle places in passages that have few unseen shingles and are not covered by verified ones."""
+    n = max((e for _, e in runs), default=0)
+    if n < LEAST:
         return []
-    n = int(seen.max()) + 1
-    flag, done = np.zeros(n, np.int64), np.zeros(n + 1, np.int64)
-    flag[seen] = 1
+    lacking, done = np.ones(n, np.int64), np.zeros(n + 1, np.int64)
+    for s, e in runs:
+        lacking[s:e] = 0
+    lacking[unseen] = 1
     for s, e in covered:  # of words
         done[min(s, n)] += 1
         done[min(max(e - SHINGLE + 1, s), n)] -= 1
     done = (np.cumsum(done)[:n] > 0).astype(np.int64)
-    if n < LEAST:
-        return []
-    sums, over = (np.concatenate(([0], np.cumsum(x))) for x in (flag, done))
-    starts = np.flatnonzero((sums[LEAST:] - sums[:-LEAST] >= SHARED) & (over[LEAST:] - over[:-LEAST] < COVERED * LEAST))
+    sums, over = (np.concatenate(([0], np.cumsum(x))) for x in (lacking, done))
+    starts = np.flatnonzero((sums[LEAST:] - sums[:-LEAST] <= LEAST - SHARED) & (over[LEAST:] - over[:-LEAST] < COVERED * LEAST))
     out: list[tuple[int, int]] = []
     for s in starts.tolist():
         if out and s <= out[-1][1]:
@@ -442,8 +463,9 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, s, e) of the open places of documents."""
     for batch in batches:
         rows = []
-        for doc, seen, spans in zip(batch.column("doc").to_pylist(), batch.column("seen"), batch.column("spans").to_pylist()):
-            rows += [(doc, s, e) for s, e in open_places(np.asarray(seen.values), [(x["s"], x["e"]) for x in spans or ()])]
+        for doc, runs, unseen, spans in zip(batch.column("doc").to_pylist(), batch.column("runs").to_pylist(), batch.column("unseen"), batch.column("spans").to_pylist()):
+            places = np.asarray(unseen.values) if unseen.is_valid else np.empty(0, np.int64)
+            rows += [(doc, s, e) for s, e in open_places(runs, places, [(x["s"], x["e"]) for x in spans or ()])]
         cols = list(zip(*rows)) or [()] * 3
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32()))], ["doc", "s", "e"])
 
@@ -505,8 +527,12 @@ def _in_cells(tried: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[
                 j = np.arange(start, start + int(np.searchsorted(doc[start:cut], doc[i])))
                 like = _likeness(around[i], around[j], int(lo[i]), int(hi[i]))
                 j, like = j[like >= SHARED], like[like >= SHARED]
+                order = np.lexsort((at[j], -like, doc[j]))  # of each document the window that is most like
+                j, like = j[order], like[order]
+                one = np.concatenate(([True], doc[j][1:] != doc[j][:-1]))[: len(j)]
+                j, like = j[one], like[one]
                 if tried and len(j) > tried:
-                    j = j[np.lexsort((at[j], doc[j], -like))[:tried]]
+                    j = j[np.lexsort((doc[j], -like))[:tried]]
                 if len(j):
                     yield _batch(["v", "b", "at_b", "a", "at_a"], v[j], np.full(len(j), doc[i]), np.full(len(j), at[i]), doc[j], at[j])
             start = end
@@ -581,21 +607,23 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     wanted = rows.join(copies.select("doc_id"), "doc_id", "left_anti")
 
     links = _links(wanted, groups.count(), path)
-    first = _found(links, wanted, f"{path}/first")
+    first = _found(links, wanted, FIRST, f"{path}/first")
     members = links.select("v", F.col("b").alias("doc"), F.col("at_b").alias("at")).unionByName(links.select("v", F.col("a").alias("doc"), F.col("at_a").alias("at"))).distinct()
     members.write.parquet(f"{path}/members")
     members = spark.read.parquet(f"{path}/members")
-    near = members.groupBy("doc").agg(F.collect_list("at").alias("ats")).join(wanted.select(F.col("doc_id").alias("doc"), F.col("text").cast("binary").alias("text")), "doc")
-    near.select("doc", "ats", "text").mapInArrow(_region_shingles, "s long, doc long, pos int").write.parquet(f"{path}/shingles")
+    members.groupBy("doc").agg(F.collect_list("at").alias("ats")).mapInArrow(_regions, "doc long, runs array<array<int>>").write.parquet(f"{path}/regions")
+    near = spark.read.parquet(f"{path}/regions")
+    both = near.join(wanted.select(F.col("doc_id").alias("doc"), F.col("text").cast("binary").alias("text")), "doc").select("doc", "runs", "text")
+    both.mapInArrow(_region_shingles, "s long, doc long, pos int").write.parquet(f"{path}/shingles")
     shingle = spark.read.parquet(f"{path}/shingles")
-    earliest = shingle.groupBy("s").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("s", "first")
-    shingle.join(earliest, "s").where("first < doc").groupBy("doc").agg(F.collect_list("pos").alias("seen")).write.parquet(f"{path}/seen")
-    seen = spark.read.parquet(f"{path}/seen")
+    seen = shingle.join(shingle.groupBy("s").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last"), "s", "left")
+    seen.where("first is null or first = doc").groupBy("doc").agg(F.collect_list("pos").alias("unseen")).write.parquet(f"{path}/unseen")
+    looked = near.join(spark.read.parquet(f"{path}/unseen"), "doc", "left")
     found = first
     for tried in (TRIED, None):
         spans = found.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_set(F.struct(F.col("start_word").alias("s"), F.col("end_word").alias("e"))).alias("spans"))
-        seen.join(spans, "doc", "left").select("doc", "seen", "spans").mapInArrow(_open, "doc long, s int, e int").write.parquet(f"{path}/open{tried}")
-        more = _found(_open_links(members, spark.read.parquet(f"{path}/open{tried}"), wanted, tried, f"{path}/open{tried}"), wanted, f"{path}/more{tried}")
+        looked.join(spans, "doc", "left").select("doc", "runs", "unseen", "spans").mapInArrow(_open, "doc long, s int, e int").write.parquet(f"{path}/open{tried}")
+        more = _found(_open_links(members, spark.read.parquet(f"{path}/open{tried}"), wanted, tried, f"{path}/open{tried}"), wanted, NEED, f"{path}/more{tried}")
         found = found.unionByName(more.join(found, found.columns, "left_anti"))
     whole = copies.select("doc_id", F.lit(0).alias("start_word"), F.col("n").alias("end_word"), "source_id", F.lit(0).alias("source_start"), F.col("n").alias("source_end"), F.lit(1.0).alias("similarity"))
     return found.unionByName(whole)

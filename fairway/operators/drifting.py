@@ -8,8 +8,6 @@ from pyspark.sql.window import Window
 
 from fairway.functions import expr as X
 
-from .powered import near
-
 HOURS = 8760.0
 #: Default repair-time distribution in hours, and default speed of a drifting ship in knots (fixed values).
 REPAIR = {"kind": "lognormal", "shape": 0.95, "loc": 0.2, "scale": 0.85}
@@ -21,7 +19,8 @@ BLOCK = 0.75
 def blackout_exposure(cells: DataFrame, legs: DataFrame, rates: DataFrame, default_rate: float = 1.0) -> DataFrame:
     """Expected blackouts a year of each cell: hours on the leg, times frequency, times rate per year."""
     base = F.col("length_m") / (F.col("speed_kn") * 1852.0) * F.col("freq") * F.coalesce("rate", F.lit(default_rate)) / HOURS
-    return cells.where("speed_kn > 0").join(legs.select("leg_id", "length_m"), "leg_id").join(rates, "ship_type", "left").withColumn("base", base).drop("rate")
+    leg = [k for k in ("scenario_id", "leg_id") if k in cells.columns and k in legs.columns]
+    return cells.where("speed_kn > 0").join(legs.select(*leg, "length_m"), leg).join(rates, "ship_type", "left").withColumn("base", base).drop("rate")
 
 
 def normalized_rose(rose: DataFrame) -> DataFrame:
@@ -34,7 +33,7 @@ def reach_m(longest_m: float, kind: str = REPAIR["kind"], shape: float = REPAIR[
     import math
 
     hours = {"lognormal": lambda: loc + scale * math.exp(shape * 2.3263478740408408), "weibull": lambda: loc + scale * math.log(100.0) ** (1 / shape)}.get(kind, lambda: math.inf)()
-    return min(10.0 * longest_m, drift_kn * X.KNOT_MS * 3600.0 * hours)
+    return min(10.0 * longest_m, drift_kn * X.KNOT_MS * 3600.0 * hours) if drift_kn > 0 else 10.0 * longest_m
 
 
 def not_repaired(df: DataFrame, distance: str, out: str = "p_not_repaired", drift_kn: float = DRIFT_KN, **repair) -> DataFrame:
@@ -44,42 +43,45 @@ def not_repaired(df: DataFrame, distance: str, out: str = "p_not_repaired", drif
     return df.withColumn(out, F.expr(X.not_repaired(r["kind"], tau, r["shape"], r["loc"], r["scale"])))
 
 
-def edge_intervals(legs: DataFrame, edges: DataFrame, slices: int, angle_deg: float, reach: float) -> DataFrame:
-    """Lateral intervals from which a ship that drifts along the angle meets each edge, per slice of the leg.
+def edge_intervals(facing: DataFrame, slices: int, spread: float = 5.0) -> DataFrame:
+    """Lateral intervals from which a ship that drifts meets each edge, per slice of the leg (lo, hi), cut to +-spread deviations.
 
-    In the drift frame of a slice's point, with x ahead and y to the left, an edge is met from the lateral
-    places that it spans; ``spread`` turns places across the leg into y.  Returned are the ends in metres
-    across the leg, cut to +-5 deviations.
+    facing: cascade.facing_edges.  Where the drift runs straight across the leg, all places of a slice are on one
+    line, and those from which an edge on it lies ahead count.
     """
-    ex, ey = F.sin(F.radians(F.lit(angle_deg))), F.cos(F.radians(F.lit(angle_deg)))
-    at = legs.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).withColumn("f", (F.col("slice") + 0.5) / slices)
-    at = at.select("leg_id", "slice", "mean_m", "std_m", (F.col("s_x") + F.col("f") * (F.col("e_x") - F.col("s_x"))).alias("px"), (F.col("s_y") + F.col("f") * (F.col("e_y") - F.col("s_y"))).alias("py"), F.expr("-(e_y - s_y) / len").alias("nx"), F.expr("(e_x - s_x) / len").alias("ny"), ex.alias("ex"), ey.alias("ey"))
-    at = at.withColumn("spread", F.expr("ex * ny - ey * nx")).where("abs(spread) > 1e-6")
-    strip = {"at_x": F.col("px"), "at_y": F.col("py"), "to_x": F.col("ex"), "to_y": F.col("ey"), "side_x": -F.col("ey"), "side_y": F.col("ex")}
-    side = [F.expr(f"spread * (mean_m {sign} 5 * std_m)") for sign in "-+"]
-    both = near(at.withColumns(strip | {"left_m": F.least(*side), "right_m": F.greatest(*side)}), edges, reach)
-    for k in ("a", "b"):
-        both = both.withColumn(f"x{k}", F.expr(f"({k}_x - px) * ex + ({k}_y - py) * ey")).withColumn(f"w{k}", F.expr(f"(ex * ({k}_y - py) - ey * ({k}_x - px)) / spread"))
-    met = both.where((F.greatest("xa", "xb") > 0) & (F.least("xa", "xb") < reach)).where("wa <> wb")
-    lo, hi = F.greatest(F.least("wa", "wb"), F.col("mean_m") - 5 * F.col("std_m")), F.least(F.greatest("wa", "wb"), F.col("mean_m") + 5 * F.col("std_m"))
-    return met.withColumn("lo", lo).withColumn("hi", hi).where("lo < hi").select("leg_id", "slice", "obstacle_id", "mean_m", "std_m", "lo", "hi").distinct()
+    at = facing.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).withColumn("f", (F.col("slice") + 0.5) / slices)
+    for p in "ab":
+        at = at.withColumn(f"u{p}", F.expr(f"x{p} - f * x1")).withColumn(f"y{p}", F.expr(f"c{p} - f * c1"))
+    at = at.where((F.greatest("ua", "ub") > 0) & (F.least("ua", "ub") < F.col("reach_m")) & (F.col("ya") != F.col("yb")))
+    across = F.abs("spread") < 1e-6
+    met = at.where(~across | F.expr("least(ya, yb) <= 0e0 and greatest(ya, yb) > 0e0"))
+    wa, wb = (F.col(y) / F.when(~across, F.col("spread")) for y in ("ya", "yb"))
+    stop = F.expr("(ua - ya / (yb - ya) * (ub - ua))") / F.when(across, F.col("along"))
+    low, high = F.col("mean_m") - spread * F.col("std_m"), F.col("mean_m") + spread * F.col("std_m")
+    lo = F.when(across, F.when(F.col("along") > 0, low).otherwise(stop)).otherwise(F.least(wa, wb))
+    hi = F.when(across, F.when(F.col("along") > 0, stop).otherwise(high)).otherwise(F.greatest(wa, wb))
+    met = met.withColumn("lo", F.greatest(lo, low)).withColumn("hi", F.least(hi, high)).where("lo < hi")
+    return met.select(*_KEY, "slice", "mean_m", "std_m", "lo", "hi")
+
+
+_KEY = ["scenario_id", "leg_id", "dir_idx", "direction", "obstacle_id"]
 
 
 def holes(intervals: DataFrame, slices: int) -> DataFrame:
-    """Chance per leg and obstacle: the normal's mass on the union of intervals, averaged over slices.
+    """Chance per leg, directions and obstacle: the normal's mass on the union of intervals, averaged over slices.
 
     Intervals of a slice are merged by a running maximum of their ends.
     """
-    key = ["leg_id", "obstacle_id", "slice"]
-    order = Window.partitionBy(*key).orderBy("lo", "hi")
+    order = Window.partitionBy(*_KEY, "slice").orderBy("lo", "hi")
     before = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = intervals.withColumn("new_", F.when(before >= F.col("lo"), 0).otherwise(1))
     islands = islands.withColumn("island", F.sum("new_").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = islands.groupBy(*key, "island", "mean_m", "std_m").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    merged = islands.groupBy(*_KEY, "slice", "island", "mean_m", "std_m").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     mass = F.expr(f"{X.phi('(hi - mean_m) / std_m')} - {X.phi('(lo - mean_m) / std_m')}")
-    return merged.groupBy("leg_id", "obstacle_id").agg((F.sum(mass) / slices).alias("hole"))
+    return merged.groupBy(*_KEY).agg((F.sum(mass) / slices).alias("hole"))
 
 
 def squat_m(speed_kn, block=None):
-    """How much deeper a ship lies under way."""
-    return F.coalesce(block, F.lit(BLOCK)) * speed_kn**2 / 100.0 if block is not None else BLOCK * speed_kn**2 / 100.0
+    """How much deeper a ship lies under way: its block coefficient times the square of its speed; 0 if it lies still."""
+    c = F.lit(BLOCK) if block is None else F.coalesce(block, F.lit(BLOCK))
+    return F.when(speed_kn > 0, c * speed_kn**2 / 100.0).otherwise(0.0)

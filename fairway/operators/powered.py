@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from fairway.functions import expr as X
 
+from .collision import scope
+
 RAYS, SPREAD, RANGE_M, AI_S = 500, 4.0, 50_000.0, 180.0
 #: Metres per degree of longitude at the equator, and of latitude (fixed values).
 LON_M, LAT_M = 111_320.0, 110_540.0
@@ -108,14 +110,12 @@ def contributions(cells: DataFrame, parts: DataFrame, gate, causation: float, *b
 def depth_bins(cells: DataFrame, depths: DataFrame) -> DataFrame:
     """Adds bin_m: the deepest depth contour not deeper than the draught (null if none).
 
-    Draughts and depths are merged in one ordered pass over distinct values, so neither side is crossed.
+    depths (value_m, and scenario_id if the cells have it) are contours, of which a chart has few different ones.
     """
-    from pyspark.sql.window import Window
-
-    keys = cells.select(F.col("draught_m").alias("x"), F.lit(1).alias("side")).unionByName(depths.select(F.col("value_m").alias("x"), F.lit(0).alias("side"))).distinct()
-    upto = Window.partitionBy(F.lit(0)).orderBy("x", "side").rowsBetween(Window.unboundedPreceding, 0)  # distinct values only
-    bins = keys.withColumn("bin_m", F.last(F.when(F.col("side") == 0, F.col("x")), ignorenulls=True).over(upto)).where("side = 1").select(F.col("x").alias("draught_m"), "bin_m")
-    return cells.join(bins, "draught_m", "left")
+    own = scope(cells, depths)
+    bins = depths.groupBy(*own).agg(F.sort_array(F.collect_set("value_m")).alias("bins_"))
+    both = cells.join(bins, own, "left") if own else cells.join(F.broadcast(bins))  # one row
+    return both.withColumn("bin_m", F.expr("array_max(filter(bins_, b -> b <= draught_m))")).drop("bins_")
 
 
 def accidents(cells: DataFrame, hits: DataFrame, points: DataFrame, depths: DataFrame, causation: dict[str, float]) -> DataFrame:
@@ -125,7 +125,7 @@ def accidents(cells: DataFrame, hits: DataFrame, points: DataFrame, depths: Data
     meet first among the objects alone, if it is as high.  depths (value_m) are the contours of the scenario.
     """
     depth = hits.where("kind = 'depth'")
-    bins = depths.select("value_m").distinct().agg(F.sort_array(F.collect_list("value_m")).alias("bins"))  # few distinct depths
+    bins = depths.agg(F.sort_array(F.collect_set("value_m")).alias("bins"))  # one row
     each = depth.join(F.broadcast(bins)).withColumn("bin_m", F.explode(F.expr("filter(bins, b -> b >= value_m)"))).drop("bins")
     shoals = summaries(first_hits(each, "bin_m"), points, "bin_m")
     grounding = contributions(depth_bins(cells, depths), shoals, F.lit(True), causation["grounding"], "bin_m")
@@ -139,6 +139,11 @@ def closed_form(q, mass, distance_m, speed_kn, causation: float, ai_s: float = A
     return causation * q * mass * F.exp(-distance_m / (ai_s * speed_kn * X.KNOT_MS))
 
 
+def category_1(q, share, causation: float):
+    """Yearly frequency of category I: the share of ships whose course leads onto the obstacle."""
+    return causation * q * share
+
+
 def recovery_m(speed_kn, ai_s: float = AI_S):
     """Distance on which a share 1 / e of the ships has not recovered."""
     return ai_s * speed_kn * X.KNOT_MS

@@ -22,12 +22,21 @@ VIEWS = {
         5e0 + CAST(avg(l_quantity) AS DOUBLE) / 2e0 AS beam_m FROM {lineitem} GROUP BY 1, 2, 3, 4""",
     "obstacles": """SELECT CAST(p_partkey AS BIGINT) AS obstacle_id, CASE WHEN p_partkey % 2 = 0 THEN 'depth' ELSE 'object' END AS kind, CAST(p_size AS DOUBLE) / 2e0 AS value_m,
         14e0 + 137e-4 * (p_partkey % 37) AS x0, 55e0 + 171e-4 * (p_partkey % 29) AS y0, 14e0 + 137e-4 * (p_partkey % 37) + 4e-3 AS x1,
-        55e0 + 171e-4 * (p_partkey % 29) + 3e-3 AS y1 FROM {part} WHERE p_partkey <= 60""",
+        55e0 + 171e-4 * (p_partkey % 29) + 3e-3 AS y1 FROM {part}""",
     "registry": """SELECT c_custkey AS mmsi, 20e0 + (c_custkey % 300) AS loa_m, 5e0 + (c_custkey % 40) AS beam_m, CAST(c_nationkey % 21 AS INT) AS ship_type,
         CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE abs(CAST(c_acctbal AS DOUBLE)) / 500e0 END AS air_draught_m FROM {customer}""",
     "runs": """SELECT o_orderkey AS run_id, o_custkey AS project_id, o_orderpriority AS name, o_orderdate AS run_ts, CAST(o_totalprice AS DOUBLE) * 1e-9 AS total_freq FROM {orders}""",
 }
-_BASE = {"pings": "events", "legs": "nation", "leg_lateral": "nation", "traffic_cells": "lineitem", "obstacles": "part", "registry": "customer", "runs": "orders"}
+#: Traffic of each year as a scenario of its own, and a network in which three legs and more meet.
+VIEWS["scenario_cells"] = VIEWS["traffic_cells"].replace("SELECT ", "SELECT CAST(year(l_shipdate) AS BIGINT) AS scenario_id, ", 1).replace("GROUP BY 1, 2, 3, 4", "GROUP BY 1, 2, 3, 4, 5")
+_STAR = """ UNION ALL SELECT CAST(n_nationkey + 101 AS BIGINT), 14e0 + 1e-1 * (n_nationkey % 5), 55e0 + 1e-1 * floor(n_nationkey / 5e0),
+    141e-1 + 1e-1 * (n_nationkey % 5), 551e-1 + 1e-1 * floor(n_nationkey / 5e0), 5e3 FROM {nation}"""
+VIEWS["star_legs"] = VIEWS["legs"] + _STAR
+VIEWS["star_cells"] = f"WITH c AS ({VIEWS['traffic_cells']}) SELECT * FROM c UNION ALL SELECT leg_id + 100, dir_idx, ship_type, size_bin, freq, speed_kn, draught_m, height_m, beam_m FROM c"
+_BASE = {
+    "pings": "events", "legs": "nation", "star_legs": "nation", "leg_lateral": "nation", "traffic_cells": "lineitem", "scenario_cells": "lineitem", "star_cells": "lineitem",
+    "obstacles": "part", "registry": "customer", "runs": "orders",
+}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,12 +45,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(VIEWS[name].replace("{US}", SPARK_US), **{base: table})
 
 
-def all_obstacles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The obstacles of all of part; the view itself ends at id 60, in the oracle too."""
-    sql = VIEWS["obstacles"].removesuffix(" WHERE p_partkey <= 60")
-    return spark.sql(sql, part=spark.read.parquet(f"{sf_dir.rstrip('/')}/part.parquet"))
-
-
 def oracle(body: str, *names: str) -> str:
     """body with the named views, and what it defines itself, in front."""
     ctes = ", ".join(f"{n} AS ({VIEWS[n].replace('{US}', DUCK_US).format(**{_BASE[n]: _BASE[n]})})" for n in names)

@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from fairway.operators import cascade as K
 from fairway.operators import drifting as D
 from fairway.operators import powered as W
 from fairway.plans import registry
@@ -28,24 +29,33 @@ def crossed(legs, edges, length_m):
 def test_grid_cells_lose_no_pair_of_leg_and_edge(spark, monkeypatch):
     angles = np.radians([0, 17, 90, 133, 251])
     points = spark.createDataFrame([(i, 0, 700.0 * i, -900.0 * i, float(np.cos(t)), float(np.sin(t)), float(-np.sin(t)), float(np.cos(t)), 300.0, 800.0, 10.0) for i, t in enumerate(angles)], "leg_id long, dir_idx int, tx double, ty double, dx double, dy double, nx double, ny double, mean_m double, std_m double, speed_kn double")
-    legs = spark.createDataFrame([(i, 0.0, 0.0, float(9000 * np.cos(t)), float(9000 * np.sin(t)), 9000.0, 300.0, 800.0) for i, t in enumerate(angles)], "leg_id long, s_x double, s_y double, e_x double, e_y double, len double, mean_m double, std_m double")
     edges = edges_of(spark, random_boxes(60))
-
-    def both():
-        hits = sorted(tuple(r) for r in W.ray_hits(points, edges).select("leg_id", "ray", "obstacle_id", F.round("along_m", 4)).collect())
-        holes = [sorted(tuple(r) for r in D.edge_intervals(legs, edges.select("obstacle_id", "a_x", "a_y", "b_x", "b_y"), 3, a, 30_000.0).select("leg_id", "slice", "obstacle_id", F.round("lo", 4), F.round("hi", 4)).distinct().collect()) for a in (45.0, 200.0)]
-        return hits, holes
-
-    got = both()
+    hits = lambda: sorted(tuple(r) for r in W.ray_hits(points, edges).select("leg_id", "ray", "obstacle_id", F.round("along_m", 4)).collect())
+    got = hits()
     plan = W.ray_hits(points, edges)._jdf.queryExecution().optimizedPlan().toString()
     assert "cell_x" in plan and "Join Cross" not in plan
     monkeypatch.setattr(W, "near", crossed)
-    monkeypatch.setattr(D, "near", crossed)
-    assert len(got[0]) > 1000 and got == both()
+    assert len(got) > 1000 and got == hits()
 
 
-def test_queries_of_all_obstacles_read_all_of_part(spark):
-    for name in ("pow_summaries_all", "drf_holes_all", "pow_accidents_all"):
+def test_grid_cells_lose_no_edge_that_drift_carries_to(spark):
+    angles = np.radians([0, 17, 90, 133, 251])
+    legs = spark.createDataFrame([(1, i, 0.0, 0.0, float(9000 * np.cos(t)), float(9000 * np.sin(t))) for i, t in enumerate(angles)], "scenario_id long, leg_id long, s_x double, s_y double, e_x double, e_y double")
+    lateral = spark.createDataFrame([(1, i, 0, 300.0, 800.0) for i in range(5)], "scenario_id long, leg_id long, dir_idx int, mean_m double, std_m double")
+    edges = edges_of(spark, random_boxes(60)).withColumn("scenario_id", F.lit(1).cast("long")).withColumn("edge", F.monotonically_increasing_id())
+    at = K.frames(legs, lateral).withColumn("reach_m", F.lit(30_000.0))
+    holes = lambda facing: {(r.leg_id, r.direction, r.obstacle_id): round(r.hole, 9) for r in D.holes(D.edge_intervals(facing, 3), 3).collect()}
+    facing = K.facing_edges(at, edges)
+    assert "Join Cross" not in facing._jdf.queryExecution().optimizedPlan().toString()
+    every = at.join(edges.drop("scenario_id"))
+    for p in "ab":
+        every = every.withColumn(f"x{p}", F.expr(f"({p}_x - s_x) * ex + ({p}_y - s_y) * ey")).withColumn(f"c{p}", F.expr(f"ex * ({p}_y - s_y) - ey * ({p}_x - s_x)"))
+    got, want = holes(facing), holes(every)
+    assert len(want) > 150 and got == want
+
+
+def test_queries_of_obstacles_read_all_of_part(spark):
+    for name in ("pow_summaries", "drf_holes", "pow_accidents", "drf_cascade_objects"):
         assert registry.QUERIES[name](spark, SF).where("obstacle_id > 60").count() > 0
 
 

@@ -13,8 +13,7 @@ its passages repeat one of a smaller id, so
 1. every window is joined with those of the ``LEADERS`` smallest documents of its signature, and verified where
    ``FIRST`` hash functions agree;
 2. a shingle is *unseen* if no smaller document has it where its own repeated windows join.  A passage with too many
-   unseen shingles, even among the half of them that is looked up, has no partner at all; one that verified passages
-   cover has its partner;
+   unseen shingles has no partner at all; one that verified passages cover has its partner;
 3. what is then left open is held against all smaller documents of its signature, in cells of bounded parts: the
    shingles around both places are compared, and windows that can have a similar passage are joined and verified,
    first the ``TRIED`` most similar of each cell, then all for passages that are open still.
@@ -45,7 +44,7 @@ SHARED = int(np.ceil(2 * LEAST * SIMILARITY / (1 + SIMILARITY)))
 LEADERS, TRIED, PART = 1, 4, 1024
 BAND, GAP = 16, 2 * LEAST
 #: A passage is covered if so much of it lies in verified ones.
-COVERED = 0.65
+COVERED = 0.7
 #: Shingles to both sides of a window's place that are compared, and how far words may have moved there.
 AROUND, SHIFT = LEAST + LEAST // 4, 4
 #: Equal shingles so close are one run of repeated words, of which the first stands for all.
@@ -92,17 +91,17 @@ def repeats_nearby(base: np.ndarray) -> np.ndarray:
 
 def compact_windows(h: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
     """(first, place of the least hash, end) of each window that can hold ``least`` shingles; ties go left."""
-    out, open_ = [], [(0, len(h))]
+    out, open_ = [], [(0, len(h))] if len(h) >= least else []
     while open_:
         a, b = open_.pop()
-        if b - a < least:
-            continue
         m = a + int(h[a:b].argmin())
         if h[m] == _NONE:  # nothing but runs of repeated words
             continue
         out.append((a, m, b))
-        open_.append((a, m))
-        open_.append((m + 1, b))
+        if m - a >= least:
+            open_.append((a, m))
+        if b - m > least:
+            open_.append((m + 1, b))
     return out
 
 
@@ -416,19 +415,13 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([docs, pa.array(list(out.values()), pa.list_(pa.list_(pa.int32())))], ["doc", "runs"])
 
 
-def looked_up(base: np.ndarray) -> np.ndarray:
-    """The half of the shingles, by their own hash, that is looked for in smaller documents."""
-    return (base >> np.uint64(17)) & np.uint64(1) == 0
-
-
 def _region_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(s, doc, pos) of the shingles looked up in the regions of documents."""
+    """(s, doc, pos) of the shingles in the regions of documents."""
     for batch in batches:
         out = [[], [], []]
         for doc, runs, text in zip(batch.column("doc").to_pylist(), batch.column("runs").to_pylist(), batch.column("text")):
             base = shingles(text.as_buffer().to_pybytes())
             pos = np.concatenate([np.arange(s, min(e, len(base))) for s, e in runs])
-            pos = pos[looked_up(base[pos])]
             for o, x in zip(out, (base[pos].view(np.int64), np.full(len(pos), doc), pos.astype(np.int32))):
                 o.append(x)
         if out[0]:

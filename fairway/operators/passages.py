@@ -119,14 +119,14 @@ def lateral_fit(offsets: DataFrame) -> DataFrame:
 def coverage(times: DataFrame, t: str = "t_s", max_gap_s: float = 43200.0) -> DataFrame:
     """Span, gaps over max_gap_s, covered seconds and the factor that makes a year of them.
 
-    Gaps are found inside each day first and then between days' ends, so no window holds all rows.
+    Times fall into buckets as long as the least gap, so no such gap lies inside one: each bucket's first and last
+    time, which combine before the shuffle, say all.
     """
-    day = F.floor(F.col(t) / 86400.0).alias("day")
-    w = Window.partitionBy("day").orderBy(t)
-    steps = times.select(t, day).withColumn("gap", F.col(t) - F.lag(t).over(w))
-    days = steps.groupBy("day").agg(F.min(t).alias("first"), F.max(t).alias("last"), F.sum(F.when(F.col("gap") > max_gap_s, F.col("gap")).otherwise(0.0)).alias("inside"))
-    between = days.withColumn("gap", F.col("first") - F.lag("last").over(Window.partitionBy(F.lit(0)).orderBy("day")))  # one row a day
-    got = between.agg(F.min("first").alias("a"), F.max("last").alias("b"), (F.sum("inside") + F.sum(F.when(F.col("gap") > max_gap_s, F.col("gap")).otherwise(0.0))).alias("gaps_s"))
+    bucket = F.floor(F.col(t) / max_gap_s).alias("bucket")
+    ends = times.groupBy(bucket).agg(F.min(t).alias("first"), F.max(t).alias("last"))
+    gap = F.col("first") - F.lag("last").over(Window.partitionBy(F.lit(0)).orderBy("bucket"))  # two rows a day
+    between = ends.withColumn("gap", gap)
+    got = between.agg(F.min("first").alias("a"), F.max("last").alias("b"), F.coalesce(F.sum(F.when(F.col("gap") > max_gap_s, F.col("gap"))), F.lit(0.0)).alias("gaps_s"))
     got = got.select((F.col("b") - F.col("a")).alias("span_s"), "gaps_s", (F.col("b") - F.col("a") - F.col("gaps_s")).alias("covered_s"))
     return got.withColumn("multiplier", F.when(F.col("covered_s") > 0, F.lit(365.0 * 86400.0) / F.col("covered_s")))
 

@@ -81,3 +81,37 @@ def by_direction(facts: DataFrame, angle: str, value: str, weighted: list[str])
     """Per drift direction: the sum of a value, and means of other columns weighted by it."""
     means = [F.try_divide(F.sum(F.col(c) * F.col(value)), F.sum(value)).alias(c) for c in weighted]
     return facts.groupBy(angle).agg(F.sum(value).alias(value), *means)
+
+
+def leg_directions(facts: DataFrame) -> DataFrame:
+    """Per scenario, leg, travel and drift direction: frequency by accident, and the cells' mean chance not to be repaired."""
+    per = facts.groupBy("scenario_id", "leg_id", "dir_idx", "direction")
+    sums = [F.sum(F.when(F.col("accident") == a, F.col("frequency")).otherwise(0.0)).alias(a) for a in ("allision", "grounding", "anchoring")]
+    hit = F.when(F.col("accident") != "anchoring", F.col("frequency"))
+    return per.agg(*sums, F.try_divide(F.sum(F.col("p_not_repaired") * hit), F.sum(hit)).alias("p_not_repaired"))
+
+
+def by_ship_category(facts: DataFrame, types: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Frequencies by accident and labelled ship category; types (ship_type, type_label), sizes (size_bin, size_label)."""
+    sums = facts.groupBy("accident", "ship_type", "size_bin").agg(F.sum("frequency").alias("frequency"))
+    return sums.join(types, "ship_type", "left").join(sizes, "size_bin", "left").select("accident", F.coalesce("type_label", F.col("ship_type").cast("string")).alias("type_label"), F.coalesce("size_label", F.col("size_bin").cast("string")).alias("size_label"), "frequency")
+
+
+def collision_lines(contributions: DataFrame) -> DataFrame:
+    """Per leg: head-on and overtaking (kind, leg_id, n) side by side, where their sum is positive."""
+    side = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0.0)).alias(k) for k in ("headon", "overtaking")]
+    return contributions.groupBy("leg_id").agg(*side).withColumn("combined", F.col("headon") + F.col("overtaking")).where("combined > 0")
+
+
+def collision_points(contributions: DataFrame) -> DataFrame:
+    """Per junction: crossing (with merging) and bend (kind, junction_id, n) side by side, where their sum is positive."""
+    crossing = F.sum(F.when(F.col("kind").isin("crossing", "merging"), F.col("n")).otherwise(0.0)).alias("crossing")
+    bend = F.sum(F.when(F.col("kind") == "bend", F.col("n")).otherwise(0.0)).alias("bend")
+    return contributions.groupBy("junction_id").agg(crossing, bend).withColumn("combined", F.col("crossing") + F.col("bend")).where("combined > 0")
+
+
+def summary(accidents: DataFrame) -> DataFrame:
+    """Per kind of accident (kind, frequency): the yearly frequency, its share of all, and the mean years between two."""
+    sums = accidents.groupBy("kind").agg(F.sum("frequency").alias("frequency"))
+    whole = F.sum("frequency").over(Window.partitionBy(F.lit(0)))  # one row for each of the eight kinds
+    return sums.select("kind", "frequency", F.try_divide(F.col("frequency"), whole).alias("share"), F.try_divide(F.lit(1.0), F.col("frequency")).alias("years_between"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 #: Canonical columns and the header names that stand for them (fixed values).
 ALIASES = {
@@ -97,9 +98,73 @@ def project_obstacles(projects: DataFrame) -> DataFrame:
     return ring_edges(rows)
 
 
-def depth_m(text):
-    """Metres of '12', '-12.5' or '10-20' (its lower end)."""
-    return F.abs(F.regexp_extract(text, r"^\s*(-?[0-9]*\.?[0-9]+)", 1).try_cast("double"))
+def depth_m(text, bin_m=0.0):
+    """Metres of '12' or '-12.5' (with the width of a bin added), or of '10-20' and '-20--10' (the deeper end)."""
+    number = r"([0-9]*\.?[0-9]+)"
+    upper = F.regexp_extract(text, rf"^\s*{number}\s*-\s*{number}\s*$", 2).try_cast("double")
+    below = F.regexp_extract(text, rf"^\s*-{number}\s*-\s*-{number}\s*$", 1).try_cast("double")
+    return F.coalesce(upper, below, F.abs(F.regexp_extract(text, rf"^\s*(-?{number})", 1).try_cast("double")) + bin_m)
+
+
+def depth_bin_width(depths: DataFrame, text: str = "depth") -> DataFrame:
+    """Per scenario_id: the commonest step between neighbouring depths that are single numbers, to 0.1 m; of equally
+    common ones the step met first from the surface down, 0 if there is none."""
+    value = F.abs(F.regexp_extract(F.col(text), r"^\s*(-?[0-9]*\.?[0-9]+)\s*$", 1).try_cast("double"))
+    own = depths.select("scenario_id", value.alias("d")).where("d is not null").distinct()
+    steps = own.withColumn("step", F.round(F.lead("d").over(Window.partitionBy("scenario_id").orderBy("d")) - F.col("d"), 1)).where("step is not null")
+    often = steps.groupBy("scenario_id", "step").agg(F.count("*").alias("n"), F.min("d").alias("at"))
+    best = often.groupBy("scenario_id").agg(F.max(F.struct("n", -F.col("at"), "step")).alias("b"))
+    return depths.select("scenario_id").distinct().join(best, "scenario_id", "left").select("scenario_id", F.greatest(F.coalesce("b.step", F.lit(0.0)), F.lit(0.0)).alias("bin_m"))
+
+
+def year_counts(root: str, spark: SparkSession, tables: list[str], year: int) -> DataFrame:
+    """(table, rows) of the partitions of one year."""
+    out = None
+    for name in tables:
+        n = spark.read.parquet(f"{root}/{name}").where(F.col("year") == year).agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+def without_year(rows: DataFrame, watermarks: DataFrame, year: int) -> tuple[DataFrame, DataFrame]:
+    """What is left when a year is wiped: rows of other years, and watermarks whose last_t is not in it."""
+    inside = (F.col("last_t") >= F.lit(f"{year}-01-01").cast("timestamp")) & (F.col("last_t") < F.lit(f"{year + 1}-01-01").cast("timestamp"))
+    return rows.where(F.col("year") != year), watermarks.where(~F.coalesce(inside, F.lit(False)))
+
+
+def ship_code_ratios(codes: DataFrame) -> DataFrame:
+    """(ship_code, lpp_min, length_m, beam_m, moulded_m, draught_m, speed_kn) of a table of expected ratios.
+
+    codes: ship_code, lpp_min, n_total, e_l, e_lb, e_bd, e_dt, e_v.  Rows that sum up others (lpp_min below 0) or
+    stand for no ship go; where a ratio is not above 0 what depends on it is 0.
+    """
+    part = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.nullif(b, F.lit(0.0))).otherwise(0.0)
+    rows = codes.where("lpp_min >= 0 and n_total > 0").withColumn("beam_m", part("e_l", "e_lb"))
+    rows = rows.withColumn("moulded_m", part("beam_m", "e_bd")).withColumn("draught_m", part("moulded_m", "e_dt"))
+    return rows.select("ship_code", "lpp_min", F.col("e_l").alias("length_m"), "beam_m", "moulded_m", "draught_m", F.col("e_v").alias("speed_kn"))
+
+
+#: Categories of another system's ship types (fixed values).
+SOURCE_TYPES = {
+    "Fishing ship": "Fishing", "Support ship": "Towing", "Pleasure boat": "Pleasure Craft", "Fast ferry": "High speed craft (HSC)",
+    "Passenger ship": "Passenger, all ships of this type", "General cargo ship": "Cargo, all ships of this type", "Container ship": "Cargo, all ships of this type",
+    "Bulk carrier": "Cargo, all ships of this type", "Ro-Ro cargo ship": "Cargo, all ships of this type", "Crude oil tanker": "Tanker, all ships of this type",
+    "Oil products tanker": "Tanker, all ships of this type", "Chemical tanker": "Tanker, all ships of this type", "Gas tanker": "Tanker, all ships of this type",
+    "Other ship": "Other Type, all ships of this type",
+}
+
+
+def mapped_cells(rows: DataFrame, keys: list[str], values: list[str], add_up: bool = False) -> DataFrame:
+    """Cells of another system's ship types (source_type, seq) by category: the last row of each counts (of equal seq the larger values), or all are summed.
+
+    Unknown types count as the last category.  With add_up, ``freq`` is summed and other values are weighted by it.
+    """
+    known = F.create_map(*[F.lit(x) for pair in SOURCE_TYPES.items() for x in pair])
+    typed = rows.withColumn("category", F.coalesce(F.element_at(known, F.col("source_type")), F.lit(SOURCE_TYPES["Other ship"])))
+    per = typed.groupBy(*keys, "category")
+    if add_up:
+        return per.agg(*[F.sum("freq").alias(v) if v == "freq" else F.try_divide(F.sum(F.col(v) * F.col("freq")), F.sum("freq")).alias(v) for v in values])
+    return per.agg(F.max(F.struct("seq", *values)).alias("last_")).select(*keys, "category", *[f"last_.{v}" for v in values])
 
 
 def ring_edges(rows: DataFrame, wkt: str = "wkt") -> DataFrame:
@@ -117,6 +182,20 @@ def append_run(results: dict[str, DataFrame], path: str, run_id: int) -> None:
         df.withColumn("run_id", F.lit(run_id).cast("long")).write.mode("append").partitionBy("run_id").parquet(f"{path}/{name}")
 
 
+def list_runs(runs: DataFrame) -> DataFrame:
+    """The runs, newest first."""
+    return runs.orderBy(F.desc("run_id"))
+
+
+def get_run(runs: DataFrame, run_id: int) -> DataFrame:
+    return runs.where(F.col("run_id") == run_id)
+
+
+def without_run(runs: DataFrame, run_id: int) -> DataFrame:
+    """The runs without one; a table partitioned by run_id drops that partition when it is written again."""
+    return runs.where(F.col("run_id") != run_id)
+
+
 def compare_runs(runs: DataFrame, ids: list[int]) -> DataFrame:
     """The rows of the runs asked for, with their place in the order asked for."""
     wanted = runs.sparkSession.createDataFrame(list(enumerate(ids)), "place int, run_id long")

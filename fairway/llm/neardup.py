@@ -49,17 +49,19 @@ def band_keys(own: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, h, g, n, keys) of texts: h and g stand for the set of shingles."""
+    """(doc_id, h, g, n, fp, keys) of texts: h and g stand for the set of shingles, fp is the SimHash."""
     import xxhash
 
     for batch in batches:
         rows = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            own = shingle_set(text.as_buffer().to_pybytes() if text.is_valid else b"")
+            data = text.as_buffer().to_pybytes() if text.is_valid else b""
+            own = shingle_set(data)
             whole = own.tobytes()
-            rows.append((doc, *(np.array([xxhash.xxh64_intdigest(whole, k) for k in (0, 1)], np.uint64).view(np.int64).tolist()), len(own), band_keys(own).tolist()))
-        cols = list(zip(*rows)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 4 + [pa.list_(pa.int64())])], ["doc_id", "h", "g", "n", "keys"])
+            fp = int.from_bytes(simhash.fingerprint_of(data, SHINGLE, 42), "big", signed=True)
+            rows.append((doc, *(np.array([xxhash.xxh64_intdigest(whole, k) for k in (0, 1)], np.uint64).view(np.int64).tolist()), len(own), fp, band_keys(own).tolist()))
+        cols = list(zip(*rows)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 5 + [pa.list_(pa.int64())])], ["doc_id", "h", "g", "n", "fp", "keys"])
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,11 +97,18 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, path: str) -> DataFrame:
-    """The pairs that are similar enough, by their texts."""
+def _verified(pairs: DataFrame, rows: DataFrame, path: str) -> DataFrame:
+    """The pairs that are similar enough, by their texts; only the texts of documents in pairs are moved."""
+    spark = pairs.sparkSession
+    pairs.distinct().write.parquet(f"{path}-pairs")
+    pairs = spark.read.parquet(f"{path}-pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    # Of rows that repeat an id the text least in order counts.
+    rows.join(asked, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.min("text").alias("text")).write.parquet(f"{path}-texts")
+    texts = spark.read.parquet(f"{path}-texts")
     text = lambda k: texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}"))
-    pairs.distinct().join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_similar, "a long, b long").write.parquet(path)
-    return pairs.sparkSession.read.parquet(path)
+    pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_similar, "a long, b long").write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -111,24 +120,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     common.bound_batches(spark)
     path = common.fresh_path(spark, "neardup")
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    rows.mapInArrow(_signed, "doc_id long, h long, g long, n long, keys array<long>").write.parquet(f"{path}/docs")
+    rows.mapInArrow(_signed, "doc_id long, h long, g long, n long, fp long, keys array<long>").write.parquet(f"{path}/docs")
     signed = spark.read.parquet(f"{path}/docs")
     signed.groupBy("h", "g").agg(F.min("doc_id").alias("node")).write.parquet(f"{path}/sets")
     sets = spark.read.parquet(f"{path}/sets")
     member = signed.select("doc_id", "h", "g").join(sets, ["h", "g"]).select("doc_id", "node").distinct()
-    heads = signed.join(sets, ["h", "g"]).where("doc_id = node and n > 0").dropDuplicates(["node"])
+    heads = signed.join(sets, ["h", "g"]).where("doc_id = node and n > 0").groupBy("node").agg(F.min(F.struct("n", "fp", "keys")).alias("x")).select("node", "x.*")
     heads.select("node", "n", F.explode("keys").alias("key")).write.parquet(f"{path}/keyed")
     keyed = spark.read.parquet(f"{path}/keyed")
-    # Of rows that repeat an id the text least in order counts.
-    texts = rows.join(keyed.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.min("text").alias("text"))
-    texts.write.parquet(f"{path}/texts")
-    texts = spark.read.parquet(f"{path}/texts")
-
-    prints = texts.select("node", simhash.fingerprint(F.col("text"), SHINGLE).alias("fp")).groupBy("fp").agg(F.min("node").alias("node"))
-    prints.write.parquet(f"{path}/prints")
+    heads.groupBy("fp").agg(F.min("node").alias("node")).write.parquet(f"{path}/prints")
     least = keyed.groupBy("key").agg(F.min("node").alias("a")).join(keyed, "key").where("a < node").select("a", F.col("node").alias("b"))
     alike = simhash.links(spark.read.parquet(f"{path}/prints")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    first = _verified(least.unionByName(alike), texts, f"{path}/first")
+    first = _verified(least.unionByName(alike), rows, f"{path}/first")
     labels = components(first).select("node", F.col("component").alias("label"))
 
     open_ = keyed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -137,7 +140,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.xxhash64("key", F.least(mine, other), F.greatest(mine, other)))
     dealt = open_.join(groups, "key").select(F.explode(cells).alias("cell"), "node", "n", "label")
     rest = dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_pairs, "a long, b long")
-    second = _verified(rest, texts, f"{path}/second")
+    second = _verified(rest, rows, f"{path}/second")
     found = components(first.unionByName(second))
     return member.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
 

@@ -152,12 +152,8 @@ def edge_shares(facing: DataFrame) -> DataFrame:
     return e.select(*LEG, "direction", "obstacle_id", "edge", (F.col("inside_m") / total).alias("share"), "edge_m")
 
 
-def contributions(exposure: DataFrame, reach: DataFrame, shares: DataFrame, rose: DataFrame, anchor_share: float = ANCHOR_SHARE, drift_kn: float = drifting.DRIFT_KN, factors: dict[str, float] | None = None, **repair) -> DataFrame:
-    """The cascade's fact table: yearly frequency of each cell at each edge of each obstacle, by drift direction.
-
-    exposure: with_buckets of blackout_exposure; reach: reached; rose: scenario_id, direction, rp; factors: by
-    accident, 1 where missing.  An obstacle without facing edges has one row, with its own distance and no edge.
-    """
+def _chances(reach: DataFrame, shares: DataFrame, rose: DataFrame, anchor_share: float, drift_kn: float, factors: dict[str, float] | None, repair: dict) -> DataFrame:
+    """Per bucket, drift direction, obstacle and edge: the chance that a blackout ends there, by accident."""
     parts = reach.join(rose, ["scenario_id", "direction"]).join(shares, [*LEG, "direction", "obstacle_id"], "left")
     parts = parts.withColumn("share", F.coalesce("share", F.lit(1.0))).withColumn("edge_m", F.coalesce("edge_m", "distance_m"))
     parts = drifting.not_repaired(parts, "edge_m", drift_kn=drift_kn, **repair)
@@ -166,25 +162,42 @@ def contributions(exposure: DataFrame, reach: DataFrame, shares: DataFrame, rose
     factor = F.lit(1.0)
     for accident, f in (factors or {}).items():
         factor = F.when(F.col("accident") == accident, F.lit(f)).otherwise(factor)
-    parts = parts.withColumn("h_eff", free * F.col("share")).withColumn("chance", F.col("rp") * F.col("h_eff") * last * factor).where("chance > 0")
-    # Null-safe: a ship may have no contour under it.
+    return parts.withColumn("h_eff", free * F.col("share")).withColumn("chance", F.col("rp") * F.col("h_eff") * last * factor).where("chance > 0")
+
+
+#: What the fact table has a row for: cells at edges, all of a bucket's cells at edges, or cells at all edges together.
+DETAILS = ("all", "places", "cells")
+
+
+def contributions(exposure: DataFrame, reach: DataFrame, shares: DataFrame, rose: DataFrame, anchor_share: float = ANCHOR_SHARE, drift_kn: float = drifting.DRIFT_KN, factors: dict[str, float] | None = None, detail: str = "all", **repair) -> DataFrame:
+    """The cascade's fact table: yearly frequency of each cell at each edge of each obstacle, by drift direction.
+
+    exposure: with_buckets of blackout_exposure; reach: reached; rose: scenario_id, direction, rp; factors: by
+    accident, 1 where missing.  An obstacle without facing edges has one row, with its own distance and no edge.
+    Where no report asks for both cells and places, detail "places" or "cells" sums up the other side before the
+    join, so that cells and edges are never paired: ship_type and size_bin, or obstacle_id and edge, are null then.
+    """
+    if detail not in DETAILS:
+        raise ValueError(f"detail is one of {DETAILS}")
+    parts = _chances(reach, shares, rose, anchor_share, drift_kn, factors, repair)
     own = exposure.select(*LEG, "ship_type", "size_bin", "base", "freq", "ground_m", "anchor_m")
-    both = own.join(parts.withColumnsRenamed({k: f"{k}_" for k in (*LEG, "ground_m", "anchor_m")}), [own[k] == F.col(f"{k}_") for k in LEG] + [own[k].eqNullSafe(F.col(f"{k}_")) for k in ("ground_m", "anchor_m")])
+    bucket = [*LEG, "ground_m", "anchor_m"]
+    nothing = F.lit(None).cast("int")
+    if detail == "places":
+        own = own.groupBy(*bucket).agg(F.sum("base").alias("base")).withColumn("ship_type", nothing).withColumn("size_bin", nothing)
+    if detail == "cells":
+        mean = lambda c: (F.sum(F.col(c) * F.col("chance")) / F.sum("chance")).alias(c)
+        parts = parts.groupBy(*bucket, "direction", "accident", "rp").agg(F.sum("chance").alias("chance"), mean("p_not_repaired"), F.min("edge_m").alias("edge_m"), *[F.sum(c).alias(c) for c in ("hole", "h_reach", "h_in_anchor", "h_eff")])
+        parts = parts.withColumn("obstacle_id", F.lit(None).cast("long")).withColumn("edge", nothing)
+    # Null-safe: a ship may have no contour under it.
+    named = parts.withColumnsRenamed({k: f"{k}_" for k in bucket})
+    both = own.join(named, [own[k] == F.col(f"{k}_") for k in LEG] + [own[k].eqNullSafe(F.col(f"{k}_")) for k in ("ground_m", "anchor_m")])
     return both.select(
         *LEG, "direction", "ship_type", "size_bin", "accident", "obstacle_id", "edge", "edge_m", "p_not_repaired", "hole", "h_reach", "h_in_anchor", "h_eff", "base", "rp",
         (F.col("base") * F.col("chance")).alias("frequency"),
     )
 
 
-def cascade(cells: DataFrame, legs: DataFrame, lateral: DataFrame, edges: DataFrame, rose: DataFrame, rates: DataFrame, reach: DataFrame, anchor_share: float = ANCHOR_SHARE, anchor_draughts: float = ANCHOR_DRAUGHTS, drift_kn: float = drifting.DRIFT_KN, slices: int = SLICES, rays: int = RAYS, factors: dict[str, float] | None = None, **repair) -> DataFrame:
-    """The fact table of all scenarios.  reach: scenario_id, reach_m; legs also have length_m; edges as facing_edges."""
-    facing = facing_edges(frames(legs, lateral).join(reach, "scenario_id"), edges)
-    exposure = drifting.blackout_exposure(cells, legs, rates)
-    exposure = with_buckets(exposure, edges.where("kind = 'depth'").select("scenario_id", "value_m"), anchor_draughts)
-    buckets = exposure.select(*LEG, "ground_m", "anchor_m").distinct()
-    return contributions(exposure, reached(ray_hits(facing, slices, rays), buckets), edge_shares(facing), rose, anchor_share, drift_kn, factors, **repair)
-
-
 def rolled_up(facts: DataFrame, *keys: str) -> DataFrame:
     """Frequencies by accident and the keys, with means weighted by frequency and the least distance."""
     mean = lambda c: F.try_divide(F.sum(F.col(c) * F.col("frequency")), F.sum("frequency")).alias(c)

@@ -4,10 +4,11 @@ On a bounded sample of distinct vectors a graph of nearest neighbours is built a
 partitions by recursive bisection: each cut halves the vertices along the slowest-varying direction of
 the graph and is then improved by exchanging vertices.  A small softmax classifier learns which partition
 a vector belongs to.  Every vector is indexed in its most probable partition; a query goes to its most
-probable partitions, until they hold ``MASS`` of its probability, and all vectors there are reranked by
-their exact distance.
+probable partitions, until they hold ``MASS`` of its probability and enough vectors for a whole answer, and
+all vectors there are reranked by their exact distance.
 
-``SAMPLE`` bounds the sample and so what the driver and the one fitting task hold.  Every row is indexed.
+``SAMPLE`` bounds the sample of each dimension and so what a fitting task holds; the number of partitions grows
+with the cube root of the table.  Every row is indexed.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,10 +26,9 @@ from pyspark.sql.window import Window
 from . import cells, common
 
 SAMPLE = 4000
-PARTITIONS = 16
+PARTITIONS = 8, 512
 NEIGHBOURS = 12
-LEAST = 64
-MASS = 0.985
+MASS = 0.993
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -99,47 +100,61 @@ def learn(x: np.ndarray, label: np.ndarray, parts: int, steps: int = 300) -> np.
     return w
 
 
-def fit(vectors: DataFrame, parts: int = PARTITIONS, sample: int = SAMPLE, seed: int = 17) -> bytes:
-    """The model, from at most ``sample`` distinct vectors, chosen by a seeded hash of the vector."""
-    chosen = vectors.select("vec").distinct().orderBy(F.xxhash64("vec", F.lit(seed)), "vec").limit(sample)
+def partitions(rows: int) -> int:
+    """How many partitions an index of so many rows has: a power of two near its cube root."""
+    return int(min(max(2 ** round(np.log2(max(rows, 1)) / 3), PARTITIONS[0]), PARTITIONS[1]))
+
+
+def fit(vectors: DataFrame, sample: int = SAMPLE, seed: int = 17) -> dict[int, bytes]:
+    """A model for each dimension, from at most ``sample`` distinct vectors of it, chosen by a seeded hash."""
+    order = Window.partitionBy("dim").orderBy(F.xxhash64("vec", F.lit(seed)), "vec")
+    sizes = vectors.groupBy("dim").agg(F.count("*").alias("rows"))
+    chosen = vectors.select("dim", "vec").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample).join(sizes, "dim")
 
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.column("vec").to_pylist())
-        x = np.array(rows, np.float64)
+        n = partitions(table.column("rows")[0].as_py())
+        x = np.array(sorted(table.column("vec").to_pylist()), np.float64)
         scale = float(np.sqrt((x**2).sum(axis=1).mean()))
         center = x.mean(axis=0)
         x = (x - center) / max(scale, 1e-300)
-        # A power of two, and at least LEAST sampled vectors in each partition: a tiny table has one.
-        n = 1 << (max(1, min(parts, len(x) // LEAST)).bit_length() - 1)
         out = io.BytesIO()
         np.savez(out, w=learn(x, partition(x, n), n), center=center, scale=scale)
-        return pa.table({"model": pa.array([out.getvalue()], pa.binary())})
-
-    got = chosen.groupBy(F.lit(0).alias("one")).applyInArrow(run, "model binary").first()
-    return bytes(got["model"]) if got else b""
-
-
-def probable(model: bytes):
-    """A column function: the partitions of a vector, most probable first, until they hold ``mass``."""
-
-    def udf(mass: float):
-        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            got = np.load(io.BytesIO(model))
-            w, center, scale = got["w"], got["center"], max(float(got["scale"]), 1e-300)
-            for vectors in batches:
-                x = np.asarray(vectors.flatten()).reshape(len(vectors), len(center))
+        return pa.table({"dim": table.column("dim")[:1], "model": pa.array([out.getvalue()], pa.binary())})
+
+    # One row for each dimension there is.
+    return {r["dim"]: bytes(r["model"]) for r in chosen.groupBy("dim").applyInArrow(run, "dim int, model binary").collect()}
+
+
+def probable(models: dict[int, bytes], sizes: dict[int, dict[int, int]] | None = None, mass: float = 0.0, least: int = 0):
+    """The partitions of a vector, most probable first, until they hold ``mass`` of its probability and, by
+    the sizes of partitions, ``least`` vectors."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        loaded: dict[int, tuple] = {}
+        for vectors in batches:
+            out: list[list[int]] = [[]] * len(vectors)
+            dims = np.asarray(pc.list_value_length(vectors))
+            for dim in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == dim)
+                if dim not in loaded:
+                    got = np.load(io.BytesIO(models[dim]))
+                    w = got["w"]
+                    loaded[dim] = w, got["center"], max(float(got["scale"]), 1e-300), np.array([(sizes or {}).get(dim, {}).get(i, 0) for i in range(w.shape[1])])
+                w, center, scale, held = loaded[dim]
+                x = np.asarray(vectors.take(pa.array(at)).flatten()).reshape(len(at), dim)
                 s = np.concatenate(((x - center) / scale, np.ones((len(x), 1))), axis=1) @ w
                 p = np.exp(s - s.max(axis=1, keepdims=True))
                 p /= p.sum(axis=1, keepdims=True)
                 order = np.argsort(-p, axis=1, kind="stable")
-                held = np.cumsum(np.take_along_axis(p, order, axis=1), axis=1)
-                counts = (held < mass).sum(axis=1).clip(0, p.shape[1] - 1) + 1
-                yield pa.array([o[:c].tolist() for o, c in zip(order, counts)], pa.list_(pa.int32()))
-
-        run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-        return F.arrow_udf(run, "array<int>")
+                wide = np.cumsum(np.take_along_axis(p, order, axis=1), axis=1) < mass
+                wide |= np.cumsum(held[order], axis=1) < least
+                counts = wide.sum(axis=1).clip(0, p.shape[1] - 1) + 1
+                for i, o, c in zip(at.tolist(), order, counts):
+                    out[i] = o[:c].tolist()
+            yield pa.array(out, pa.list_(pa.int32()))
 
-    return udf
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "array<int>")
 
 
 def _rerank(k: int):
@@ -169,32 +184,34 @@ def _rerank(k: int):
     return run
 
 
-def search(vectors: DataFrame, is_query, k: int, parts: int = PARTITIONS, mass: float = MASS) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int, mass: float = MASS) -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance) of the k nearest rows found for every query.
 
-    vectors has id long, vec array<double>, dim, one row per id.  Zero vectors take no part, nor do vectors
-    of another dimension than the least one there is with a non-zero vector.  Ties go to the smaller id.
+    vectors has id long, vec array<double>, dim, one row per id.  Zero vectors take no part.  Vectors of
+    different dimensions do not meet: each dimension has its own index.  Ties go to the smaller id.  A query
+    has k rows, or as many as there are other vectors of its dimension.  No queries or no vectors: no rows.
     """
     spark = vectors.sparkSession
     path = common.fresh_path(spark, "ann")
-    rows = vectors.where(F.exists("vec", lambda x: x != 0))
-    dims = rows.agg(F.min("dim")).first()[0]
-    rows = rows.where(F.col("dim") == F.lit(dims if dims is not None else -1))
-    model = fit(rows, parts)
-    if not model:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    route = probable(model)
-    rows.select("id", "vec", route(0.0)("vec")[0].alias("home"), is_query.alias("query")).write.parquet(path)
-    index = spark.read.parquet(path)
-    # Candidate parts grow with the root of the table, so that neither their number nor their size runs away.
-    size = int(min(max(16 * index.count() ** 0.5, 2048), 1 << 17))
-    # One row for each of the few partitions.
-    homes = index.groupBy("home").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
-    homes = F.broadcast(homes.crossJoin(index.where("query").agg(F.greatest(F.ceil(F.count("*") / cells.QUERIES).cast("int"), F.lit(1)).alias("query_parts"))))
-    keys = ["home", "part", "q"]
-    asking = index.where("query").select("id", "vec", F.explode(route(mass)("vec")).alias("home")).join(homes, "home")
-    asking = asking.withColumn("q", cells.part_of("id", F.col("query_parts"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    there = index.select("id", "vec", "home").join(homes, "home")
+    rows = vectors.where(F.exists("vec", lambda x: x != 0)).select("id", "vec", F.col("dim").cast("int").alias("dim"), is_query.alias("query"))
+    rows.write.parquet(f"{path}/rows")
+    rows = spark.read.parquet(f"{path}/rows")
+    models = fit(rows)
+    rows.select("id", "vec", "dim", "query", probable(models)("vec")[0].alias("home")).write.parquet(f"{path}/index")
+    index = spark.read.parquet(f"{path}/index")
+    # One row for each of the few partitions of a dimension.
+    homes = index.groupBy("dim", "home").agg(F.count("*").alias("n"), F.ceil(F.count("*") / cells.CANDIDATES).cast("int").alias("parts"))
+    sizes: dict[int, dict[int, int]] = {}
+    for r in homes.collect():
+        sizes.setdefault(r["dim"], {})[r["home"]] = r["n"]
+    route = probable(models, sizes, mass, k + 1)
+    asking = index.where("query").select("id", "vec", "dim", F.explode(route("vec")).alias("home")).join(F.broadcast(homes.select("dim", "home", "parts")), ["dim", "home"])
+    asked = asking.groupBy("dim", "home").agg(F.ceil(F.count("*") / cells.QUERIES).cast("int").alias("query_parts"))
+    asked.write.parquet(f"{path}/asked")
+    asked = F.broadcast(spark.read.parquet(f"{path}/asked"))
+    keys = ["dim", "home", "part", "q"]
+    asking = asking.join(asked, ["dim", "home"]).withColumn("q", cells.part_of("id", F.col("query_parts"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    there = index.select("id", "vec", "dim", "home").join(F.broadcast(homes.select("dim", "home", "parts")), ["dim", "home"]).join(asked, ["dim", "home"])
     there = there.withColumn("part", cells.part_of("id", F.col("parts"))).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)))
     left = asking.select(*keys, "id", "vec").groupBy(*keys)
     right = there.select(*[F.col(c).alias(c) for c in (*keys, "id", "vec")]).groupBy(*keys)

@@ -1,16 +1,17 @@
 """Main text of web pages by site template removal.
 
-Every page is read into its elements.  Elements that are menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles or reader comments by their name, class, id or role are left out.  Every
-other subtree, save the paragraphs of an article themselves, is hashed, and Spark counts on how many
-different pages of its host each hash occurs; subtrees that recur on many pages of their host are the
-site's template and are deleted too.  What is left inside the page's articles (its body, if it has none)
-is its main text.
+Every page is read into its elements.  Every subtree is hashed, and Spark counts on how many different pages
+of its host each hash occurs; subtrees that recur on many pages of their host are the site's template and are
+deleted, whatever their names.  What differs from page to page can't recur, so menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles and reader comments that are named so by their element,
+role or a whole class word or id are left out too.  What is left inside the page's articles (its body, if it
+has none) is its main text.  Paragraphs of an article are its text, however often they recur.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -26,7 +27,11 @@ MIN_PAGES, MIN_SHARE = 5, 0.1
 # Names and class words that mark what is not main text, and HTML's element kinds.
 LEFT_OUT = frozenset("nav header footer aside form script style noscript template head title button select option iframe svg dialog menu object canvas".split())
 LEFT_OUT_WORDS = frozenset(
-    "ad ads advert adverts advertisement sponsor sponsored promo banner sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent notice notices comment comments disqus newsletter subscribe share social related popup modal footer header masthead widget".split()
+    """ad ads advert adverts advertisement ad-banner ad-box ad-container ad-slot sponsor sponsored promo banner
+    sidebar side-bar sidebar-left sidebar-right menu main-menu nav navbar navigation main-nav site-nav breadcrumb breadcrumbs
+    cookie cookies cookie-banner cookie-notice cookie-consent consent notice notices site-notice
+    comment comments comment-list comments-area reader-comments user-comments disqus newsletter subscribe share social
+    social-share share-buttons related related-posts popup modal footer page-footer site-footer header page-header site-header masthead widget""".split()
 )
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,6 +39,7 @@ RAW = "script|style|textarea|title|noscript|iframe|template|svg"
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr del".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption".split()) | INLINE
 CLOSES_ITSELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+NO_PARAGRAPH = LEFT_OUT | frozenset("div section article main td th li body blockquote".split())
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 
 TOKEN = re.compile(
@@ -42,102 +48,136 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 MARK = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HAS_MAIN = re.compile(r"<(?:article|main)[\s>]", re.I)
+MAIN = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 def _left_out(name: str, rest: str) -> bool:
+    """Whether the element is left out by its name, role, id or a whole word of its class."""
     if name in LEFT_OUT:
         return True
-    if rest:
+    if rest and name not in ("html", "body"):
         for kind, *values in MARK.findall(rest):
-            words = set(re.split(r"[\s_-]+", "".join(values).lower()))
+            words = set("".join(values).lower().split())
+            if name in MAIN:  # an article may have a menu or sidebar; only a reader comment is none
+                words &= COMMENTS
             if words & (LEFT_OUT_ROLES if kind.lower() == "role" else LEFT_OUT_WORDS):
                 return True
     return False
 
 
-class _Open:
-    __slots__ = ("name", "out", "main", "number", "parts")
-
-    def __init__(self, name: str, out: bool, main: bool, number: int):
-        self.name, self.out, self.main, self.number, self.parts = name, out, main, number, []
-
-
-def read(html: str, hashes: bool) -> tuple[list[tuple[str, tuple[int, ...]]], dict[int, int]]:
-    """Blocks of main text, each with the numbers of the elements around it, and (if asked) those elements' hashes."""
-    import xxhash
+COMMENTS = frozenset(("comment", "comments"))
 
-    need_main = bool(HAS_MAIN.search(html))
-    root = _Open("", False, not need_main, 0)
-    stack, blocks, text, found, count = [root], [], [], {}, 0
 
-    def flush() -> None:
-        words = " ".join("".join(text).split())
-        text.clear()
-        if words:
-            blocks.append((words, tuple([e.number for e in stack[1:]]) if hashes else ()))
-
-    def close() -> None:
-        e = stack.pop()
-        if hashes:
-            digest = xxhash.xxh64_intdigest("\0".join((e.name, *e.parts)))
-            stack[-1].parts.append(f"{digest:x}")
-            if not (need_main and e.main and (e.name in PARAGRAPHS or e.name in ("article", "main"))):
-                found[e.number] = digest - (1 << 64) if digest >> 63 else digest
-
-    def say(raw: str) -> None:
-        if raw:
-            top = stack[-1]
-            if hashes and not raw.isspace():
-                top.parts.append(" ".join(raw.split()))
-            if top.main and not top.out:
-                text.append(unescape(raw) if "&" in raw else raw)
-
-    at = 0
-    for m in TOKEN.finditer(html):
-        if m.start() > at:
-            say(html[at : m.start()])
-        at = m.end()
-        name = m["name"]
-        if not name:
-            continue
-        name = name.lower()
-        if name not in INLINE:
-            flush()
-        elif name == "br" and text:
-            text.append(" ")
-        if m["end"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    while len(stack) > k:
-                        close()
-                    break
-            continue
-        if name in VOID:
-            continue
-        if name not in INLINE:
-            if name in CLOSES_ITSELF:
-                shut, stops = CLOSES_ITSELF[name], STOPS[name]
-            else:  # a block ends an open paragraph
-                shut, stops = {"p"}, LEFT_OUT | {"div", "section", "article", "main", "td", "th", "li", "body", "blockquote"}
+class _Open:
+    __slots__ = ("name", "out", "main", "silent", "number", "parts")
+
+    def __init__(self, name: str, out: bool, main: bool, silent: bool, number: int):
+        self.name, self.out, self.main, self.silent, self.number, self.parts = name, out, main, silent, number, []
+
+
+class Page:
+    """Blocks of text (text, number of the element around it, whether in an article), the parent of each
+    element, and (if asked) the hashes of elements that may be template."""
+
+    def __init__(self, html: str, hashes: bool):
+        self.blocks: list[tuple[str, int, bool]] = []
+        self.parents = [0]
+        self.hashes: dict[int, int] = {}
+        self.has_main = False
+        self._protected: set[int] = set()
+        self._read(html, hashes)
+        if self.has_main:
+            self.hashes = {e: h for e, h in self.hashes.items() if e not in self._protected}
+
+    def _read(self, html: str, hashes: bool) -> None:
+        import xxhash
+
+        stack, text, held = [_Open("", False, False, False, 0)], [], Counter()
+
+        def flush() -> None:
+            words = " ".join("".join(text).split())
+            text.clear()
+            if words:
+                self.blocks.append((words, stack[-1].number, stack[-1].main))
+
+        def close() -> None:
+            e = stack.pop()
+            held[e.name] -= 1
+            if hashes:
+                digest = xxhash.xxh64_intdigest("\0".join((e.name, *e.parts)))
+                stack[-1].parts.append(f"{digest:x}")
+                self.hashes[e.number] = digest - (1 << 64) if digest >> 63 else digest
+                if e.main and (e.name in PARAGRAPHS or e.name in MAIN):
+                    self._protected.add(e.number)
+
+        def close_upto(names: frozenset | set, stops: frozenset | set) -> None:
+            """Closes the innermost open element of these names, unless a stop comes before it."""
+            if not any(held[n] > 0 for n in names):
+                return
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name in shut:
+                if stack[k].name in names:
                     while len(stack) > k:
                         close()
-                    break
+                    return
                 if stack[k].name in stops:
-                    break
-        count += 1
-        top = stack[-1]
-        stack.append(_Open(name, top.out or _left_out(name, m["rest"]), top.main or name in ("article", "main"), count))
-        if m["rest"].endswith("/") and name in ("svg", "path"):
+                    return
+
+        def say(raw: str) -> None:
+            if raw:
+                top = stack[-1]
+                if hashes and not raw.isspace():
+                    top.parts.append(" ".join(raw.split()))
+                if not top.out and not top.silent:
+                    text.append(unescape(raw) if "&" in raw else raw)
+
+        at = 0
+        for m in TOKEN.finditer(html):
+            if m.start() > at:
+                say(html[at : m.start()])
+            at = m.end()
+            name = m["name"]
+            if not name:
+                continue
+            name = name.lower()
+            if name not in INLINE:
+                flush()
+            elif name == "br" and text:
+                text.append(" ")
+            if m["end"]:
+                close_upto({name}, frozenset())
+                continue
+            if name in VOID:
+                continue
+            if name not in INLINE:
+                if name in CLOSES_ITSELF:
+                    close_upto(CLOSES_ITSELF[name], STOPS[name])
+                else:  # a block ends an open paragraph
+                    close_upto({"p"}, NO_PARAGRAPH)
+            top = stack[-1]
+            own_header = name == "header" and top.main  # of an article's own header the headings stay
+            out = top.out or not own_header and _left_out(name, m["rest"])
+            silent = own_header or top.silent and name not in HEADINGS
+            main = not out and (top.main or name in MAIN)
+            self.has_main |= main
+            self.parents.append(top.number)
+            held[name] += 1
+            stack.append(_Open(name, out, main, silent, len(self.parents) - 1))
+            if m["rest"].endswith("/") and name in ("svg", "path"):
+                close()
+        if at < len(html):
+            say(html[at:])
+        flush()
+        while len(stack) > 1:
             close()
-    if at < len(html):
-        say(html[at:])
-    flush()
-    while len(stack) > 1:
-        close()
-    return blocks, found
+
+    def text(self, template: set[int]) -> str:
+        """The main text without the subtrees whose hashes are given."""
+        gone = [False] * len(self.parents)
+        if template:
+            for e in range(1, len(gone)):  # parents come first
+                gone[e] = gone[self.parents[e]] or self.hashes.get(e) in template
+        return "\n".join([words for words, e, main in self.blocks if (main or not self.has_main) and not gone[e]])
 
 
 def host(url: Column) -> Column:
@@ -150,7 +190,7 @@ def _subtrees(html: Column) -> Column:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for pages in batches:
-            yield pa.array([sorted(set(read(v.as_py() or "", True)[1].values())) for v in pages], pa.list_(pa.int64()))
+            yield pa.array([sorted(set(Page(v.as_py() or "", True).hashes.values())) for v in pages], pa.list_(pa.int64()))
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "array<long>")(html)
@@ -175,8 +215,7 @@ def _main_text(html: Column, gone: Column) -> Column:
             out = []
             for v, r in zip(pages, removed):
                 drop = set(r.as_py() or ())
-                blocks, hashes = read(v.as_py() or "", bool(drop))
-                out.append("\n".join([t for t, around in blocks if not drop or not any(hashes.get(e) in drop for e in around)]))
+                out.append(Page(v.as_py() or "", bool(drop)).text(drop))
             yield pa.array(out, pa.string())
 
     run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}

@@ -60,18 +60,33 @@ def calibrate(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(theta[0]), float(theta[1])
 
 
+def logistic(x: np.ndarray, labels: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights of a logistic regression whose last column is constant, by damped Newton steps."""
+    y, theta = (labels > 0).astype(np.float64), np.zeros(x.shape[1])
+    penalty = np.full(x.shape[1], ridge)
+    penalty[-1] = 1e-6
+    for _ in range(60):
+        p = sigmoid(x @ theta)
+        gradient = x.T @ (p - y) + penalty * theta
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9), gradient)
+        theta -= np.clip(step, -3, 3)
+        if np.abs(step).max() < 1e-8:
+            break
+    return theta
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sizes: dict[int, int], seed: int) -> DataFrame:
     """(text, label) of at most sizes[v] documents of each label v, never of the held-out fold.
 
     The sample is the rows whose seeded hash of doc_id is smallest.  Of a repeated doc_id the largest label
-    counts.  Only the chosen ids, at most sum(sizes) rows, are broadcast.
+    counts, and the text least in order.  Only the chosen ids, at most sum(sizes) rows, are broadcast.
     """
     marked = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(*sizes) & ~common.held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("label"))
     chosen = None
     for value, n in sizes.items():
         part = marked.where(F.col("label") == value).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n)
         chosen = part if chosen is None else chosen.unionByName(part)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull()).dropDuplicates(["doc_id"]).select("doc_id", "text", "label")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull()).groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def fit(sample: DataFrame, train: Callable[[list[bytes], np.ndarray], bytes]) -> bytes:

@@ -1,8 +1,8 @@
 """Exact top-k search by inner product, with norm buckets.
 
 Vectors are grouped by length into geometric levels, each dealt into parts of bounded size.  A first
-meeting of every query with one part of the longest vectors gives it a score that its k-th result must
-reach.  Against any other part that score becomes a *local cosine threshold*, score / (query length *
+meeting of every query with a few of the longest vectors (``SEEDS`` more than it needs) gives it a score that
+its k-th result must reach.  Against any part that score becomes a *local cosine threshold*, score / (query length *
 longest length there).  Above 1 the part is skipped; near 1 the part is searched by coordinates (a vector
 can only reach the cosine if its largest coordinates lie in narrow ranges around the query's); otherwise
 by length (only vectors long enough can reach it).  What is left is verified by exact products.
@@ -20,7 +20,8 @@ from pyspark.sql.window import Window
 
 from . import cells, common
 
-LEVELS_PER_DOUBLING = 2
+LEVELS_PER_DOUBLING = 16
+SEEDS = 64
 COORDINATES_FROM = 0.9
 FOCUS = 3
 FOUND = "query_id long, vec_id long, score long"
@@ -136,45 +137,41 @@ def top_k(vectors: DataFrame, is_query, k: int) -> DataFrame:
     level = F.floor(LEVELS_PER_DOUBLING * F.log2(length + 1)).cast("int")
     vectors.withColumn("length", length).withColumn("level", level).withColumn("query", is_query).write.parquet(path)
     rows = spark.read.parquet(path)
-    # Of levels there are at most 2 * 1024 in each dimension, however many rows.
+    # Of levels there are at most LEVELS_PER_DOUBLING * 1024 in each dimension, however many rows.
     levels = rows.groupBy("dim", "level").agg(F.count("*").alias("n"), F.max("length").alias("longest"))
-    levels = levels.withColumn("parts", F.ceil(F.col("n") / cells.CANDIDATES).cast("int"))
-    first = levels.groupBy("dim").agg(F.max("level").alias("level")).withColumn("first", F.lit(True))
-    levels = F.broadcast(levels.join(first, ["dim", "level"], "left"))
-    dims = rows.where("query").groupBy("dim").agg(F.ceil(F.count("*") / cells.QUERIES).cast("int").alias("query_parts"))
-    queries = rows.where("query").select("id", "vec", "dim", "length")
-    candidates = (
-        rows.select("id", "vec", "dim", "level")
-        .join(levels, ["dim", "level"])
-        .join(F.broadcast(dims), "dim")
-        .withColumn("part", cells.part_of("id", F.col("parts")))
-    )
-    seeded = F.coalesce(F.col("first"), F.lit(False)) & (F.col("part") == 0)
+    levels = F.broadcast(levels.withColumn("parts", F.ceil(F.col("n") / cells.CANDIDATES).cast("int")))
+    dims = F.broadcast(rows.where("query").groupBy("dim").agg(F.ceil(F.count("*") / cells.QUERIES).cast("int").alias("query_parts")))
+    queries = rows.where("query").select("id", "vec", "dim", "length").join(dims, "dim").withColumn("q", cells.part_of("id", F.col("query_parts")))
+    longest = Window.partitionBy("dim").orderBy(F.desc("length"), "id")
+    rows.withColumn("place", F.row_number().over(longest)).where(F.col("place") <= k + 1 + SEEDS).select("id", "vec", "dim").write.parquet(f"{path}-longest")
+    first = spark.read.parquet(f"{path}-longest")
 
     def meet(asking: DataFrame, there: DataFrame) -> DataFrame:
-        asking = asking.join(F.broadcast(dims), "dim").withColumn("q", cells.part_of("id", F.col("query_parts")))
-        there = there.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)))
         keys = ["q", "dim", "level", "part"]
         left = asking.select(*keys, "id", "vec", "needed").groupBy(*keys)
         right = there.select(*[F.col(c).alias(c) for c in (*keys, "id", "vec")]).groupBy(*keys)
         return left.cogroup(right).applyInArrow(_cell_search(k), FOUND)
 
-    pair = queries.join(levels, "dim")
-    seeds = meet(pair.where("first").withColumn("part", F.lit(0)).withColumn("needed", F.lit(None).cast("double")), candidates.where(seeded))
+    one = lambda df: df.withColumn("level", F.lit(0)).withColumn("part", F.lit(0))
+    seeds = meet(one(queries).withColumn("needed", F.lit(None).cast("double")), one(first.join(dims, "dim")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1))))
     seeds.write.parquet(f"{path}-seeds")
     seeds = spark.read.parquet(f"{path}-seeds")
     needed = seeds.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("needed"))
-    asking = (
-        pair.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .where(~seeded)
-        .join(needed, "id", "left")
-        .where(F.col("needed").isNull() | (F.col("needed") <= F.col("length") * F.col("longest") * (1 + 1e-9) + 1e-6))
-    )
-    found = seeds.unionByName(meet(asking, candidates.where(~seeded)))
+    alive(queries.join(needed, "id", "left"), levels).write.parquet(f"{path}-alive")
+    asking = spark.read.parquet(f"{path}-alive")
+    met = asking.select("q", "dim", "level", "part").distinct()
+    there = rows.select("id", "vec", "dim", "level").join(levels, ["dim", "level"]).withColumn("part", cells.part_of("id", F.col("parts"))).join(first.select("id"), "id", "left_anti")
+    found = seeds.unionByName(meet(asking, there.join(met, ["dim", "level", "part"])))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def alive(queries: DataFrame, levels: DataFrame) -> DataFrame:
+    """Each query with the parts of the levels in which a vector can reach the score it needs."""
+    pair = queries.join(levels, "dim").where(F.col("needed").isNull() | (F.col("needed") <= F.col("length") * F.col("longest") * (1 + 1e-9) + 1e-6))
+    return pair.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("q", "dim", "level", "part", "id", "vec", "needed")
+
+
 def quantized(df: DataFrame) -> DataFrame:
     """finite_vectors with each component x as floor(64 * x)."""
     return cells.finite_vectors(df).withColumn("vec", F.transform("vec", lambda x: F.floor(x * F.lit(64.0)).cast("long")))

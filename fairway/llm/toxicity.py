@@ -3,16 +3,19 @@
 The kernel of two strings sums over all letter subsequences of length ``ORDER`` that both have, each
 weighted by ``DECAY`` to the power of the spans it takes, so that gaps and inserted letters cost a little
 and do not break a match.  A text is seen through short units: each word's beginnings (endings vary) and
-windows, marks standing for a word's start and end, and runs of single letters joined.  A unit is compared only
-if it has the letters of some insult landmark.  Landmarks are units chosen from the labelled sentences; the kernel of a
-unit with all landmarks, whitened, is its feature vector, and a hinge-loss model separates units of
-insults from others.  The text's score comes from its most toxic units.
+windows, marks standing for a word's start and end, and runs of single letters joined.  Landmarks are units
+chosen from the labelled sentences; the kernel of a unit with all landmarks, whitened, is its feature vector,
+and a hinge-loss model separates units of insults from others.  A text's score comes from its most toxic unit and
+from how many there are, in all and by its length: a rare word may look like an insult by chance.
 
-Only texts, not units, are labelled, so units are first found by how surely they occur in toxic texts
-alone, and the hardest units of other texts are then taken as counterexamples, twice.
+Only texts, not units, are labelled, so units are first found by how much more often they occur in toxic texts,
+and the hardest units of other texts are then taken as counterexamples, twice.  The curve of the scores is fitted
+on texts that the units were not learned from.  Units that lack letters of every insult learned (more than one, of
+those of more than five letters) are far from all of them and get the lowest margin without a kernel.
 
 The model is fitted on a bounded sample: at most ``SAMPLE`` labelled documents of each class outside the
-held-out fold.  Every text is scored whole.
+held-out fold.  ``VARIANTS``, ``CLEAN`` and ``LANDMARKS`` bound the model's own size (forms of insults, other units
+and landmarks it is made of), not what it reads.  Every text is scored whole.
 """
 
 from __future__ import annotations
@@ -32,7 +35,11 @@ from . import common, linear
 ORDER, DECAY = 3, 0.6
 WINDOW, STEP = 10, 3
 BEGINNINGS = (5, 6, 8)
-LANDMARKS = 48
+LANDMARKS, VARIANTS, CLEAN = 64, 400, 600
+#: An insult occurs at least so many times as often, by length of text, in toxic texts; of one text so many count.
+RATIO, OF_ONE_TEXT = 8.0, 3
+#: A word counts as an insult from this far below the margin's 0 on, in part up to 1 above that.
+SOFT = 0.75
 FLOOR = -2.0
 SAMPLE = {1: 2500, 0: 4000}
 THRESHOLD = 0.3
@@ -43,19 +50,19 @@ _EDGES = ".,;:!?\"'()[]{}*$%&#|-_/<>"
 _INNER = re.compile(r"[\W_]+")
 
 
-def unit_words(text: str) -> set[str]:
-    """Lower-case words without outer signs and with inner signs removed; letters written apart are joined."""
-    out, spelled = set(), []
+def unit_words(text: str) -> Counter:
+    """Lower-case words without outer signs and with inner signs removed, and how often; letters written apart are joined."""
+    out, spelled = Counter(), []
     for token in tokens_of(text):
         if len(token) == 1:
             spelled.append(token)
             continue
         if len(spelled) > 2:
-            out.add("".join(spelled))
+            out["".join(spelled)] += 1
         spelled = []
-        out.add(token)
+        out[token] += 1
     if len(spelled) > 2:
-        out.add("".join(spelled))
+        out["".join(spelled)] += 1
     return out
 
 
@@ -97,22 +104,19 @@ def _codes(words: list[str]) -> np.ndarray:
     return out
 
 
-def _paths() -> np.ndarray:
-    """For pairs of places before one place of both strings, flattened: the decay of the span from there."""
-    step = np.tril(DECAY ** np.subtract.outer(np.arange(WINDOW), np.arange(WINDOW)).clip(0).astype(np.float64), -1)
-    return np.kron(step, step).T.astype(np.float32)
-
-
-PATHS = _paths()
+#: The decay of the span from each place to a later one, in one string.
+STEP_BACK = np.tril(DECAY ** np.subtract.outer(np.arange(WINDOW), np.arange(WINDOW)).clip(0).astype(np.float64), -1).T.astype(np.float32)
 
 
 def _sum_over(same: np.ndarray) -> np.ndarray:
     """Of the match tables of many pairs: the weight of all common subsequences of length ORDER."""
-    same = same.reshape(-1, WINDOW * WINDOW).astype(np.float32)
+    same = same.reshape(-1, WINDOW, WINDOW).astype(np.float32)
     ends = same  # weight of the common subsequences that end at each pair of places
     for _ in range(1, ORDER):
-        ends = same * (ends @ PATHS)
-    return ends.sum(axis=1) * np.float32(DECAY * DECAY)
+        for _ in range(2):  # onwards in one string, then in the other
+            ends = (ends.reshape(-1, WINDOW) @ STEP_BACK).reshape(-1, WINDOW, WINDOW).transpose(0, 2, 1)
+        ends = same * ends
+    return ends.sum(axis=(1, 2)) * np.float32(DECAY * DECAY)
 
 
 def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -122,10 +126,11 @@ def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Landmarks, their weights, and the curve that turns the best margin of a text into a probability."""
+    """Landmarks, their weights, and the curve that turns the features of a text into a probability."""
 
-    def __init__(self, insults: list[str], landmarks: list[str], weights: np.ndarray, bias: float, curve: tuple[float, float]):
-        self.insults, self.landmarks, self.weights, self.bias, self.curve = insults, landmarks, weights, bias, curve
+    def __init__(self, insults: list[str], landmarks: list[str], weights: np.ndarray, bias: float, curve: np.ndarray, telling: np.ndarray):
+        self.telling = np.asarray(telling, np.float64)
+        self.insults, self.landmarks, self.weights, self.bias, self.curve = insults, landmarks, weights, bias, np.asarray(curve, np.float64)
         self.sets = letters(insults)
         self.codes = _codes(landmarks)
         self.own = own_rows(self.codes)
@@ -141,48 +146,61 @@ class Model:
             out += [part[i] for i in np.flatnonzero((lacking <= spare).any(axis=1))]
         return out
 
-    def margins(self, units: list[str]) -> np.ndarray:
-        out = np.empty(len(units), np.float32)
+    def margins(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The margin of each unit, and the insult that it is most like."""
+        out, like = np.empty(len(units), np.float32), np.empty(len(units), np.int64)
         for k in range(0, len(units), 256):
             part = units[k : k + 256]
-            out[k : k + 256] = normalized(_codes(part), self.codes, self.own) @ self.weights + self.bias
-        return out
+            values = normalized(_codes(part), self.codes, self.own)
+            out[k : k + 256] = values @ self.weights + self.bias
+            like[k : k + 256] = values[:, : len(self.insults)].argmax(axis=1)
+        return out, like
 
-    def of_words(self, words: list[str]) -> dict[str, float]:
-        """Best margin of each word's windows; words met before are remembered up to a bound."""
+    def of_words(self, words: list[str]) -> dict[str, tuple[float, int]]:
+        """Best margin of each word's windows and the insult it is like; words met before are remembered up to a bound."""
         if len(self.seen) > REMEMBERED:
             self.seen = {}
         new = [w for w in words if w not in self.seen]
-        self.seen.update(dict.fromkeys(new, FLOOR))
+        self.seen.update(dict.fromkeys(new, (FLOOR, -1)))
         marked = {w: f"^{plain(w)}$" for w in new} if self.insults else {}
         close = set(self.near(list(marked.values())))
         pieces = {w: windows(m[1:-1]) for w, m in marked.items() if m in close}
         distinct = self.near(list(dict.fromkeys(p for ps in pieces.values() for p in ps)))
-        found = dict(zip(distinct, self.margins(distinct).tolist()))
+        found = dict(zip(distinct, zip(*(x.tolist() for x in self.margins(distinct)))))
         for w, ps in pieces.items():
-            self.seen[w] = max(FLOOR, max(found.get(p, FLOOR) for p in ps))
+            self.seen[w] = max([(FLOOR, -1), *(found[p] for p in ps if p in found)])
         return self.seen
 
-    def texts(self, texts: list[str]) -> np.ndarray:
+    def features(self, texts: list[str]) -> np.ndarray:
+        """Per text: its best margin, how telling its insults are in all and at most, how many there are by its length, and 1."""
         split = [unit_words(t) for t in texts]
-        every = list(set().union(*split)) if split else []
-        margin = self.of_words(every)
-        return np.array([max(map(margin.__getitem__, ws), default=FLOOR) for ws in split])
+        margin = self.of_words(list(set().union(*split))) if split else {}
+        out = np.empty((len(split), 5))
+        for i, ws in enumerate(split):
+            best, hits, told, most = FLOOR, 0.0, 0.0, 0.0
+            for w, n in ws.items():
+                m, like = margin[w]
+                best = max(best, m)
+                if m > -SOFT and like >= 0:
+                    part = min(m + SOFT, 1.0)
+                    hits += n * part
+                    told += n * part * self.telling[like]
+                    most = max(most, part * self.telling[like])
+            out[i] = best, np.log1p(told), most, np.log((hits + 0.1) / (sum(ws.values()) + 20)), 1.0
+        return out
 
     def probability(self, texts: list[str]) -> np.ndarray:
-        slope, offset = self.curve
-        return linear.sigmoid(slope * self.texts(texts) + offset)
+        return linear.sigmoid(self.features(texts) @ self.curve)
 
     def pack(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, insults=np.array(self.insults, dtype=str), landmarks=np.array(self.landmarks, dtype=str), weights=self.weights, rest=np.array([self.bias, *self.curve]))
+        np.savez(out, insults=np.array(self.insults, dtype=str), landmarks=np.array(self.landmarks, dtype=str), weights=self.weights, rest=np.array([self.bias, *self.curve]), telling=self.telling)
         return out.getvalue()
 
     @classmethod
     def unpack(cls, data: bytes) -> Model:
         got = np.load(io.BytesIO(data))
-        bias, slope, offset = got["rest"].tolist()
-        return cls([str(x) for x in got["insults"]], [str(x) for x in got["landmarks"]], got["weights"].astype(np.float32), bias, (slope, offset))
+        return cls([str(x) for x in got["insults"]], [str(x) for x in got["landmarks"]], got["weights"].astype(np.float32), float(got["rest"][0]), got["rest"][1:], got["telling"])
 
 
 def normalized(a: np.ndarray, b: np.ndarray, own_b: np.ndarray) -> np.ndarray:
@@ -196,52 +214,92 @@ def own_rows(a: np.ndarray) -> np.ndarray:
 
 
 def _telling(counts: Counter, toxic: Counter, share: float) -> dict[str, float]:
-    """Units whose toxic share is beyond chance for so many units: n * KL(share there || share) at least log(units) + 3."""
+    """Units that occur RATIO times as often in toxic texts, beyond chance for so many units.
+
+    share: of all words, those in toxic texts; a unit counts if n * KL(its toxic share || share) is at least log(units) + 3.
+    """
     least = np.log(len(counts) + 2) + 3
     out = {}
     for u, n in toxic.items():
         p = min(n / counts[u], 1 - 1e-9)
-        if p > 0.8 and (kl := counts[u] * (p * np.log(p / share) + (1 - p) * np.log((1 - p) / (1 - share)))) >= least:
+        if p / share >= RATIO * (1 - p) / (1 - share) and (kl := counts[u] * (p * np.log(p / share) + (1 - p) * np.log((1 - p) / (1 - share)))) >= least:
             out[u] = kl
     return out
 
 
-def train(texts: list[bytes], labels: np.ndarray, rounds: int = 3, seed: int = 5) -> bytes:
+def train(texts: list[bytes], labels: np.ndarray, seed: int = 5) -> bytes:
+    """The packed model; its curve comes from texts that its units were not learned from."""
     toxic = labels == 1
     share = float((toxic.sum() + 1) / (len(labels) + 2))
-    nothing = Model([], [], np.zeros(0, np.float32), 0.0, (0.0, float(np.log(share / (1 - share)))))
+    nothing = Model([], [], np.zeros(0, np.float32), 0.0, (0.0, 0.0, 0.0, 0.0, float(np.log(share / (1 - share)))), ())
     if not len(texts) or toxic.all() or not toxic.any():
         return nothing.pack()
     whole = [t.decode("utf-8", "replace") for t in texts]
+    fold = np.arange(len(whole)) % 2
+    features = np.empty((len(whole), 5))
+    for k in (0, 1):
+        learned = _units([whole[i] for i in np.flatnonzero(fold != k)], toxic[fold != k], seed)
+        features[fold == k] = (learned or nothing).features([whole[i] for i in np.flatnonzero(fold == k)])
+    model = _units(whole, toxic, seed)
+    if model is None:
+        return nothing.pack()
+    model.curve = linear.logistic(features, np.where(toxic, 1, -1))
+    return model.pack()
+
+
+def _units(whole: list[str], toxic: np.ndarray, seed: int, rounds: int = 2) -> Model | None:
+    """A model of units from labelled texts, without a curve; none if no unit tells toxic texts."""
     first = _without_copies(whole)
-    words = [{plain(w) for w in unit_words(t)} for t in whole]
+    words = [Counter() for _ in whole]
+    for out, t in zip(words, whole):
+        for w, n in unit_words(t).items():
+            out[plain(w)] += n
     counts, bad = Counter(), Counter()
+    lengths = [0, 0]
     for ws, t, own in zip(words, toxic, first):
         if own:
             # Words and their beginnings: endings vary.
-            units = {"^" + w + "$" for w in ws if len(w) >= ORDER} | {"^" + w[:k] for w in ws for k in (4, 5, 6) if len(w) > k}
+            units = Counter()
+            for w, n in ws.items():
+                if len(w) >= ORDER:
+                    units["^" + w + "$"] += n
+                for k in (4, 5, 6):
+                    if len(w) > k:
+                        units["^" + w[:k]] += n
+            units = {u: min(n, OF_ONE_TEXT) for u, n in units.items()}
+            lengths[int(t)] += sum(ws.values())
             counts.update(units)
             if t:
                 bad.update(units)
+    share = (lengths[1] + 1) / (sum(lengths) + 2)
     insults: list[str] = []
     for u, kl in sorted(_telling(counts, bad, share).items(), key=lambda x: (-round(x[1], 1), -len(x[0]))):
         u = u[:WINDOW]
         if not any(u.startswith(v) or v.startswith(u) for v in insults):
             insults.append(u)
     if not insults:
-        return nothing.pack()
-    insults = insults[:LANDMARKS]
-    reach = Model(insults, [], np.zeros(0, np.float32), 0.0, (1.0, 0.0))
+        return None
+    # How much more often words with this beginning occur in toxic texts, as a logarithm.
+    often = np.full((2, len(insults)), 0.5)
+    for ws, t, own in zip(words, toxic, first):
+        if own:
+            for w, n in ws.items():
+                for i, u in enumerate(insults):
+                    if f"^{w}$".startswith(u):
+                        often[int(t), i] += n
+    telling = np.log(often[1] / (lengths[1] + 1)) - np.log(often[0] / (lengths[0] + 1))
+    reach = Model(insults, [], np.zeros(0, np.float32), 0.0, np.zeros(5), telling)
     units_of = lambda kind: {p for ws, t in zip(words, toxic) if t == kind for m in reach.near([f"^{w}$" for w in sorted(ws)]) for p in windows(m[1:-1])}
-    clean = sorted(reach.near(sorted(units_of(False) - set(insults))))
-    variants = [p for p in sorted(units_of(True) - set(clean)) if any(p.startswith(u) for u in insults)]
+    begins = lambda p: any(p.startswith(u) for u in insults)
+    clean = sorted(p for p in reach.near(sorted(units_of(False) - set(insults))) if not begins(p))
+    variants = [p for p in sorted(units_of(True) - set(clean)) if begins(p)]
     rng = np.random.default_rng(seed)
-    positives = insults + [p for p in (variants[i] for i in rng.permutation(len(variants))[:400]) if p not in insults]
+    positives = insults + [p for p in (variants[i] for i in rng.permutation(len(variants))[:VARIANTS]) if p not in insults]
     positives += [p for u in insults for p in _roughened(u, rng) if p not in clean]
-    hard = [clean[i] for i in rng.permutation(len(clean))[:600]]
-    model = nothing
+    hard = [clean[i] for i in rng.permutation(len(clean))[:CLEAN]]
+    model = None
     for _ in range(rounds):
-        marks = insults + _spread(hard[::-1], LANDMARKS - len(insults))
+        marks = insults + _spread(hard[::-1], max(LANDMARKS - len(insults), LANDMARKS // 4))
         codes = _codes(marks)
         own = own_rows(codes)
         values, vectors = np.linalg.eigh(normalized(codes, codes, own).astype(np.float64))
@@ -250,13 +308,12 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: int = 3, seed: int = 5
         y = np.where(np.arange(len(units)) < len(positives), 1.0, -1.0)
         phi = np.concatenate([normalized(_codes(units[k : k + 256]), codes, own) for k in range(0, len(units), 256)]).astype(np.float64) @ white
         every = np.arange(phi.shape[1])
-        w = linear.dual_descent([(every, row) for row in phi], y, phi.shape[1], np.where(y < 0, 20.0, np.where(np.arange(len(y)) < len(insults), 1000.0, 5.0)), epochs=150)
-        model = Model(insults, marks, (white @ w[:-1]).astype(np.float32), float(w[-1]), (1.0, 0.0))
-        margins = model.margins(clean)
+        w = linear.dual_descent([(every, row) for row in phi], y, phi.shape[1], np.where(y < 0, 20.0, np.where(np.arange(len(y)) < len(insults), 1000.0, 5.0)), epochs=60)
+        model = Model(insults, marks, (white @ w[:-1]).astype(np.float32), float(w[-1]), np.zeros(5), telling)
+        margins = model.margins(clean)[0]
         worst = np.argsort(-margins)[:400]
         hard = list(dict.fromkeys(hard + [clean[i] for i in worst if margins[i] > -1]))
-    model.curve = linear.calibrate(model.texts(whole), np.where(toxic, 1, -1))
-    return model.pack()
+    return model
 
 
 def _roughened(unit: str, rng: np.random.Generator) -> list[str]:
@@ -281,7 +338,7 @@ def _without_copies(texts: list[str], hashes: int = 4) -> list[bool]:
 
 def _spread(units: list[str], n: int) -> list[str]:
     """n of the units, the first and then whichever is least like those taken."""
-    units = units[:600]
+    units = units[:CLEAN]
     if n <= 0 or len(units) <= n:
         return units[: max(n, 0)]
     codes = _codes(units)

@@ -170,37 +170,77 @@ def test_edited_passages_are_found(spark):
     assert sum(r.end_word - r.start_word for r in got) >= 280
 
 
-def brute_pairs(texts):
-    """Pairs of documents with a verified chain, where all windows of equal signature are paired."""
+def repeated_windows(texts):
+    """(doc, place) of every window of WORDS words that is similar to one of a smaller document, by comparing all."""
     base = {i: substring.shingles(t.encode()) for i, t in texts}
-    ends = {i: [{int(substring.mixed(x, f)[w[1]]): w[1] for w in substring.compact_windows(substring.mixed(x, f))} for f in range(substring.HASHES)] for i, x in base.items()}
-    found = set()
-    for a in base:
-        for b in base:
-            rows = sorted((a, b, f, ends[a][f][v], ends[b][f][v]) for f in range(substring.HASHES) for v in ends[a][f].keys() & ends[b][f].keys()) if a < b else []
-            if rows:
-                rows.sort(key=lambda r: r[3:])
-                batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["a", "b", "f", "ca", "cb"])
-                chains = [c for out in substring._chains(iter([batch])) for c in out.to_pylist()]
-                if any(substring.verify(base[a], base[b], c["a_first"], c["b_first"], c["a_last"], c["b_last"]) for c in chains):
-                    found.add((b, a))
+    n, found = substring.LEAST, set()
+    for b, y in base.items():
+        for a, x in base.items():
+            if a >= b or len(x) < n or len(y) < n:
+                continue
+            for k in range(len(y) - n + 1):
+                held = np.concatenate(([0], np.cumsum(np.isin(x, y[k : k + n]))))
+                if (held[n:] - held[:-n]).max() >= substring.SHARED:  # both have n different shingles
+                    found.add((b, k))
     return found
 
 
-@pytest.mark.parametrize("n, edits, part", [(60, 1, 512), (100, 2, 512), (200, 4, 3)])
-def test_large_groups_of_near_copies_lose_no_link(spark, monkeypatch, n, edits, part):
+def uncovered(spark, rows):
+    want = repeated_windows(rows)
+    covered = {i: np.zeros(len(t.split()) + 1) for i, t in rows}
+    for r in substring.repeated_passages(docs(spark, rows)).collect():
+        covered[r.doc_id][r.start_word : r.end_word] = 1
+        assert r.source_id < r.doc_id and r.similarity >= 0.8
+    return want, {(b, k) for b, k in want if covered[b][k : k + substring.WORDS].mean() < substring.COVERED}
+
+
+@pytest.mark.parametrize("n, edits, part", [(60, 1, 1024), (100, 2, 4), (100, 5, 1024), (200, 6, 3)])
+def test_groups_of_near_copies_leave_no_window_uncovered(spark, monkeypatch, n, edits, part):
     monkeypatch.setattr(substring, "PART", part)
-    rng = np.random.default_rng(n)
+    rng = np.random.default_rng(n + edits)
     passage, rows = words(rng, n), []
-    for i in range(20):
+    for i in range(24):
         copy = passage.copy()
-        if i != 10:  # the unedited one stands in the middle
-            for k in rng.choice(n, edits, replace=False):
-                copy[k] = f"x{i}y{k}"
-        rows.append((i, " ".join(words(rng, 40) + copy + words(rng, 40))))
-    want = brute_pairs(rows)
-    got = {(r.doc_id, r.source_id) for r in substring.repeated_passages(docs(spark, rows)).collect()}
-    assert len([p for p in want if 10 in p]) >= 15 and got == want
+        for k in rng.choice(n, edits, replace=False):
+            copy[k] = [f"x{i}y{k}", f"{copy[k]} z{i}", ""][int(rng.integers(3))]  # another word, one more, one less
+        rows.append((i, " ".join(" ".join(words(rng, 40) + copy + words(rng, 40)).split())))
+    want, missed = uncovered(spark, rows)
+    assert len(want) > 100 and not missed
+
+
+def test_mosaics_of_common_lines_leave_no_window_uncovered(spark):
+    """Texts of lines that all occur elsewhere; only some neighbours are the same, and not those of the smallest document."""
+    rng = np.random.default_rng(31)
+    lines = [words(rng, 20) for _ in range(12)]
+    rows = [(i, " ".join(sum((lines[k] for k in rng.permutation(12)[:8]), []))) for i in range(40)]
+    want, missed = uncovered(spark, rows)
+    assert want and len(missed) <= 0.01 * len(want)
+
+
+def test_links_do_not_grow_with_the_square_of_a_group(spark):
+    rng = np.random.default_rng(8)
+    passage = words(rng, 80)
+    for n in (50, 200):
+        rows = []
+        for i in range(n):
+            copy = passage.copy()
+            copy[int(rng.integers(80))] = f"x{i}"
+            rows.append((i, " ".join(words(rng, 20) + copy + words(rng, 20))))
+        assert substring.repeated_passages(docs(spark, rows)).count() < 12 * n
+
+
+def test_passages_of_odd_tables(spark):
+    rng = np.random.default_rng(9)
+    a, b = words(rng, 120), words(rng, 120)
+    text = {"a": " ".join(a), "b": " ".join(b), "c": " ".join(a[:60] + b[60:])}
+    rows = [(1, text["a"]), (1, text["b"]), (2, text["a"]), (2, text["c"]), (3, text["b"]), (3, text["b"]), (4, None), (None, text["a"]), (5, "x y " * 4000), (6, "x y " * 3000), (7, " ".join(a) + " ".join(b) * 200)]
+    got = substring.repeated_passages(docs(spark, rows)).collect()
+    assert all(r.source_id < r.doc_id for r in got) and {4} & {r.doc_id for r in got} == set()
+    kept = substring.cut_repeats(docs(spark, rows))
+    assert kept.columns == docs(spark, rows).columns
+    back = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sum(i == 3 for i, _ in back) <= 1 and (None, text["a"]) in back and (4, None) in back
+    assert sorted(map(str, back)) == sorted(str((r.doc_id, r.text)) for r in substring.cut_repeats(docs(spark, rows[::-1])).collect())
 
 
 def test_large_groups_of_equal_windows_are_covered(spark):
@@ -218,6 +258,7 @@ def test_large_groups_of_equal_windows_are_covered(spark):
 
 def test_passages_of_an_empty_table(spark):
     assert substring.repeated_passages(docs(spark, [])).count() == 0
+    assert substring.cut_repeats(docs(spark, [])).count() == 0
 
 
 def test_dual_descent_separates_and_calibrates():

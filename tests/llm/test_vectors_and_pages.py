@@ -107,6 +107,54 @@ def test_warc_of_no_pages(spark):
     assert warc.captures(spark, path).count() == 0
 
 
+def test_vectors_of_each_dimension_have_their_own_index(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(c) for c in rng.standard_normal(3 if i % 7 == 0 else 8)]) for i in range(210)] + [(1000, [1.0])]
+    got = ann.search(cells.finite_vectors(vectors(spark, rows)), F.pmod("id", F.lit(20)) == 0, 10).collect()
+    dims = {i: len(v) for i, v in rows}
+    for q in range(0, 210, 20):
+        mine = [r for r in got if r.query_id == q]
+        assert sorted(r.rank for r in mine) == list(range(1, 11)) and all(dims[r.vec_id] == dims[q] for r in mine)
+    assert not [r for r in got if 1000 in (r.query_id, r.vec_id)]
+
+
+def test_recall_on_the_given_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    v = cells.finite_vectors(table)
+    got = ann.search(v, F.pmod("id", F.lit(20)) == 0, 10).collect()
+    data = {r.id: np.array(r.vec) for r in v.collect() if np.any(r.vec)}
+    ids = np.array(sorted(data))
+    x = np.array([data[i] for i in ids])
+    found = total = 0
+    for q in ids[ids % 20 == 0]:
+        d = np.sqrt(((x - data[q]) ** 2).sum(axis=1))
+        d[ids == q] = np.inf
+        best = set(ids[np.argsort(d, kind="stable")[:10]].tolist())
+        found += len(best & {r.vec_id for r in got if r.query_id == q})
+        total += len(best)
+    assert found >= 0.93 * total
+
+
+def test_buckets_are_pruned(spark, monkeypatch):
+    """Of vectors with very different lengths most cells are not searched, and the result is whole."""
+    seen = []
+    real = topk.alive
+
+    def counted(queries, levels):
+        out = real(queries, levels)
+        seen.append((out.count(), queries.join(levels, "dim").agg(F.sum("parts")).first()[0]))
+        return out
+
+    monkeypatch.setattr(topk, "alive", counted)
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(np.float32(c)) for c in rng.standard_normal(6) * 2.0 ** (i % 12)]) for i in range(1200)]
+    got = topk.top_k(topk.quantized(vectors(spark, rows)), F.pmod("id", F.lit(20)) == 0, 20).collect()
+    whole = {i: np.floor(64 * np.array(v, np.float64)).astype(int) for i, v in rows}
+    want = [(q, r + 1, c, -s) for q in whole if q % 20 == 0 for r, (s, c) in enumerate(sorted((-int(whole[q] @ whole[c]), c) for c in whole if c != q)[:20])]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert seen and seen[0][0] < 0.5 * seen[0][1]
+
+
 def page(body):
     return f"<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t='</p>';</script></head><body><nav><ul><li>Menu</ul></nav>{body}<footer>&copy; x</footer></body></html>"
 
@@ -118,6 +166,14 @@ CASES = {
     "<p>no article <i>here</i></p> tail": "no article here\ntail",
     "": "",
     None: "",
+    '<html><body class="no-sidebar"><article class="post has-sidebar"><h1 class="header-title">Title</h1><div class="social-sciences">On society</div></article></body></html>': "Title\nOn society",
+    "<!-- <article>old</article> --><script>'<article>'</script><p>body text</p>": "body text",
+    "<article><header>x <div><h1>Head <i>line</i></h1></div><p>by me</p><nav>a</nav></header><p>text</p><footer>foot</footer></article>": "Head line\ntext",
+    "<article><p>one</p></article><div class='comments'><article class='comment'><p>me too</p></article></div>": "one",
+    "<article><p>one</p><article class='comment'><p>me too</p></article></article>": "one",
+    "<article><div class='ad-banner'>buy</div><p>one</p><p role='note'>two</p></article>": "one\ntwo",
+    "<p>before</p><aside><article>side</article></aside>": "before",
+    "<div>" * 3000 + "deep" + "</div>" * 3000: "deep",
     "<script>never closed": "",
     "< not a tag & <a href=\"x>y\">z</a> &am &#233;": "< not a tag & z &am é",
 }
@@ -135,4 +191,17 @@ def test_template_of_a_site_goes_and_repeated_paragraphs_of_articles_stay(spark)
     got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"Story {i} is told" for i in range(20)) and all(got[100 + i] == "The same line.\nOwn" for i in range(20))
     assert "Site slogan" in got[200]
+
+
+def test_recurrence_alone_finds_the_template_of_neutral_markup(spark):
+    """No element, class, id or role tells what is what: menu, notice and imprint recur, the story does not."""
+    parts = "<div><span>Home</span><span>News</span></div>", "<div>We use what we need to.</div>", "<div><div>Imprint</div><div>Contact us</div></div>"
+    pages_ = [(i, f"http://n.org/{i}", f"<body>{parts[0]}{parts[1]}<div><div>Story {i}</div><div>It goes on {i * 7}.</div></div>{parts[2]}</body>") for i in range(40)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages_, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(40)] == [f"Story {i}\nIt goes on {i * 7}." for i in range(40)]
+    alone = html.extract(spark.createDataFrame([(0, "http://other.org/", pages_[0][2])], "page_id long, url string, html string")).first().text
+    assert "Imprint" in alone and "Home" in alone
+
+
+def test_main_text_of_no_pages(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0

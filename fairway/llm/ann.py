@@ -4,8 +4,9 @@ On a bounded sample of distinct vectors a graph of nearest neighbours is built a
 partitions by recursive bisection: each cut halves the vertices along the slowest-varying direction of
 the graph and is then improved by exchanging vertices.  A small softmax classifier learns which partition
 a vector belongs to.  Every vector is indexed in its most probable partition; a query goes to its most
-probable partitions, until they hold ``MASS`` of its probability and enough vectors for a whole answer, and
-all vectors there are reranked by their exact distance.
+probable partitions, until they hold a certain mass of its probability and enough vectors for a whole answer, and
+all vectors there are reranked by their exact distance.  The mass is measured: with it the routes of the sample's
+vectors, of those learned from and of those kept apart, hold ``TARGET`` of their nearest neighbours in the sample.
 
 ``SAMPLE`` bounds the sample of each dimension and so what a fitting task holds; the number of partitions grows
 with the cube root of the table.  Every row is indexed.
@@ -28,7 +29,7 @@ from . import cells, common
 SAMPLE = 4000
 PARTITIONS = 8, 512
 NEIGHBOURS = 12
-MASS = 0.993
+TARGET, APART = 0.97, 0.2
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -105,6 +106,24 @@ def partitions(rows: int) -> int:
     return int(min(max(2 ** round(np.log2(max(rows, 1)) / 3), PARTITIONS[0]), PARTITIONS[1]))
 
 
+def probabilities(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    s = np.concatenate((x, np.ones((len(x), 1))), axis=1) @ w
+    p = np.exp(s - s.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def measured_mass(p: np.ndarray, near: np.ndarray, rows: np.ndarray) -> float:
+    """The mass that routes of these rows need to hold TARGET of their neighbours, each in its most probable partition."""
+    if not len(rows) or not near.shape[1]:
+        return 1.0
+    home = p.argmax(axis=1)
+    order = np.argsort(-p[rows], axis=1, kind="stable")
+    before = np.zeros_like(p[rows])  # what a route holds before it reaches each partition
+    np.put_along_axis(before, order, np.cumsum(np.take_along_axis(p[rows], order, axis=1), axis=1) - np.take_along_axis(p[rows], order, axis=1), axis=1)
+    needed = np.take_along_axis(before, home[near[rows]], axis=1)
+    return float(np.quantile(needed, TARGET)) + 1e-9
+
+
 def fit(vectors: DataFrame, sample: int = SAMPLE, seed: int = 17) -> dict[int, bytes]:
     """A model for each dimension, from at most ``sample`` distinct vectors of it, chosen by a seeded hash."""
     order = Window.partitionBy("dim").orderBy(F.xxhash64("vec", F.lit(seed)), "vec")
@@ -117,17 +136,21 @@ def fit(vectors: DataFrame, sample: int = SAMPLE, seed: int = 17) -> dict[int, b
         scale = float(np.sqrt((x**2).sum(axis=1).mean()))
         center = x.mean(axis=0)
         x = (x - center) / max(scale, 1e-300)
+        apart = np.random.default_rng(seed).random(len(x)) < APART
+        w = learn(x[~apart], partition(x, n)[~apart], n) if (~apart).any() else np.zeros((x.shape[1] + 1, n))
+        p, near = probabilities(x, w), neighbour_graph(x, NEIGHBOURS)
+        mass = max(measured_mass(p, near, np.flatnonzero(a)) for a in (apart, ~apart) if a.any())
         out = io.BytesIO()
-        np.savez(out, w=learn(x, partition(x, n), n), center=center, scale=scale)
+        np.savez(out, w=w, center=center, scale=scale, mass=mass)
         return pa.table({"dim": table.column("dim")[:1], "model": pa.array([out.getvalue()], pa.binary())})
 
     # One row for each dimension there is.
     return {r["dim"]: bytes(r["model"]) for r in chosen.groupBy("dim").applyInArrow(run, "dim int, model binary").collect()}
 
 
-def probable(models: dict[int, bytes], sizes: dict[int, dict[int, int]] | None = None, mass: float = 0.0, least: int = 0):
-    """The partitions of a vector, most probable first, until they hold ``mass`` of its probability and, by
-    the sizes of partitions, ``least`` vectors."""
+def probable(models: dict[int, bytes], sizes: dict[int, dict[int, int]] | None = None, least: int = 0):
+    """The most probable partition of a vector alone; or, with the sizes of partitions, those of its route: until
+    they hold the model's mass of its probability and ``least`` vectors."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         loaded: dict[int, tuple] = {}
@@ -139,12 +162,10 @@ def probable(models: dict[int, bytes], sizes: dict[int, dict[int, int]] | None =
                 if dim not in loaded:
                     got = np.load(io.BytesIO(models[dim]))
                     w = got["w"]
-                    loaded[dim] = w, got["center"], max(float(got["scale"]), 1e-300), np.array([(sizes or {}).get(dim, {}).get(i, 0) for i in range(w.shape[1])])
-                w, center, scale, held = loaded[dim]
+                    loaded[dim] = w, float(got["mass"]) if sizes else 0.0, got["center"], max(float(got["scale"]), 1e-300), np.array([(sizes or {}).get(dim, {}).get(i, 0) for i in range(w.shape[1])])
+                w, mass, center, scale, held = loaded[dim]
                 x = np.asarray(vectors.take(pa.array(at)).flatten()).reshape(len(at), dim)
-                s = np.concatenate(((x - center) / scale, np.ones((len(x), 1))), axis=1) @ w
-                p = np.exp(s - s.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
+                p = probabilities((x - center) / scale, w)
                 order = np.argsort(-p, axis=1, kind="stable")
                 wide = np.cumsum(np.take_along_axis(p, order, axis=1), axis=1) < mass
                 wide |= np.cumsum(held[order], axis=1) < least
@@ -184,7 +205,7 @@ def _rerank(k: int):
     return run
 
 
-def search(vectors: DataFrame, is_query, k: int, mass: float = MASS) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int) -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance) of the k nearest rows found for every query.
 
     vectors has id long, vec array<double>, dim, one row per id.  Zero vectors take no part.  Vectors of
@@ -204,7 +225,7 @@ def search(vectors: DataFrame, is_query, k: int, mass: float = MASS) -> DataFram
     sizes: dict[int, dict[int, int]] = {}
     for r in homes.collect():
         sizes.setdefault(r["dim"], {})[r["home"]] = r["n"]
-    route = probable(models, sizes, mass, k + 1)
+    route = probable(models, sizes, k + 1)
     asking = index.where("query").select("id", "vec", "dim", F.explode(route("vec")).alias("home")).join(F.broadcast(homes.select("dim", "home", "parts")), ["dim", "home"])
     asked = asking.groupBy("dim", "home").agg(F.ceil(F.count("*") / cells.QUERIES).cast("int").alias("query_parts"))
     asked.write.parquet(f"{path}/asked")

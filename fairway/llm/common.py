@@ -14,22 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
+    """The folder that driver and executors share: spark.checkpoint.dir, or the one set on the context.
 
-    Only where the session has none (tests on one machine) the warehouse is used.
+    Only in local mode (tests on one machine) a session without either uses the warehouse.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     return found.rstrip("/")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Sets the checkpoint folder only where neither the cluster nor the caller has set one."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-
-
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A new place in the shared folder for a table that cuts lineage."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"

@@ -44,3 +44,26 @@ def test_stages_keep_the_columns_and_each_takes_effect(spark):
 
 def test_run_applies_all_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_on_odd_and_empty_tables(spark):
+    """Nulls, empty and long texts, repeats and extra columns with the operators' own names pass through every stage."""
+    given = common.table(spark, SF, "documents").limit(40)
+    kinds = given.schema
+    long = "w1 w2 w3 w4 w5 w6 " * 3000
+    odd = [(9001, None, "en", "src0", 0), (9002, "", None, "src0", 0), (9003, long, "en", None, len(long)), (None, "no id here", "en", "src1", 10), (9004, "same text here", "en", "src1", 14), (9004, "same text here", "en", "src1", 14), (9005, "same text here", "en", "src1", 14)]
+    names = {"doc_id": 0, "text": 1, "lang": 2, "source": 3, "n_chars": 4}
+    extra = spark.createDataFrame([tuple(r[names[f.name]] for f in kinds) for r in odd], kinds)
+    docs = given.unionByName(extra)
+    for name in ("score", "component_id", "fp", "spans_", "node"):
+        docs = docs.withColumn(name, docs.doc_id + 1)
+    for table in (docs, docs.limit(0)):
+        now = table
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            path = common.fresh_path(spark, f"odd{k}")
+            stage(spark, now, SF).write.parquet(path)
+            after = spark.read.parquet(path)
+            assert after.count() <= now.count()
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert after.columns == table.columns
+            now = after

@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 documents.
+
+In every stage null and empty texts are texts like others (they score low, are one group of copies, have no passage
+and no token), long texts are worked on whole, an empty table gives an empty one, columns beyond those of documents
+pass through whatever their names (but for the last stage's, which are its own), and rows with a null doc_id are no
+one's copies.  Rows that repeat a doc_id are told apart by their text; of equal ones one stays from near-dedup on.
 """
 
 from __future__ import annotations
@@ -13,17 +18,17 @@ from fairway.llm import bpe, common, mixing, neardup, quality, substring
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; those without a label too, by their score."""
     return quality.keep_good(docs, common.table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates by five-word shingles at a similarity of 0.8 one document stays."""
+    """Of each group of near-duplicates by five-word shingles at a similarity of 0.8 the document of smallest id stays."""
     return neardup.keep_one(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that repeat one of an earlier document are cut out."""
+    """Passages that repeat one of a document of smaller id are cut out; what is nothing else goes."""
     return substring.cut_repeats(docs)
 
 

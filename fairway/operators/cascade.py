@@ -198,6 +198,15 @@ def contributions(exposure: DataFrame, reach: DataFrame, shares: DataFrame, rose
     )
 
 
+def cascade(cells: DataFrame, legs: DataFrame, lateral: DataFrame, edges: DataFrame, rose: DataFrame, rates: DataFrame, reach: DataFrame, anchor_share: float = ANCHOR_SHARE, anchor_draughts: float = ANCHOR_DRAUGHTS, drift_kn: float = drifting.DRIFT_KN, slices: int = SLICES, rays: int = RAYS, factors: dict[str, float] | None = None, detail: str = "all", **repair) -> DataFrame:
+    """The fact table of all scenarios.  reach: scenario_id, reach_m; legs also have length_m; edges as facing_edges."""
+    facing = facing_edges(frames(legs, lateral).join(reach, "scenario_id"), edges)
+    exposure = drifting.blackout_exposure(cells, legs, rates)
+    exposure = with_buckets(exposure, edges.where("kind = 'depth'").select("scenario_id", "value_m"), anchor_draughts)
+    buckets = exposure.select(*LEG, "ground_m", "anchor_m").distinct()
+    return contributions(exposure, reached(ray_hits(facing, slices, rays), buckets), edge_shares(facing), rose, anchor_share, drift_kn, factors, detail, **repair)
+
+
 def rolled_up(facts: DataFrame, *keys: str) -> DataFrame:
     """Frequencies by accident and the keys, with means weighted by frequency and the least distance."""
     mean = lambda c: F.try_divide(F.sum(F.col(c) * F.col("frequency")), F.sum("frequency")).alias(c)

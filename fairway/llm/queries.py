@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, html, mixing, quality, simhash, substring, topk, toxicity, warc
+from . import ann, bpe, html, interactions, mixing, quality, simhash, substring, topk, toxicity, turntrie, urls, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -15,10 +15,16 @@ QUERIES = {
     "op8_substring": substring.op8_substring,
     "op9_html": html.op9_html,
     "op10_simhash": simhash.op10_simhash,
+    "op11_urls": urls.op11_urls,
+    "op12_turntrie": turntrie.op12_turntrie,
+    "op13_interactions": interactions.op13_interactions,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_topk": topk.ORACLE,
     "op3_warc": warc.ORACLE,
     "op6_mixing": mixing.ORACLE,
+    "op11_urls": urls.ORACLE,
+    "op12_turntrie": turntrie.ORACLE,
+    "op13_interactions": interactions.ORACLE,
 }

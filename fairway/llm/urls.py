@@ -233,11 +233,12 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame = RULE
     if not shapes:
         return plain.select("*", host.alias("host"), path.alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(unlisted).alias("verdict"))
     given = candidates(host, path, shapes)
-    seen = pages.select(F.explode(given).alias("key")).select("key", F.lit(None).cast("string").alias("verdict"))
-    keys = seen.unionByName(listed.select("key", "verdict")).groupBy("key").agg(F.max("verdict").alias("verdict"))
+    seen = pages.select(F.explode(given).alias("key")).select("key", F.lit(0).alias("code"))
+    coded = listed.select("key", F.when(F.col("verdict") == "block", 2).otherwise(1).alias("code"))
+    keys = seen.unionByName(coded).groupBy("key").agg(F.max("code").alias("code"))  # numbers, so that Spark hashes instead of sorting
     a, b = _lanes_of(F.col("key"))
     at = common.fresh_path(spark, "urlkeys")
-    keys.select(a.alias("a"), b.alias("b"), F.coalesce(F.col("verdict") == "block", F.lit(False)).alias("block"), F.coalesce(F.col("verdict") == "allow", F.lit(False)).alias("allow")).write.parquet(at)
+    keys.select(a.alias("a"), b.alias("b"), (F.col("code") == 2).alias("block"), (F.col("code") == 1).alias("allow")).write.parquet(at)
     universe = spark.read.parquet(at)
     counts = universe.agg(F.count("*"), F.count_if("block"), F.count_if("allow")).first()
     # Bits for a listed key: log2(others / listed) / ln 2 in level 0, about 6 in the levels above.

@@ -6,7 +6,9 @@ distance; it is in an anchor zone if it has met one before.  So shadows are runn
 shares that reach an obstacle are sums of masses.  Obstacles that a ship meets depend on its draught only through
 the deepest contour under it, so ships share one evaluation for each pair of contours (its *bucket*).
 
-All tables carry scenario_id.  Rays are generated for each edge inside its own span, and edges meet legs on grid
+All tables carry scenario_id; where legs and edges have none, all scenarios share one geometry and its rays are cast
+once.  With merged contours a ship meets one obstacle for the ground under it and one for its anchor depth, however many
+charts' polygons they are made of.  Rays are generated for each edge inside its own span, and edges meet legs on grid
 cells, so nothing is crossed.
 """
 
@@ -17,8 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fairway.functions import expr as X
+from fairway.functions.shared import written
 
-from . import drifting
+from . import drifting, polygons
 from .powered import CELL_M, _boxed
 
 DIRECTIONS, SLICES, RAYS, SPREAD = 8, 20, 60, 5.0
@@ -54,12 +57,16 @@ def facing_edges(at: DataFrame, edges: DataFrame, reach_m: Column | str = "reach
     step = lambda g, k: (F.col("part") + g) / F.col("parts") * reach * F.col(f"e{k}")
     box = {k: [F.col(f"{p}_{k}") + step(g, k) + sign * pad for p in "se" for g in (0, 1) for sign in (-1, 1)] for k in "xy"}
     mine = _boxed(parts, box["x"], box["y"]).select("scenario_id", "leg_id", "dir_idx", "direction", "cell_x", "cell_y").distinct()
-    there = _boxed(edges, [F.col("a_x"), F.col("b_x")], [F.col("a_y"), F.col("b_y")])
-    pairs = mine.join(there, ["scenario_id", "cell_x", "cell_y"]).drop("cell_x", "cell_y").distinct()
-    both = pairs.join(at, [*LEG, "direction"])
+    ids = ["scenario_id", "obstacle_id", "edge"]
+    there = _boxed(edges, [F.col("a_x"), F.col("b_x")], [F.col("a_y"), F.col("b_y")]).select(*ids, "cell_x", "cell_y")
+    pairs = mine.join(there, ["scenario_id", "cell_x", "cell_y"]).select(*LEG, "direction", "obstacle_id", "edge").distinct()
+    both = pairs.join(at, [*LEG, "direction"]).join(edges, ids)
     for p in "ab":
         both = both.withColumn(f"x{p}", F.expr(f"({p}_x - s_x) * ex + ({p}_y - s_y) * ey")).withColumn(f"c{p}", F.expr(f"ex * ({p}_y - s_y) - ey * ({p}_x - s_x)"))
-    return both
+    # What the grid lets pass must also lie beside the leg across the drift, and neither behind it nor out of reach.
+    wide = f"(abs(mean_m) + {X.num(SPREAD)} * std_m + 1e0)"
+    both = both.where(f"greatest(ca, cb) >= least(0e0, c1) - {wide} and least(ca, cb) <= greatest(0e0, c1) + {wide}")
+    return both.where(f"greatest(xa, xb) >= least(0e0, x1) - {wide}").where(F.expr(f"least(xa, xb) - greatest(0e0, x1) - {wide}") <= reach)
 
 
 def ray_hits(facing: DataFrame, slices: int = SLICES, rays: int = RAYS) -> DataFrame:
@@ -68,7 +75,14 @@ def ray_hits(facing: DataFrame, slices: int = SLICES, rays: int = RAYS) -> DataF
     Lateral places cover SPREAD deviations to both sides of the mean; masses are the normal's over each place's
     share, divided by the number of slices.
     """
-    at = facing.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).withColumn("f", (F.col("slice") + 0.5) / slices)
+    # Slices from which the edge lies within the lateral places, across the drift.
+    ws = [F.expr(f"spread * (mean_m {s} {X.num(SPREAD)} * std_m)") for s in "-+"]
+    slanted = F.abs("c1") > 1e-6
+    fs = [(e - w) / F.when(slanted, F.col("c1")) for e in (F.least("ca", "cb"), F.greatest("ca", "cb")) for w in ws]
+    low = F.greatest(F.lit(0), F.floor(F.least(*fs) * slices - 0.5).cast("int") - 1)
+    high = F.least(F.lit(slices - 1), F.ceil(F.greatest(*fs) * slices - 0.5).cast("int") + 1)
+    at = facing.withColumn("low_", F.when(slanted, low).otherwise(0)).withColumn("high_", F.when(slanted, high).otherwise(slices - 1)).where("low_ <= high_")
+    at = at.withColumn("slice", F.explode(F.sequence("low_", "high_"))).withColumn("f", (F.col("slice") + 0.5) / slices)
     at = at.withColumn("ya", F.expr("ca - f * c1")).withColumn("yb", F.expr("cb - f * c1")).withColumn("low", F.col("mean_m") - SPREAD * F.col("std_m"))
     at = at.withColumn("step", 2 * SPREAD * F.col("std_m") / rays).where("step > 0")
     # Where the drift runs straight across the leg, all lateral places of a slice are on one line.
@@ -93,30 +107,58 @@ def plain_holes(hits: DataFrame) -> DataFrame:
 def with_buckets(cells: DataFrame, depths: DataFrame, anchor_draughts: float = ANCHOR_DRAUGHTS) -> DataFrame:
     """Adds ground_m and anchor_m: the deepest contour less deep than the draught, and than that many draughts.
 
-    depths (scenario_id, value_m) are contours; a chart has few different ones.  Null where there is none.
+    depths (value_m, and scenario_id if each scenario has its own) are contours; a chart has few different ones.  Null
+    where there is none.
     """
-    bins = depths.groupBy("scenario_id").agg(F.sort_array(F.collect_set("value_m")).alias("bins_"))
+    own = [k for k in ("scenario_id",) if k in depths.columns]
+    bins = depths.groupBy(*own).agg(F.sort_array(F.collect_set("value_m")).alias("bins_"))
     under = lambda x: F.expr(f"array_max(filter(bins_, b -> b < {x}))")
     draught = "round(draught_m, 2)"
-    return cells.join(bins, "scenario_id", "left").withColumn("ground_m", under(draught)).withColumn("anchor_m", under(f"round({X.num(anchor_draughts)} * {draught}, 2)")).drop("bins_")
+    both = cells.join(bins, own, "left") if own else cells.join(F.broadcast(bins))  # one row
+    return both.withColumn("ground_m", under(draught)).withColumn("anchor_m", under(f"round({X.num(anchor_draughts)} * {draught}, 2)")).drop("bins_")
 
 
-def reached(hits: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Per bucket and obstacle: accident (allision, grounding, anchoring), hole, h_reach, h_in_anchor, distance_m.
+def with_merged_contours(edges: DataFrame, used: DataFrame | None = None) -> DataFrame:
+    """edges with the depths merged: one obstacle for each depth that occurs, of all polygons up to it (its id is negative).
 
-    buckets: scenario_id, leg_id, dir_idx, ground_m, anchor_m, each once.  Obstacles stand in order of their least
-    distance, of equal ones objects first, then by id; an anchor zone stands before the ground of the same contour.
+    used (scenario_id, value_m): the depths that any ship has for its ground or anchor contour; others are left out.
     """
-    far = plain_holes(hits)
-    rows = hits.join(far.select(*LEG, "direction", "obstacle_id", "distance_m", "hole"), [*LEG, "direction", "obstacle_id"]).join(buckets, LEG)
+    depths = polygons.merged_contours(edges.where("kind = 'depth'"))
+    if used is not None:
+        depths = depths.join(used.select("scenario_id", F.col("value_m").alias("boundary_m")).distinct(), ["scenario_id", "boundary_m"], "left_semi")
+    merged = polygons.as_obstacles(depths)
+    objects = edges.where("kind = 'object'").withColumn("edge", F.col("edge").cast("long"))
+    return objects.select(merged.columns).unionByName(merged)
+
+
+def _rows_of_buckets(rows: DataFrame, buckets: DataFrame, merged: bool) -> DataFrame:
+    """Hits with the buckets that meet their obstacle, and as what: place and accident."""
+    role = lambda place, accident: [F.lit(place).alias("place"), F.lit(accident).alias("accident")]
+    if merged:  # one contour stands for all above it, so depths meet their own buckets alone
+        depth = rows.where("kind = 'depth'")
+        on = lambda c: [*[depth[k] == buckets[k] for k in LEG], depth.value_m == buckets[c]]
+        own = lambda c, *r: depth.join(buckets, on(c)).select(*[depth[k] for k in depth.columns], buckets.ground_m, buckets.anchor_m, *role(*r))
+        objects = rows.where("kind = 'object'").join(buckets, LEG).select(*rows.columns, "ground_m", "anchor_m", *role(0, "allision"))
+        return objects.unionByName(own("anchor_m", 1, "anchoring")).unionByName(own("ground_m", 2, "grounding"))
     kinds = F.array_compact(
         F.array(
-            F.when(F.col("kind") == "object", F.struct(F.lit(0).alias("place"), F.lit("allision").alias("accident"))),
-            F.when((F.col("kind") == "depth") & (F.col("value_m") <= F.col("anchor_m")), F.struct(F.lit(1).alias("place"), F.lit("anchoring").alias("accident"))),
-            F.when((F.col("kind") == "depth") & (F.col("value_m") <= F.col("ground_m")), F.struct(F.lit(2).alias("place"), F.lit("grounding").alias("accident"))),
+            F.when(F.col("kind") == "object", F.struct(*role(0, "allision"))),
+            F.when((F.col("kind") == "depth") & (F.col("value_m") <= F.col("anchor_m")), F.struct(*role(1, "anchoring"))),
+            F.when((F.col("kind") == "depth") & (F.col("value_m") <= F.col("ground_m")), F.struct(*role(2, "grounding"))),
         )
     )
-    rows = rows.select("*", F.inline(kinds))
+    return rows.join(buckets, LEG).select("*", F.inline(kinds))
+
+
+def reached(hits: DataFrame, buckets: DataFrame, merged: bool = False) -> DataFrame:
+    """Per bucket and obstacle: accident (allision, grounding, anchoring), hole, h_reach, h_in_anchor, distance_m.
+
+    buckets: scenario_id, leg_id, dir_idx, ground_m, anchor_m, each once.  Obstacles stand in order of their least
+    distance, of equal ones objects first, then by id; an anchor zone stands before the ground of the same contour.
+    """
+    far = plain_holes(hits)
+    rows = hits.join(far.select(*LEG, "direction", "obstacle_id", "distance_m", "hole"), [*LEG, "direction", "obstacle_id"])
+    rows = _rows_of_buckets(rows, buckets, merged)
     bucket = [*LEG, "direction", "ground_m", "anchor_m"]
     order = Window.partitionBy(*bucket, "slice", "ray").orderBy("distance_m", F.least("place", F.lit(1)), "obstacle_id", "place").rowsBetween(Window.unboundedPreceding, -1)
     none = F.lit(float("inf"))
@@ -133,28 +175,32 @@ def edge_shares(facing: DataFrame) -> DataFrame:
     """Per leg, directions, obstacle and edge: share of the obstacle's edges that face the drift inside its
     corridor, by length, and the mean distance of the edge's ends from the leg along the drift.
 
-    Edges run counter-clockwise around their obstacle.
+    Edges run counter-clockwise around their obstacle.  If none of them counts, all near the corridor share equally.
     """
     side = [F.expr(f"spread * (mean_m {s} {X.num(SPREAD)} * std_m)") for s in "-+"]
     low, high = F.least(F.lit(0.0), "c1") + F.least(*side), F.greatest(F.lit(0.0), "c1") + F.greatest(*side)
     e = facing.withColumn("long", F.expr("sqrt(pow(xb - xa, 2e0) + pow(cb - ca, 2e0))")).where("long > 0")
-    # The outer normal's part along the drift is the edge's step to the left, turned back.
-    e = e.where(F.expr("(cb - ca) / long") <= -FACING).withColumn("low", low).withColumn("high", high)
+    e = e.withColumn("low", low).withColumn("high", high)
     lo, hi = F.greatest(F.least("ca", "cb"), "low"), F.least(F.greatest("ca", "cb"), "high")
-    e = e.withColumn("inside_m", F.greatest(hi - lo, F.lit(0.0)) / F.abs(F.col("cb") - F.col("ca")) * F.col("long"))
+    # The outer normal's part along the drift is the edge's step to the left, turned back.
+    met = F.expr("(cb - ca) / long") <= -FACING
+    e = e.withColumn("inside_m", F.when(met, F.greatest(hi - lo, F.lit(0.0)) / F.abs(F.col("cb") - F.col("ca")) * F.col("long")).otherwise(0.0))
     for p in "ab":
         ahead = F.when(F.abs("c1") > 1e-6, F.col("x1") * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(f"c{p}") / F.col("c1")))).otherwise(F.greatest(F.lit(0.0), "x1"))
         e = e.withColumn(f"d{p}", F.col(f"x{p}") - ahead)
     near = lambda p: F.when(F.col(f"d{p}") >= 0, F.col(f"d{p}"))
     distance = F.coalesce((near("a") + near("b")) / 2, near("a"), near("b"))
-    e = e.withColumn("edge_m", distance).where("inside_m > 0 and edge_m is not null and edge_m <= reach_m")
-    total = F.sum("inside_m").over(Window.partitionBy(*LEG, "direction", "obstacle_id"))
-    return e.select(*LEG, "direction", "obstacle_id", "edge", (F.col("inside_m") / total).alias("share"), "edge_m")
+    e = e.withColumn("edge_m", F.when(F.col("inside_m") > 0, distance)).withColumn("inside_m", F.when(F.col("edge_m") <= F.col("reach_m"), F.col("inside_m")).otherwise(0.0))
+    whole = e.groupBy(*LEG, "direction", "obstacle_id").agg(F.sum("inside_m").alias("all_m"), F.count("*").alias("edges"))
+    share = F.when(F.col("all_m") > 0, F.try_divide("inside_m", "all_m")).otherwise(1.0 / F.col("edges"))
+    out = e.join(whole, [*LEG, "direction", "obstacle_id"]).withColumn("share", share).where("share > 0")
+    return out.select(*LEG, "direction", "obstacle_id", "edge", "share", F.when(F.col("all_m") > 0, F.col("edge_m")).alias("edge_m"))
 
 
-def _chances(reach: DataFrame, shares: DataFrame, rose: DataFrame, anchor_share: float, drift_kn: float, factors: dict[str, float] | None, repair: dict) -> DataFrame:
+def _chances(reach: DataFrame, shares: DataFrame, rose: DataFrame, anchor_share: float, drift_kn: float, factors: dict[str, float] | None, repair: dict, shared: bool = False) -> DataFrame:
     """Per bucket, drift direction, obstacle and edge: the chance that a blackout ends there, by accident."""
-    parts = reach.join(rose, ["scenario_id", "direction"]).join(shares, [*LEG, "direction", "obstacle_id"], "left")
+    parts = reach.join(shares, [*LEG, "direction", "obstacle_id"], "left")
+    parts = parts.drop("scenario_id").join(rose, "direction") if shared else parts.join(rose, ["scenario_id", "direction"])
     parts = parts.withColumn("share", F.coalesce("share", F.lit(1.0))).withColumn("edge_m", F.coalesce("edge_m", "distance_m"))
     parts = drifting.not_repaired(parts, "edge_m", drift_kn=drift_kn, **repair)
     free = F.when(F.col("accident") == "anchoring", F.col("h_reach")).otherwise(F.greatest(F.lit(0.0), F.col("h_reach") - anchor_share * F.col("h_in_anchor")))
@@ -169,17 +215,17 @@ def _chances(reach: DataFrame, shares: DataFrame, rose: DataFrame, anchor_share:
 DETAILS = ("all", "places", "cells")
 
 
-def contributions(exposure: DataFrame, reach: DataFrame, shares: DataFrame, rose: DataFrame, anchor_share: float = ANCHOR_SHARE, drift_kn: float = drifting.DRIFT_KN, factors: dict[str, float] | None = None, detail: str = "all", **repair) -> DataFrame:
+def contributions(exposure: DataFrame, reach: DataFrame, shares: DataFrame, rose: DataFrame, anchor_share: float = ANCHOR_SHARE, drift_kn: float = drifting.DRIFT_KN, factors: dict[str, float] | None = None, detail: str = "all", shared: bool = False, **repair) -> DataFrame:
     """The cascade's fact table: yearly frequency of each cell at each edge of each obstacle, by drift direction.
 
     exposure: with_buckets of blackout_exposure; reach: reached; rose: scenario_id, direction, rp; factors: by
-    accident, 1 where missing.  An obstacle without facing edges has one row, with its own distance and no edge.
+    accident, 1 where missing.  With shared, reach and shares are of one geometry for all scenarios.
     Where no report asks for both cells and places, detail "places" or "cells" sums up the other side before the
     join, so that cells and edges are never paired: ship_type and size_bin, or obstacle_id and edge, are null then.
     """
     if detail not in DETAILS:
         raise ValueError(f"detail is one of {DETAILS}")
-    parts = _chances(reach, shares, rose, anchor_share, drift_kn, factors, repair)
+    parts = _chances(reach, shares, rose, anchor_share, drift_kn, factors, repair, shared)
     own = exposure.select(*LEG, "ship_type", "size_bin", "base", "freq", "ground_m", "anchor_m")
     bucket = [*LEG, "ground_m", "anchor_m"]
     nothing = F.lit(None).cast("int")
@@ -198,13 +244,27 @@ def contributions(exposure: DataFrame, reach: DataFrame, shares: DataFrame, rose
     )
 
 
-def cascade(cells: DataFrame, legs: DataFrame, lateral: DataFrame, edges: DataFrame, rose: DataFrame, rates: DataFrame, reach: DataFrame, anchor_share: float = ANCHOR_SHARE, anchor_draughts: float = ANCHOR_DRAUGHTS, drift_kn: float = drifting.DRIFT_KN, slices: int = SLICES, rays: int = RAYS, factors: dict[str, float] | None = None, detail: str = "all", **repair) -> DataFrame:
-    """The fact table of all scenarios.  reach: scenario_id, reach_m; legs also have length_m; edges as facing_edges."""
-    facing = facing_edges(frames(legs, lateral).join(reach, "scenario_id"), edges)
+def cascade(
+    cells: DataFrame, legs: DataFrame, lateral: DataFrame, edges: DataFrame, rose: DataFrame, rates: DataFrame, reach: DataFrame, anchor_share: float = ANCHOR_SHARE, anchor_draughts: float = ANCHOR_DRAUGHTS,
+    drift_kn: float = drifting.DRIFT_KN, slices: int = SLICES, rays: int = RAYS, factors: dict[str, float] | None = None, detail: str = "all", merged: bool = False, **repair,
+) -> DataFrame:
+    """The fact table of all scenarios.  reach: scenario_id, reach_m; legs also have length_m; edges as facing_edges.
+
+    If legs, lateral, edges and reach have no scenario_id, all scenarios of cells and rose share their geometry.
+    """
+    shared = "scenario_id" not in legs.columns
     exposure = drifting.blackout_exposure(cells, legs, rates)
-    exposure = with_buckets(exposure, edges.where("kind = 'depth'").select("scenario_id", "value_m"), anchor_draughts)
-    buckets = exposure.select(*LEG, "ground_m", "anchor_m").distinct()
-    return contributions(exposure, reached(ray_hits(facing, slices, rays), buckets), edge_shares(facing), rose, anchor_share, drift_kn, factors, detail, **repair)
+    depths = edges.where("kind = 'depth'").select(*([] if shared else ["scenario_id"]), "value_m")
+    exposure = with_buckets(exposure, depths, anchor_draughts)
+    if shared:
+        legs, lateral, edges, reach = (t.withColumn("scenario_id", F.lit(0).cast("long")) for t in (legs, lateral, edges, reach))
+    scope = F.lit(0).cast("long") if shared else F.col("scenario_id")
+    buckets = exposure.select(scope.alias("scenario_id"), "leg_id", "dir_idx", "ground_m", "anchor_m").distinct()
+    if merged:
+        used = buckets.select("scenario_id", F.explode(F.array("ground_m", "anchor_m")).alias("value_m")).where("value_m is not null")
+        edges = with_merged_contours(edges, used)
+    facing = written(facing_edges(frames(legs, lateral).join(reach, "scenario_id"), edges), "facing")
+    return contributions(exposure, reached(ray_hits(facing, slices, rays), buckets, merged), edge_shares(facing), rose, anchor_share, drift_kn, factors, detail, shared, **repair)
 
 
 def rolled_up(facts: DataFrame, *keys: str) -> DataFrame:

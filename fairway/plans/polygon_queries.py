@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fairway.functions import expr as X
+from fairway.operators import cascade as K
 from fairway.operators import corridors as V
 from fairway.operators import drifting as D
 from fairway.operators import polygons as G
 
 from .adapters import oracle, view
-from .risk_queries import _EDGES, _XY, _drift_inputs
+from .risk_queries import _EDGES, _ROSE, _XY, _drift_inputs, _scenario_cells
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -182,3 +183,101 @@ def fan_rows(spark, sf_dir):
     objects = edges.where("kind = 'object'").select("scenario_id", "obstacle_id", "kind", "value_m", F.col("edge").cast("long").alias("edge"), *G.ENDS)
     areas = V.fan_areas(V.fans(at, objects.unionByName(upto(GROUND_M)), upto(ANCHOR_M), RAYS))
     return areas.select("leg_id", "dir_idx", "direction", F.round(F.col("area_m2") / 1e6, 4).alias("area_km2"), F.round(F.col("anchorable_m2") / 1e6, 4).alias("anchorable_km2"), F.round("blocked", 6).alias("blocked"))
+
+
+# ---- the cascade ------------------------------------------------------------------------------------------------
+
+LOW, STEP = "(mean_m - 5e0 * std_m)", f"(1e1 * std_m / {X.num(K.RAYS)})"
+#: Traffic of each year and a rose for it over one geometry, on a chart with a contour each 5 m; ids of merged contours count down from the shallowest in use.
+_CASCADE = f"""WITH {_EDGES}, eg AS (SELECT obstacle_id, kind, CASE WHEN kind = 'depth' THEN 5e0 * ceil(value_m / 5e0) ELSE value_m END AS value_m, {', '.join(f"CASE WHEN kind = 'depth' THEN round({c} + {X.num(m)}, 3) ELSE {c} + {X.num(m)} END AS {n}" for c, m, n in (('ax', SHIFT[0], 'a_x'), ('ay', SHIFT[1], 'a_y'), ('bx', SHIFT[0], 'b_x'), ('bby', SHIFT[1], 'b_y')))} FROM ed),
+lm AS (SELECT leg_id, {X.haversine('lon1', 'lat1', 'lon2', 'lat2', X.EARTH_ROUTE_M)} AS length_m FROM legs),
+db AS (SELECT DISTINCT value_m AS v FROM eg WHERE kind = 'depth'),
+ex AS (SELECT scenario_id, leg_id, dir_idx, ship_type, size_bin, length_m / (speed_kn * 1852e0) * freq * CASE WHEN ship_type BETWEEN 8 AND 11 THEN 1e-1 ELSE 1e0 END / 8760e0 AS base,
+  (SELECT max(v) FROM db WHERE v < round(draught_m, 2)) AS ground_m, (SELECT max(v) FROM db WHERE v < round(7e0 * round(draught_m, 2), 2)) AS anchor_m FROM scenario_cells JOIN lm USING (leg_id) WHERE speed_kn > 0),
+bk AS (SELECT DISTINCT leg_id, dir_idx, ground_m, anchor_m FROM ex),
+rk AS (SELECT v, -dense_rank() OVER (ORDER BY v) AS cid FROM (SELECT ground_m AS v FROM bk UNION SELECT anchor_m FROM bk) WHERE v IS NOT NULL),
+pr AS (SELECT leg_id, {_XY('lon1', 'lat1')[0]} AS s_x, {_XY('lon1', 'lat1')[1]} AS s_y, {_XY('lon2', 'lat2')[0]} AS e_x, {_XY('lon2', 'lat2')[1]} AS e_y FROM legs),
+fr AS (SELECT *, sqrt(pow(e_x - s_x, 2e0) + pow(e_y - s_y, 2e0)) AS len, sin(radians(direction * 45e0)) AS gx, cos(radians(direction * 45e0)) AS gy FROM pr JOIN leg_lateral USING (leg_id) CROSS JOIN (SELECT CAST(range AS INTEGER) AS direction FROM range(8))),
+fs AS (SELECT leg_id, dir_idx, direction, mean_m, std_m, s_x, s_y, gx, gy, gx * ((e_x - s_x) / len) - gy * (-(e_y - s_y) / len) AS spread, gx * (-(e_y - s_y) / len) + gy * ((e_x - s_x) / len) AS along, (e_x - s_x) * gx + (e_y - s_y) * gy AS x1, gx * (e_y - s_y) - gy * (e_x - s_x) AS c1 FROM fr),
+fc AS (SELECT fs.*, obstacle_id, kind, value_m, a_x, a_y, b_x, b_y, (a_x - s_x) * gx + (a_y - s_y) * gy AS xa, gx * (a_y - s_y) - gy * (a_x - s_x) AS ca, (b_x - s_x) * gx + (b_y - s_y) * gy AS xb, gx * (b_y - s_y) - gy * (b_x - s_x) AS cb
+  FROM fs JOIN eg ON greatest(gx * (a_y - s_y) - gy * (a_x - s_x), gx * (b_y - s_y) - gy * (b_x - s_x)) >= least(0e0, c1) - (abs(mean_m) + 5e0 * std_m) AND least(gx * (a_y - s_y) - gy * (a_x - s_x), gx * (b_y - s_y) - gy * (b_x - s_x)) <= greatest(0e0, c1) + abs(mean_m) + 5e0 * std_m
+    AND greatest((a_x - s_x) * gx + (a_y - s_y) * gy, (b_x - s_x) * gx + (b_y - s_y) * gy) >= least(0e0, x1) - (abs(mean_m) + 5e0 * std_m) AND least((a_x - s_x) * gx + (a_y - s_y) * gy, (b_x - s_x) * gx + (b_y - s_y) * gy) <= greatest(0e0, x1) + abs(mean_m) + 5e0 * std_m + {X.num(REACH)}),
+sl AS (SELECT *, ca - f * c1 AS ya, cb - f * c1 AS yb, {LOW} AS low, {STEP} AS step FROM (SELECT *, (slice + 5e-1) / {X.num(K.SLICES)} AS f FROM fc CROSS JOIN (SELECT range AS slice FROM range({K.SLICES})))),
+ry AS (SELECT *, unnest(CASE WHEN abs(spread) < 1e-6 THEN CASE WHEN least(ya, yb) <= 0 AND greatest(ya, yb) > 0 THEN range({K.RAYS}) ELSE [] END
+  ELSE range(greatest(0, CAST(floor((least(ya / spread, yb / spread) - low) / step) AS BIGINT) - 1), least({K.RAYS - 1}, CAST(ceil((greatest(ya / spread, yb / spread) - low) / step) AS BIGINT) + 1) + 1) END) AS ray FROM sl WHERE ya <> yb),
+rw AS (SELECT *, low + (ray + 5e-1) * step AS w FROM ry), rc AS (SELECT *, CASE WHEN abs(spread) < 1e-6 THEN 0e0 ELSE w * spread END AS c FROM rw),
+rt AS (SELECT *, xa + (c - ya) / (yb - ya) * (xb - xa) - f * x1 - w * along AS t FROM rc WHERE least(ya, yb) <= c AND greatest(ya, yb) > c),
+th AS (SELECT leg_id, dir_idx, direction, slice, ray, obstacle_id, kind, value_m, t, ({X.phi('(low + (ray + 1e0) * step - mean_m) / std_m')} - {X.phi('(low + (ray + 0e0) * step - mean_m) / std_m')}) / {X.num(K.SLICES)} AS mass FROM rt WHERE t >= 0 AND t <= {X.num(REACH)}),
+ht AS (SELECT leg_id, dir_idx, direction, slice, ray, obstacle_id, kind, NULL AS value_m, any_value(mass) AS mass, min(t) AS enter_m, max(t) AS exit_m FROM th WHERE kind = 'object' GROUP BY 1, 2, 3, 4, 5, 6, 7
+  UNION ALL SELECT leg_id, dir_idx, direction, slice, ray, cid, kind, v, any_value(mass), min(t), max(t) FROM th JOIN rk ON value_m <= v WHERE kind = 'depth' GROUP BY 1, 2, 3, 4, 5, 6, 7, 8),
+fa AS (SELECT leg_id, dir_idx, direction, obstacle_id, sum(mass) AS hole, min(enter_m) AS distance_m FROM ht GROUP BY 1, 2, 3, 4),
+hf AS (SELECT * FROM ht JOIN fa USING (leg_id, dir_idx, direction, obstacle_id)),
+rb AS (SELECT hf.*, ground_m, anchor_m, 0 AS place, 'allision' AS accident FROM hf JOIN bk USING (leg_id, dir_idx) WHERE kind = 'object' UNION ALL SELECT hf.*, ground_m, anchor_m, 1, 'anchoring' FROM hf JOIN bk ON hf.leg_id = bk.leg_id AND hf.dir_idx = bk.dir_idx AND value_m = anchor_m WHERE kind = 'depth'
+  UNION ALL SELECT hf.*, ground_m, anchor_m, 2, 'grounding' FROM hf JOIN bk ON hf.leg_id = bk.leg_id AND hf.dir_idx = bk.dir_idx AND value_m = ground_m WHERE kind = 'depth'),
+wb AS (SELECT *, coalesce(min(CASE WHEN place <> 1 THEN enter_m END) OVER w, 1e308) AS blocked_m, coalesce(min(CASE WHEN place = 1 THEN enter_m END) OVER w, 1e308) AS anchors_m FROM rb
+  WINDOW w AS (PARTITION BY leg_id, dir_idx, direction, ground_m, anchor_m, slice, ray ORDER BY distance_m, least(place, 1), obstacle_id, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+re AS (SELECT leg_id, dir_idx, direction, ground_m, anchor_m, obstacle_id, accident, distance_m, sum(CASE WHEN enter_m < blocked_m THEN mass ELSE 0 END) AS h_reach,
+  sum(CASE WHEN enter_m < blocked_m AND place <> 1 AND anchors_m <= least(exit_m, blocked_m) THEN mass ELSE 0 END) AS h_in_anchor FROM wb GROUP BY 1, 2, 3, 4, 5, 6, 7, 8),
+fe AS (SELECT DISTINCT leg_id, dir_idx, direction, CASE WHEN kind = 'object' THEN obstacle_id ELSE cid END AS obstacle_id, a_x, a_y, b_x, b_y, spread, mean_m, std_m, x1, c1, xa, ca, xb, cb FROM fc LEFT JOIN rk ON kind = 'depth' AND value_m <= v WHERE kind = 'object' OR cid IS NOT NULL),
+fl AS (SELECT *, sqrt(pow(xb - xa, 2e0) + pow(cb - ca, 2e0)) AS long, least(0e0, c1) + least(spread * (mean_m - 5e0 * std_m), spread * (mean_m + 5e0 * std_m)) AS low, greatest(0e0, c1) + greatest(spread * (mean_m - 5e0 * std_m), spread * (mean_m + 5e0 * std_m)) AS high,
+  xa - CASE WHEN abs(c1) > 1e-6 THEN x1 * greatest(0e0, least(1e0, ca / c1)) ELSE greatest(0e0, x1) END AS da, xb - CASE WHEN abs(c1) > 1e-6 THEN x1 * greatest(0e0, least(1e0, cb / c1)) ELSE greatest(0e0, x1) END AS db FROM fe),
+fm AS (SELECT leg_id, dir_idx, direction, obstacle_id, greatest(least(greatest(ca, cb), high) - greatest(least(ca, cb), low), 0e0) / abs(cb - ca) * long AS inside_m, coalesce((CASE WHEN da >= 0 THEN da END + CASE WHEN db >= 0 THEN db END) / 2, CASE WHEN da >= 0 THEN da END, CASE WHEN db >= 0 THEN db END) AS edge_m FROM fl WHERE (cb - ca) / long <= -{X.num(K.FACING)}),
+sr AS (SELECT *, inside_m / sum(inside_m) OVER (PARTITION BY leg_id, dir_idx, direction, obstacle_id) AS share FROM fm WHERE inside_m > 0 AND edge_m <= {X.num(REACH)}),
+pa AS (SELECT re.* EXCLUDE (distance_m), coalesce(share, 1e0) AS share, coalesce(edge_m, re.distance_m) AS distance_m FROM re LEFT JOIN sr USING (leg_id, dir_idx, direction, obstacle_id)),
+pn AS (SELECT *, {X.not_repaired('lognormal', f"(distance_m) / {X.num(D.DRIFT_KN * X.KNOT_MS * 3600.0)}", 0.95, 0.2, 0.85)} AS p FROM pa),
+rs AS (SELECT direction, value / sum(value) OVER () AS rp FROM (SELECT direction, sum(value) AS value FROM ({_ROSE.format(customer='customer')}) GROUP BY 1) WHERE value > 0),
+ch AS (SELECT pn.*, rp * CASE WHEN accident = 'anchoring' THEN h_reach ELSE greatest(0e0, h_reach - 7e-1 * h_in_anchor) END * share * CASE WHEN accident = 'anchoring' THEN 7e-1 ELSE p END AS chance FROM pn JOIN rs USING (direction)),
+ca AS (SELECT leg_id, dir_idx, direction, ground_m, anchor_m, obstacle_id, accident, sum(chance) AS chance, sum(chance * p) AS chance_p, min(distance_m) AS distance_m FROM ch WHERE chance > 0 GROUP BY 1, 2, 3, 4, 5, 6, 7),
+"""
+
+
+def _cascade_sql(keys: str, by: str) -> str:
+    """Sums up the side that the report does not ask for before cells meet places, as contributions() does."""
+    cells, places = ("ship_type, size_bin, ", "") if by == "cells" else ("", "obstacle_id, direction, ")
+    named = ", ".join(f"xp.{k}" if k in ("leg_id", "dir_idx") else k for k in keys.split(", "))
+    return oracle(
+        _CASCADE
+        + f"""cp AS (SELECT leg_id, dir_idx, ground_m, anchor_m, accident, {places}sum(chance) AS chance, sum(chance_p) AS chance_p, min(distance_m) AS distance_m FROM ca GROUP BY ALL),
+xp AS (SELECT scenario_id, leg_id, dir_idx, ground_m, anchor_m, {cells}sum(base) AS base FROM ex GROUP BY ALL)
+SELECT scenario_id, accident, {named}, round(sum(base * chance) * 1e6, 4) AS frequency_e6, round(sum(base * chance_p) / sum(base * chance), 5) AS p_not_repaired, round(min(distance_m), 2) AS distance_m
+FROM xp JOIN cp ON xp.leg_id = cp.leg_id AND xp.dir_idx = cp.dir_idx AND xp.ground_m IS NOT DISTINCT FROM cp.ground_m AND xp.anchor_m IS NOT DISTINCT FROM cp.anchor_m GROUP BY ALL""",
+        "legs", "leg_lateral", "scenario_cells", "obstacles",
+    )
+
+
+def cascade_facts(spark, sf_dir, detail):
+    """The drifting cascade of each year's traffic over one geometry, with merged contours."""
+    cells, years = _scenario_cells(spark, sf_dir)
+    legs, lateral, edges, reach = (t.drop("scenario_id") for t in _drift_inputs(spark, sf_dir))
+    edges = edges.withColumns({c: F.col(c) + SHIFT[c.endswith("y")] for c in G.ENDS})
+    edges = edges.withColumn("value_m", F.when(F.col("kind") == "depth", 5.0 * F.ceil(F.col("value_m") / 5.0)).otherwise(F.col("value_m")))
+    rates = spark.range(8, 12).select(F.col("id").cast("int").alias("ship_type"), F.lit(0.1).alias("rate"))
+    rose = spark.sql(_ROSE, customer=spark.read.parquet(f"{sf_dir}/customer.parquet")).groupBy("direction").agg(F.sum("value").alias("value"))
+    rose = D.normalized_rose(rose.join(years)).select("scenario_id", F.col("direction").cast("int").alias("direction"), "rp")
+    return K.cascade(cells, legs, lateral, edges, rose, rates, reach.withColumn("reach_m", F.lit(REACH)), detail=detail, merged=True)
+
+
+def _per(spark, sf_dir, *keys):
+    out = K.rolled_up(cascade_facts(spark, sf_dir, "cells" if "ship_type" in keys else "places"), *keys)
+    return out.select("scenario_id", "accident", *keys, F.round(F.col("frequency") * 1e6, 4).alias("frequency_e6"), F.round("p_not_repaired", 5).alias("p_not_repaired"), F.round("distance_m", 2).alias("distance_m"))
+
+
+@query("drf_cascade_objects", _cascade_sql("obstacle_id", "places"))
+def cascade_objects(spark, sf_dir):
+    return _per(spark, sf_dir, "obstacle_id")
+
+
+@query("drf_cascade_legs", _cascade_sql("leg_id, dir_idx, direction", "places"))
+def cascade_legs(spark, sf_dir):
+    return _per(spark, sf_dir, "leg_id", "dir_idx", "direction")
+
+
+@query("drf_cascade_cells", _cascade_sql("ship_type, size_bin", "cells"))
+def cascade_cells(spark, sf_dir):
+    return _per(spark, sf_dir, "ship_type", "size_bin")
+
+
+@query("drf_cascade_edges", _cascade_sql("leg_id, dir_idx, direction, obstacle_id", "places"))
+def cascade_edges(spark, sf_dir):
+    """By leg, directions and obstacle, over the obstacle's edges that share it."""
+    return _per(spark, sf_dir, "leg_id", "dir_idx", "direction", "obstacle_id")

@@ -293,41 +293,6 @@ def hole_rows(spark, sf_dir):
     return found.select("leg_id", "dir_idx", "direction", "obstacle_id", F.round("hole", 6).alias("hole"))
 
 
-def cascade_facts(spark, sf_dir, detail):
-    """The drifting cascade of each year's traffic, with a wind rose of each year's customers."""
-    cells, years = _scenario_cells(spark, sf_dir)
-    legs, lateral, edges, reach = _drift_inputs(spark, sf_dir, years)
-    rates = spark.range(8, 12).select(F.col("id").cast("int").alias("ship_type"), F.lit(0.1).alias("rate"))
-    rose = spark.sql(_ROSE, customer=spark.read.parquet(f"{sf_dir}/customer.parquet")).groupBy("direction").agg(F.sum("value").alias("value"))
-    rose = D.normalized_rose(rose.join(years)).select("scenario_id", F.col("direction").cast("int").alias("direction"), "rp")
-    return K.cascade(cells, legs, lateral, edges, rose, rates, reach, slices=5, rays=20, detail=detail)
-
-
-def _per(spark, sf_dir, *keys):
-    out = K.rolled_up(cascade_facts(spark, sf_dir, "cells" if "ship_type" in keys else "places"), *keys)
-    return out.select("scenario_id", "accident", *keys, F.round(F.col("frequency") * 1e6, 6).alias("frequency_e6"), F.round("p_not_repaired", 6).alias("p_not_repaired"), F.round("distance_m", 2).alias("distance_m"))
-
-
-@query("drf_cascade_objects")
-def cascade_objects(spark, sf_dir):
-    return _per(spark, sf_dir, "obstacle_id")
-
-
-@query("drf_cascade_legs")
-def cascade_legs(spark, sf_dir):
-    return _per(spark, sf_dir, "leg_id", "dir_idx", "direction")
-
-
-@query("drf_cascade_cells")
-def cascade_cells(spark, sf_dir):
-    return _per(spark, sf_dir, "ship_type", "size_bin")
-
-
-@query("drf_cascade_edges")
-def cascade_edges(spark, sf_dir):
-    return _per(spark, sf_dir, "leg_id", "dir_idx", "direction", "obstacle_id", "edge")
-
-
 #: Each ship type's traffic stands for one kind of accident, so that all eight occur.
 _ACCIDENTS = f"SELECT CASE ship_type % 8 {' '.join(f'WHEN {i} THEN {chr(39)}{k}{chr(39)}' for i, k in enumerate(O.KINDS))} END AS kind, ship_type, size_bin, sum(freq) * 1e-4 AS frequency FROM {{cells}} GROUP BY 1, 2, 3"
 _SPILLS = f"""WITH a AS ({_ACCIDENTS.format(cells='traffic_cells')}), p AS (SELECT * FROM (VALUES (TRUE, 0, 98e-2), (TRUE, 1, 2e-2), (FALSE, 0, 97e-2), (FALSE, 1, 1e-2), (FALSE, 2, 1e-2), (FALSE, 3, 1e-2)) t(drift, level, p)),

@@ -103,14 +103,19 @@ def _verified(pairs: DataFrame, rows: DataFrame, path: str) -> DataFrame:
     pairs.distinct().write.parquet(f"{path}-pairs")
     pairs = spark.read.parquet(f"{path}-pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # Of rows that repeat an id the text least in order counts.
-    rows.join(asked, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.min("text").alias("text")).write.parquet(f"{path}-texts")
+    rows.join(asked, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text").write.parquet(f"{path}-texts")
     texts = spark.read.parquet(f"{path}-texts")
     text = lambda k: texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}"))
     pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_similar, "a long, b long").write.parquet(path)
     return spark.read.parquet(path)
 
 
+def repeated_ids(rows: DataFrame, path: str) -> DataFrame:
+    """The doc_id of more than one row, written to path."""
+    rows.groupBy("doc_id").count().where("count > 1").select("doc_id").write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) of the rows that have an id: the smallest id reachable over pairs of SIMILARITY or more.
 
@@ -120,6 +125,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     common.bound_batches(spark)
     path = common.fresh_path(spark, "neardup")
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    twice = repeated_ids(rows, f"{path}/twice")
+    if not twice.isEmpty():  # of rows that repeat an id the text least in order counts; null is least
+        one = rows.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text")).alias("t")).select("doc_id", "t.text")
+        one.write.parquet(f"{path}/one")
+        rows = rows.join(twice, "doc_id", "left_anti").unionByName(spark.read.parquet(f"{path}/one"))
     rows.mapInArrow(_signed, "doc_id long, h long, g long, n long, fp long, keys array<long>").write.parquet(f"{path}/docs")
     signed = spark.read.parquet(f"{path}/docs")
     signed.groupBy("h", "g").agg(F.min("doc_id").alias("node")).write.parquet(f"{path}/sets")
@@ -148,12 +158,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without near-duplicates: of each component the row whose doc_id is smallest.
 
-    Rows with a null doc_id stay.  Repeated rows of one doc_id count as copies: one stays.
+    Rows with a null doc_id stay.  Of rows that repeat a doc_id the one stays whose text, then whose other columns, are
+    least in order, a null text first: the text that was compared.
     """
     path = common.fresh_path(docs.sparkSession, "gone")
     near_duplicates(docs).where("component_id <> doc_id").select("doc_id").distinct().write.parquet(path)
     gone = docs.sparkSession.read.parquet(path)
     kept = docs.join(gone, "doc_id", "left_anti")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(docs.columns)
+    twice = repeated_ids(docs.where("doc_id is not null").select("doc_id"), f"{path}-twice")
+    if twice.isEmpty():
+        return kept.select(docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    once = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[F.col(f"`{c}`") for c in rest])).alias("row"))
+    once = once.select("doc_id", *[F.col("row").getField(c).alias(c) for c in ("text", *rest)])
+    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))

@@ -75,7 +75,7 @@ def train(texts: list[bytes], labels: np.ndarray) -> bytes:
     out = io.BytesIO()
     if not len(texts) or good.all() or not good.any():
         prior = 0.5 if not len(texts) else (good.sum() + 1) / (len(good) + 2)
-        np.savez(out, w=np.zeros(WIDTH + 1, np.float32), r=np.zeros(WIDTH, np.float32), curve=np.array([0.0, np.log(prior / (1 - prior))]))
+        np.savez(out, w=np.zeros(WIDTH + 1, np.float32), r=np.zeros(WIDTH, np.float32), curve=np.array([0.0, np.log(prior / (1 - prior))]), floor=min(prior, 0.5))
         return out.getvalue()
     rows = [features(t) for t in texts]
     fold = np.arange(len(rows)) % 2
@@ -91,7 +91,8 @@ def train(texts: list[bytes], labels: np.ndarray) -> bytes:
             margins[i] = values @ w[at] + w[-1]
     ratio = _ratio(rows, good)
     w = _solve(rows, good, ratio)
-    np.savez(out, w=w.astype(np.float32), r=ratio.astype(np.float32), curve=np.array(linear.calibrate(margins, np.where(good, 1, -1))))
+    curve = linear.calibrate(margins, np.where(good, 1, -1))
+    np.savez(out, w=w.astype(np.float32), r=ratio.astype(np.float32), curve=np.array(curve), floor=min(0.5, float(linear.sigmoid(curve[0] * margins.min() + curve[1]))))
     return out.getvalue()
 
 
@@ -102,8 +103,8 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 11) -> bytes:
 def score(df: DataFrame, model: bytes, text_col: str = "text", out_col: str = "quality_score") -> DataFrame:
     """Adds ``out_col``: the probability that a text is of good quality.
 
-    Null counts as an empty text, which has the score of a row without features.  Repeated rows have equal
-    scores; an input column named like the output is replaced.
+    Null counts as an empty text; a text without words says nothing for good quality, so it has the score of the worst
+    text of the sample, 0.5 at most.  Repeated rows have equal scores; an input column named like the output is replaced.
     """
     return df.withColumn(out_col, score_of(df, model, text_col))
 
@@ -115,15 +116,20 @@ def score_of(df: DataFrame, model: bytes, text_col: str = "text") -> Column:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         got = np.load(io.BytesIO(sent.value))
-        w, ratio, (slope, offset) = got["w"].astype(np.float64), got["r"].astype(np.float64), got["curve"]
+        w, ratio, (slope, offset), floor = got["w"].astype(np.float64), got["r"].astype(np.float64), got["curve"], float(got["floor"])
         product = w[:-1] * ratio
         for texts in batches:
             margins = []
             for v in texts:
-                at = features(v.as_buffer().to_pybytes() if v.is_valid else b"")
+                text = v.as_buffer().to_pybytes() if v.is_valid else b""
+                if not text.strip():
+                    margins.append(np.nan)
+                    continue
+                at = features(text)
                 values = ratio[at]
                 margins.append(product[at].sum() / max(float(np.sqrt(values @ values)), 1e-12) + w[-1])
-            yield pa.array(linear.sigmoid(slope * np.array(margins) + offset), pa.float64())
+            margins = np.array(margins)
+            yield pa.array(np.where(np.isnan(margins), floor, linear.sigmoid(slope * margins + offset)), pa.float64())
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "double")(F.col(text_col).cast("binary"))

@@ -333,6 +333,28 @@ def _around(x: np.ndarray, y: np.ndarray, a: int, b: int) -> list[tuple[int, int
             if (j := _similarity(x[s : s + n], y[t : t + n])) >= SIMILARITY:
                 out.append((s, s + n + SHINGLE - 1, t, t + n + SHINGLE - 1, j))
                 break
+    return out + _scattered(x, y, a, b, out)
+
+
+def _scattered(x: np.ndarray, y: np.ndarray, a: int, b: int, known: list[tuple[int, int, int, int, float]]) -> list[tuple[int, int, int, int, float]]:
+    """Windows of LEAST shingles near b that are similar to one near a on any diagonals, a quarter window apart; not those in known passages."""
+    far = 2 * LEAST
+    at_b, at_a = max(b - far, 0), max(a - far - BAND, 0)
+    own, near = y[at_b : b + far], x[at_a : a + far + BAND]
+    if min(len(own), len(near)) < LEAST:
+        return []
+    windows = lambda held: np.convolve(held, np.ones(LEAST, np.int64), "valid")
+    out, done = [], -1
+    for q in np.flatnonzero(windows(np.isin(own, near)) >= SHARED).tolist():
+        if q < done or any(t <= at_b + q and at_b + q + WORDS <= g for _, _, t, g, _ in known):
+            continue
+        mine = own[q : q + LEAST]
+        both = windows(np.isin(near, mine))
+        best = np.flatnonzero(both == both.max())
+        p = int(best[np.abs(best + at_a - a - q - at_b + b).argmin()])
+        if (j := _similarity(near[p : p + LEAST], mine)) >= SIMILARITY:
+            out.append((at_a + p, at_a + p + WORDS, at_b + q, at_b + q + WORDS, j))
+            done = q + LEAST // 4
     return out
 
 
@@ -344,13 +366,16 @@ def passages(x: np.ndarray, y: np.ndarray, at_a: list[int], at_b: list[int]) ->
     found: list[tuple[int, int, int, int, float]] = []
     anchors = sorted(set(zip(at_b, at_a)))
     chains: list[list[tuple[int, int]]] = []
+    growing: list[list[tuple[int, int]]] = []
     for q, p in anchors:
-        for chain in reversed(chains[-8:]):
-            if q - chain[-1][0] <= GAP and abs((q - p) - (chain[-1][0] - chain[-1][1])) <= BAND and p >= chain[-1][1]:
+        growing = [c for c in growing if q - c[-1][0] <= GAP]  # anchors come in order of q
+        for chain in reversed(growing):
+            if abs((q - p) - (chain[-1][0] - chain[-1][1])) <= BAND and p >= chain[-1][1]:
                 chain.append((q, p))
                 break
         else:
             chains.append([(q, p)])
+            growing.append(chains[-1])
     while chains:
         chain = chains.pop()
         (b0, a0), (b1, a1) = chain[0], chain[-1]

@@ -3,10 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 documents.
 
-In every stage null and empty texts are texts like others (they score low, are one group of copies, have no passage
-and no token), long texts are worked on whole, an empty table gives an empty one, columns beyond those of documents
-pass through whatever their names (but for the last stage's, which are its own), and rows with a null doc_id are no
-one's copies.  Rows that repeat a doc_id are told apart by their text; of equal ones one stays from near-dedup on.
+In every stage null and empty texts are texts like others: they score as low as the worst text of the classifier's
+sample, are one group of copies, have no passage and no token.  Long texts are worked on whole, an empty table gives an
+empty one, columns beyond those of documents pass through whatever their names (but for the last stage's, which are its
+own), and rows with a null doc_id are no one's copies.  Of rows that repeat a doc_id the one whose text is least in
+order stays from near-dedup on.  Mixing repeats a document for each epoch that takes it; encoding codes it once and
+tells its rows apart by epoch.
 """
 
 from __future__ import annotations
@@ -38,9 +40,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, with their digests."""
-    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"))
-    return coded.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), bpe.ids_digest(F.col("token_ids")).alias("ids_sha256"), "token_ids")
+    """Token ids of every text, with their digests; rows that mixing repeats are coded once and numbered by epoch."""
+    once = docs.groupBy("doc_id", "lang", "source", "text").agg(F.count("*").cast("int").alias("epochs"))
+    coded = bpe.encode(once).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
+    return coded.select("doc_id", "lang", "source", "epoch", F.size("token_ids").cast("long").alias("n_tokens"), bpe.ids_digest(F.col("token_ids")).alias("ids_sha256"), "token_ids")
 
 
 STAGES = [

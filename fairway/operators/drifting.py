@@ -36,6 +36,21 @@ def reach_m(longest_m: float, kind: str = REPAIR["kind"], shape: float = REPAIR[
     return min(10.0 * longest_m, drift_kn * X.KNOT_MS * 3600.0 * hours) if drift_kn > 0 else 10.0 * longest_m
 
 
+def projection_m(kind: str = REPAIR["kind"], shape: float = REPAIR["shape"], loc: float = REPAIR["loc"], scale: float = REPAIR["scale"], drift_ms: float = DRIFT_KN * X.KNOT_MS, most_m: float = 50_000.0) -> float:
+    """How far corridors reach: to where one ship in a thousand is still adrift.
+
+    10 km, if that is less than most_m, for other kinds than the lognormal, for no spread, and beyond 48 hours; speeds
+    of 0 and less or above 10 m/s count as 1.
+    """
+    import math
+
+    speed = drift_ms if 0 < drift_ms <= 10 else 1.0
+    if kind != "lognormal" or shape <= 0 or scale <= 0:
+        return min(10_000.0, most_m)
+    hours = loc + scale * math.exp(shape * 3.090232306167813)
+    return min(hours * 3600 * speed, most_m) if 0 <= hours <= 48 else min(10_000.0, most_m)
+
+
 def not_repaired(df: DataFrame, distance: str, out: str = "p_not_repaired", drift_kn: float = DRIFT_KN, **repair) -> DataFrame:
     """Adds the chance that a ship is still adrift after the distance."""
     r = REPAIR | repair

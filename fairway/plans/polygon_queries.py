@@ -9,6 +9,8 @@ from fairway.operators import cascade as K
 from fairway.operators import corridors as V
 from fairway.operators import drifting as D
 from fairway.operators import polygons as G
+from fairway.operators import projection as U
+from fairway.operators import repair as H
 
 from .adapters import oracle, view
 from .risk_queries import _EDGES, _ROSE, _XY, _drift_inputs, _scenario_cells
@@ -281,3 +283,32 @@ def cascade_cells(spark, sf_dir):
 def cascade_edges(spark, sf_dir):
     """By leg, directions and obstacle, over the obstacle's edges that share it."""
     return _per(spark, sf_dir, "leg_id", "dir_idx", "direction", "obstacle_id")
+
+
+# ---- projection and repair formulas -----------------------------------------------------------------------------
+
+_PLACES = "SELECT CAST(c_nationkey AS BIGINT) AS scenario_id, CAST(c_custkey AS BIGINT) AS place_id, c_nationkey * 14e0 - 170e0 + c_custkey % 50 * 5e-2 AS lon, c_nationkey % 7 * 22e0 - 66e0 + c_custkey % 31 * 1e-1 AS lat FROM {customer}"
+
+
+@query("drf_utm", f"""WITH p AS ({_PLACES.format(customer='customer')}), z AS (SELECT scenario_id, CAST(floor((avg(lon) + 180) / 6) + 1 AS INTEGER) AS zone, avg(lat) < 0 AS south FROM p GROUP BY 1)
+SELECT scenario_id, place_id, zone, round({U.forward('lon', 'lat', 'zone', 'south')[0]}, 3) AS x, round({U.forward('lon', 'lat', 'zone', 'south')[1]}, 3) AS y, round(lon, 6) AS lon, round(lat, 6) AS lat FROM p JOIN z USING (scenario_id)""")
+def utm_rows(spark, sf_dir):
+    """Places of many scenarios in the zone of each; lon and lat have been there and back (the SQL has the given ones)."""
+    places = spark.sql(_PLACES, customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    zones = U.zones(places)
+    there = U.to_metres(places, zones, p=("lon", "lat")).drop("lon", "lat")
+    back = U.to_degrees(there, zones, q=("p_x", "p_y")).join(zones, "scenario_id")
+    return back.select("scenario_id", "place_id", "zone", F.round("p_x", 3).alias("x"), F.round("p_y", 3).alias("y"), F.round("q_lon", 6).alias("lon"), F.round("q_lat", 6).alias("lat"))
+
+
+_TEXTS = """SELECT CAST(c_custkey AS BIGINT) AS scenario_id, c_custkey % 40 / 4e0 AS hours, CASE c_custkey % 5 WHEN 0 THEN concat('1 - exp(-', CAST(1 + c_custkey % 9 AS STRING), ' * x ** 0.9 / 10)') WHEN 1 THEN concat('norm.cdf((x - ', CAST(c_custkey % 7 AS STRING), ') / 2)')
+    WHEN 2 THEN concat('(x > ', CAST(c_custkey % 6 AS STRING), ') * 1') WHEN 3 THEN concat('x / (x + ', CAST(1 + c_custkey % 3 AS STRING), ')') ELSE '__import__(x)' END AS repair_text FROM {customer}"""
+
+
+@query("drf_repair_texts", f"""SELECT CAST(c_custkey AS BIGINT) AS scenario_id, c_custkey % 40 / 4e0 AS hours, round(CASE c_custkey % 5 WHEN 0 THEN 1 - exp(-(1 + c_custkey % 9) * pow(c_custkey % 40 / 4e0, 9e-1) / 1e1) WHEN 1 THEN {X.phi('((c_custkey % 40 / 4e0 - c_custkey % 7) / 2e0)')}
+    WHEN 2 THEN CASE WHEN c_custkey % 40 / 4e0 > c_custkey % 6 THEN 1e0 ELSE 0e0 END WHEN 3 THEN (c_custkey % 40 / 4e0) / (c_custkey % 40 / 4e0 + 1 + c_custkey % 3) END, 9) AS p_repaired, CASE WHEN c_custkey % 5 = 4 THEN 'not allowed: Call' END AS refused FROM customer""")
+def repair_rows(spark, sf_dir):
+    """Each scenario's own formula, and why one is refused."""
+    rows = spark.sql(_TEXTS, customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    refused = H.findings(rows).select("scenario_id", F.col("detail").alias("refused"))
+    return H.repaired(rows).join(refused, "scenario_id", "left").select("scenario_id", "hours", F.round("p_repaired", 9).alias("p_repaired"), "refused")

@@ -92,7 +92,10 @@ def project_legs(projects: DataFrame) -> DataFrame:
 
 
 def project_obstacles(projects: DataFrame) -> DataFrame:
-    """scenario_id, obstacle_id, kind, value_m and edges of the rings of all obstacles' WKT; rings that do not parse go."""
+    """scenario_id, obstacle_id, kind, value_m and edges of the rings of all obstacles' WKT; rings that do not parse go.
+
+    value_m of an interval is its deeper end (see depth_m); single depths stand for themselves, without a bin's width.
+    """
     rows = projects.select("scenario_id", F.explode(F.concat(F.transform(F.coalesce("depths", F.array()), lambda x: F.struct(F.lit("depth").alias("kind"), x.alias("x"))), F.transform(F.coalesce("objects", F.array()), lambda x: F.struct(F.lit("object").alias("kind"), x.alias("x"))))).alias("o"))
     rows = rows.select("scenario_id", F.col("o.kind").alias("kind"), F.get("o.x", 0).alias("obstacle_id"), depth_m(F.get("o.x", 1)).alias("value_m"), F.get("o.x", 2).alias("wkt"))
     return ring_edges(rows)
@@ -168,12 +171,16 @@ def mapped_cells(rows: DataFrame, keys: list[str], values: list[str], add_up: bo
 
 
 def ring_edges(rows: DataFrame, wkt: str = "wkt") -> DataFrame:
-    """One row per edge of each ring of POLYGON and MULTIPOLYGON texts: part, edge, a_lon, a_lat, b_lon, b_lat."""
-    rings = F.regexp_extract_all(F.col(wkt), F.lit(r"\(([^()]+)\)"), F.lit(1))
+    """One row per edge of each ring of POLYGON and MULTIPOLYGON texts: part, hole, edge, a_lon, a_lat, b_lon, b_lat.
+
+    A part is a ring; it is a hole unless it is the first of its polygon, which a second bracket opens.
+    """
+    ring = lambda k: F.regexp_extract_all(F.col(wkt), F.lit(r"(\(?)\s*\(([^()]+)\)"), F.lit(k))
+    rings = F.arrays_zip(ring(1).alias("open"), ring(2).alias("text"))
     points = lambda ring: F.filter(F.transform(F.split(ring, ","), lambda p: F.transform(F.split(F.trim(p), r"\s+"), lambda n: n.try_cast("double"))), lambda p: (F.size(p) >= 2) & F.get(p, 0).isNotNull() & F.get(p, 1).isNotNull())
-    out = rows.select(*[c for c in rows.columns if c != wkt], F.posexplode(rings).alias("part", "ring")).withColumn("pts", points(F.col("ring"))).where(F.size("pts") >= 4)
+    out = rows.select(*[c for c in rows.columns if c != wkt], F.posexplode(rings).alias("part", "ring")).withColumn("hole", F.col("ring.open") == "").withColumn("pts", points(F.col("ring.text"))).where(F.size("pts") >= 4)
     out = out.select("*", F.posexplode(F.slice("pts", F.lit(1), F.size("pts") - 1)).alias("edge", "a")).withColumn("b", F.element_at("pts", F.col("edge") + 2))
-    return out.select(*[c for c in rows.columns if c != wkt], "part", "edge", F.get("a", 0).alias("a_lon"), F.get("a", 1).alias("a_lat"), F.get("b", 0).alias("b_lon"), F.get("b", 1).alias("b_lat"))
+    return out.select(*[c for c in rows.columns if c != wkt], "part", "hole", "edge", F.get("a", 0).alias("a_lon"), F.get("a", 1).alias("a_lat"), F.get("b", 0).alias("b_lon"), F.get("b", 1).alias("b_lat"))
 
 
 def append_run(results: dict[str, DataFrame], path: str, run_id: int) -> None:

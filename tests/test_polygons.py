@@ -7,7 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from fairway.operators import corridors as V
+from fairway.operators import drifting as D
 from fairway.operators import polygons as G
+from fairway.operators import projection as U
+from fairway.operators import repair as H
 
 EDGE = "scenario_id long, obstacle_id long, part int, edge int, value_m double, hole boolean, a_x double, a_y double, b_x double, b_y double"
 
@@ -195,3 +198,39 @@ def test_exposure_of_edges(spark):
     e = spark.createDataFrame([(0.0, 0.0, 10.0, 0.0)], "a_x double, a_y double, b_x double, b_y double")  # the lower side of a polygon: its normal is south
     value = lambda d: e.select(V.exposure(F.lit(float(d)), F.col("a_x"), F.col("a_y"), F.col("b_x"), F.col("b_y")).alias("x")).first().x
     assert value(0) == pytest.approx(1.0) and value(180) == 0 and value(45) == pytest.approx(math.sqrt(0.5)) and value(90) == pytest.approx(0, abs=1e-12)
+
+
+def test_metres_of_the_zone_and_back(spark):
+    places = spark.createDataFrame([(1, 15.0, 55.0), (1, 15.3, 55.2), (2, -70.0, -33.0), (2, -70.9, -33.3)], "scenario_id long, lon double, lat double")
+    zones = U.zones(places)
+    assert {(r.scenario_id, r.zone, r.south) for r in zones.collect()} == {(1, 33, False), (2, 19, True)}
+    there = U.to_metres(places, zones, p=("lon", "lat"))
+    # On the central meridian the northing is the scaled arc of the meridian.
+    e2 = U.FLATTENING * (2 - U.FLATTENING)
+    phi = np.radians(np.linspace(0, 55, 200_001))
+    arc = np.trapezoid(U.AXIS_M * (1 - e2) / (1 - e2 * np.sin(phi) ** 2) ** 1.5, phi)
+    first = there.where("lon = 15").first()
+    assert first.p_x == pytest.approx(500_000.0, abs=1e-6) and first.p_y == pytest.approx(0.9996 * arc, abs=1e-4)
+    for r in U.to_degrees(there, zones, q=("p_x", "p_y")).collect():
+        assert (r.q_lon, r.q_lat) == pytest.approx((r.lon, r.lat), abs=1e-10)
+
+
+def test_repair_formulas_are_worked_out_or_refused(spark):
+    good = {"1 - exp(-1.05 *x ** 0.9)": 1 - math.exp(-1.05 * 2**0.9), "np.sqrt(x) / pi": math.sqrt(2) / math.pi, "norm.cdf(x - 2)": 0.5, "(x >= 1 and x < 3) * 1": 1.0, "-x // 3 + 7 % 4": 2.0, "abs(-x) * log(x) + sin(0) * cos(x)": 2 * math.log(2)}
+    bad = ["__import__('os')", "x.real", "open(x)", "y + 1", "lambda: x", "exp(x, 1)", "[x]", "x if x else 1", "exp(*x)", "", "1 +", "'a'", None, "x" * 600, "np.random.rand(1)"]
+    rows = spark.createDataFrame([(i, t, 2.0) for i, t in enumerate([*good, *bad])], "scenario_id long, repair_text string, hours double")
+    got = {r.scenario_id: r.p_repaired for r in H.repaired(rows).collect()}
+    for i, v in enumerate(good.values()):
+        assert got[i] == pytest.approx(v)
+    assert all(got[i] is None for i in range(len(good), len(good) + len(bad)))
+    assert {r.scenario_id for r in H.findings(rows).collect()} == set(range(len(good), len(good) + len(bad)))
+    both = spark.range(1).select(F.lit(2.0).alias("x")).select(*[F.expr(H.sql_of(t)).alias(f"v{i}") for i, t in enumerate(good)]).first()
+    assert list(both) == pytest.approx(list(good.values()))
+    one = spark.range(1).select(F.lit(2.0).alias("x")).select(F.expr(H.sql_of("1 - exp(-1.05 *x ** 0.9)")).alias("v")).first().v
+    assert one == pytest.approx(good["1 - exp(-1.05 *x ** 0.9)"])
+
+
+def test_projection_distance():
+    assert D.projection_m() == pytest.approx((0.2 + 0.85 * math.exp(0.95 * 3.090232306167813)) * 1852)
+    assert D.projection_m(kind="normal") == D.projection_m(shape=0.0) == D.projection_m(scale=500.0) == 10_000.0
+    assert D.projection_m(drift_ms=5.0) == 50_000.0 and D.projection_m(kind="weibull", most_m=3000.0) == 3000.0

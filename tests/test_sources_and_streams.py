@@ -40,7 +40,14 @@ def test_projects(spark, tmp_path):
     leg = tables.project_legs(got).first()
     assert (leg.lon1, leg.lat2, leg.width_m) == (14.0, 55.2, 500.0)
     edges = tables.project_obstacles(got).collect()
-    assert len(edges) == 9 and {(r.obstacle_id, r.part, r.value_m) for r in edges} == {("d1", 0, 10.0), ("d1", 1, 10.0), ("s1", 0, 20.0)}
+    assert len(edges) == 9 and {(r.obstacle_id, r.part, r.value_m) for r in edges} == {("d1", 0, 20.0), ("d1", 1, 20.0), ("s1", 0, 20.0)}
+    assert not any(r.hole for r in edges)
+
+
+def test_rings_are_shells_or_holes(spark):
+    texts = ["POLYGON((0 0, 9 0, 9 9, 0 0), (1 1, 2 1, 2 2, 1 1))", "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((5 5, 9 5, 9 9, 5 5), (6 6, 7 6, 7 7, 6 6)))", "POINT(1 2)", None]
+    got = tables.ring_edges(spark.createDataFrame(list(enumerate(texts)), "id int, wkt string")).select("id", "part", "hole").distinct().collect()
+    assert {(r.id, r.part): r.hole for r in got} == {(0, 0): False, (0, 1): True, (1, 0): False, (1, 1): False, (1, 2): True}
 
 
 def run(df, name):

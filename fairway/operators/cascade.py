@@ -94,9 +94,10 @@ def ray_hits(facing: DataFrame, slices: int = SLICES, rays: int = RAYS) -> DataF
     met = met.withColumn("ray", F.explode(F.sequence("first", "last"))).withColumn("w", F.expr("low + (ray + 5e-1) * step")).withColumn("c", F.when(across, F.lit(0.0)).otherwise(F.expr("w * spread")))
     met = met.where("ya <> yb and least(ya, yb) <= c and greatest(ya, yb) > c")
     met = met.withColumn("t", F.expr("xa + (c - ya) / (yb - ya) * (xb - xa) - f * x1 - w * along")).where("t >= 0 and t <= reach_m")
-    z = lambda k: f"(low + (ray + {k}) * step - mean_m) / std_m"
-    mass = F.expr(f"({X.phi(z('1e0'))} - {X.phi(z('0e0'))}) / {X.num(slices)}")
-    return met.groupBy(*LEG, "direction", "slice", "ray", "obstacle_id", "kind", "value_m").agg(F.first(mass).alias("mass"), F.min("t").alias("enter_m"), F.max("t").alias("exit_m"))
+    hits = met.groupBy(*LEG, "direction", "slice", "ray", "obstacle_id", "kind", "value_m").agg(F.min("t").alias("enter_m"), F.max("t").alias("exit_m"))
+    # Places are so many deviations off the mean on every leg, so the mass needs the ray alone: after the sums, once a hit.
+    z = lambda k: f"({X.num(2 * SPREAD / rays)} * (ray + {k}) - {X.num(SPREAD)})"
+    return hits.withColumn("mass", F.expr(f"({X.phi(z('1e0'))} - {X.phi(z('0e0'))}) / {X.num(slices)}"))
 
 
 def plain_holes(hits: DataFrame) -> DataFrame:
@@ -135,11 +136,10 @@ def _rows_of_buckets(rows: DataFrame, buckets: DataFrame, merged: bool) -> DataF
     """Hits with the buckets that meet their obstacle, and as what: place and accident."""
     role = lambda place, accident: [F.lit(place).alias("place"), F.lit(accident).alias("accident")]
     if merged:  # one contour stands for all above it, so depths meet their own buckets alone
-        depth = rows.where("kind = 'depth'")
-        on = lambda c: [*[depth[k] == buckets[k] for k in LEG], depth.value_m == buckets[c]]
-        own = lambda c, *r: depth.join(buckets, on(c)).select(*[depth[k] for k in depth.columns], buckets.ground_m, buckets.anchor_m, *role(*r))
-        objects = rows.where("kind = 'object'").join(buckets, LEG).select(*rows.columns, "ground_m", "anchor_m", *role(0, "allision"))
-        return objects.unionByName(own("anchor_m", 1, "anchoring")).unionByName(own("ground_m", 2, "grounding"))
+        meant = lambda kind, of, *r: F.struct(F.lit(kind).alias("kind"), of.alias("of_m"), *role(*r))
+        roles = F.array(meant("object", F.lit(0.0), 0, "allision"), meant("depth", F.col("anchor_m"), 1, "anchoring"), meant("depth", F.col("ground_m"), 2, "grounding"))
+        met = buckets.select(*LEG, "ground_m", "anchor_m", F.inline(roles)).where("of_m is not null")
+        return rows.withColumn("of_m", F.when(F.col("kind") == "object", 0.0).otherwise(F.col("value_m"))).join(met, [*LEG, "kind", "of_m"]).drop("of_m")
     kinds = F.array_compact(
         F.array(
             F.when(F.col("kind") == "object", F.struct(*role(0, "allision"))),
@@ -160,15 +160,20 @@ def reached(hits: DataFrame, buckets: DataFrame, merged: bool = False) -> DataFr
     rows = hits.join(far.select(*LEG, "direction", "obstacle_id", "distance_m", "hole"), [*LEG, "direction", "obstacle_id"])
     rows = _rows_of_buckets(rows, buckets, merged)
     bucket = [*LEG, "direction", "ground_m", "anchor_m"]
-    order = Window.partitionBy(*bucket, "slice", "ray").orderBy("distance_m", F.least("place", F.lit(1)), "obstacle_id", "place").rowsBetween(Window.unboundedPreceding, -1)
-    none = F.lit(float("inf"))
-    rows = rows.withColumn("blocked_m", F.coalesce(F.min(F.when(F.col("accident") != "anchoring", F.col("enter_m"))).over(order), none))
-    rows = rows.withColumn("anchors_m", F.coalesce(F.min(F.when(F.col("accident") == "anchoring", F.col("enter_m"))).over(order), none))
+    # A hash of the keys leads the sort: few rows share its prefix, while most rows share scenario and leg.
+    spot = [*bucket, "slice", "ray"]
+    rows = rows.select(F.xxhash64(*spot).alias("spot"), *spot, "obstacle_id", "value_m", "distance_m", "hole", "mass", "enter_m", "exit_m", "place")
+    order = Window.partitionBy("spot", *spot).orderBy("distance_m", F.least("place", F.lit(1)), "obstacle_id", "place").rowsBetween(Window.unboundedPreceding, -1)
+    none, anchoring = F.lit(float("inf")), F.col("place") == 1
+    rows = rows.withColumn("blocked_m", F.coalesce(F.min(F.when(~anchoring, F.col("enter_m"))).over(order), none))
+    rows = rows.withColumn("anchors_m", F.coalesce(F.min(F.when(anchoring, F.col("enter_m"))).over(order), none))
     free = F.col("enter_m") < F.col("blocked_m")
-    inside = free & (F.col("accident") != "anchoring") & (F.col("anchors_m") <= F.least("exit_m", "blocked_m"))
-    return rows.groupBy(*bucket, "obstacle_id", "accident", "value_m", "distance_m", "hole").agg(
-        F.sum(F.when(free, F.col("mass")).otherwise(0.0)).alias("h_reach"), F.sum(F.when(inside, F.col("mass")).otherwise(0.0)).alias("h_in_anchor")
-    )
+    inside = free & ~anchoring & (F.col("anchors_m") <= F.least("exit_m", "blocked_m"))
+    sums = rows.groupBy(*bucket, "obstacle_id", "place").agg(
+        *[F.max(c).alias(c) for c in ("value_m", "distance_m", "hole")],  # the same in all rows of an obstacle
+        F.sum(F.when(free, F.col("mass")).otherwise(0.0)).alias("h_reach"), F.sum(F.when(inside, F.col("mass")).otherwise(0.0)).alias("h_in_anchor"),
+    )
+    return sums.withColumn("accident", F.get(F.array(*[F.lit(a) for a in ("allision", "anchoring", "grounding")]), F.col("place"))).drop("place")
 
 
 def edge_shares(facing: DataFrame) -> DataFrame:
@@ -264,7 +269,8 @@ def cascade(
         used = buckets.select("scenario_id", F.explode(F.array("ground_m", "anchor_m")).alias("value_m")).where("value_m is not null")
         edges = with_merged_contours(edges, used)
     facing = written(facing_edges(frames(legs, lateral).join(reach, "scenario_id"), edges), "facing")
-    return contributions(exposure, reached(ray_hits(facing, slices, rays), buckets, merged), edge_shares(facing), rose, anchor_share, drift_kn, factors, detail, shared, **repair)
+    hits = written(ray_hits(facing, slices, rays), "hits")  # read for the holes and again for their shadows
+    return contributions(exposure, reached(hits, buckets, merged), edge_shares(facing), rose, anchor_share, drift_kn, factors, detail, shared, **repair)
 
 
 def rolled_up(facts: DataFrame, *keys: str) -> DataFrame:

@@ -61,13 +61,17 @@ def merged_contours(spark, sf_dir):
 
 #: Reach by repair time, as all legs are long against it.
 REACH = D.reach_m(100_000.0)
-_MOVED = lambda spread, least, shift=(0.0, 0.0): f"""WITH {_EDGES}, pr AS (SELECT leg_id, {_XY('lon1', 'lat1')[0]} AS o_x, {_XY('lon1', 'lat1')[1]} AS o_y, {_XY('lon2', 'lat2')[0]} AS f_x, {_XY('lon2', 'lat2')[1]} AS f_y FROM legs),
+_SHIFTED = lambda shift: (("ax", shift[0], "a_x"), ("ay", shift[1], "a_y"), ("bx", shift[0], "b_x"), ("bby", shift[1], "b_y"))
+_AS_THEY_ARE = lambda shift: ", ".join(f"{c} + {X.num(m)} AS {n}" for c, m, n in _SHIFTED(shift))
+#: Corners of depths snapped as those of merged contours are.
+_SNAPPED = lambda shift: ", ".join(f"CASE WHEN kind = 'depth' THEN round({c} + {X.num(m)}, {G.DECIMALS}) ELSE {c} + {X.num(m)} END AS {n}" for c, m, n in _SHIFTED(shift))
+_MOVED = lambda spread, least, shift=(0.0, 0.0), eg=_AS_THEY_ARE: f"""WITH {_EDGES}, pr AS (SELECT leg_id, {_XY('lon1', 'lat1')[0]} AS o_x, {_XY('lon1', 'lat1')[1]} AS o_y, {_XY('lon2', 'lat2')[0]} AS f_x, {_XY('lon2', 'lat2')[1]} AS f_y FROM legs),
 un AS (SELECT *, sqrt(pow(f_x - o_x, 2e0) + pow(f_y - o_y, 2e0)) AS len FROM pr), ul AS (SELECT *, (f_x - o_x) / len AS l_x, (f_y - o_y) / len AS l_y FROM un),
 bd AS (SELECT *, sin(radians(direction * 45e0)) AS h_x, cos(radians(direction * 45e0)) AS h_y, {X.num(REACH)} AS reach_m, greatest({X.num(least)}, {X.num(spread)} * std_m) AS radius_m,
   o_x - mean_m * l_y AS s_x, o_y + mean_m * l_x AS s_y, f_x - mean_m * l_y AS e_x, f_y + mean_m * l_x AS e_y FROM ul JOIN leg_lateral USING (leg_id) CROSS JOIN (SELECT CAST(range AS INTEGER) AS direction FROM range(8))),
 bg AS (SELECT *, reach_m * h_x AS g_x, reach_m * h_y AS g_y FROM bd),
 bp AS (SELECT *, [{', '.join(f"{{'nx': {nx}, 'ny': {ny}, 'c': {c}}}" for nx, ny, c in V.plane_texts())}] AS planes FROM bg),
-eg AS (SELECT obstacle_id, kind, value_m, ax + {X.num(shift[0])} AS a_x, ay + {X.num(shift[1])} AS a_y, bx + {X.num(shift[0])} AS b_x, bby + {X.num(shift[1])} AS b_y FROM ed),
+eg AS (SELECT obstacle_id, kind, value_m, {eg(shift)} FROM ed),
 nb AS (SELECT bp.*, obstacle_id, kind, value_m, a_x, a_y, b_x, b_y FROM bp JOIN eg ON greatest(a_x, b_x) >= least(s_x, e_x) + least(0, g_x) - radius_m AND least(a_x, b_x) <= greatest(s_x, e_x) + greatest(0, g_x) + radius_m
   AND greatest(a_y, b_y) >= least(s_y, e_y) + least(0, g_y) - radius_m AND least(a_y, b_y) <= greatest(s_y, e_y) + greatest(0, g_y) + radius_m)"""
 _IN = V.inside_texts(arrow="lambda p:", most="list_max", least="list_min", each="list_transform")
@@ -174,7 +178,7 @@ rc AS (SELECT *, coalesce(least(stop_m, end_m), end_m) AS upto FROM al)
 SELECT leg_id, dir_idx, direction, round(sum((upto - start_m) * width_m) / 1e6, 4) AS area_km2, round(sum(CASE WHEN anchor_m < upto THEN (upto - anchor_m) * width_m ELSE 0 END) / 1e6, 4) AS anchorable_km2, round(1 - sum((upto - start_m) * width_m) / sum((end_m - start_m) * width_m), 6) AS blocked FROM rc GROUP BY 1, 2, 3"""
 
 
-@query("drf_fans", oracle(_MOVED(2.5758293035489004, 0.0, SHIFT) + _FANS, *_VIEWS))
+@query("drf_fans", oracle(_MOVED(2.5758293035489004, 0.0, SHIFT, _SNAPPED) + _FANS, *_VIEWS))
 def fan_rows(spark, sf_dir):
     """Reach of a ship of GROUND_M draught that anchors in ANCHOR_M, over merged contours; the SQL takes obstacles one by one."""
     at, edges = _bands(spark, sf_dir, 2.5758293035489004)  # 99 of 100 ships
@@ -191,7 +195,7 @@ def fan_rows(spark, sf_dir):
 
 LOW, STEP = "(mean_m - 5e0 * std_m)", f"(1e1 * std_m / {X.num(K.RAYS)})"
 #: Traffic of each year and a rose for it over one geometry, on a chart with a contour each 5 m; ids of merged contours count down from the shallowest in use.
-_CASCADE = f"""WITH {_EDGES}, eg AS (SELECT obstacle_id, kind, CASE WHEN kind = 'depth' THEN 5e0 * ceil(value_m / 5e0) ELSE value_m END AS value_m, {', '.join(f"CASE WHEN kind = 'depth' THEN round({c} + {X.num(m)}, 3) ELSE {c} + {X.num(m)} END AS {n}" for c, m, n in (('ax', SHIFT[0], 'a_x'), ('ay', SHIFT[1], 'a_y'), ('bx', SHIFT[0], 'b_x'), ('bby', SHIFT[1], 'b_y')))} FROM ed),
+_CASCADE = f"""WITH {_EDGES}, eg AS (SELECT obstacle_id, kind, CASE WHEN kind = 'depth' THEN 5e0 * ceil(value_m / 5e0) ELSE value_m END AS value_m, {_SNAPPED(SHIFT)} FROM ed),
 lm AS (SELECT leg_id, {X.haversine('lon1', 'lat1', 'lon2', 'lat2', X.EARTH_ROUTE_M)} AS length_m FROM legs),
 db AS (SELECT DISTINCT value_m AS v FROM eg WHERE kind = 'depth'),
 ex AS (SELECT scenario_id, leg_id, dir_idx, ship_type, size_bin, length_m / (speed_kn * 1852e0) * freq * CASE WHEN ship_type BETWEEN 8 AND 11 THEN 1e-1 ELSE 1e0 END / 8760e0 AS base,

@@ -211,6 +211,8 @@ def clipped_ring(ring: np.ndarray, planes: np.ndarray) -> np.ndarray:
         if not len(ring):
             break
         d = ring @ (nx, ny) - c
+        if (d <= 0).all():  # nothing to cut, as for most half-planes
+            continue
         out = []
         for p, q, dp, dq in zip(ring, np.roll(ring, -1, axis=0), d, np.roll(d, -1)):
             if dp <= 0:

@@ -131,6 +131,16 @@ def coverage(times: DataFrame, t: str = "t_s", max_gap_s: float = 43200.0) -> Da
     return got.withColumn("multiplier", F.when(F.col("covered_s") > 0, F.lit(365.0 * 86400.0) / F.col("covered_s")))
 
 
+def leg_passages(crossed: DataFrame) -> DataFrame:
+    """(leg_id, mmsi, t_s): when vessels passed each leg's line, repeated segments once; rows without a vessel or a time go."""
+    return crossed.where("mmsi is not null and t1 is not null").select("leg_id", "mmsi", F.col("t1").alias("t_s")).distinct()
+
+
+def junction_visits(passages: DataFrame, junctions: DataFrame) -> DataFrame:
+    """(junction_id, mmsi, leg_id, t_s): passages of the legs (junction_id, leg_id) that meet at each junction."""
+    return passages.join(junctions.select("junction_id", "leg_id").distinct(), "leg_id").select("junction_id", "mmsi", "leg_id", "t_s")
+
+
 def transitions(visits: DataFrame, window_s: float = 7200.0, consecutive: bool = False) -> DataFrame:
     """Counts of (in_leg, out_leg) per junction from visits (junction_id, mmsi, leg_id, t_s).
 

@@ -27,6 +27,10 @@ VIEWS = {
         CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE abs(CAST(c_acctbal AS DOUBLE)) / 500e0 END AS air_draught_m FROM {customer}""",
     "runs": """SELECT o_orderkey AS run_id, o_custkey AS project_id, o_orderpriority AS name, o_orderdate AS run_ts, CAST(o_totalprice AS DOUBLE) * 1e-9 AS total_freq FROM {orders}""",
 }
+#: Identity and voyage reports: errors tell nothing, a sign-up has no time of its own, and ships are refitted or change their voyage.
+VIEWS["messages"] = """SELECT user_id AS mmsi, event_id AS seq, CASE WHEN event_type = 'signup' THEN NULL ELSE {US} / 1e6 END AS t_s, event_type <> 'error' AS told,
+    9000000 + user_id AS imo, user_id % 90 + 10 + CASE WHEN value > 300e0 THEN 5 ELSE 0 END AS dim_a, user_id % 30 AS dim_b, user_id % 11 + 2 AS dim_c, CASE WHEN user_id % 7 = 0 THEN NULL ELSE user_id % 13 END AS dim_d,
+    CAST(floor(value / 100e0) AS DOUBLE) AS draught_m, CAST(user_id % 60 + 30 AS INT) AS ship_code, concat('  ', event_type, ' by the northern strait ') AS destination FROM {events}"""
 #: Traffic of each year as a scenario of its own, and a network in which three legs and more meet.
 VIEWS["scenario_cells"] = VIEWS["traffic_cells"].replace("SELECT ", "SELECT CAST(year(l_shipdate) AS BIGINT) AS scenario_id, ", 1).replace("GROUP BY 1, 2, 3, 4", "GROUP BY 1, 2, 3, 4, 5")
 _STAR = """ UNION ALL SELECT CAST(n_nationkey + 101 AS BIGINT), 14e0 + 1e-1 * (n_nationkey % 5), 55e0 + 1e-1 * floor(n_nationkey / 5e0),
@@ -34,7 +38,7 @@ _STAR = """ UNION ALL SELECT CAST(n_nationkey + 101 AS BIGINT), 14e0 + 1e-1 * (n
 VIEWS["star_legs"] = VIEWS["legs"] + _STAR
 VIEWS["star_cells"] = f"WITH c AS ({VIEWS['traffic_cells']}) SELECT * FROM c UNION ALL SELECT leg_id + 100, dir_idx, ship_type, size_bin, freq, speed_kn, draught_m, height_m, beam_m FROM c"
 _BASE = {
-    "pings": "events", "legs": "nation", "star_legs": "nation", "leg_lateral": "nation", "traffic_cells": "lineitem", "scenario_cells": "lineitem", "star_cells": "lineitem",
+    "pings": "events", "messages": "events", "legs": "nation", "star_legs": "nation", "leg_lateral": "nation", "traffic_cells": "lineitem", "scenario_cells": "lineitem", "star_cells": "lineitem",
     "obstacles": "part", "registry": "customer", "runs": "orders",
 }
 

@@ -49,22 +49,6 @@ def read_reports(spark: SparkSession, paths: list[str], partitions: int | None =
     return out.repartition(partitions, "mmsi") if partitions else out.repartition("mmsi")
 
 
-def write_segments(segments: DataFrame, path: str, t: str = "t1") -> None:
-    """Appends segments under year= and month= (UTC) of their start."""
-    when = F.timestamp_micros((F.col(t) * 1_000_000).cast("long"))
-    segments.withColumn("year", F.year(when)).withColumn("month", F.month(when)).write.mode("append").partitionBy("year", "month").parquet(path)
-
-
-def read_segments(spark: SparkSession, path: str, year: int | None = None, months: list[int] | None = None) -> DataFrame:
-    """Segments of a year and months, read from those partitions alone; repeated rows count once."""
-    rows = spark.read.parquet(path)
-    if year is not None:
-        rows = rows.where(F.col("year") == year)
-    if months:
-        rows = rows.where(F.col("month").isin(months))
-    return rows.distinct()
-
-
 PROJECT = T.StructType(
     [
         T.StructField("segment_data", T.MapType(T.StringType(), T.StructType([T.StructField(n, T.StringType()) for n in ("Start_Point", "Start Point", "End_Point", "End Point", "Width")] + [T.StructField("line_length", T.DoubleType())]))),
@@ -183,12 +167,6 @@ def ring_edges(rows: DataFrame, wkt: str = "wkt") -> DataFrame:
     return out.select(*[c for c in rows.columns if c != wkt], "part", "hole", "edge", F.get("a", 0).alias("a_lon"), F.get("a", 1).alias("a_lat"), F.get("b", 0).alias("b_lon"), F.get("b", 1).alias("b_lat"))
 
 
-def append_run(results: dict[str, DataFrame], path: str, run_id: int) -> None:
-    """Writes the result tables of a run; each table under its name, partitioned by run_id."""
-    for name, df in results.items():
-        df.withColumn("run_id", F.lit(run_id).cast("long")).write.mode("append").partitionBy("run_id").parquet(f"{path}/{name}")
-
-
 def list_runs(runs: DataFrame) -> DataFrame:
     """The runs, newest first."""
     return runs.orderBy(F.desc("run_id"))

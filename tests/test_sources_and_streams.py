@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from fairway.operators import tracks
 from fairway.plans.adapters import view
-from fairway.sources import tables
+from fairway.sources import sinks, tables
 from fairway.streaming import reports
 
 SF = "/root/testdata/sf0.001"
@@ -22,9 +22,9 @@ def test_reports_of_different_headers(spark, tmp_path):
 
 def test_segments_are_read_from_their_partitions(spark, tmp_path):
     s = spark.createDataFrame([(1, 1704067200.0), (2, 1709251200.0), (2, 1709251200.0)], "mmsi long, t1 double")
-    tables.write_segments(s, str(tmp_path / "s"))
-    march = tables.read_segments(spark, str(tmp_path / "s"), 2024, [3])
-    assert [r.mmsi for r in march.collect()] == [2] and "PartitionFilters: [isnotnull" in march._jdf.queryExecution().toString()
+    sinks.write_segments(s, str(tmp_path / "s"), "b1")
+    march = sinks.read_segments(spark, str(tmp_path / "s"), 2024, [3])
+    assert [r.mmsi for r in march.collect()] == [2, 2] and "PartitionFilters: [isnotnull" in march._jdf.queryExecution().toString()
 
 
 def test_projects(spark, tmp_path):

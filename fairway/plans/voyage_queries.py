@@ -73,8 +73,8 @@ def segment_states(spark, sf_dir):
     return s.select("mmsi", "sub_id", "t1", "state_id", "draught_m", "ship_code", "destination", "static_id", *V.IDENTITY)
 
 
-#: Junctions and their legs: the nations of a region.
-_JUNCTIONS = "SELECT CAST(n_regionkey AS BIGINT) AS junction_id, CAST(n_nationkey + 1 AS BIGINT) AS leg_id FROM {nation}"
+#: Junctions and their legs: those of one row of the network.
+_JUNCTIONS = "SELECT CAST(floor(n_nationkey / 5e0) AS BIGINT) AS junction_id, CAST(n_nationkey + 1 AS BIGINT) AS leg_id FROM {nation}"
 
 
 def _anchored(visits: str, window_s: str) -> str:
@@ -97,11 +97,11 @@ def leg_passages(spark, sf_dir):
 _COUNTED = "SELECT junction_id, in_leg, out_leg, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY junction_id, in_leg), 6) AS share FROM vs WHERE in_leg <> out_leg GROUP BY 1, 2, 3"
 
 
-@query("pas_crossed_transitions", _recursive(oracle(f"{_CROSSED}, jl AS ({_JUNCTIONS.format(nation='nation')}), v AS (SELECT DISTINCT junction_id, mmsi, leg_id, t1 AS t_s FROM pass JOIN jl USING (leg_id)), {_anchored('v', '864e2')} {_COUNTED}", "pings", "legs")))
+@query("pas_crossed_transitions", _recursive(oracle(f"{_CROSSED}, jl AS ({_JUNCTIONS.format(nation='nation')}), v AS (SELECT DISTINCT junction_id, mmsi, leg_id, t1 AS t_s FROM pass JOIN jl USING (leg_id)), {_anchored('v', '864e3')} {_COUNTED}", "pings", "legs")))
 def crossed_transitions(spark, sf_dir):
     junctions = spark.sql(_JUNCTIONS, nation=spark.read.parquet(f"{sf_dir}/nation.parquet"))
     visits = P.junction_visits(P.leg_passages(_crossed(spark, sf_dir)), junctions)
-    return P.shares(P.transitions(visits, 86400.0)).withColumn("share", F.round("share", 6))
+    return P.shares(P.transitions(visits, 864000.0)).withColumn("share", F.round("share", 6))
 
 
 @query("pas_transitions_timed", f"WITH RECURSIVE v AS ({_VISITS.format(us='CAST(epoch_us(ts) AS DOUBLE)', events='events')}), {_anchored('v', '8e5')} {_COUNTED}")

@@ -190,11 +190,11 @@ def compare_runs(runs: DataFrame, ids: list[int]) -> DataFrame:
 def matrix_cells(rows: DataFrame, names: list[str]) -> DataFrame:
     """Long cells of [type][size] matrices (arrays of arrays, one column per name); those without a positive frequency go.
 
-    The first name is the frequency.  Values may be text; what is no number is null.
+    The first name is the frequency.  Values may be text; what is no number, or lies in a row that a matrix lacks, is null.
     """
     keys = [c for c in rows.columns if c not in names]
     out = rows.select(*keys, F.posexplode(F.arrays_zip(*names)).alias("ship_type", "row"))
-    out = out.select(*keys, "ship_type", F.posexplode(F.arrays_zip(*[F.col(f"row.{n}").alias(n) for n in names])).alias("size_bin", "cell"))
+    out = out.select(*keys, "ship_type", F.posexplode(F.arrays_zip(*[F.coalesce(F.col(f"row.{n}"), F.array()).alias(n) for n in names])).alias("size_bin", "cell"))
     out = out.select(*keys, "ship_type", "size_bin", *[F.col(f"cell.{n}").try_cast("double").alias(n) for n in names])
     return out.where(F.col(names[0]) > 0)
 

@@ -35,12 +35,13 @@ def box_edges(obstacles: DataFrame) -> DataFrame:
 
 
 def turning_points(legs: DataFrame, lateral: DataFrame, speeds: DataFrame, lon0: float, lat0: float) -> DataFrame:
-    """Per leg and direction: where ships fail to turn, the way they go on, and their lateral spread."""
+    """Per leg and direction, and scenario where a table has one: where ships fail to turn, the way they go on, and their lateral spread."""
     p = projected(legs, lon0, lat0, s=("lon1", "lat1"), e=("lon2", "lat2")).withColumn("len", F.expr("sqrt(pow(e_x - s_x, 2e0) + pow(e_y - s_y, 2e0))")).where("len > 0")
-    out = p.select("leg_id", "s_x", "s_y", "e_x", "e_y", F.expr("(e_x - s_x) / len").alias("ux"), F.expr("(e_y - s_y) / len").alias("uy"), F.explode(F.array(F.lit(0), F.lit(1))).alias("dir_idx"))
+    out = p.select(*scope(p), "leg_id", "s_x", "s_y", "e_x", "e_y", F.expr("(e_x - s_x) / len").alias("ux"), F.expr("(e_y - s_y) / len").alias("uy"), F.explode(F.array(F.lit(0), F.lit(1))).alias("dir_idx"))
     ahead = F.col("dir_idx") == 0
-    out = out.select("leg_id", "dir_idx", F.when(ahead, F.col("e_x")).otherwise(F.col("s_x")).alias("tx"), F.when(ahead, F.col("e_y")).otherwise(F.col("s_y")).alias("ty"), F.when(ahead, F.col("ux")).otherwise(-F.col("ux")).alias("dx"), F.when(ahead, F.col("uy")).otherwise(-F.col("uy")).alias("dy"), (-F.col("uy")).alias("nx"), F.col("ux").alias("ny"))
-    return out.join(lateral, ["leg_id", "dir_idx"]).join(speeds.where("speed_kn > 0"), ["leg_id", "dir_idx"])
+    out = out.select(*scope(p), "leg_id", "dir_idx", F.when(ahead, F.col("e_x")).otherwise(F.col("s_x")).alias("tx"), F.when(ahead, F.col("e_y")).otherwise(F.col("s_y")).alias("ty"), F.when(ahead, F.col("ux")).otherwise(-F.col("ux")).alias("dx"), F.when(ahead, F.col("uy")).otherwise(-F.col("uy")).alias("dy"), (-F.col("uy")).alias("nx"), F.col("ux").alias("ny"))
+    out = out.join(lateral, [*scope(out, lateral), "leg_id", "dir_idx"])
+    return out.join(speeds.where("speed_kn > 0"), [*scope(out, speeds), "leg_id", "dir_idx"])
 
 
 def _boxed(df: DataFrame, xs: list, ys: list) -> DataFrame:
@@ -54,7 +55,7 @@ def near(corridors: DataFrame, edges: DataFrame, length_m: float) -> DataFrame:
 
     A corridor goes from (at_x, at_y) along (to_x, to_y) for length_m, from left_m to right_m along (side_x, side_y).
     An edge counts with all places as near as it is long, so the box around it in the corridor's frame does too.  A
-    pair is repeated for each cell that it shares.
+    pair is repeated for each cell that it shares.  Where both have scenarios they meet within one.
     """
     n = max(1, int(-(-length_m // CELL_M)))
     parts = corridors.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
@@ -62,13 +63,13 @@ def near(corridors: DataFrame, edges: DataFrame, length_m: float) -> DataFrame:
     mine = _boxed(parts, xs, ys).drop("part").distinct()
     long = F.expr("sqrt(pow(b_x - a_x, 2e0) + pow(b_y - a_y, 2e0))")
     xs, ys = ([F.col(f"{e}_{k}") + sign * long for e in ("a", "b") for sign in (-1, 1)] for k in ("x", "y"))
-    return mine.join(_boxed(edges, xs, ys), ["cell_x", "cell_y"]).drop("cell_x", "cell_y", "at_x", "at_y", "to_x", "to_y", "side_x", "side_y", "left_m", "right_m")
+    return mine.join(_boxed(edges, xs, ys), [*scope(mine, edges), "cell_x", "cell_y"]).drop("cell_x", "cell_y", "at_x", "at_y", "to_x", "to_y", "side_x", "side_y", "left_m", "right_m")
 
 
 def ray_hits(points: DataFrame, edges: DataFrame) -> DataFrame:
     """Nearest hit of each ray with each obstacle: leg_id, dir_idx, ray, mass, obstacle_id, kind, value_m, along_m.
 
-    points: turning_points; edges: projected box_edges (a_x, a_y, b_x, b_y).
+    points: turning_points; edges: projected box_edges (a_x, a_y, b_x, b_y).  With scenarios in either, hits have them too.
     """
     p = points.withColumn("low", F.col("mean_m") - SPREAD * F.col("std_m")).withColumn("step", 2 * SPREAD * F.col("std_m") / (RAYS - 1))
     strip = {"at_x": F.col("tx"), "at_y": F.col("ty"), "to_x": F.col("dx"), "to_y": F.col("dy"), "side_x": F.col("nx"), "side_y": F.col("ny"), "left_m": F.col("low"), "right_m": F.col("low") + (RAYS - 1) * F.col("step")}
@@ -82,29 +83,33 @@ def ray_hits(points: DataFrame, edges: DataFrame) -> DataFrame:
     rays = rays.withColumn("offset", F.col("low") + F.col("ray") * F.col("step")).where("offset >= lo and offset < hi")
     rays = rays.withColumn("along_m", F.expr("xa + (offset - ya) / (yb - ya) * (xb - xa)")).where(f"along_m > 0 and along_m < {X.num(RANGE_M)}")
     mass = F.exp(-((F.col("offset") - F.col("mean_m")) ** 2) / (2 * F.col("std_m") ** 2)) / (F.col("std_m") * 2.5066282746310002) * F.col("step")
-    return rays.withColumn("mass", mass).groupBy("leg_id", "dir_idx", "ray", "obstacle_id", "kind", "value_m").agg(F.min("along_m").alias("along_m"), F.first("mass").alias("mass"))
+    return rays.withColumn("mass", mass).groupBy(*scope(rays), "leg_id", "dir_idx", "ray", "obstacle_id", "kind", "value_m").agg(F.min("along_m").alias("along_m"), F.first("mass").alias("mass"))
 
 
 def first_hits(hits: DataFrame, *by: str) -> DataFrame:
     """The obstacle that each ray meets first, for each value of the columns by; of equal distances the smaller id."""
     best = F.min(F.struct("along_m", "obstacle_id", "kind", "value_m", "mass")).alias("h")
-    return hits.groupBy("leg_id", "dir_idx", "ray", *by).agg(best).select("leg_id", "dir_idx", "ray", *by, "h.*")
+    own = [*scope(hits), "leg_id", "dir_idx", "ray", *by]
+    return hits.groupBy(*own).agg(best).select(*own, "h.*")
 
 
 def summaries(first: DataFrame, points: DataFrame, *by: str) -> DataFrame:
     """Per leg, direction and obstacle: mass, mean distance, and the chance not to have turned in time."""
     v = F.col("speed_kn") * X.KNOT_MS
-    rows = first.join(points.select("leg_id", "dir_idx", "speed_kn"), ["leg_id", "dir_idx"])
-    out = rows.groupBy("leg_id", "dir_idx", *by, "obstacle_id", "kind", "value_m", "speed_kn").agg(F.sum("mass").alias("mass"), (F.sum(F.col("mass") * F.col("along_m")) / F.sum("mass")).alias("mean_m"), F.sum(F.col("mass") * F.exp(-F.col("along_m") / (AI_S * v))).alias("p_integral"), F.count("*").alias("n_rays"))
+    rows = first.join(points.select(*scope(points), "leg_id", "dir_idx", "speed_kn"), [*scope(first, points), "leg_id", "dir_idx"])
+    out = rows.groupBy(*scope(rows), "leg_id", "dir_idx", *by, "obstacle_id", "kind", "value_m", "speed_kn").agg(F.sum("mass").alias("mass"), (F.sum(F.col("mass") * F.col("along_m")) / F.sum("mass")).alias("mean_m"), F.sum(F.col("mass") * F.exp(-F.col("along_m") / (AI_S * v))).alias("p_integral"), F.count("*").alias("n_rays"))
     return out.withColumn("p_approx", F.col("mass") * F.exp(-F.col("mean_m") / (AI_S * v))).drop("speed_kn")
 
 
 def contributions(cells: DataFrame, parts: DataFrame, gate, causation: float, *by: str) -> DataFrame:
-    """Each cell's yearly frequency at each obstacle that passes the gate on (cell, obstacle)."""
+    """Each cell's yearly frequency at each obstacle that passes the gate on (cell, obstacle).
+
+    Cells of several scenarios share parts that have none: rays of one network and chart are then cast once for all.
+    """
     v = F.when(F.col("speed_kn") > 0, F.col("speed_kn")).otherwise(10.0) * X.KNOT_MS
-    both = cells.join(parts, ["leg_id", "dir_idx", *by]).where(gate)
+    both = cells.join(parts, [*scope(cells, parts), "leg_id", "dir_idx", *by]).where(gate)
     value = causation * F.col("freq") * F.col("mass") * F.exp(-F.col("mean_m") / (AI_S * v))
-    return both.select("leg_id", "dir_idx", "ship_type", "size_bin", "obstacle_id", value.alias("frequency"))
+    return both.select(*scope(both), "leg_id", "dir_idx", "ship_type", "size_bin", "obstacle_id", value.alias("frequency"))
 
 
 def depth_bins(cells: DataFrame, depths: DataFrame) -> DataFrame:
@@ -122,11 +127,13 @@ def accidents(cells: DataFrame, hits: DataFrame, points: DataFrame, depths: Data
     """Yearly frequencies of kind grounding and allision, by cell and obstacle.
 
     A ship grounds on what its rays meet first among the contours not deeper than its depth bin, and hits what they
-    meet first among the objects alone, if it is as high.  depths (value_m) are the contours of the scenario.
+    meet first among the objects alone, if it is as high.  depths (value_m, with scenario_id if hits have one) are the
+    contours of the scenario.  Cells may have scenarios that hits and depths don't have.
     """
     depth = hits.where("kind = 'depth'")
-    bins = depths.agg(F.sort_array(F.collect_set("value_m")).alias("bins"))  # one row
-    each = depth.join(F.broadcast(bins)).withColumn("bin_m", F.explode(F.expr("filter(bins, b -> b >= value_m)"))).drop("bins")
+    own = scope(depth, depths)
+    bins = depths.groupBy(*own).agg(F.sort_array(F.collect_set("value_m")).alias("bins"))  # a row for each scenario
+    each = (depth.join(bins, own) if own else depth.join(F.broadcast(bins))).withColumn("bin_m", F.explode(F.expr("filter(bins, b -> b >= value_m)"))).drop("bins")
     shoals = summaries(first_hits(each, "bin_m"), points, "bin_m")
     grounding = contributions(depth_bins(cells, depths), shoals, F.lit(True), causation["grounding"], "bin_m")
     objects = summaries(first_hits(hits.where("kind = 'object'")), points)

@@ -215,6 +215,18 @@ def powered_accidents(spark, sf_dir):
     return _powered_accidents(spark, sf_dir).groupBy("accident", "obstacle_id").agg(F.count("*").alias("cells"), F.round(F.sum("frequency") * 1e6, 3).alias("frequency_e6"))
 
 
+_POW_SCENARIOS = _POW_ACCIDENTS.replace("FROM traffic_cells WHERE speed_kn > 0)", "FROM scenario_cells WHERE speed_kn > 0)").replace("leg_id, ship_type, size_bin, obstacle_id, 16e-5", "scenario_id, leg_id, ship_type, size_bin, obstacle_id, 16e-5").replace("leg_id, ship_type, size_bin, obstacle_id, 19e-5", "scenario_id, leg_id, ship_type, size_bin, obstacle_id, 19e-5")
+
+
+@query("pow_scenarios", oracle(_POW_SCENARIOS + "SELECT scenario_id, accident, obstacle_id, count(*) AS cells, round(sum(f) * 1e6, 3) AS frequency_e6 FROM ac GROUP BY 1, 2, 3", "legs", "leg_lateral", "traffic_cells", "scenario_cells", "obstacles"))
+def powered_scenarios(spark, sf_dir):
+    """The traffic of every year on one network and chart, whose rays are cast once."""
+    obstacles = view(spark, sf_dir, "obstacles")
+    _, hits, points = _powered_hits(spark, sf_dir, obstacles)
+    found = W.accidents(view(spark, sf_dir, "scenario_cells").where("speed_kn > 0"), hits, points, obstacles.where("kind = 'depth'"), C.CAUSATION)
+    return found.groupBy("scenario_id", "accident", "obstacle_id").agg(F.count("*").alias("cells"), F.round(F.sum("frequency") * 1e6, 3).alias("frequency_e6"))
+
+
 @query("pow_by_cell", oracle(_POW_ACCIDENTS + "SELECT accident, ship_type, size_bin, round(sum(f) * 1e6, 3) AS frequency_e6 FROM ac GROUP BY 1, 2, 3", *_POW_VIEWS))
 def powered_by_cell(spark, sf_dir):
     return _powered_accidents(spark, sf_dir).groupBy("accident", "ship_type", "size_bin").agg(F.round(F.sum("frequency") * 1e6, 3).alias("frequency_e6"))

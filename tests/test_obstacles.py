@@ -71,3 +71,23 @@ def test_each_ship_meets_the_first_obstacle_of_its_own_kind_and_depth(spark):
     for (kind, _, obstacle), value in got.items():
         want = {"grounding": 1.6e-4, "allision": 1.9e-4}[kind] * 100 * np.exp(-boxes[obstacle][2] / (180 * 10 * 1852 / 3600))
         assert abs(value / want - 1) < 1e-3
+
+
+def test_scenarios_meet_their_own_charts_alone(spark):
+    row = "leg_id long, dir_idx int, tx double, ty double, dx double, dy double, nx double, ny double, mean_m double, std_m double, speed_kn double, scenario_id long"
+    point = (1, 0, 0.0, 0.0, 1.0, 0.0, 0.0, 1.0, 0.0, 100.0, 10.0)
+    points = spark.createDataFrame([(*point, 1), (*point, 2), (*point, 3)], row)
+    chart = lambda k, boxes: edges_of(spark, [(kind, v, x, -500.0, x + 100.0, 500.0) for kind, v, x in boxes]).withColumn("scenario_id", F.lit(k).cast("long"))
+    edges = chart(1, [("depth", 4.0, 1000.0), ("object", 5.0, 4000.0)]).unionByName(chart(2, [("depth", 12.0, 2000.0), ("depth", 4.0, 3000.0)]))
+    cell = "scenario_id long, leg_id long, dir_idx int, ship_type int, size_bin int, freq double, speed_kn double, draught_m double, height_m double"
+    cells = spark.createDataFrame([(k, 1, 0, 1, 0, 100.0, 10.0, 6.0, 30.0) for k in (1, 2, 3)], cell)
+    depths = edges.where("kind = 'depth'").select("scenario_id", "value_m")
+    factors = {"grounding": 1.6e-4, "allision": 1.9e-4}
+    together = W.accidents(cells, W.ray_hits(points, edges), points, depths, factors)
+    got = {(r.scenario_id, r.accident, r.obstacle_id): round(r.frequency, 12) for r in together.collect()}
+    alone = {}
+    for k in (1, 2):
+        mine = lambda df: df.where(F.col("scenario_id") == k).drop("scenario_id")  # noqa: B023, E731
+        for r in W.accidents(mine(cells), W.ray_hits(mine(points), mine(edges)), mine(points), mine(depths), factors).collect():
+            alone[k, r.accident, r.obstacle_id] = round(r.frequency, 12)
+    assert got == alone and set(got) == {(1, "grounding", 0), (1, "allision", 1), (2, "grounding", 1)}

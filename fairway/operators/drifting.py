@@ -14,6 +14,8 @@ REPAIR = {"kind": "lognormal", "shape": 0.95, "loc": 0.2, "scale": 0.85}
 DRIFT_KN = 1.0
 #: Block coefficient where the type has none.
 BLOCK = 0.75
+#: Block coefficients by place of the ship type (fixed values); other types have BLOCK.
+BLOCKS = [0.70, 0.50, 0.65, 0.55, 0.65, 0.60, 0.65, 0.65, 0.70, 0.65, 0.65, 0.70, 0.65, 0.67, 0.72, 0.72, 0.72, 0.80, 0.80, 0.82, 0.67]
 
 
 def blackout_exposure(cells: DataFrame, legs: DataFrame, rates: DataFrame, default_rate: float = 1.0) -> DataFrame:
@@ -96,6 +98,11 @@ def holes(intervals: DataFrame, slices: int) -> DataFrame:
     return merged.groupBy(*_KEY).agg((F.sum(mass) / slices).alias("hole"))
 
 
+def block_coefficient(ship_type):
+    """The coefficient of a ship type's place; BLOCK for null and all others."""
+    return F.when(ship_type.between(0, len(BLOCKS) - 1), F.element_at(F.array(*[F.lit(b) for b in BLOCKS]), ship_type.cast("int") + 1)).otherwise(F.lit(BLOCK))
+
+
 def squat_m(speed_kn, block=None):
     """How much deeper a ship lies under way: its block coefficient times the square of its speed; 0 if it lies still."""
     c = F.lit(BLOCK) if block is None else F.coalesce(block, F.lit(BLOCK))

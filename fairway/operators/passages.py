@@ -99,9 +99,9 @@ def plausible(a: Column, b: Column, fallback: Column, low: float, high: float) -
 
 
 def traffic(passages: DataFrame, multiplier: float = 1.0) -> DataFrame:
-    """Counts and means per (leg, direction, type, size)."""
+    """Counts times the multiplier, and means of the values that are known, per (leg, direction, type, size); draught_m where passages have it."""
     mean = lambda c: F.avg(c).alias(c)
-    return passages.groupBy("leg_id", "dir_idx", "ship_type", "size_bin").agg((F.count("*") * F.lit(multiplier)).alias("freq"), mean("speed_kn"), mean("beam_m"), mean("height_m"))
+    return passages.groupBy("leg_id", "dir_idx", "ship_type", "size_bin").agg((F.count("*") * F.lit(multiplier)).alias("freq"), mean("speed_kn"), mean("beam_m"), mean("height_m"), *([mean("draught_m")] if "draught_m" in passages.columns else []))
 
 
 def dense(cells_: DataFrame, legs: DataFrame, types: int = 21, bins: int = 15) -> DataFrame:

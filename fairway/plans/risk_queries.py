@@ -391,3 +391,12 @@ def difference_rows(spark, sf_dir):
     changed = runs.withColumn("v", F.col("v") + F.when(F.col("run_id") % 4 == 0, 1.0).otherwise(0.0))
     d = R.differences(runs.where("run_id % 5 <> 0"), changed.where("run_id % 7 <> 0"), ["run_id"], "v")
     return d.select("run_id", F.round("a", 3).alias("a"), F.round("b", 3).alias("b"))
+
+
+_BLOCK = "CASE " + " ".join(f"WHEN ship_type = {i} THEN {X.num(b)}" for i, b in enumerate(D.BLOCKS)) + f" ELSE {X.num(D.BLOCK)} END"
+
+
+@query("drf_squat", oracle(f"SELECT leg_id, dir_idx, ship_type, size_bin, round(CASE WHEN speed_kn > 0 THEN {_BLOCK} * speed_kn * speed_kn / 100e0 ELSE 0e0 END + 1e-9, 5) AS squat_m FROM traffic_cells", "traffic_cells"))
+def squat_rows(spark, sf_dir):
+    cells = view(spark, sf_dir, "traffic_cells")
+    return cells.select("leg_id", "dir_idx", "ship_type", "size_bin", F.round(D.squat_m(F.col("speed_kn"), D.block_coefficient(F.col("ship_type"))) + 1e-9, 5).alias("squat_m"))

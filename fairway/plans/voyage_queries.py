@@ -11,7 +11,7 @@ from fairway.operators import voyages as V
 
 from .adapters import oracle, view
 from .track_queries import _SEGMENTS, _split
-from .traffic_queries import _CROSSED, _VISITS, _crossed
+from .traffic_queries import _BIN, _CROSSED, _VISITS, _crossed
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -73,6 +73,28 @@ def segment_states(spark, sf_dir):
     return s.select("mmsi", "sub_id", "t1", "state_id", "draught_m", "ship_code", "destination", "static_id", *V.IDENTITY)
 
 
+_TYPE = "CAST(CASE " + " ".join(f"WHEN ship_code BETWEEN {a} AND {b} THEN {i}" for i, (a, b) in enumerate(P.CATEGORIES.values())) + f" ELSE {P.OTHER_TYPE} END AS INTEGER)"
+_YEAR = """cv AS (SELECT 365e0 * 86400e0 / (max(t_s) - min(t_s) - coalesce(sum(CASE WHEN gap > 432e2 THEN gap END), 0e0)) AS multiplier FROM (SELECT t_s, t_s - lag(t_s) OVER (ORDER BY t_s) AS gap FROM pings))"""
+
+
+@query("pas_traffic_matrix", oracle(_CROSSED + f""", {_STATES}, lst AS {_LAST('b', 'st')}, {_YEAR},
+sh AS (SELECT d.*, x.draught_m, {_TYPE} AS ship_type, si.dim_a + si.dim_b AS loa_m, si.dim_c + si.dim_d AS beam_m, r.air_draught_m
+  FROM dirs d ASOF JOIN lst x ON d.mmsi = x.mmsi AND d.t1 >= x.v_t JOIN si ON si.version_id = x.static_id LEFT JOIN registry r ON r.mmsi = d.mmsi WHERE d.dir_idx IS NOT NULL)
+SELECT leg_id, dir_idx, ship_type, {_BIN.format('loa_m')} AS size_bin, round(count(*) * any_value(multiplier) + 1e-9, 5) AS freq, round(avg(sog) + 1e-9, 5) AS speed_kn, round(avg(beam_m) + 1e-9, 5) AS beam_m, round(avg(air_draught_m) + 1e-9, 5) AS height_m, round(avg(draught_m) + 1e-9, 5) AS draught_m
+FROM sh, cv GROUP BY 1, 2, 3, 4""", "pings", "legs", "messages", "registry"))
+def traffic_matrix(spark, sf_dir):
+    """Traffic of a year from crossings, with the ships as they were at the time: counts times the coverage's multiplier.
+
+    Values are shifted by 1e-9 before they are rounded, so that halves fall the same way everywhere.
+    """
+    known, voyages = _tables(spark, sf_dir)
+    ships = V.with_ship(P.direction(_crossed(spark, sf_dir), 60.0), voyages, known).join(view(spark, sf_dir, "registry").select("mmsi", F.col("air_draught_m").alias("height_m")), "mmsi", "left")
+    ships = ships.withColumn("size_bin", P.length_bin(F.col("dim_a") + F.col("dim_b"))).withColumn("ship_type", P.ship_category(F.col("ship_code"))).withColumn("beam_m", F.col("dim_c") + F.col("dim_d")).withColumn("speed_kn", F.col("sog"))
+    year = P.coverage(view(spark, sf_dir, "pings")).select("multiplier")  # one row
+    t = P.traffic(ships).join(F.broadcast(year)).withColumn("freq", F.col("freq") * F.col("multiplier"))
+    return t.select("leg_id", "dir_idx", "ship_type", "size_bin", *[F.round(F.col(c) + 1e-9, 5).alias(c) for c in ("freq", "speed_kn", "beam_m", "height_m", "draught_m")])
+
+
 #: Junctions and their legs: those of one row of the network.
 _JUNCTIONS = "SELECT CAST(floor(n_nationkey / 5e0) AS BIGINT) AS junction_id, CAST(n_nationkey + 1 AS BIGINT) AS leg_id FROM {nation}"
 

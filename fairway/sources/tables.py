@@ -78,11 +78,14 @@ def project_legs(projects: DataFrame) -> DataFrame:
 def project_obstacles(projects: DataFrame) -> DataFrame:
     """scenario_id, obstacle_id, kind, value_m and edges of the rings of all obstacles' WKT; rings that do not parse go.
 
-    value_m of an interval is its deeper end (see depth_m); single depths stand for themselves, without a bin's width.
+    value_m of an interval is its deeper end (see depth_m); a depth that is a single number is the upper edge of a bin as
+    wide as the commonest step between the project's depths (depth_bin_width), whose lower edge counts.
     """
     rows = projects.select("scenario_id", F.explode(F.concat(F.transform(F.coalesce("depths", F.array()), lambda x: F.struct(F.lit("depth").alias("kind"), x.alias("x"))), F.transform(F.coalesce("objects", F.array()), lambda x: F.struct(F.lit("object").alias("kind"), x.alias("x"))))).alias("o"))
-    rows = rows.select("scenario_id", F.col("o.kind").alias("kind"), F.get("o.x", 0).alias("obstacle_id"), depth_m(F.get("o.x", 1)).alias("value_m"), F.get("o.x", 2).alias("wkt"))
-    return ring_edges(rows)
+    rows = rows.select("scenario_id", F.col("o.kind").alias("kind"), F.get("o.x", 0).alias("obstacle_id"), F.get("o.x", 1).alias("text"), F.get("o.x", 2).alias("wkt"))
+    widths = depth_bin_width(rows.where("kind = 'depth'"), "text")
+    width = F.when(F.col("kind") == "depth", F.coalesce("bin_m", F.lit(0.0))).otherwise(0.0)
+    return ring_edges(rows.join(widths, "scenario_id", "left").select("scenario_id", "kind", "obstacle_id", depth_m(F.col("text"), width).alias("value_m"), "wkt"))
 
 
 def depth_m(text, bin_m=0.0):

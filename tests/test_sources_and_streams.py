@@ -44,6 +44,13 @@ def test_projects(spark, tmp_path):
     assert not any(r.hole for r in edges)
 
 
+def test_single_depths_of_a_project_are_bins(spark, tmp_path):
+    shape = "POLYGON((0 0, 1 0, 1 1, 0 0))"
+    (tmp_path / "p").write_text(json.dumps({"depths": [["a", "3", shape], ["b", "6", shape], ["c", "-9", shape], ["d", "10-20", shape]], "objects": [["s", "6", shape]]}))
+    got = tables.project_obstacles(tables.read_projects(spark, str(tmp_path))).collect()
+    assert {r.obstacle_id: r.value_m for r in got} == {"a": 6.0, "b": 9.0, "c": 12.0, "d": 20.0, "s": 6.0}
+
+
 def test_rings_are_shells_or_holes(spark):
     texts = ["POLYGON((0 0, 9 0, 9 9, 0 0), (1 1, 2 1, 2 2, 1 1))", "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((5 5, 9 5, 9 9, 5 5), (6 6, 7 6, 7 7, 6 6)))", "POINT(1 2)", None]
     got = tables.ring_edges(spark.createDataFrame(list(enumerate(texts)), "id int, wkt string")).select("id", "part", "hole").distinct().collect()

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fairway.functions import expr as X
 
@@ -34,6 +35,25 @@ def box_edges(obstacles: DataFrame) -> DataFrame:
     return obstacles.select("obstacle_id", "kind", "value_m", F.posexplode(edges).alias("edge", "e")).select("obstacle_id", "kind", "value_m", "edge", "e.*")
 
 
+BOX = ["x0", "y0", "x1", "y1"]
+
+
+def foremost(obstacles: DataFrame) -> DataFrame:
+    """Of obstacles on one box the one of smallest id: rays that meet it meet the others as far on, so never first."""
+    return obstacles.groupBy(*BOX).agg(F.min(F.struct("obstacle_id", "kind", "value_m")).alias("o")).select("o.*", *BOX)
+
+
+def foremost_by_depth(obstacles: DataFrame) -> DataFrame:
+    """Of obstacles on one box those that accidents can choose: the object of smallest id, and each contour that has a
+    smaller id than all that are less deep.  Copies meet in the sums first, so a box of many is no large group.
+    """
+    each = obstacles.groupBy(*BOX, "kind", "value_m").agg(F.min("obstacle_id").alias("obstacle_id"))
+    less_deep = Window.partitionBy(*BOX).orderBy("value_m").rowsBetween(Window.unboundedPreceding, -1)
+    contours = each.where("kind = 'depth' and value_m is not null").withColumn("before_", F.min("obstacle_id").over(less_deep))
+    contours = contours.where("before_ is null or obstacle_id < before_").drop("before_")
+    return contours.unionByName(foremost(each.where("kind = 'object'")))
+
+
 def turning_points(legs: DataFrame, lateral: DataFrame, speeds: DataFrame, lon0: float, lat0: float) -> DataFrame:
     """Per leg and direction, and scenario where a table has one: where ships fail to turn, the way they go on, and their lateral spread."""
     p = projected(legs, lon0, lat0, s=("lon1", "lat1"), e=("lon2", "lat2")).withColumn("len", F.expr("sqrt(pow(e_x - s_x, 2e0) + pow(e_y - s_y, 2e0))")).where("len > 0")
@@ -63,7 +83,8 @@ def near(corridors: DataFrame, edges: DataFrame, length_m: float) -> DataFrame:
     mine = _boxed(parts, xs, ys).drop("part").distinct()
     long = F.expr("sqrt(pow(b_x - a_x, 2e0) + pow(b_y - a_y, 2e0))")
     xs, ys = ([F.col(f"{e}_{k}") + sign * long for e in ("a", "b") for sign in (-1, 1)] for k in ("x", "y"))
-    return mine.join(_boxed(edges, xs, ys), [*scope(mine, edges), "cell_x", "cell_y"]).drop("cell_x", "cell_y", "at_x", "at_y", "to_x", "to_y", "side_x", "side_y", "left_m", "right_m")
+    there = _boxed(edges, xs, ys).hint("merge")  # Spark takes them for as few as the obstacles, and would broadcast them
+    return mine.join(there, [*scope(mine, edges), "cell_x", "cell_y"]).drop("cell_x", "cell_y", "at_x", "at_y", "to_x", "to_y", "side_x", "side_y", "left_m", "right_m")
 
 
 def ray_hits(points: DataFrame, edges: DataFrame) -> DataFrame:
@@ -133,8 +154,11 @@ def accidents(cells: DataFrame, hits: DataFrame, points: DataFrame, depths: Data
     depth = hits.where("kind = 'depth'")
     own = scope(depth, depths)
     bins = depths.groupBy(*own).agg(F.sort_array(F.collect_set("value_m")).alias("bins"))  # a row for each scenario
-    each = (depth.join(bins, own) if own else depth.join(F.broadcast(bins))).withColumn("bin_m", F.explode(F.expr("filter(bins, b -> b >= value_m)"))).drop("bins")
-    shoals = summaries(first_hits(each, "bin_m"), points, "bin_m")
+    # A contour is first for the bins from its own depth to below the least of those met before it.
+    met = Window.partitionBy(*scope(depth), "leg_id", "dir_idx", "ray").orderBy("along_m", "obstacle_id", "value_m").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = depth.withColumn("least_", F.min("value_m").over(met)).where("least_ is null or value_m < least_")
+    each = (ahead.join(bins, own) if own else ahead.join(F.broadcast(bins))).withColumn("bin_m", F.explode(F.expr("filter(bins, b -> b >= value_m and (least_ is null or b < least_))"))).drop("bins", "least_")
+    shoals = summaries(each, points, "bin_m")
     grounding = contributions(depth_bins(cells, depths), shoals, F.lit(True), causation["grounding"], "bin_m")
     objects = summaries(first_hits(hits.where("kind = 'object'")), points)
     allision = contributions(cells, objects, F.col("height_m") >= F.col("value_m"), causation["allision"])

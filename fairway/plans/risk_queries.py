@@ -176,7 +176,7 @@ def _powered_hits(spark, sf_dir, obstacles):
 
 
 def _powered(spark, sf_dir):
-    cells, hits, points = _powered_hits(spark, sf_dir, view(spark, sf_dir, "obstacles"))
+    cells, hits, points = _powered_hits(spark, sf_dir, W.foremost(view(spark, sf_dir, "obstacles")))
     return cells, W.summaries(W.first_hits(hits), points)
 
 
@@ -203,7 +203,7 @@ ac AS (SELECT 'grounding' AS accident, leg_id, ship_type, size_bin, obstacle_id,
 
 def _powered_accidents(spark, sf_dir):
     obstacles = view(spark, sf_dir, "obstacles")
-    cells, hits, points = _powered_hits(spark, sf_dir, obstacles)
+    cells, hits, points = _powered_hits(spark, sf_dir, W.foremost_by_depth(obstacles))
     return W.accidents(cells.where("speed_kn > 0"), hits, points, obstacles.where("kind = 'depth'"), C.CAUSATION)
 
 
@@ -222,7 +222,7 @@ _POW_SCENARIOS = _POW_ACCIDENTS.replace("FROM traffic_cells WHERE speed_kn > 0)"
 def powered_scenarios(spark, sf_dir):
     """The traffic of every year on one network and chart, whose rays are cast once."""
     obstacles = view(spark, sf_dir, "obstacles")
-    _, hits, points = _powered_hits(spark, sf_dir, obstacles)
+    _, hits, points = _powered_hits(spark, sf_dir, W.foremost_by_depth(obstacles))
     found = W.accidents(view(spark, sf_dir, "scenario_cells").where("speed_kn > 0"), hits, points, obstacles.where("kind = 'depth'"), C.CAUSATION)
     return found.groupBy("scenario_id", "accident", "obstacle_id").agg(F.count("*").alias("cells"), F.round(F.sum("frequency") * 1e6, 3).alias("frequency_e6"))
 

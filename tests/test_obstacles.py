@@ -91,3 +91,29 @@ def test_scenarios_meet_their_own_charts_alone(spark):
         for r in W.accidents(mine(cells), W.ray_hits(mine(points), mine(edges)), mine(points), mine(depths), factors).collect():
             alone[k, r.accident, r.obstacle_id] = round(r.frequency, 12)
     assert got == alone and set(got) == {(1, "grounding", 0), (1, "allision", 1), (2, "grounding", 1)}
+
+
+def test_copies_on_one_box_make_no_more_hits_and_the_same_accidents(spark):
+    rng = np.random.default_rng(5)
+    spots = [(float(x), float(y)) for x, y in rng.uniform((0.02, -0.004), (0.2, 0.004), (6, 2))]
+    rows = [(i, "depth" if i % 2 else "object", float(rng.integers(1, 9)), x, y, x + 2e-3, y + 3e-3) for i, (x, y) in enumerate([spots[k] for k in rng.integers(0, 6, 240)])]
+    obstacles = spark.createDataFrame(rows, "obstacle_id long, kind string, value_m double, x0 double, y0 double, x1 double, y1 double")
+    points = spark.createDataFrame([(1, 0, 0.0, 0.0, 1.0, 0.0, 0.0, 1.0, 0.0, 100.0, 10.0)], "leg_id long, dir_idx int, tx double, ty double, dx double, dy double, nx double, ny double, mean_m double, std_m double, speed_kn double")
+    cells = spark.createDataFrame([(1, 0, 1, s, 100.0, 10.0, s + 0.5, 3.0 * s) for s in range(10)], "leg_id long, dir_idx int, ship_type int, size_bin int, freq double, speed_kn double, draught_m double, height_m double")
+    hits = lambda some: W.ray_hits(points, W.projected(W.box_edges(some), 0.0, 0.0, a=("a_lon", "a_lat"), b=("b_lon", "b_lat")))
+    summed = lambda some: {(r.obstacle_id, r.kind, r.value_m): (round(r.mass, 9), round(r.mean_m, 6)) for r in W.summaries(W.first_hits(hits(some)), points).collect()}
+    assert summed(W.foremost(obstacles)) == summed(obstacles) != {}
+    every = [r.asDict() for r in hits(obstacles).collect()]
+    assert hits(W.foremost(obstacles)).count() * 20 < len(every) and hits(W.foremost_by_depth(obstacles)).count() * 5 < len(every)
+    found = W.accidents(cells, hits(W.foremost_by_depth(obstacles)), points, obstacles.where("kind = 'depth'").select("value_m"), {"grounding": 1.0, "allision": 1.0}).collect()
+    got = {(r.accident, r.size_bin, r.obstacle_id) for r in found}
+    first = lambda some: min(some, key=lambda h: (h["along_m"], h["obstacle_id"]), default=None)
+    want = set()
+    for ray in {h["ray"] for h in every}:
+        of = {kind: [h for h in every if h["ray"] == ray and h["kind"] == kind] for kind in ("depth", "object")}
+        ahead = first(of["object"])
+        for s in range(10):
+            shoal = first([h for h in of["depth"] if h["value_m"] <= s + 0.5])
+            want |= {("grounding", s, shoal["obstacle_id"])} if shoal else set()
+            want |= {("allision", s, ahead["obstacle_id"])} if ahead and 3.0 * s >= ahead["value_m"] else set()
+    assert got == want and {k[0] for k in got} == {"grounding", "allision"}

@@ -58,9 +58,9 @@ def facing_edges(at: DataFrame, edges: DataFrame, reach_m: Column | str = "reach
     box = {k: [F.col(f"{p}_{k}") + step(g, k) + sign * pad for p in "se" for g in (0, 1) for sign in (-1, 1)] for k in "xy"}
     mine = _boxed(parts, box["x"], box["y"]).select("scenario_id", "leg_id", "dir_idx", "direction", "cell_x", "cell_y").distinct()
     ids = ["scenario_id", "obstacle_id", "edge"]
-    there = _boxed(edges, [F.col("a_x"), F.col("b_x")], [F.col("a_y"), F.col("b_y")]).select(*ids, "cell_x", "cell_y")
+    there = _boxed(edges, [F.col("a_x"), F.col("b_x")], [F.col("a_y"), F.col("b_y")]).select(*ids, "cell_x", "cell_y").hint("merge")
     pairs = mine.join(there, ["scenario_id", "cell_x", "cell_y"]).select(*LEG, "direction", "obstacle_id", "edge").distinct()
-    both = pairs.join(at, [*LEG, "direction"]).join(edges, ids)
+    both = pairs.join(at, [*LEG, "direction"]).join(edges.hint("merge"), ids)  # Spark takes repeats for as few as the obstacles, and would broadcast them
     for p in "ab":
         both = both.withColumn(f"x{p}", F.expr(f"({p}_x - s_x) * ex + ({p}_y - s_y) * ey")).withColumn(f"c{p}", F.expr(f"ex * ({p}_y - s_y) - ey * ({p}_x - s_x)"))
     # What the grid lets pass must also lie beside the leg across the drift, and neither behind it nor out of reach.
@@ -265,6 +265,8 @@ def cascade(
         legs, lateral, edges, reach = (t.withColumn("scenario_id", F.lit(0).cast("long")) for t in (legs, lateral, edges, reach))
     scope = F.lit(0).cast("long") if shared else F.col("scenario_id")
     buckets = exposure.select(scope.alias("scenario_id"), "leg_id", "dir_idx", "ground_m", "anchor_m").distinct()
+    # An object on the place of another comes after it and is never reached, so of copies the one of smallest id stays.
+    edges = polygons.shapes(edges.where("kind = 'object'"))[0].unionByName(edges.where("kind <> 'object'"))
     if merged:
         used = buckets.select("scenario_id", F.explode(F.array("ground_m", "anchor_m")).alias("value_m")).where("value_m is not null")
         edges = with_merged_contours(edges, used)

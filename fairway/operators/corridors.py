@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from fairway.functions import expr as X
 
-from .polygons import covering
+from .polygons import covering, shapes, with_copies
 from .powered import CELL_M, _boxed
 
 #: Corners of the polygon that stands for a disc, and directions of drift.
@@ -93,7 +93,8 @@ def near(at: DataFrame, edges: DataFrame) -> DataFrame:
     step = lambda g, k: (F.col("part") + g) / F.col("parts") * F.col("reach_m") * F.col(f"h_{k}")
     box = {k: [F.col(f"{p}_{k}") + step(g, k) + sign * F.col("radius_m") for p in "se" for g in (0, 1) for sign in (-1, 1)] for k in "xy"}
     mine = _boxed(parts, box["x"], box["y"]).select(*KEY, "cell_x", "cell_y").distinct()
-    there = _boxed(edges.select("scenario_id", "obstacle_id", "edge", "a_x", "a_y", "b_x", "b_y"), [F.col("a_x"), F.col("b_x")], [F.col("a_y"), F.col("b_y")]).select("scenario_id", "obstacle_id", "edge", "cell_x", "cell_y")
+    edges = edges.hint("merge")  # Spark takes repeats for as few as the obstacles, and would broadcast them
+    there = _boxed(edges.select("scenario_id", "obstacle_id", "edge", "a_x", "a_y", "b_x", "b_y"), [F.col("a_x"), F.col("b_x")], [F.col("a_y"), F.col("b_y")]).select("scenario_id", "obstacle_id", "edge", "cell_x", "cell_y").hint("merge")
     pairs = mine.join(there, ["scenario_id", "cell_x", "cell_y"]).select(*KEY, "obstacle_id", "edge").distinct()
     return pairs.join(at, KEY).join(edges, ["scenario_id", "obstacle_id", "edge"])
 
@@ -101,7 +102,7 @@ def near(at: DataFrame, edges: DataFrame) -> DataFrame:
 def inside_parts(at: DataFrame, edges: DataFrame) -> DataFrame:
     """near() with the part (t0, t1) of each edge inside the swept band, and its length inside_m; those without go."""
     t0, t1 = inside_texts()
-    met = near(with_planes(at), edges).withColumn("t0", F.expr(t0)).withColumn("t1", F.expr(t1)).where("t0 < t1")
+    met = with_planes(near(at, edges)).withColumn("t0", F.expr(t0)).withColumn("t1", F.expr(t1)).where("t0 < t1")
     return met.withColumn("inside_m", F.expr("(t1 - t0) * sqrt(pow(b_x - a_x, 2e0) + pow(b_y - a_y, 2e0))"))
 
 
@@ -110,6 +111,12 @@ def overlaps(at: DataFrame, edges: DataFrame) -> DataFrame:
 
     An obstacle that holds the whole band has no edge inside, but holds the leg's start.
     """
+    own, copies = shapes(edges)
+    return with_copies(_overlaps(at, own), copies)
+
+
+def _overlaps(at: DataFrame, edges: DataFrame) -> DataFrame:
+    """overlaps() of obstacles of different shapes."""
     met = inside_parts(at, edges).groupBy(*KEY, "obstacle_id").agg(F.sum("inside_m").alias("inside_m"))
     starts = at.select(*KEY, F.col("s_x").alias("x"), F.col("s_y").alias("y"))
     over = covering(starts, edges, CELL_M).select(*KEY, "obstacle_id", F.lit(0.0).alias("inside_m"))
@@ -147,10 +154,12 @@ def target_hits(legs: DataFrame, lateral: DataFrame, reach: DataFrame, edges: Da
     corridor by the corridor's width, 100 at most.  The geometry is worked out once for all ships.
     """
     at = bands(legs, lateral, reach, spread, 1.0)
-    met = overlaps(at, edges)
+    own, copies = shapes(edges)
     o, f = ("s", "e") if from_mean else ("o", "f")
-    corners = met.join(at, KEY).join(edges.select("scenario_id", "obstacle_id", "kind", "value_m", F.col("a_x").alias("v_x"), F.col("a_y").alias("v_y")), ["scenario_id", "obstacle_id"])
-    hits = corners.groupBy(*KEY, "obstacle_id", "kind", "value_m", "inside_m").agg(F.min(F.expr(distance_text("v_x", "v_y", o, f))).alias("distance_m"), F.first(F.expr(WIDTH)).alias("width_m")).where("distance_m is not null")
+    corners = _overlaps(at, own).join(at, KEY).join(own.select("scenario_id", "obstacle_id", F.col("a_x").alias("v_x"), F.col("a_y").alias("v_y")), ["scenario_id", "obstacle_id"])
+    hits = corners.groupBy(*KEY, "obstacle_id", "inside_m").agg(F.min(F.expr(distance_text("v_x", "v_y", o, f))).alias("distance_m"), F.first(F.expr(WIDTH)).alias("width_m")).where("distance_m is not null")
+    what = edges.select("scenario_id", "obstacle_id", "kind", "value_m").distinct()
+    hits = with_copies(hits, copies).join(what, ["scenario_id", "obstacle_id"])
     hits = hits.withColumn("coverage_percent", F.least(F.lit(100.0), F.col("inside_m") / F.col("width_m") * 100.0))
     is_depth = F.col("kind") == "depth"
     roles = F.array_compact(
@@ -254,10 +263,11 @@ def weighted_coverage(at: DataFrame, edges: DataFrame, mixture: DataFrame) -> Da
     low and high end.  Densities are taken at the corners' distances from the point of the line down the band's middle
     that is nearest to the overlap's centroid.  Every corner counts once.
     """
+    edges, copies = shapes(edges)
     part = F.col("part") if "part" in edges.columns else F.lit(0)
     points = edges.withColumn("part", part).groupBy("scenario_id", "obstacle_id", "part").agg(F.collect_list(F.struct("edge", F.col("a_x").alias("x"), F.col("a_y").alias("y"))).alias("points"))
     rings = points.groupBy("scenario_id", "obstacle_id").agg(F.collect_list(F.struct("points")).alias("rings"))
-    pairs = overlaps(at, edges).select(*KEY, "obstacle_id").join(with_planes(at).select(*KEY, "s_x", "s_y", "planes"), KEY).join(rings, ["scenario_id", "obstacle_id"])
+    pairs = _overlaps(at, edges).select(*KEY, "obstacle_id").join(with_planes(at).select(*KEY, "s_x", "s_y", "planes"), KEY).join(rings, ["scenario_id", "obstacle_id"])
     corners = pairs.mapInPandas(_overlap_corners, "scenario_id long, leg_id long, dir_idx int, direction int, obstacle_id long, x double, y double, center_x double, center_y double").join(at, KEY)
     mx, my = "(s_x + e_x) / 2e0", "(s_y + e_y) / 2e0"
     along = f"greatest(0e0, least(reach_m, (center_x - {mx}) * h_x + (center_y - {my}) * h_y))"
@@ -265,7 +275,8 @@ def weighted_coverage(at: DataFrame, edges: DataFrame, mixture: DataFrame) -> Da
     whole = mixture.groupBy("scenario_id", "leg_id", "dir_idx").agg(F.sum("weight").alias("all_"))
     parts = mixture.join(whole, ["scenario_id", "leg_id", "dir_idx"]).withColumn("w", F.col("weight") / F.col("all_")).select("scenario_id", "leg_id", "dir_idx", F.col("kind").alias("form"), "p1", "p2", "w")
     density = F.expr("w * CASE WHEN form = 'uniform' THEN CASE WHEN d BETWEEN p1 AND p2 THEN 1e0 / (p2 - p1) ELSE 0e0 END ELSE exp(-pow((d - p1) / p2, 2e0) / 2e0) / (p2 * 25066282746310002e-16) END")
-    return corners.join(parts, ["scenario_id", "leg_id", "dir_idx"]).groupBy(*KEY, "obstacle_id").agg((F.sum(density) * 100.0).alias("coverage"), F.min("d").alias("nearest_m"), F.countDistinct("x", "y").alias("corners"))
+    covered = corners.join(parts, ["scenario_id", "leg_id", "dir_idx"]).groupBy(*KEY, "obstacle_id").agg((F.sum(density) * 100.0).alias("coverage"), F.min("d").alias("nearest_m"), F.countDistinct("x", "y").alias("corners"))
+    return with_copies(covered, copies)
 
 
 # ---- reach fans -------------------------------------------------------------------------------------------------

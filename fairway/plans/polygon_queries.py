@@ -113,8 +113,10 @@ def target_rows(spark, sf_dir):
     """Targets of each ship by leg and direction: how many, the nearest and their coverage together."""
     legs, lateral, edges, reach = _drift_inputs(spark, sf_dir)
     ships = spark.sql(_SHIPS.replace("traffic_cells", "{cells}"), cells=view(spark, sf_dir, "traffic_cells"))
-    hits = V.target_hits(legs, lateral, reach.withColumn("reach_m", F.lit(REACH)), edges, ships)
-    return hits.groupBy("leg_id", "direction", "ship_id", "role").agg(F.count("*").alias("targets"), F.round(F.min("distance_m"), 2).alias("nearest_m"), F.round(F.sum("coverage_percent"), 3).alias("coverage_percent"))
+    own, copies = G.shapes(edges, "kind", "value_m")
+    alike = copies.groupBy("scenario_id", "obstacle_id").agg(F.count("*").alias("n"))
+    hits = V.target_hits(legs, lateral, reach.withColumn("reach_m", F.lit(REACH)), own, ships).join(alike, ["scenario_id", "obstacle_id"])
+    return hits.groupBy("leg_id", "direction", "ship_id", "role").agg(F.sum("n").alias("targets"), F.round(F.min("distance_m"), 2).alias("nearest_m"), F.round(F.sum(F.col("coverage_percent") * F.col("n")), 3).alias("coverage_percent"))
 
 
 _SHARE = V.rectangle_texts()[1]
@@ -123,7 +125,10 @@ _SHARE = V.rectangle_texts()[1]
 @query("drf_corridor_lengths", oracle(_MOVED(5.0, 0.0) + f""", uw AS (SELECT *, g_x * l_x + g_y * l_y AS du, l_x * g_y - l_y * g_x AS dw, (a_x - s_x) * l_x + (a_y - s_y) * l_y AS ua, l_x * (a_y - s_y) - l_y * (a_x - s_x) AS wa, (b_x - s_x) * l_x + (b_y - s_y) * l_y AS ub, l_x * (b_y - s_y) - l_y * (b_x - s_x) AS wb FROM nb)
 SELECT leg_id, dir_idx, direction, obstacle_id, round(sum(inside_m), 2) AS inside_m FROM (SELECT *, {_SHARE} * sqrt(pow(b_x - a_x, 2e0) + pow(b_y - a_y, 2e0)) AS inside_m FROM uw) WHERE inside_m > 0 GROUP BY 1, 2, 3, 4""", *_VIEWS))
 def corridor_rows(spark, sf_dir):
-    return V.corridor_lengths(*_bands(spark, sf_dir, 5.0)).groupBy("leg_id", "dir_idx", "direction", "obstacle_id").agg(F.round(F.sum("inside_m"), 2).alias("inside_m"))
+    at, edges = _bands(spark, sf_dir, 5.0)
+    own, copies = G.shapes(edges)
+    found = V.corridor_lengths(at, own).groupBy(*V.KEY, "obstacle_id").agg(F.round(F.sum("inside_m"), 2).alias("inside_m"))
+    return G.with_copies(found, copies).drop("scenario_id")
 
 
 _MIXTURE = "SELECT CAST(0 AS BIGINT) AS scenario_id, leg_id, dir_idx, k.kind, CASE WHEN k.kind = 'normal' THEN mean_m ELSE 0e0 END AS p1, CASE WHEN k.kind = 'normal' THEN std_m ELSE 4e3 END AS p2, k.weight FROM leg_lateral CROSS JOIN (SELECT 'normal' AS kind, 3e0 AS weight UNION ALL SELECT 'uniform', 1e0) k"
@@ -186,7 +191,7 @@ def fan_rows(spark, sf_dir):
     depths = G.contour_pieces(edges.where("kind = 'depth'"), 5_000.0)
     # The contour of a threshold: pieces that begin at or before it and are not covered up to it.
     upto = lambda m: depths.where((F.col("from_m") <= m) & (F.col("until_m").isNull() | (F.col("until_m") > m))).select("scenario_id", F.lit(-1).cast("long").alias("obstacle_id"), F.lit("depth").alias("kind"), F.lit(m).alias("value_m"), F.xxhash64(*G.ENDS).alias("edge"), *G.ENDS)
-    objects = edges.where("kind = 'object'").select("scenario_id", "obstacle_id", "kind", "value_m", F.col("edge").cast("long").alias("edge"), *G.ENDS)
+    objects = G.shapes(edges.where("kind = 'object'"))[0].select("scenario_id", "obstacle_id", "kind", "value_m", F.col("edge").cast("long").alias("edge"), *G.ENDS)
     areas = V.fan_areas(V.fans(at, objects.unionByName(upto(GROUND_M)), upto(ANCHOR_M), RAYS))
     return areas.select("leg_id", "dir_idx", "direction", F.round(F.col("area_m2") / 1e6, 4).alias("area_km2"), F.round(F.col("anchorable_m2") / 1e6, 4).alias("anchorable_km2"), F.round("blocked", 6).alias("blocked"))
 

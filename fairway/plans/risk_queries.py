@@ -11,6 +11,7 @@ from fairway.operators import consequence as O
 from fairway.operators import drifting as D
 from fairway.operators import network as N
 from fairway.operators import passages as P
+from fairway.operators import polygons as G
 from fairway.operators import powered as W
 from fairway.operators import reports as R
 
@@ -301,8 +302,9 @@ def _drift_inputs(spark, sf_dir, years=None):
 @query("drf_holes", oracle(_HOLES, "legs", "leg_lateral", "obstacles"))
 def hole_rows(spark, sf_dir):
     legs, lateral, edges, reach = _drift_inputs(spark, sf_dir)
-    found = D.holes(D.edge_intervals(K.facing_edges(K.frames(legs, lateral).join(reach, "scenario_id"), edges), SLICES), SLICES)
-    return found.select("leg_id", "dir_idx", "direction", "obstacle_id", F.round("hole", 6).alias("hole"))
+    own, copies = G.shapes(edges)
+    found = D.holes(D.edge_intervals(K.facing_edges(K.frames(legs, lateral).join(reach, "scenario_id"), own), SLICES), SLICES)
+    return G.with_copies(found, copies).select("leg_id", "dir_idx", "direction", "obstacle_id", F.round("hole", 6).alias("hole"))
 
 
 #: Each ship type's traffic stands for one kind of accident, so that all eight occur.

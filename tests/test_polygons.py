@@ -234,3 +234,18 @@ def test_projection_distance():
     assert D.projection_m() == pytest.approx((0.2 + 0.85 * math.exp(0.95 * 3.090232306167813)) * 1852)
     assert D.projection_m(kind="normal") == D.projection_m(shape=0.0) == D.projection_m(scale=500.0) == 10_000.0
     assert D.projection_m(drift_ms=5.0) == 50_000.0 and D.projection_m(kind="weibull", most_m=3000.0) == 3000.0
+
+
+def test_copies_of_a_shape_share_what_is_found_for_it(spark):
+    """Every copy has its row, of all that bands, edges or rays are paired with there is one."""
+    at = V.bands(*band(spark, (0, 0, 1000, 0), 0.0, 200.0, 4000.0), V.BAND_SPREAD).where("direction = 0")
+    e = targets(spark, [(k, "depth", float(k % 3), box(600, 1900, 800, 2100)) for k in range(5, 45)] + [(99, "object", 1.0, box(100, 900, 200, 1000))])
+    own, copies = G.shapes(e)
+    assert {r.obstacle_id for r in own.collect()} == {5, 99} and copies.count() == 41
+    assert {r.obstacle_id for r in G.shapes(e, "value_m")[0].collect()} == {5, 6, 7, 99}
+    got = {r.obstacle_id: r.inside_m for r in V.overlaps(at, e).collect()}
+    assert set(got) == {*range(5, 45), 99} and {round(got[k], 6) for k in range(5, 45)} == {800.0}
+    mixture = spark.createDataFrame([(0, 1, 0, "normal", 0.0, 200.0, 1.0)], "scenario_id long, leg_id long, dir_idx int, kind string, p1 double, p2 double, weight double")
+    assert {r.obstacle_id for r in V.weighted_coverage(at, e, mixture).collect()} == {*range(5, 45), 99}
+    hits = V.target_hits(*band(spark, (0, 0, 1000, 0), 0.0, 200.0, 4000.0), e, ships(spark, (1, 2, None))).where("direction = 0 and role = 'structure'")
+    assert [r.obstacle_id for r in hits.collect()] == [99]

@@ -1,14 +1,14 @@
 """Near-duplicates by the Jaccard similarity of five-word shingles.
 
 Candidates share one of ``BANDS`` keys of ``ROWS`` min-hashes each, which a pair of similarity 0.8 misses in 4 of
-10,000 cases, or lie within the distance of the SimHash operator.  All links are verified on the texts.  First
-every member of a key's group is compared with the group's smallest; then all pairs of a key that are not connected
-yet are compared too, so a large group costs pairs only where its members differ.
+10,000 cases, or lie within the distance of the SimHash operator.  All links are verified on whole sets of shingles.
+First every member of a key's group is compared with the group's smallest; then the members of a key that are not all
+connected yet meet in cells of bounded parts, with their sets.  A cell counts shared shingles over an inverted index and
+gives only a spanning forest of its links, so no table of pairs grows with the square of a group.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +20,9 @@ from . import common, simhash
 from .components import components
 from .substring import SHINGLE, shingles
 
-BANDS, ROWS, PART = 20, 5, 4096
+BANDS, ROWS = 20, 5
+#: Documents and shingles in a part of a key's group, about.
+PART, PART_SHINGLES = 2048, 1 << 20
 SIMILARITY = 0.8
 _RANDOM = np.random.default_rng(42)
 _XOR = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64)[:, None] * np.uint64(2)
@@ -64,27 +66,60 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 5 + [pa.list_(pa.int64())])], ["doc_id", "h", "g", "n", "fp", "keys"])
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by cell: pairs of different labels whose sizes allow the similarity."""
-    names = ("cell", "node", "n", "label")
-    held = [np.empty(0, np.int64)] * 4
-    for batch in itertools.chain(batches, [None]):
-        if batch is not None:
-            held = [np.concatenate((h, np.asarray(batch.column(c)))) for h, c in zip(held, names)]
-        cut = len(held[0]) if batch is None or not len(held[0]) else int(np.searchsorted(held[0], held[0][-1]))
-        cell, node, n, label = (h[:cut] for h in held)
-        at, step = np.arange(cut), 0
-        while True:
-            step += 1
-            at = at[at + step < cut]
-            at = at[cell[at] == cell[at + step]]
-            if not len(at):
-                break
-            i = at[label[at] != label[at + step]]
-            i = i[np.minimum(n[i], n[i + step]) >= SIMILARITY * np.maximum(n[i], n[i + step])]
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[i + step])), pa.array(np.maximum(node[i], node[i + step]))], ["a", "b"])
-        held = [h[cut:] for h in held]
+def _dealt_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cell, node, label, own) of rows (node, label, cells, text): the set of shingles for each cell of a document."""
+    for batch in batches:
+        for node, label, cells, text in zip(batch.column("node").to_pylist(), batch.column("label").to_pylist(), batch.column("cells").to_pylist(), batch.column("text")):
+            own = shingle_set(text.as_buffer().to_pybytes() if text.is_valid else b"").tobytes()
+            for k in range(0, len(cells), 64):
+                some = cells[k : k + 64]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([node] * len(some)), pa.array([label] * len(some)), pa.array([own] * len(some), pa.binary())], ["cell", "node", "label", "own"])
+
+
+def forest(label: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Places of links that connect all sets of SIMILARITY or more, beside those that share a label already."""
+    m, n = len(sets), np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(m), n)
+    order = np.argsort(flat, kind="stable")  # of each shingle its owners in order
+    starts = np.concatenate(([0], np.flatnonzero(np.diff(flat[order])) + 1, [len(flat)]))
+    times = np.diff(starts)
+    place = np.empty(len(flat), np.int64)  # where each shingle of a document stands in that order
+    place[order] = np.arange(len(flat))
+    end = np.empty(len(flat), np.int64)
+    end[order] = np.repeat(starts[1:], times)
+    own, first = owner[order], np.concatenate(([0], np.cumsum(n)))
+    group, out = np.unique(label, return_inverse=True)[1], []
+    for i in range(m):
+        at, to = place[first[i] : first[i + 1]] + 1, end[first[i] : first[i + 1]]  # later documents alone
+        size = to - at
+        if not size.any():
+            continue
+        both = np.bincount(own[np.repeat(at - np.cumsum(size) + size, size) + np.arange(size.sum())], minlength=m)
+        for j in np.flatnonzero((both > 0) & (both >= SIMILARITY * (n[i] + n - both))).tolist():
+            if group[i] != group[j]:
+                group[group == group[j]] = group[i]
+                out.append((i, j))
+    return out
+
+
+def _cell_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (cell, node, label, own) sorted by cell: links (a, b) that connect what is similar in each cell."""
+    cell, rows = None, []
+
+    def links() -> Iterator[pa.RecordBatch]:
+        if len(rows) > 1 and len({label for _, label, _ in rows}) > 1:
+            found = forest(np.array([r[1] for r in rows]), [np.frombuffer(r[2], np.uint64) for r in rows])
+            if found:
+                ends = [sorted((rows[i][0], rows[j][0])) for i, j in found]
+                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        for own_cell, *row in zip(*(batch.column(c).to_pylist() for c in ("cell", "node", "label", "own"))):
+            if own_cell != cell:
+                yield from links()
+                cell, rows = own_cell, []
+            rows.append(row)
+    yield from links()
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,12 +180,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = components(first).select("node", F.col("component").alias("label"))
 
     open_ = keyed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    groups = open_.groupBy("key").agg(F.count("*").alias("k"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", F.ceil(F.col("k") / PART).cast("int").alias("parts"))
+    parts = F.ceil(F.greatest(F.col("k") / PART, F.col("shingles") / PART_SHINGLES)).cast("int")
+    groups = open_.groupBy("key").agg(F.count("*").alias("k"), F.sum("n").alias("shingles"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", parts.alias("parts"))
     mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.xxhash64("key", F.least(mine, other), F.greatest(mine, other)))
-    dealt = open_.join(groups, "key").select(F.explode(cells).alias("cell"), "node", "n", "label")
-    rest = dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_pairs, "a long, b long")
-    second = _verified(rest, rows, f"{path}/second")
+    dealt = open_.join(groups, "key").select("node", "label", cells.alias("cells")).groupBy("node", "label").agg(F.flatten(F.collect_list("cells")).alias("cells"))
+    dealt.write.parquet(f"{path}/dealt")
+    dealt = spark.read.parquet(f"{path}/dealt")
+    sets = dealt.join(rows.withColumnRenamed("doc_id", "node"), "node").select("node", "label", "cells", "text").mapInArrow(_dealt_sets, "cell long, node long, label long, own binary")
+    sets.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_links, "a long, b long").write.parquet(f"{path}/second")
+    second = spark.read.parquet(f"{path}/second")
     found = components(first.unionByName(second))
     return member.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
 

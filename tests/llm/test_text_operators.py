@@ -130,6 +130,33 @@ def test_near_dedup_stage_keeps_one_of_each_group_at_the_similarity(spark):
     assert sorted(r.doc_id for r in got.collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("part", [3, 2048])
+def test_near_dedup_links_of_a_group_are_a_forest(spark, monkeypatch, part):
+    """Many texts that share keys, of which few are similar: as many links as connect them, however the group is cut."""
+    from fairway.llm import neardup
+
+    rng, rows = np.random.default_rng(21), []
+    common_, tails = words(rng, 90), [words(rng, 60) for _ in range(20)]
+    for i in range(80):
+        text = common_ + tails[i % 20]
+        text[int(rng.integers(100, 150))] = f"x{i}"
+        rows.append((i, " ".join(text)))
+    sets = [neardup.shingle_set(t.encode()) for _, t in rows]
+    labels = np.arange(80)
+    links = neardup.forest(labels.copy(), sets)
+    up = labels.copy()
+    for i in range(80):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                up[up == up[i]] = up[j]
+    assert len(links) == 80 - len(set(up.tolist())) and all(up[i] == up[j] for i, j in links)
+    assert neardup.forest(up, sets) == []
+    monkeypatch.setattr(neardup, "PART", part)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {i: min(j for j in range(80) if up[j] == up[i]) for i in range(80)}
+
+
 def words(rng, n):
     return [f"w{x}" for x in rng.integers(0, 10**6, n)]
 

@@ -197,8 +197,7 @@ def _links(wanted: DataFrame, count: int, path: str) -> DataFrame:
     """Windows joined with those of the smallest documents of equal signature, written to path."""
     spark = wanted.sparkSession
     some = wanted.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(max(count, 1))) < SAMPLED)
-    often = [r["v"] for r in _windows(some).groupBy("v").agg(F.count_distinct("doc").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n")).limit(10_000).collect()]
-    hot = spark.createDataFrame([(v,) for v in often], "v long").withColumn("hot", F.lit(True))
+    hot = _windows(some).groupBy("v").agg(F.count_distinct("doc").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "v").limit(10_000).select("v", F.lit(True).alias("hot"))
     dealt = _windows(wanted).join(F.broadcast(hot), "v", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(F.lit(-1)).cast("long"))
     _sorted_groups(dealt).write.parquet(f"{path}/own")
     own = spark.read.parquet(f"{path}/own")
@@ -262,20 +261,33 @@ def _anchors(need: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         held = [x[cut:] for x in held]
 
 
-def _grown(equal: np.ndarray) -> int:
+def _grown(x: np.ndarray, y: np.ndarray) -> int:
     """How far to go along equal places: to the best score, given up once it has fallen far below."""
-    score = np.cumsum(np.where(equal, 1, -4))
-    if not len(score):
-        return 0
-    down = np.flatnonzero(np.maximum.accumulate(np.maximum(score, 0)) - score > 8 * SHINGLE)
-    score = score[: down[0]] if len(down) else score
-    return int(score.argmax()) + 1 if len(score) and score.max() > 0 else 0
+    best, at, total, n = 0, 0, 0, 64
+    start = 0
+    while start < len(x):
+        score = np.where(x[start : start + n] == y[start : start + n], 1, -4)
+        score[0] += total
+        score = score.cumsum()
+        top = np.maximum.accumulate(np.maximum(score, best))
+        fell = top - score > 8 * SHINGLE
+        down = int(fell.argmax())
+        over = bool(fell[down])
+        score = score[:down] if over else score
+        if len(score):
+            k = int(score.argmax())
+            if score[k] > best:
+                best, at = int(score[k]), start + k + 1
+        if over:
+            break
+        total, start, n = int(score[-1]), start + n, 4 * n
+    return at
 
 
 def _similarity(x: np.ndarray, y: np.ndarray) -> float:
-    x, y = np.unique(x), np.unique(y)
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / max(len(x) + len(y) - both, 1)
+    mine, other = set(x.tolist()), set(y.tolist())
+    both = len(mine & other)
+    return both / max(len(mine) + len(other) - both, 1)
 
 
 def _stretched(x: np.ndarray, y: np.ndarray, e: int, g: int) -> tuple[int, int]:
@@ -304,9 +316,9 @@ def _stretched(x: np.ndarray, y: np.ndarray, e: int, g: int) -> tuple[int, int]:
 def verify(x: np.ndarray, y: np.ndarray, a0: int, b0: int, a1: int, b1: int) -> tuple[int, int, int, int, float] | None:
     """The passage grown from a0, b0 back and from a1, b1 ahead, as (start, end) in words of both texts and its similarity."""
     n = min(a0, b0)
-    back = _grown((x[a0 - n : a0] == y[b0 - n : b0])[::-1])
+    back = _grown(x[a0 - n : a0][::-1], y[b0 - n : b0][::-1])
     n = min(len(x) - a1 - 1, len(y) - b1 - 1)
-    ahead = _grown(x[a1 + 1 : a1 + 1 + n] == y[b1 + 1 : b1 + 1 + n])
+    ahead = _grown(x[a1 + 1 : a1 + 1 + n], y[b1 + 1 : b1 + 1 + n])
     s, e, t, g = a0 - back, a1 + 1 + ahead, b0 - back, b1 + 1 + ahead
     if min(e - s, g - t) < LEAST or (j := _similarity(x[s:e], y[t:g])) < SIMILARITY:
         return None
@@ -343,16 +355,28 @@ def _scattered(x: np.ndarray, y: np.ndarray, a: int, b: int, known: list[tuple[i
     own, near = y[at_b : b + far], x[at_a : a + far + BAND]
     if min(len(own), len(near)) < LEAST:
         return []
-    windows = lambda held: np.convolve(held, np.ones(LEAST, np.int64), "valid")
+    others = set(near.tolist())
+    sums = np.cumsum([0, *(k in others for k in own.tolist())])
+    places = np.flatnonzero(sums[LEAST:] - sums[:-LEAST] >= SHARED).tolist()
+    places = [q for q in places if not any(t <= at_b + q and at_b + q + WORDS <= g for _, _, t, g, _ in known)]
+    if not places:
+        return []
+    low, high = places[0], places[-1] + LEAST
+    equal = np.zeros((high - low + 1, len(near)), np.int16)
+    np.cumsum(own[low:high, None] == near, axis=0, out=equal[1:])
+    held = np.zeros((len(places), len(near) + 1), np.int16)  # of each window of own: the shingles of near in it, summed up
+    starts = np.array(places) - low
+    np.cumsum(equal[starts + LEAST] > equal[starts], axis=1, out=held[:, 1:])
+    both = held[:, LEAST:] - held[:, :-LEAST]
+    most = both.max(axis=1)
+    least = SHARED if len(others) == len(near) and len(set(own.tolist())) == len(own) else 1  # repeats count once in the similarity
     out, done = [], -1
-    for q in np.flatnonzero(windows(np.isin(own, near)) >= SHARED).tolist():
-        if q < done or any(t <= at_b + q and at_b + q + WORDS <= g for _, _, t, g, _ in known):
+    for k, q in enumerate(places):
+        if q < done or most[k] < least:
             continue
-        mine = own[q : q + LEAST]
-        both = windows(np.isin(near, mine))
-        best = np.flatnonzero(both == both.max())
+        best = np.flatnonzero(both[k] == most[k])
         p = int(best[np.abs(best + at_a - a - q - at_b + b).argmin()])
-        if (j := _similarity(near[p : p + LEAST], mine)) >= SIMILARITY:
+        if (j := _similarity(near[p : p + LEAST], own[q : q + LEAST])) >= SIMILARITY:
             out.append((at_a + p, at_a + p + WORDS, at_b + q, at_b + q + WORDS, j))
             done = q + LEAST // 4
     return out
@@ -557,19 +581,29 @@ def _in_cells(tried: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[
         held, around = [x[start:] for x in held], around[start:]
 
 
-def _open_links(members: DataFrame, open_: DataFrame, texts: DataFrame, tried: int | None, path: str) -> DataFrame:
-    """Links of the open windows with like windows of smaller documents of their signature."""
+def _open_windows(members: DataFrame, open_: DataFrame, path: str) -> DataFrame:
+    """(v, doc, at, lo, hi) of the windows in open places, written to path; lo and hi are the place's ends from the window's."""
     place = F.shiftright("at", 34)
     mine = members.join(open_, "doc").where((place >= F.col("s")) & (place < F.col("e"))).select("v", "doc", "at", (F.col("s") - place).alias("lo"), (F.col("e") - place).alias("hi"))
-    mine.write.parquet(f"{path}-mine")
-    mine = open_.sparkSession.read.parquet(f"{path}-mine")
+    mine.write.parquet(path)
+    return open_.sparkSession.read.parquet(path)
+
+
+def _used(members: DataFrame, mine: DataFrame, texts: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Texts of the documents that share a signature with open windows, and the contexts of their windows."""
+    spark = texts.sparkSession
+    in_use = members.join(mine.select("v").distinct(), "v", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("v", "at")).alias("windows"))
+    in_use.join(texts.select(F.col("doc_id").alias("doc"), F.col("text").cast("binary").alias("text")), "doc").select("doc", "windows", "text").write.parquet(f"{path}/used")
+    used = spark.read.parquet(f"{path}/used")
+    used.mapInArrow(_contexts, "v long, doc long, at long, around binary").write.parquet(f"{path}/around")
+    return used.select(F.col("doc").alias("doc_id"), "text"), spark.read.parquet(f"{path}/around")
+
+
+def _open_links(members: DataFrame, mine: DataFrame, around: DataFrame, tried: int | None) -> DataFrame:
+    """Links of the open windows with like windows of smaller documents of their signature."""
     asked = mine.groupBy("v").agg(F.ceil(F.count("*") / PART).cast("int").alias("rows"))
     parts = members.join(asked, "v").groupBy("v", "rows").agg(F.ceil(F.count("*") / PART).cast("int").alias("cols"))
-    in_use = members.join(asked.select("v"), "v", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("v", "at")).alias("windows"))
-    in_use.join(texts.select(F.col("doc_id").alias("doc"), F.col("text").cast("binary").alias("text")), "doc").select("doc", "windows", "text").mapInArrow(
-        _contexts, "v long, doc long, at long, around binary"
-    ).write.parquet(f"{path}-around")
-    around = open_.sparkSession.read.parquet(f"{path}-around").join(parts, "v")
+    around = around.join(parts, "v")
     part = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
     rows = around.join(mine, ["v", "doc", "at"]).select("v", part("rows").alias("p"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("q"), F.lit(1).alias("open"), "doc", "at", "lo", "hi", "around")
     zero = F.lit(0).cast("long")
@@ -641,7 +675,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     for tried in (TRIED, None):
         spans = found.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_set(F.struct(F.col("start_word").alias("s"), F.col("end_word").alias("e"))).alias("spans"))
         looked.join(spans, "doc", "left").select("doc", "runs", "unseen", "spans").mapInArrow(_open, "doc long, s int, e int").write.parquet(f"{path}/open{tried}")
-        more = _found(_open_links(members, spark.read.parquet(f"{path}/open{tried}"), wanted, tried, f"{path}/open{tried}"), wanted, NEED, f"{path}/more{tried}")
+        mine = _open_windows(members, spark.read.parquet(f"{path}/open{tried}"), f"{path}/mine{tried}")
+        if tried:  # what is open later was open before
+            used, around = _used(members, mine, wanted, path)
+        more = _found(_open_links(members, mine, around, tried), used, NEED, f"{path}/more{tried}")
         found = found.unionByName(more.join(found, found.columns, "left_anti"))
     whole = copies.select("doc_id", F.lit(0).alias("start_word"), F.col("n").alias("end_word"), "source_id", F.lit(0).alias("source_start"), F.col("n").alias("source_end"), F.lit(1.0).alias("similarity"))
     return found.unionByName(whole)

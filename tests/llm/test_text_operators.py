@@ -171,6 +171,44 @@ def test_compact_windows_cover_every_passage_once():
             assert sum(w[0] <= i and w[1] == least and j <= w[2] for w in windows) == 1
 
 
+def test_growth_and_scattered_windows_are_those_of_plain_loops():
+    rng = np.random.default_rng(17)
+    for n in (0, 1, 63, 64, 65, 320, 2000):
+        for share in (0.05, 0.2, 0.3):
+            x = rng.integers(0, 1 << 60, n).astype(np.uint64)
+            y = np.where(rng.random(n) < share, x + np.uint64(1), x)
+            score, best, at = 0, 0, 0
+            for k in range(n):
+                score += 1 if x[k] == y[k] else -4
+                if score > best:
+                    best, at = score, k + 1
+                if best - score > 8 * substring.SHINGLE:
+                    break
+            assert substring._grown(x, y) == at
+    n, found = substring.LEAST, 0
+    for trial in range(30):
+        x = rng.integers(0, 1 << 60, 300).astype(np.uint64)
+        y = np.concatenate((x[100:140], rng.integers(0, 1 << 60, trial % 8).astype(np.uint64), x[140:200]))
+        if trial % 3 == 0:
+            y[5:9] = y[4]
+        a, b = 120, 25
+        at_b, at_a = 0, max(a - 2 * n - substring.BAND, 0)
+        own, near, want, done = y[: b + 2 * n], x[at_a : a + 2 * n + substring.BAND], [], -1
+        for q in range(len(own) - n + 1):
+            mine = own[q : q + n]
+            if q < done or np.isin(mine, near).sum() < substring.SHARED:
+                continue
+            both = [int(np.isin(near[p : p + n], mine).sum()) for p in range(len(near) - n + 1)]
+            p = min((p for p, k in enumerate(both) if k == max(both)), key=lambda p: abs(p + at_a - a - q - at_b + b))
+            u, v = set(near[p : p + n].tolist()), set(mine.tolist())
+            if len(u & v) / len(u | v) >= substring.SIMILARITY:
+                want.append((at_a + p, at_a + p + substring.WORDS, at_b + q, at_b + q + substring.WORDS, len(u & v) / len(u | v)))
+                done = q + n // 4
+        assert substring._scattered(x, y, a, b, []) == want
+        found += len(want)
+    assert found > 30
+
+
 def test_every_repeated_exact_passage_is_found_and_clean_texts_are_left_alone(spark):
     rng = np.random.default_rng(4)
     shared = [words(rng, n) for n in (51, 80, 200)]
